@@ -67,6 +67,7 @@ def running(
     order: str,
     runs: Mapping[str, Run],
     blocks: Sequence[Column] | None = None,
+    tag: str = "_blk",
 ) -> DataFrame:
     """Add one column per entry of ``runs``.
 
@@ -76,7 +77,7 @@ def running(
     keys = list(keys)
     blocks = list(blocks) if blocks else [block_of(order)]
     values = {f"_v_{n}": r.value for n, r in runs.items()}
-    levels = [f"_blk{i}" for i in range(len(blocks))]
+    levels = [f"{tag}{i}" for i in range(len(blocks))]
     rows = df.withColumns(dict(zip(levels, blocks, strict=True)) | values)
 
     totals = rows.groupBy(*keys, *levels).agg(
@@ -104,7 +105,7 @@ def _carry(totals: DataFrame, keys: list[str], levels: list[str], runs: Mapping[
         inner = {
             f"c_{n}": Run(r.op, F.col(f"_t_{n}"), inclusive=False, backward=r.backward) for n, r in runs.items()
         }
-        scanned = running(totals, keys, fine, inner, blocks=[F.col(c) for c in levels[1:]])
+        scanned = running(totals, keys, fine, inner, blocks=[F.col(c) for c in levels[1:]], tag=f"{fine}_")
         return scanned.select(*keys, fine, *[F.col(f"c_{n}").alias(f"_c_{n}") for n in runs])
     ahead = Window.partitionBy(*keys).orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
     back = Window.partitionBy(*keys).orderBy(F.desc(fine)).rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ survives the loss of executors.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,3 +58,11 @@ def staged(spark: SparkSession, name: str, source: str, build: Callable[[], Data
 
 def staged_path(spark: SparkSession, name: str, source: str) -> str:
     return _STAGED[(spark.sparkContext.applicationId, source, name)]
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result that several branches of a plan read, and continue from the written table."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lilt-{spark.sparkContext.applicationId}/cut-{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
