@@ -51,7 +51,6 @@ def next_queued(state: DataFrame) -> DataFrame:
 
 def parse_results(state: DataFrame) -> DataFrame:
     """Typed result column. Unreadable JSON gives the default document for complete jobs, NULL for running ones."""
-    parsed = F.from_json("result", JOB_RESULT, {"mode": "FAILFAST"})
     parsed = F.when(F.try_parse_json("result").isNotNull(), F.from_json("result", JOB_RESULT))
     default = F.struct(*[F.lit(v).cast(JOB_RESULT[n].dataType).alias(n) for n, v in _DEFAULTS.items()])
     filled = F.struct(

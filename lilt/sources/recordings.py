@@ -48,9 +48,7 @@ def marker_spans(files: DataFrame, key: str, marker: str = CLUSTER_MARKER) -> Da
     text = F.decode("content", "ISO-8859-1")
     literal = F.decode(F.unhex(F.lit(marker)), "ISO-8859-1")
     size = len(marker) // 2
-    pieces = files.select(
-        key, F.expr(r"split(t, concat('\\Q', m, '\\E'), -1)").alias("pieces")
-    ) if {"t", "m"} <= set(files.columns) else files.select(key, text.alias("t"), literal.alias("m")).select(
+    pieces = files.select(key, text.alias("t"), literal.alias("m")).select(
         key, F.split("t", F.concat(F.lit("\\Q"), F.col("m"), F.lit("\\E")), -1).alias("pieces")
     )
     ends = F.expr(
