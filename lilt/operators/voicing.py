@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lilt.operators.scan import Run, running
+from lilt.session import cut
 
 # Fixed values, in frames.
 MIN_RUN = 3
@@ -83,7 +84,7 @@ def voiced_segments(frames: DataFrame, min_len: int = MIN_SEGMENT, max_len: int
             F.transform("p", lambda v: v["f0"]).alias("x"),
         )
     )
-    return number_segments(rows)
+    return number_segments(cut(rows, "segments"))
 
 
 def number_segments(segments: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -13,9 +14,11 @@ FINISHED = "recording_id long, n_chunks long, reason string"
 STATE = "n_chunks long, reason string, done boolean"
 
 
-def _close(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+def _close(
+    idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: Any
+) -> Iterator[pd.DataFrame]:
     n, reason, done = state.get if state.exists else (0, "", False)
-    if state.hasTimedOut:
+    if idle_ms and state.hasTimedOut:
         reason = reason or "idle"
     for rows in batches:
         n += int((rows["kind"] == "audio").sum())
@@ -25,17 +28,20 @@ def _close(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[
         done = True
         yield pd.DataFrame({"recording_id": [key[0]], "n_chunks": [n], "reason": [reason]})
     state.update((n, reason, done))
-    if not done:
-        state.setTimeoutDuration(IDLE_MS)
+    if idle_ms and not done:
+        state.setTimeoutDuration(idle_ms)
 
 
-def finished_sessions(chunks: DataFrame) -> DataFrame:
-    """Emit a session once, when it has audio and was stopped, was disconnected or fell silent.
+def finished_sessions(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+    """Emit a session once, when it has audio and was stopped, was disconnected or fell silent for ``idle_ms``.
 
-    Only the kind of each chunk is shuffled, and rows of a session are counted batch by batch, never gathered.
+    Only the kind of each chunk is shuffled, and rows of a session are counted batch by batch, never gathered. A
+    replay of stored chunks passes ``idle_ms=None``: a processing-time timer keeps a bounded run from ending.
     """
     return (
         chunks.select("recording_id", "kind")
         .groupBy("recording_id")
-        .applyInPandasWithState(_close, FINISHED, STATE, "append", "ProcessingTimeTimeout")
+        .applyInPandasWithState(
+            partial(_close, idle_ms), FINISHED, STATE, "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout"
+        )
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lilt.functions.tokens import clean_token_weak
+from lilt.operators.scan import attach, block_of
 
 # Fixed values, in milliseconds: guard before the edge, least new audio, longest silent lag and where it resumes.
 GUARD_MS = 400
@@ -138,18 +139,25 @@ def trigger_chunks(chunks: DataFrame, step: int = CHUNK_STEP) -> DataFrame:
     )
 
 
-def sliding_windows(words: DataFrame, window_ms: int = 8000, slide_ms: int = 2000) -> DataFrame:
-    """Words per window ending at each live edge, counted with map-side partial sums."""
+def sliding_windows(
+    words: DataFrame, last: DataFrame, window_ms: int = 8000, slide_ms: int = 2000
+) -> DataFrame:
+    """Words per window ending at each live edge, counted with map-side partial sums.
+
+    ``last(recording_id, last_trigger)``: the live edge never passes the end of the audio.
+    """
     reach = F.expr(
         f"sequence(greatest(1, (end_ms + {slide_ms - 1}) div {slide_ms}), (start_ms + {window_ms}) div {slide_ms})"
     )
     fits = F.expr(f"(end_ms + {slide_ms - 1}) div {slide_ms} <= (start_ms + {window_ms}) div {slide_ms}")
-    return (
+    counted = (
         words.filter(fits)
         .withColumn("trigger_seq", F.explode(reach))
         .groupBy("recording_id", "trigger_seq")
         .agg(F.count("*").alias("n_words"), F.min("start_ms").alias("first_ms"), F.max("end_ms").alias("last_ms"))
     )
+    bounded = attach(counted, last, ["recording_id"], block_of("trigger_seq"), "inner")
+    return bounded.filter(F.col("trigger_seq") <= F.col("last_trigger")).drop("last_trigger")
 
 
 def window_stress(windows: DataFrame, labels: DataFrame) -> DataFrame:
