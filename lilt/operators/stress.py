@@ -23,24 +23,19 @@ def align_stress(words: DataFrame, labels: DataFrame, scope: str = "phrase_index
 
     ``labels(recording_id, <scope>, pos, word, stressed, stress_score)``.
     """
-    here = ["recording_id", scope, "pos"]
+    here, text = ["recording_id", scope, "pos"], ["recording_id", scope, "_token"]
     given = labels.select(*here, clean_token_weak(F.col("word")).alias("_label"),
                           F.struct("stressed", "stress_score").alias("_hit"))
-    token = clean_token_weak(F.col("word"))
-    placed = words.withColumn("_token", token).join(given, here, "left")
-    prefix = F.col("_token").startswith(F.col("_label")) | F.col("_label").startswith(F.col("_token"))
-    matched = placed.withColumn("_hit", F.when(prefix, F.col("_hit"))).drop("_label")
-
-    # Only words without a positional match need the text lookup; the same text may fill much of a phrase.
-    text = ["recording_id", scope, "_token"]
+    # The same text may fill much of a phrase, hence the lookup by block.
     first = given.groupBy("recording_id", scope, F.col("_label").alias("_token")).agg(
         F.min_by("_hit", "pos").alias("_found")
     )
-    rest = attach(matched.filter(F.col("_hit").isNull()), first, text, block_of("pos"))
-    done = matched.filter(F.col("_hit").isNotNull()).withColumn("_found", F.col("_hit"))
-    return done.unionByName(rest).withColumns(
+    tokened = words.withColumn("_token", clean_token_weak(F.col("word")))
+    placed = attach(tokened, first, text, block_of("pos")).join(given, here, "left")
+    prefix = F.col("_token").startswith(F.col("_label")) | F.col("_label").startswith(F.col("_token"))
+    return placed.withColumn("_best", F.when(prefix, F.col("_hit")).otherwise(F.col("_found"))).withColumns(
         {
-            "stressed": F.coalesce("_found.stressed", F.lit(False)),
-            "stress_score": F.coalesce("_found.stress_score", F.lit(0.0)),
+            "stressed": F.coalesce("_best.stressed", F.lit(False)),
+            "stress_score": F.coalesce("_best.stress_score", F.lit(0.0)),
         }
-    ).drop("_token", "_hit", "_found")
+    ).drop("_token", "_label", "_hit", "_found", "_best")

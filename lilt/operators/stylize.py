@@ -26,8 +26,9 @@ def with_piece_count(segments: DataFrame) -> DataFrame:
 def stylize_segments(segments: DataFrame, criterion: str = "mae") -> DataFrame:
     """Fit each segment with its ``k`` pieces: ``mae``, ``mse``, or ``none`` to keep the raw contour.
 
-    One row is one segment, so no shuffle is needed and the work spreads with the segments. A segment that cannot be
-    fitted keeps its raw contour and reports the error.
+    One row is one segment. Fitting costs far more than moving the rows, so segments are spread evenly over a fixed
+    number of partitions that adaptive execution does not merge by size. A segment that cannot be fitted keeps its raw
+    contour and reports the error.
     """
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +56,10 @@ def stylize_segments(segments: DataFrame, criterion: str = "mae") -> DataFrame:
             F.lit(0.0).alias("cost"),
             F.lit(None).cast("string").alias("error"),
         )
-    return segments.select(*columns).mapInPandas(fit, STYLED)
+    spark = segments.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    spread = segments.select(*columns).repartition(width, "recording_id", "start_frame")
+    return spread.mapInPandas(fit, STYLED)
 
 
 def full_contour(frames: DataFrame, styled: DataFrame) -> DataFrame:

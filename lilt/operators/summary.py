@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lilt.functions.timing import confidence_band, pause_class, seconds
 from lilt.operators.phrases import PART_WORDS
 from lilt.operators.scan import BLOCK_ROWS, Run, attach, block_of, running
+from lilt.session import cut
 
 REC = ["recording_id"]
 
@@ -17,11 +18,12 @@ def words_per_minute(n: Column, duration_ms: Column) -> Column:
     return F.when(duration_ms > 0, n / (duration_ms / F.lit(60000.0))).otherwise(n.cast("double"))
 
 
-def session_summary(words: DataFrame, recordings: DataFrame) -> DataFrame:
+def session_summary(words: DataFrame, recordings: DataFrame, with_pauses: bool = False) -> DataFrame:
     """One row per recording, also for those without words.
 
     ``words(recording_id, stressed[, pitch_mean])``. Hesitations count as words. Pitch variation is the population
-    standard deviation of the word means, 0.0 with fewer than two.
+    standard deviation of the word means, 0.0 with fewer than two. ``with_pauses`` adds pause time, long pauses and
+    hesitations in the same aggregation.
     """
     pitch = F.col("pitch_mean") if "pitch_mean" in words.columns else F.lit(None).cast("double")
     counted = words.withColumn("_p", pitch).groupBy("recording_id").agg(
@@ -29,6 +31,15 @@ def session_summary(words: DataFrame, recordings: DataFrame) -> DataFrame:
         F.sum(F.col("stressed").cast("bigint")).alias("s"),
         F.count("_p").alias("np"),
         F.stddev_pop("_p").alias("sd"),
+        *(
+            [
+                F.sum("pause_after_ms").alias("pause_ms"),
+                F.count_if(F.col("pause_after_ms") > 500).alias("long_pauses"),
+                F.count_if("is_hesitation").alias("hesitations"),
+            ]
+            if with_pauses
+            else []
+        ),
     )
     n = F.coalesce("n", F.lit(0))
     return recordings.join(counted, REC, "left").select(
@@ -38,15 +49,19 @@ def session_summary(words: DataFrame, recordings: DataFrame) -> DataFrame:
         words_per_minute(n, F.col("duration_ms")).alias("wpm"),
         F.when(n > 0, F.col("s") / n).otherwise(F.lit(0.0)).alias("stress_ratio"),
         F.when(F.col("np") >= 2, F.round("sd", 1)).otherwise(F.lit(0.0)).alias("pitch_variation"),
+        *([F.coalesce(c, F.lit(0)).alias(c) for c in ("pause_ms", "long_pauses", "hesitations")] if with_pauses else []),
     )
 
 
 def partial_results(words: DataFrame, recordings: DataFrame) -> DataFrame:
     """Summary over phrases 0..k after each phrase, with progress and stage; speed divides by the full duration."""
-    phrases = words.groupBy("recording_id", "phrase_index").agg(
-        F.count("*").alias("n"), F.sum(F.col("stressed").cast("bigint")).alias("s")
+    phrases = cut(
+        words.groupBy("recording_id", "phrase_index").agg(
+            F.count("*").alias("n"), F.sum(F.col("stressed").cast("bigint")).alias("s")
+        ),
+        "phrases",
     )
-    totals = words.groupBy("recording_id").agg((F.max("phrase_index") + 1).alias("n_phrases")).join(
+    totals = phrases.groupBy("recording_id").agg((F.max("phrase_index") + 1).alias("n_phrases")).join(
         recordings.select("recording_id", "duration_ms"), REC
     )
     cumulated = running(
@@ -122,12 +137,3 @@ def result_document(words: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame
         .groupBy("recording_id", "doc_part")
         .agg(F.array_sort(F.collect_list(entry)).alias("phrases"))
     )
-
-
-def pause_totals(words: DataFrame) -> DataFrame:
-    """Per recording: pauses, long pauses, hesitations and mean confidence in percent."""
-    return words.groupBy("recording_id").agg(
-        F.sum("pause_after_ms").alias("pause_ms"),
-        F.count_if(F.col("pause_after_ms") > 500).alias("long_pauses"),
-        F.count_if("is_hesitation").alias("hesitations"),
-    )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lilt.operators import pauses, stylize, summary, voicing, word_pitch
 from lilt.operators.phrases import phrase_words
 from lilt.operators.stress import align_stress, normalize_labels
+from lilt.session import cut
 from lilt.plans.registry import RECORDING, Analyzer, Registry
 
 KEY = ["recording_id", "word_idx"]
@@ -66,10 +67,11 @@ def analyze(words: DataFrame, tables: Mapping[str, Any], registry: Registry | No
 
 def session_overview(featured: DataFrame, recordings: DataFrame) -> DataFrame:
     """Per recording: words, speed, stress ratio, pauses, hesitations, and confidence after absorption."""
-    rollup = summary.session_summary(featured, recordings)
-    totals = summary.pause_totals(featured)
+    featured = cut(featured, "featured")
+    rollup = summary.session_summary(featured, recordings, with_pauses=True)
     confidence = pauses.average_confidence(pauses.absorb_hesitations(featured))
-    joined = rollup.join(totals, ["recording_id"], "left").join(confidence, ["recording_id"], "left")
-    return joined.fillna(0, ["pause_ms", "long_pauses", "hesitations", "avg_confidence_pct"]).withColumn(
-        "wpm", F.round("wpm", 6)
+    return (
+        rollup.join(confidence, ["recording_id"], "left")
+        .fillna(0, ["avg_confidence_pct"])
+        .withColumn("wpm", F.round("wpm", 6))
     )
