@@ -3,7 +3,7 @@
 Both greedy rules (clause breaks of long sentences, speech chunks of bounded span) carry a small state from one row
 to the next. Each block of rows is summarised as a map from every possible entry state to its exit state; the maps
 are composed over the blocks, and each block is then replayed from its known entry state. No task sees more than one
-block of rows, or one group of block maps.
+block of rows, or one group of block maps. When every recording fits into its first block the maps are not needed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from lilt.session import cut
 
 # Fixed value: a clause break needs this many words in the sentence.
 CLAUSE_WORDS = 30
-CHAIN_ROWS = 4096
+CHAIN_ROWS = 1 << 16
 FAN = 1024
 
 
@@ -86,6 +86,7 @@ def clause_breaks(flagged: DataFrame, rows: int = CHAIN_ROWS, fan: int = FAN) ->
         .groupBy("recording_id", "blk")
         .agg(F.array_sort(F.collect_list("p")).alias("marks"))
     )
+    top = flagged.agg(F.max("word_idx")).first()[0]
     before = f"least(s.c + shiftright(x, 2) - s.at, {full}L)"
     closes = f"((x & 3) = 2 OR {before} >= {full})"
     moved = f"'c', CASE WHEN {closes} THEN 0L ELSE {before} + 1 END, 'at', shiftright(x, 2) + 1"
@@ -102,7 +103,10 @@ def clause_breaks(flagged: DataFrame, rows: int = CHAIN_ROWS, fan: int = FAN) ->
             f" aggregate(marks, named_struct('c', c0, 'at', 0), {step}, {leave})) END)"
         ).alias("exits"),
     )
-    entry = entry_states(maps, start=0, closed=full, fan=fan)
+    if top is None or top < rows:
+        replayed = blocks.withColumn("c0", F.lit(0).cast("bigint"))
+    else:
+        replayed = blocks.join(entry_states(maps, start=0, closed=full, fan=fan), ["recording_id", "blk"])
     taken = (
         "aggregate(marks, named_struct('c', c0, 'at', 0, 'out', cast(array() as array<int>)),"
         f" (s, x) -> named_struct({moved},"
@@ -110,8 +114,7 @@ def clause_breaks(flagged: DataFrame, rows: int = CHAIN_ROWS, fan: int = FAN) ->
         " s -> s.out)"
     )
     return (
-        blocks.join(entry, ["recording_id", "blk"])
-        .select("recording_id", "blk", F.explode(F.expr(taken)).alias("off"))
+        replayed.select("recording_id", "blk", F.explode(F.expr(taken)).alias("off"))
         .select("recording_id", (F.col("blk") * rows + F.col("off")).alias("word_idx"), F.lit(True).alias("_clause"))
     )
 
@@ -156,7 +159,11 @@ def bounded_spans(segments: DataFrame, pause: int, target: int, block: int, fan:
             f"map_from_entries(transform(concat(array(-1L), before), c -> named_struct('key', c, 'value', {fold})))"
         ).alias("exits"),
     )
-    entry = entry_states(maps, start=-1, closed=-1, fan=fan)
+    top = blocks.agg(F.max("blk")).first()[0]
+    if not top:
+        replayed = blocks.withColumn("c0", F.lit(-1).cast("bigint"))
+    else:
+        replayed = blocks.join(entry_states(maps, start=-1, closed=-1, fan=fan), ["recording_id", "blk"])
     replay = (
         "aggregate(segs, named_struct('s', c0, 'out', cast(array() as array<bigint>)),"
         f" (a, x) -> named_struct('s', CASE WHEN {opened.replace('s <', 'a.s <').replace('- s >', '- a.s >')}"
@@ -165,8 +172,7 @@ def bounded_spans(segments: DataFrame, pause: int, target: int, block: int, fan:
         " THEN x.start_sample ELSE a.s END))), a -> a.out)"
     )
     return (
-        blocks.join(entry, ["recording_id", "blk"])
-        .withColumn("starts", F.expr(replay))
+        replayed.withColumn("starts", F.expr(replay))
         .select("recording_id", F.inline(F.arrays_zip("segs", "starts")))
         .select("recording_id", "segs.start_sample", "segs.end_sample", "segs.seg_idx", "segs.part",
                 F.col("starts").alias("group_start"))

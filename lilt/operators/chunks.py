@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lilt.operators.chain import bounded_spans
-from lilt.operators.scan import Run, attach, block_of, running
-from lilt.operators.scan import adjacent
+from lilt.operators.scan import Run, adjacent, attach, block_of, running
 
 # Padding, longest piece, chunk target and closing pause, in milliseconds.
 PAD_MS = 150
 MAX_MS = 29_000
 TARGET_MS = 25_000
 PAUSE_MS = 1_200
+# Span of one block of the greedy scan.
+BLOCK_MS = 3_600_000
 REC = ["recording_id"]
 
 
@@ -57,10 +58,12 @@ def pad_and_split(
     )
 
 
-def merge_chunks(pieces: DataFrame, rate: int = 16_000, target_ms: int = TARGET_MS) -> DataFrame:
+def merge_chunks(
+    pieces: DataFrame, rate: int = 16_000, target_ms: int = TARGET_MS, block_ms: int = BLOCK_MS
+) -> DataFrame:
     """Greedy chunks of at most ``target_ms``, also closed by a pause of 1.2 s; a single longer piece stays whole."""
     per_ms = rate // 1000
-    block = max(600_000, 8 * target_ms) * per_ms
+    block = max(block_ms, 2 * target_ms) * per_ms
     grouped = bounded_spans(pieces, PAUSE_MS * per_ms, target_ms * per_ms, block)
     at = F.struct("start_sample", "seg_idx", "part")
     chunks = grouped.groupBy("recording_id", F.col("group_start").alias("start_sample")).agg(
