@@ -139,10 +139,10 @@ def stress_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = words(spark, sf_dir).select("recording_id", "word_idx", "start_ms", "end_ms")
-    gapped = adjacent(base, REC, "word_idx", lag={"prev_end": F.col("end_ms")})
+    gapped = adjacent(base, REC, "word_idx", lag={"prev_end": F.col("end_ms")}, keep="_block")
     opens = F.when(F.col("start_ms") - F.col("prev_end") >= 500, 1).otherwise(0).cast("bigint")
     return (
-        running(gapped, REC, "word_idx", {"seg_idx": Run("sum", opens)})
+        running(gapped, REC, "word_idx", {"seg_idx": Run("sum", opens)}, [F.col("_block")])
         .groupBy("recording_id", "seg_idx")
         .agg((F.min("start_ms") * 16).alias("start_sample"), (F.max("end_ms") * 16).alias("end_sample"))
         .filter(F.col("recording_id") % 25 != 7)
@@ -208,6 +208,10 @@ def frame_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def frame_phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, "frame_phrased", sf_dir, lambda: phrase_words(frame_words(spark, sf_dir)))
+
+
 def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
 

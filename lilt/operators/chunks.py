@@ -117,10 +117,10 @@ def order_checks(chunks: DataFrame, bound_ms: int = MAX_MS) -> DataFrame:
 
 def utterances(words: DataFrame, gap_ms: int = PAUSE_MS) -> DataFrame:
     """Utterances separated by silences of at least ``gap_ms``."""
-    near = adjacent(words, REC, "word_idx", lag={"_prev": F.col("end_ms")})
+    near = adjacent(words, REC, "word_idx", lag={"_prev": F.col("end_ms")}, keep="_block")
     opens = F.when(F.col("start_ms") - F.col("_prev") >= gap_ms, 1).otherwise(0).cast("bigint")
     return (
-        running(near, REC, "word_idx", {"utterance": Run("sum", opens)})
+        running(near, REC, "word_idx", {"utterance": Run("sum", opens)}, [F.col("_block")])
         .groupBy("recording_id", "utterance")
         .agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_words"))
     )

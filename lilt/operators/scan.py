@@ -126,8 +126,13 @@ def adjacent(
     lead: Mapping[str, Column] | None = None,
     lag: Mapping[str, Column] | None = None,
     rows: int = BLOCK_ROWS,
+    keep: str | None = None,
 ) -> DataFrame:
-    """Add values of the next (``lead``) and previous (``lag``) row of the same key; ``order`` is dense."""
+    """Add values of the next (``lead``) and previous (``lag``) row of the same key; ``order`` is dense.
+
+    ``keep`` names a column for the block number. The result is partitioned by the keys and that column, so a
+    following ``running`` over ``blocks=[col(keep)]`` needs no further shuffle of the rows.
+    """
     home = block_of(order, rows)
     place = F.col(order) % rows
     first, final = F.array(home), F.array(home)
@@ -141,7 +146,8 @@ def adjacent(
     w = Window.partitionBy(*keys, "_blk").orderBy(order)
     out = {n: F.lead(f"_v_{n}").over(w) for n in (lead or {})}
     out |= {n: F.lag(f"_v_{n}").over(w) for n in (lag or {})}
-    return spread.withColumns(out).filter(F.col("_blk") == home).drop("_blk", *held)
+    homed = spread.withColumns(out).filter(F.col("_blk") == home).drop(*held)
+    return homed.withColumnRenamed("_blk", keep) if keep else homed.drop("_blk")
 
 
 def attach(

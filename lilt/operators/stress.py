@@ -27,8 +27,10 @@ def align_stress(words: DataFrame, labels: DataFrame, scope: str = "phrase_index
     given = labels.select(*here, clean_token_weak(F.col("word")).alias("_label"),
                           F.struct("stressed", "stress_score").alias("_hit"))
     # The same text may fill much of a phrase, hence the lookup by block.
-    first = given.groupBy("recording_id", scope, F.col("_label").alias("_token")).agg(
-        F.min_by("_hit", "pos").alias("_found")
+    first = (
+        given.groupBy("recording_id", scope, F.col("_label").alias("_token"))
+        .agg(F.min_by("_hit.stressed", "pos").alias("_a"), F.min_by("_hit.stress_score", "pos").alias("_b"))
+        .select(*text, F.struct(F.col("_a").alias("stressed"), F.col("_b").alias("stress_score")).alias("_found"))
     )
     tokened = words.withColumn("_token", clean_token_weak(F.col("word")))
     placed = attach(tokened, first, text, block_of("pos")).join(given, here, "left")

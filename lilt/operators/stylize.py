@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lilt.functions.contour import piece_count
 from lilt.functions.linefit import piecewise
 from lilt.functions.pitch import octave_log_ratio
+from lilt.session import cut
 
 REC = ["recording_id"]
 STYLED = (
@@ -127,18 +128,19 @@ def octave_histogram(points: DataFrame, bins: int = 40) -> DataFrame:
     ratios = points.select(octave_log_ratio(F.col("estimate"), F.col("reference")).alias("lr")).filter(
         F.col("lr").isNotNull()
     )
-    low, high = ratios.select(F.min("lr")).scalar(), ratios.select(F.max("lr")).scalar()
-    total = ratios.select(F.count("*")).scalar()
+    ratios = cut(ratios, "ratios")
+    extent = ratios.select(F.struct(F.min("lr").alias("low"), F.max("lr").alias("high"), F.count("*").alias("total")))
     width = (F.col("high") - F.col("low")) / bins
-    placed = ratios.withColumns({"low": low, "high": high}).withColumn(
+    placed = ratios.withColumn("_e", extent.scalar()).select("lr", "_e.*").withColumn(
         "bin",
         F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("lr") - F.col("low")) / width), F.lit(bins - 1)))
         .otherwise(0)
         .cast("int"),
     )
-    counted = placed.groupBy("bin").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    counted = placed.groupBy("bin").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
+                                        F.max("total").alias("total"))
     center = F.col("low") + (F.col("bin") + 0.5) * width
-    return counted.withColumn("total", total).select(
+    return counted.select(
         "bin",
         "n",
         (F.col("low") + F.col("bin") * width).alias("left_edge"),

@@ -548,7 +548,7 @@ def _pitch(spark, d, criterion="none"):
 
 
 def _intonation(spark, d):
-    words = phrases.phrase_words(fx.frame_words(spark, d))
+    words = fx.frame_phrased(spark, d)
     return word_pitch.word_intonation(words, fx.pitch_frames(spark, d, "b").select("recording_id", "frame_idx", "f0"))
 
 

@@ -1,4 +1,4 @@
-"""Analyzers as named DataFrame transforms, in order, per phrase or per recording."""
+"""Analyzers as named transforms, in order, per phrase or per recording."""
 
 from __future__ import annotations
 
@@ -13,14 +13,18 @@ from pyspark.sql import functions as F
 log = logging.getLogger(__name__)
 
 PHRASE, RECORDING = "phrase", "recording"
+KEY = ["recording_id", "word_idx"]
 
 
 @dataclass(frozen=True)
 class Analyzer:
-    """``build(tables)`` returns the transform to apply to the words; ``scope`` sets when it runs."""
+    """``analyze(words, tables)`` returns a side table: the word key and the columns it adds.
+
+    ``defaults`` holds for words without a row there, and for all words when the analyzer cannot be set up.
+    """
 
     name: str
-    build: Callable[[Mapping[str, Any]], Callable[[DataFrame], DataFrame]]
+    analyze: Callable[[DataFrame, Mapping[str, Any]], DataFrame]
     scope: str = PHRASE
     defaults: Mapping[str, Any] = field(default_factory=dict)
 
@@ -39,12 +43,23 @@ class Registry:
         return [a.name for a in self._known if scope in (None, a.scope)]
 
     def apply(self, words: DataFrame, tables: Mapping[str, Any]) -> DataFrame:
-        """Phrase analyzers first, then those that need the whole recording."""
+        """Phrase analyzers first, then those that need the whole recording.
+
+        Every analyzer reads the given words, best a stored table, not the output of the one before; the side tables
+        all join on the same key, so the words keep their partitioning from join to join.
+        """
+        out = words
         for scope in (PHRASE, RECORDING):
             for analyzer in (a for a in self._known if a.scope == scope):
-                try:
-                    words = words.transform(analyzer.build(tables))
-                except Exception:  # noqa: BLE001 - one analyzer must not stop the others
-                    log.exception("analyzer %s skipped", analyzer.name)
-                    words = words.withColumns({c: F.lit(v) for c, v in analyzer.defaults.items()})
-        return words
+                out = self._join(out, words, analyzer, tables)
+        return out
+
+    def _join(self, out: DataFrame, words: DataFrame, analyzer: Analyzer, tables: Mapping[str, Any]) -> DataFrame:
+        try:
+            side = analyzer.analyze(words, tables)
+        except Exception as problem:  # noqa: BLE001 - one analyzer must not stop the others
+            log.warning("analyzer %s skipped: %r", analyzer.name, problem)
+            return out.withColumns({c: F.lit(v) for c, v in analyzer.defaults.items()})
+        joined = out.join(side, KEY, "left")
+        filled = {c: F.coalesce(c, F.lit(v)) for c, v in analyzer.defaults.items() if v is not None}
+        return joined.withColumns(filled) if filled else joined

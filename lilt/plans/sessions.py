@@ -11,36 +11,22 @@ from pyspark.sql import functions as F
 from lilt.operators import pauses, stylize, summary, voicing, word_pitch
 from lilt.operators.phrases import phrase_words
 from lilt.operators.stress import align_stress, normalize_labels
-from lilt.plans.registry import RECORDING, Analyzer, Registry
+from lilt.plans.registry import KEY, RECORDING, Analyzer, Registry
 from lilt.session import cut
 
-KEY = ["recording_id", "word_idx"]
+def _stress(words: DataFrame, tables: Mapping[str, Any]) -> DataFrame:
+    aligned = align_stress(words.select(*KEY, "phrase_index", "pos", "word"), normalize_labels(tables["stress_labels"]))
+    return aligned.select(*KEY, "stressed", "stress_score")
 
 
-def _stress(tables: Mapping[str, Any]):
-    labels = normalize_labels(tables["stress_labels"])
-    return lambda words: align_stress(words, labels)
+def _pitch(words: DataFrame, tables: Mapping[str, Any]) -> DataFrame:
+    features = pitch_features(words, tables["pitch_frames"], tables.get("criterion", "mae"))
+    return features.drop("word", "start_ms", "end_ms")
 
 
-def _pitch(tables: Mapping[str, Any]):
-    frames = tables["pitch_frames"]
-    criterion = tables.get("criterion", "mae")
-
-    def run(words: DataFrame) -> DataFrame:
-        features = pitch_features(words, frames, criterion).drop("word", "start_ms", "end_ms")
-        return words.join(features, KEY, "left")
-
-    return run
-
-
-def _intonation(tables: Mapping[str, Any]):
-    frames = tables["intonation_frames"]
-
-    def run(words: DataFrame) -> DataFrame:
-        tones = word_pitch.word_intonation(words, frames).drop("phrase_index", "pos", "word", "start_ms", "end_ms")
-        return words.join(tones, KEY, "left")
-
-    return run
+def _intonation(words: DataFrame, tables: Mapping[str, Any]) -> DataFrame:
+    tones = word_pitch.word_intonation(words, tables["intonation_frames"])
+    return tones.drop("phrase_index", "pos", "word", "start_ms", "end_ms")
 
 
 def pitch_features(words: DataFrame, frames: DataFrame, criterion: str = "mae") -> DataFrame:
@@ -62,7 +48,7 @@ def default_registry(pitch: bool = False, intonation: bool = False) -> Registry:
 
 def analyze(words: DataFrame, tables: Mapping[str, Any], registry: Registry | None = None) -> DataFrame:
     """Feature row per word: phrase, position, pause, hesitation, and what the analyzers add."""
-    return (registry or default_registry()).apply(phrase_words(words), tables)
+    return (registry or default_registry()).apply(cut(phrase_words(words), "phrased"), tables)
 
 
 def session_overview(featured: DataFrame, recordings: DataFrame) -> DataFrame:
