@@ -29,6 +29,7 @@ from lilt.plans import sessions, streams
 from lilt.plans.hooks import model_hook
 from lilt.plans.oracle_tables import chunk_sql, clean, ends, hesitates, lower_head, pieces_of_runs, sql
 from lilt.schemas import JOB_STATUSES
+from lilt.session import cut
 from lilt.sources import asr, documents, recordings
 from lilt.streaming import live
 
@@ -543,6 +544,30 @@ def _(spark, d):
     return phrases.build_phrases(fx.phrased(spark, d)).drop("words").withColumn("n_words", C("n_words").cast("bigint"))
 
 
+@query(
+    "agg3_chunk_phrases",
+    chunk_sql(
+        """SELECT c.recording_id, c.chunk_index AS phrase_index, coalesce(string_agg(w.word, ' ' ORDER BY w.word_idx), '') AS text,
+        coalesce(min(w.start_ms) FILTER (c.chunk_index % 10 <> 9), any_value(c.start_sample // 16)) AS start_ms,
+        coalesce(arg_max(w.end_ms, w.word_idx) FILTER (c.chunk_index % 10 <> 9), any_value(c.start_sample // 16)) AS end_ms,
+        count(w.word_idx) FILTER (c.chunk_index % 10 <> 9) AS n_words
+        FROM chunk_rows c LEFT JOIN (SELECT w.*, c.chunk_index, w.start_ms * 16 <= c.end_sample AS inside FROM words w ASOF JOIN chunk_rows c
+          ON w.recording_id = c.recording_id AND w.start_ms * 16 >= c.start_sample) w
+          ON w.recording_id = c.recording_id AND w.chunk_index = c.chunk_index AND w.inside GROUP BY 1, 2"""
+    ),
+)
+def _(spark, d):
+    rows = cut(_chunk_words(spark, d), "chunk-words")
+    piece = F.struct("word_idx", "word")
+    texts = rows.groupBy("recording_id", "chunk_index").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda w: w["word"]), " ").alias("text")
+    )
+    # The recogniser gives text without word times for every tenth chunk.
+    timed = rows.filter(C("chunk_index") % 10 != 9).withColumn("pos", C("word_idx"))
+    merged = phrases.chunk_phrases(timed, _chunks(spark, d), texts)
+    return merged.drop("words").withColumn("n_words", C("n_words").cast("bigint"))
+
+
 def _pitch(spark, d, criterion="none"):
     return sessions.pitch_features(fx.frame_words(spark, d), fx.pitch_frames(spark, d), criterion)
 

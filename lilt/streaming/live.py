@@ -187,10 +187,16 @@ def window_stress(windows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def utterance_stream(words: DataFrame, gap_ms: int = 1200, delay: str = "8 seconds") -> DataFrame:
-    """Utterances of a stream of words with ``start_ts`` and ``end_ts``: closed by a silence of ``gap_ms``."""
-    silence = (F.col("end_ts") - F.col("start_ts")) + F.expr(f"INTERVAL '{gap_ms / 1000}' SECOND")
+    """Utterances of a stream of words with ``start_ts`` and ``end_ts``: closed by a silence of ``gap_ms``.
+
+    The session gap of a word is its own duration plus the silence, so a word joins when it starts before the silence
+    after the latest word is over. Session windows also merge when they just touch, hence one microsecond less.
+    """
+    length = F.unix_micros("end_ts") - F.unix_micros("start_ts") + (gap_ms * 1000 - 1)
+    gap = F.concat(length.cast("string"), F.lit(" microseconds"))
     return (
         words.withWatermark("start_ts", delay)
-        .groupBy("recording_id", F.session_window("start_ts", silence.cast("string")))
+        .groupBy("recording_id", F.session_window("start_ts", gap))
         .agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.count("*").alias("n_words"))
+        .drop("session_window")
     )

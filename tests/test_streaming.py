@@ -132,3 +132,53 @@ def test_model_hook_isolates_failures(spark):
 
     got = {r.id: (r.root, r.error is None) for r in model_hook(rows, "root", load, predict, ["id"], out).collect()}
     assert got == {1: (2.0, True), 2: (None, False)}
+
+
+def test_utterance_stream_equals_batch(spark, tmp_path):
+    from lilt.operators.chunks import utterances
+
+    rng = random.Random(5)
+    rows = []
+    for key in (1, 2):
+        at = 0
+        for i in range(60):
+            length = rng.randint(80, 400)
+            rows.append((key, i, at, at + length))
+            at += length + rng.choice([0, 50, 300, 1199, 1200, 2500])
+    words = spark.createDataFrame(rows, "recording_id long, word_idx long, start_ms long, end_ms long")
+    timed = words.select(
+        "recording_id", F.timestamp_millis("start_ms").alias("start_ts"), F.timestamp_millis("end_ms").alias("end_ts")
+    )
+    far = timed.limit(1).select(
+        F.lit(99).cast("long").alias("recording_id"), F.timestamp_millis(F.lit(10**9)).alias("start_ts"),
+        F.timestamp_millis(F.lit(10**9)).alias("end_ts"),
+    )
+    timed.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(timed.schema).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+
+    def run():
+        sink = live.utterance_stream(stream).writeStream.format("parquet").option("path", out)
+        sink.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    far.write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    got = spark.read.parquet(out).select(
+        "recording_id", F.unix_millis("start_ts"), F.unix_millis("end_ts"), "n_words"
+    ).filter("recording_id < 99")
+    want = utterances(words).select("recording_id", "start_ms", "end_ms", "n_words")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_documents_are_written_and_read_back(spark, tmp_path):
+    from lilt.operators.summary import result_document
+    from lilt.sources import documents
+
+    rows = result_document(fx.phrased(spark, SF), block_rows=64)
+    documents.write_documents(rows, str(tmp_path / "docs"), buckets=8)
+    back = spark.read.parquet(str(tmp_path / "docs"))
+    words = back.select(F.explode("phrases").alias("p")).select(F.explode("p.words"))
+    assert words.count() == fx.phrased(spark, SF).count()
+    body = json.loads(documents.as_json(rows).first().result)
+    assert set(body["phrases"][0]) == {"phrase_index", "part", "text", "start_time", "end_time", "words"}
