@@ -17,7 +17,7 @@ REC = ["recording_id"]
 CELL_FRAMES = 32
 SEGMENT_CELL = 512
 # Words up to this many frames gather their frames in one row; longer ones look up single frames instead.
-GATHER_FRAMES = 3000
+GATHER_FRAMES = 1000
 
 
 def _frame_span(words: DataFrame, hop_ms: int) -> DataFrame:

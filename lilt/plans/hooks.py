@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
+from types import ModuleType
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_MODELS: dict[str, Any] = {}
+
+
+def _loaded() -> dict[str, Any]:
+    """Models of this worker process; kept in a module, as task code is unpickled anew for each task."""
+    return vars(sys.modules.setdefault("lilt_loaded_models", ModuleType("lilt_loaded_models")))
 
 
 def model_hook(
@@ -28,9 +34,10 @@ def model_hook(
     names = output.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if name not in _MODELS:
-            _MODELS[name] = load()
-        model = _MODELS[name]
+        models = _loaded()
+        if name not in models:
+            models[name] = load()
+        model = models[name]
         for rows in batches:
             done = []
             for _, row in rows.iterrows():

@@ -66,3 +66,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lilt-{spark.sparkContext.applicationId}/cut-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this application has written to the shared folder; results read from them end here."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{shared_dir(spark)}/lilt-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for key in [k for k in _STAGED if k[0] == spark.sparkContext.applicationId]:
+        del _STAGED[key]

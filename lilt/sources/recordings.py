@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lilt.operators.scan import adjacent
+from lilt.operators.scan import Run, adjacent, running
+from lilt.session import cut
 
 # Container markers of a cluster and of a header.
 CLUSTER_MARKER = "1F43B675"
@@ -41,32 +42,26 @@ def decode_pcm(chunks: DataFrame) -> DataFrame:
 
 
 def marker_spans(files: DataFrame, key: str, marker: str = CLUSTER_MARKER) -> DataFrame:
-    """Positions of a marker in a binary column ``content`` and the sizes up to the next one or the end.
+    """Positions of a marker in a binary column ``content``, sizes up to the next one or the end, and digests.
 
-    Splitting the one-byte text at the marker gives all spans in one pass over the row.
+    Splitting the one-byte text at the marker gives all spans in one pass over the content. Only their lengths and
+    digests are written and scanned for the positions.
     """
     text = F.decode("content", "ISO-8859-1")
     literal = F.decode(F.unhex(F.lit(marker)), "ISO-8859-1")
     size = len(marker) // 2
     pieces = files.select(key, text.alias("t"), literal.alias("m")).select(
-        key, F.split("t", F.concat(F.lit("\\Q"), F.col("m"), F.lit("\\E")), -1).alias("pieces")
+        key, F.posexplode(F.split("t", F.concat(F.lit("\\Q"), F.col("m"), F.lit("\\E")), -1)).alias("i", "piece")
     )
-    ends = F.expr(
-        f"aggregate(pieces, named_struct('at', -{size}, 'out', cast(array() as array<int>)),"
-        f" (s, p) -> named_struct('at', s.at + {size} + length(p), 'out', concat(s.out, array(s.at + {size} + length(p)))),"
-        " s -> s.out)"
+    spans = pieces.select(
+        key,
+        F.col("i").cast("bigint").alias("i"),
+        (F.length("piece") + F.when(F.col("i") > 0, size).otherwise(0)).cast("bigint").alias("n_bytes"),
+        F.sha2(F.encode("piece", "ISO-8859-1"), 256).alias("digest"),
     )
-    return (
-        pieces.withColumn("ends", ends)
-        .select(key, "pieces", F.posexplode("ends").alias("i", "end"))
-        .filter(F.col("i") > 0)
-        .select(
-            key,
-            (F.col("i") - 1).cast("bigint").alias("span_idx"),
-            (F.col("end") - F.expr("length(pieces[i])") - size).alias("position"),
-            (F.expr("length(pieces[i])") + size).alias("n_bytes"),
-            F.sha2(F.encode(F.expr("pieces[i]"), "ISO-8859-1"), 256).alias("digest"),
-        )
+    placed = running(cut(spans, "spans"), [key], "i", {"position": Run("sum", F.col("n_bytes"), inclusive=False)})
+    return placed.filter(F.col("i") > 0).select(
+        key, (F.col("i") - 1).alias("span_idx"), "position", "n_bytes", "digest"
     )
 
 
