@@ -151,12 +151,17 @@ def bounded_spans(segments: DataFrame, pause: int, target: int, block: int, fan:
     )
     blocks = cut(blocks, "spans")
     opened = f"s < 0 OR x.hard OR x.end_sample - s > {target}"
-    fold = f"aggregate(segs, c, (s, x) -> CASE WHEN {opened} THEN x.start_sample ELSE s END)"
-    maps = blocks.select(
+    step = f"(s, x) -> CASE WHEN {opened} THEN x.start_sample ELSE s END"
+    # A closing pause makes the exit state independent of the entry state: one fold from the last pause is enough.
+    paused = F.expr("array_max(transform(filter(segs, x -> x.hard), x -> x.start_sample))")
+    maps = blocks.withColumn("paused", paused).select(
         "recording_id",
         "blk",
         F.expr(
-            f"map_from_entries(transform(concat(array(-1L), before), c -> named_struct('key', c, 'value', {fold})))"
+            "CASE WHEN paused IS NOT NULL THEN map_from_arrays(concat(array(-1L), before), array_repeat("
+            f"aggregate(filter(segs, x -> x.start_sample > paused), paused, {step}), size(before) + 1))"
+            " ELSE map_from_entries(transform(concat(array(-1L), before), c ->"
+            f" named_struct('key', c, 'value', aggregate(segs, c, {step})))) END"
         ).alias("exits"),
     )
     top = blocks.agg(F.max("blk")).first()[0]
