@@ -61,10 +61,20 @@ def _(spark, d):
     return recordings.scan_recordings(spark, d, suffix="parquet").select("file_id", "n_bytes")
 
 
-@query("src2_pcm_decode")
+@query(
+    "src2_pcm_decode",
+    sql(
+        """SELECT recording_id, seq, len(v) AS n_samples, round(list_max(v) / 32768.0, 6) AS peak, round(list_min(v) / 32768.0, 6) AS trough
+        FROM (SELECT recording_id, seq, [CASE WHEN u >= 32768 THEN u - 65536 ELSE u END FOR u IN us] AS v
+          FROM (SELECT recording_id, seq, [CAST('0x' || substr(h, CAST(4 * i + 3 AS BIGINT), 2) || substr(h, CAST(4 * i + 1 AS BIGINT), 2) AS INTEGER)
+              FOR i IN range(0, len(h) // 4)] AS us
+            FROM (SELECT recording_id, seq, hex(encode(content)) AS h FROM chunk_texts)))""",
+        "chunk_texts",
+    ),
+)
 def _(spark, d):
     blocks = recordings.decode_pcm(fx.audio_chunks(spark, d).filter(C("kind") == "audio"))
-    return blocks.select("recording_id", "seq", F.size("samples").alias("n_samples"),
+    return blocks.select("recording_id", "seq", F.size("samples").cast("bigint").alias("n_samples"),
                          r6_expr(F.array_max("samples"), "peak"), r6_expr(F.array_min("samples"), "trough"))
 
 
