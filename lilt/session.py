@@ -7,6 +7,7 @@ survives the loss of executors.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: dict[tuple[str, str, str], str] = {}
+_OWN_DIR: dict[str, str] = {}
 
 
 def build_session(app: str = "lilt", cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
@@ -38,11 +40,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="lilt-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _OWN_DIR.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lilt-"))
 
 
 def staged(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
