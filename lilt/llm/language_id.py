@@ -42,6 +42,7 @@ def gram_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     solid = folded != 32
     keep = solid.copy()
     keep[1:] |= solid[:-1]
+    keep[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
     folded, row = folded[keep], row[keep]
     n = len(folded) - GRAM + 1
     if n <= 0:
