@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lilt.llm import language_id, line_dedup, mixing, sharding
+from lilt.llm import language_id, line_dedup, mixing, near_vectors, personal_data, sharding, top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    "op1_exact_top_k",
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+    WHERE rank <= 5
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return top_k.top_k(rows, F.col("vec_id") % 50 == 0, lambda x: F.floor(x * 256).cast("long"))
+
+
 @query(
     "op2_extendible_hash_shards",
     f"""
@@ -54,6 +73,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "shard", "shard_depth", "row_bytes", "shard_bytes", "shard_rows", "oversized")
 
 
+@query("op3_multiprobe_nearest")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return near_vectors.nearest(rows, F.col("vec_id") % 50 == 0)
+
+
 @query(
     "op5_line_dedup",
     r"""
@@ -72,6 +97,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op8_weak_supervised_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return personal_data.summary(docs, personal_data.find(docs))
+
+
 @query("op9_source_mix")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
