@@ -60,11 +60,11 @@ def staged_path(spark: SparkSession, name: str, source: str) -> str:
     return _STAGED[(spark.sparkContext.applicationId, source, name)]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write an intermediate result that several branches of a plan read, and continue from the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lilt-{spark.sparkContext.applicationId}/cut-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
