@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lilt.llm import language_id, line_dedup, mixing, near_vectors, packing, personal_data, sharding, token_files, top_k
+from lilt.llm import jaccard_join, language_id, line_dedup, mixing, near_vectors, packing, personal_data, sharding, token_files, top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,6 +86,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.nearest(rows, F.col("vec_id") % 50 == 0)
 
 
+@query("op4_ngram_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query(
     "op5_line_dedup",
     r"""
