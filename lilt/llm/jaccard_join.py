@@ -38,7 +38,7 @@ WORDS = 5
 PLAIN = 16
 BUCKET_SIGNATURES = 3_000_000
 FLUSH_SIGNATURES = 1_500_000
-#: Sets of one flush; their numbers take 16 bits, and one more slice of short texts must fit.
+#: Sets of one flush.
 MOST_ENTRIES = 20_000
 SLICE = 1 << 18
 FILTER_BITS = 26
@@ -143,7 +143,7 @@ def _index(buckets: int):
             arrays = (
                 (sig[a:z] & np.uint64(0xFFFFFFFF)).astype("<u4"),
                 ((sig[a:z] >> np.uint64(32)).astype(np.uint8) << np.uint8(1)) | marked[a:z].astype(np.uint8),
-                local.astype("<u2"), doc[mine], print_[mine], size[mine].astype(np.int64), scheme[mine].astype(np.uint8),
+                local.astype("<u2" if len(mine) < 1 << 16 else "<u4"), doc[mine], print_[mine], size[mine].astype(np.int64), scheme[mine].astype(np.uint8),
             )
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=_PACKED_NAMES)
 
@@ -189,7 +189,7 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def close(bucket: int, rows: list) -> Iterator[pd.DataFrame]:
         sig = np.concatenate([np.frombuffer(r.low, "<u4").astype(np.uint64) | ((np.frombuffer(r.high, np.uint8) >> 1).astype(np.uint64) << np.uint64(32)) for r in rows])
         marked = np.concatenate([np.frombuffer(r.high, np.uint8) & 1 for r in rows])
-        entry = [np.frombuffer(r.entry, "<u2").astype(np.int64) for r in rows]
+        entry = [np.frombuffer(r.entry, "<u2" if len(r.doc) < 8 << 16 else "<u4").astype(np.int64) for r in rows]
         docs = [np.frombuffer(r.doc, np.int64) for r in rows]
         shift = np.cumsum([0, *map(len, docs)])
         entry = np.concatenate([e + s for e, s in zip(entry, shift)])
