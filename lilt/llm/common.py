@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
+import sys
+import types
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lilt.session import cut
@@ -123,15 +127,23 @@ def _with_room(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
+#: All characters that any of the libraries takes for white space, for a pattern of RE2.
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Between a Latin letter and an ASCII mark, and around a line feed that stands alone, a pre-token always ends.
+_BORDERS = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-/:-@\\[-`{-~])|(?<=\\S)(?=\\n\\S)|(?<=\\S\\n)(?=\\S)")
+
+
 class TokenIds:
     """Ids of texts by the tokenizers library.
 
-    No pre-token of a byte-level vocabulary reaches across the border before a single space between two other characters,
-    so a text's ids are those of its space-separated parts. Each distinct part is encoded once and kept, up to
-    ``keep`` parts; other runs of blanks stay inside their part. Strings of special tokens are ordinary text.
+    No pre-token of a byte-level vocabulary reaches across the border before a space, unless that space stands inside a run
+    of blanks; so a text's ids are those of its space-separated parts, and these end between letters and marks.
+    Each distinct piece is encoded once and kept, up to ``keep`` pieces. Texts with longer runs of blanks are encoded whole.
+    Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000):
+    def __init__(self, path: str, keep: int = 600_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
@@ -146,9 +158,9 @@ class TokenIds:
         self.length = np.zeros(1 << 14, dtype=np.int64)
         self.used = self.learned = 0
 
-    def _learn(self, parts: list[str]) -> None:
-        for k in range(0, len(parts), 4000):
-            ids = [e.ids for e in self.encoder.encode_batch_fast(parts[k : k + 4000], add_special_tokens=False)]
+    def _learn(self, pieces: list[str]) -> None:
+        for k in range(0, len(pieces), 4000):
+            ids = [e.ids for e in self.encoder.encode_batch_fast(pieces[k : k + 4000], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
             flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
             self.flat = _with_room(self.flat, self.used + len(flat))
@@ -159,57 +171,93 @@ class TokenIds:
             self.used += len(flat)
             self.learned += len(ids)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, bounds of each text), each text closed by id 0."""
-        if len(self.known) > self.keep:
-            self.reset()
-        parts: list[str] = []
-        counts = np.zeros(len(texts), dtype=np.int64)
-        for k, text in enumerate(texts):
-            if not text:
-                continue
-            if "  " in text or text[0] == " " or text[-1] == " " or not text.isprintable():
-                mine = self._careful(text)
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all parts, length of each)."""
+        pieces: list[str] = []
+        counts = np.ones(len(parts), dtype=np.int64)
+        for k, part in enumerate(parts):
+            if part[1:].isalpha():
+                pieces.append(part)
             else:
-                mine = text.split(" ")
-                mine[1:] = [" " + x for x in mine[1:]]
-            counts[k] = len(mine)
-            parts += mine
-        fresh = [x for x in dict.fromkeys(parts) if x not in self.known]
+                some = _BORDERS.split(part)
+                counts[k] = len(some)
+                pieces += some
+        fresh = [x for x in dict.fromkeys(pieces) if x not in self.known]
         self.known.update(zip(fresh, range(self.learned, self.learned + len(fresh))))
         self._learn(fresh)
-        number = np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
+        number = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         sizes = self.length[number]
-        bounds = np.concatenate(([0], np.cumsum(counts)))
         running = np.concatenate(([0], np.cumsum(sizes)))
-        ends = running[bounds[1:]] + np.arange(1, len(texts) + 1)
-        out = np.zeros(int(ends[-1]) if len(texts) else 0, dtype=np.int32)
+        return self.flat[ranges(self.begin[number], sizes)], np.diff(running[np.concatenate(([0], np.cumsum(counts)))])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, bounds of each text), each text closed by id 0; NULL counts as empty."""
+        if len(self.known) > self.keep:
+            self.reset()
+        if not len(texts):
+            return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        odd = pc.match_substring_regex(texts, f"{_BLANK} (?:{_BLANK}|$)")
+        words = pc.split_pattern(pc.if_else(odd, pa.scalar("", pa.large_string()), texts), " ")
+        begin = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        begin -= begin[0]
+        # The first word of a text has no space in front; all others have one.
+        inner = np.ones(len(index), dtype=bool)
+        inner[begin[:-1]] = False
+        seen = np.flatnonzero(np.bincount(index[inner], minlength=len(names)))
+        place = np.zeros(len(names), dtype=np.int64)
+        place[seen] = np.arange(len(seen))
+        first = [names[k] for k in index[begin[:-1]].tolist()]
+        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            first[k] = texts[k].as_py()
+        ids, sizes = self._parts([" " + names[k] for k in seen.tolist()] + first)
+        number = place[index]
+        number[begin[:-1]] = len(seen) + np.arange(len(first))
+        starts, lengths = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        ends = np.concatenate(([0], np.cumsum(lengths)))[begin[1:]] + np.arange(1, len(texts) + 1)
+        out = np.zeros(int(ends[-1]), dtype=np.int32)
         body = np.ones(len(out), dtype=bool)
         body[ends - 1] = False
-        out[body] = self.flat[ranges(self.begin[number], sizes)]
+        out[body] = ids[ranges(starts, lengths)]
         return out, np.concatenate(([0], ends))
 
-    @staticmethod
-    def _careful(text: str) -> list[str]:
-        """Cuts before each single space and around each single line feed that stands between two characters that are not blank."""
-        lines = text.split("\n")
-        if any(not x or x[0].isspace() or x[-1].isspace() for x in lines):
-            return _solid_parts(text)
-        out: list[str] = []
-        for k, line in enumerate(lines):
-            if k:
-                out.append("\n")
-            if "  " in line or not line.isprintable():
-                out += _solid_parts(line)
-                continue
-            words = line.split(" ")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
-
-
-def _solid_parts(text: str) -> list[str]:
-    return re.split(r"(?<=\S)(?= \S)", text)
+
+def worker_encoder(path: str) -> TokenIds:
+    """The encoder of this Python worker. A worker serves many tasks; what a task's own code keeps ends with the task."""
+    home = sys.modules.setdefault("lilt_worker_state", types.ModuleType("lilt_worker_state"))
+    made = home.__dict__.setdefault("encoders", {})
+    if path not in made:
+        made[path] = TokenIds(path)
+    return made[path]
+
+
+def text_slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of whole rows whose texts have about ``limit`` bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < batch.num_rows:
+        base = size[first - 1] if first else 0
+        end = min(batch.num_rows, max(first + 1, int(np.searchsorted(size, base + limit, "right"))))
+        yield batch.slice(first, end - first)
+        first = end
+
+
+def blobs(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """One binary value per run of ``values``."""
+    values = np.ascontiguousarray(values)
+    offsets = (bounds * values.dtype.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def whole_row(rows: DataFrame) -> Column:
+    """All columns as one value, so that no name of theirs meets a name of an operator; ``row_columns`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def row_columns(rows: DataFrame, row: str, without: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col(row).getField(c).alias(c) for c in rows.columns if c not in without]
 
 
 #: A group's rows are ranked in buckets of about this many.

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lilt.llm.common import byte_slices, mix
+from lilt.llm.common import byte_slices, mix, row_columns, whole_row
 
 GRAM = 5
 SLOT_BITS = 20
@@ -157,11 +157,11 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    out = docs.withColumn("_found", scored(F.when(letters, F.col("text"))))
-    return out.select(
-        *[F.col(c) for c in docs.columns if c not in ("lang_pred", "score")],
-        F.when(letters, F.col("_found.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(letters, F.col("_found.score")).otherwise(0.0).alias("score"),
+    judged = docs.select(whole_row(docs).alias("_row"), letters.alias("_letters"), scored(F.when(letters, F.col("text"))).alias("_found"))
+    return judged.select(
+        *row_columns(docs, "_row", ("lang_pred", "score")),
+        F.when(F.col("_letters"), F.col("_found.lang_pred")).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(F.col("_letters"), F.col("_found.score")).otherwise(0.0).alias("score"),
     )
 
 

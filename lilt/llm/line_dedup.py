@@ -20,7 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
+from lilt.llm.common import whole_row
 from lilt.session import cut
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -105,7 +107,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _kept(text: pd.Series, bits: pd.Series) -> pd.Series:
     out = []
     for one, packed in zip(text, bits):
@@ -119,16 +121,12 @@ def _kept(text: pd.Series, bits: pd.Series) -> pd.Series:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """The columns of ``docs`` with the kept lines as text, then n_lines and n_dropped."""
-    text = F.coalesce(F.col("d.text"), F.lit(""))
-    joined = docs.withColumn("_hash", F.xxhash64("text")).alias("d").join(
-        bitmaps.alias("b"), (F.col("d.doc_id") == F.col("b.doc_id")) & (F.col("d._hash") == F.col("b.text_hash")), "left"
-    )
-    lost = F.col("b.dropped_bits")
+    keyed = docs.select(whole_row(docs).alias("_row"), "doc_id", F.xxhash64("text").alias("_hash")).alias("d")
+    joined = keyed.join(bitmaps.alias("b"), (F.col("d.doc_id") == F.col("b.doc_id")) & (F.col("d._hash") == F.col("b.text_hash")), "left")
+    text, lost = F.coalesce(F.col("_row.text"), F.lit("")), F.col("b.dropped_bits")
+    kept = F.when(lost.isNull(), text).otherwise(_kept(F.when(lost.isNotNull(), text), lost))
     return joined.select(
-        *[
-            F.when(lost.isNull(), text).otherwise(_kept(F.when(lost.isNotNull(), text), lost)).alias("text") if c == "text" else F.col(f"d.`{c}`")
-            for c in docs.columns
-        ],
+        *[kept.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.coalesce("b.n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -19,46 +19,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lilt.llm.common import TokenIds, ranked_in_groups
+from lilt.llm.common import blobs, ranked_in_groups, text_slices, worker_encoder
 from lilt.session import cut
 
 WIDTH = 2048
-TEXTS = 256
 
 
 def pieces(docs: DataFrame, path: str, width: int = WIDTH, keep_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all texts; ids are little-endian unsigned 32-bit numbers."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TokenIds(path)
-        for rows in batches:
-            for k in range(0, len(rows), TEXTS):
-                part = rows.iloc[k : k + TEXTS]
-                ids, bounds = encoder.encode(part["text"].tolist())
-                ids = ids.astype("<u4")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(path)
+        for batch in batches:
+            for part in text_slices(batch, 2):
+                ids, bounds = encoder.encode(part.column(2))
                 sizes = np.diff(bounds)
                 counts = -(-sizes // width)
-                row = np.repeat(np.arange(len(part)), counts)
+                row = np.repeat(np.arange(part.num_rows), counts)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
                 first = (sizes - (counts - 1) * width)[row]
                 start = np.where(piece == 0, 0, first + (piece - 1) * width)
                 length = np.where(piece == 0, first, width)
-                at = bounds[row] + start
-                blobs = [ids[a : a + n].tobytes() for a, n in zip(at.tolist(), length.tolist())]
-                out = {
-                    "doc_id": part["doc_id"].to_numpy()[row], "no_id": part["no_id"].to_numpy()[row], "piece": piece, "start": start,
-                    "length": length, "ids_crc32": [zlib.crc32(b) for b in blobs],
-                }
-                yield pd.DataFrame({**out, "ids": blobs} if keep_ids else out)
+                cuts = blobs(ids.astype("<u4"), np.append(bounds[row] + start, bounds[-1]))
+                crc = pa.array([zlib.crc32(b.as_buffer()) for b in cuts], pa.int64())
+                numbers = [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), crc]
+                names = ["doc_id", "no_id", "piece", "start", "length", "ids_crc32", "ids"]
+                columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), *numbers, cuts]
+                yield pa.RecordBatch.from_arrays(columns[: 6 + keep_ids], names=names[: 6 + keep_ids])
 
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text")
     )
     shape = "doc_id long, no_id boolean, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
-    found = keyed.mapInPandas(encode, shape)
+    found = keyed.mapInArrow(encode, shape)
     return found.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 

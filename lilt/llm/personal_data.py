@@ -170,10 +170,10 @@ def _features(kind: str, votes_cast: tuple[int, ...], shape: int) -> list[float]
 
 def classifier(rows: list[tuple[str, tuple[int, ...], int, float]], posterior: list[float]) -> np.ndarray:
     """Weights of a logistic classifier fitted to the posteriors by Newton steps; rows are counted patterns."""
-    x = np.array([_features(kind, v, shape) for kind, v, shape, _ in rows]).reshape(len(rows), -1)
-    n, y = np.array([r[3] for r in rows], dtype=float), np.array(posterior)
-    if not len(rows):
+    if not rows:
         return np.zeros(len(_features(KINDS[0], (0,) * len(VOTES), 0)))
+    x = np.array([_features(kind, v, shape) for kind, v, shape, _ in rows])
+    n, y = np.array([r[3] for r in rows], dtype=float), np.array(posterior)
     n = n / n.sum() * len(rows)
     w = np.zeros(x.shape[1])
     for _ in range(25):

@@ -7,7 +7,7 @@ as its buckets, about (all bytes / limit) rows, and joined to the keys by prefix
 
 Edges: NULL texts weigh 0 bytes, a NULL key is hashed as the word "null"; an empty table has no shards. Rows of one key
 share all 48 bits: if they alone exceed the limit (repeated rows, or one text above it) they stay together in a shard that is
-marked ``oversized``. Further columns are kept.
+marked ``oversized``. Further columns are kept, except those named like the operator's own.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lilt.llm.common import row_columns, whole_row
 from lilt.session import cut
 
 STEP, BITS = 16, 48
@@ -63,7 +64,8 @@ def leaves(rows: DataFrame, limit_bytes: int) -> DataFrame:
 
 def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with shard (its hash prefix), shard_depth, row_bytes, shard_bytes, shard_rows and oversized."""
-    sized = docs.withColumns({"_bits": hash_bits(key), "row_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long")})
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long")
+    sized = docs.select(whole_row(docs).alias("_row"), hash_bits(key).alias("_bits"), size.alias("row_bytes"))
     buckets = leaves(sized.select(F.col("_bits").alias("bits"), F.col("row_bytes").alias("bytes")), limit_bytes)
     buckets = cut(buckets, "shard-leaves")
     depths = [r.depth for r in buckets.select("depth").distinct().orderBy("depth").collect()]
@@ -74,7 +76,7 @@ def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "t
         "_bits", F.col("prefix").alias("_shard"), F.struct("depth", "shard_bytes", "shard_rows", "oversized").alias("_leaf")
     )
     return sized.join(placed.hint("rebalance"), "_bits").select(
-        *[F.col(c) for c in docs.columns],
+        *row_columns(docs, "_row", ("shard", "shard_depth", "row_bytes", "shard_bytes", "shard_rows", "oversized")),
         F.col("_shard").alias("shard"),
         F.col("_leaf.depth").alias("shard_depth"),
         "row_bytes",

@@ -21,30 +21,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lilt.llm.common import TokenIds
+from lilt.llm.common import blobs, text_slices, worker_encoder
 from lilt.session import cut, shared_dir
 
 BLOCK_IDS = 1 << 18
 STEP = 128
 LEAST_BITS = 16
-TEXTS = 256
 _FIRST = -(2**63)
 
 
+def id_type(path: str) -> str:
+    """Ids take 16 bits where the vocabulary allows."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, no_id, tie, ids): ids of each text, closed by 0, as little-endian unsigned 32-bit numbers."""
+    """(doc_id, no_id, tie, ids): ids of each text, closed by 0, as little-endian numbers of ``id_type``."""
+    kind = id_type(path)
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = TokenIds(path)
-        for rows in batches:
-            for k in range(0, len(rows), TEXTS):
-                part = rows.iloc[k : k + TEXTS]
-                ids, bounds = encoder.encode(part["text"].tolist())
-                kept = [ids[a:z].astype("<u4").tobytes() for a, z in zip(bounds[:-1], bounds[1:])]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "no_id": part["no_id"].to_numpy(), "tie": part["tie"].to_numpy(), "ids": kept})
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(path)
+        for batch in batches:
+            for part in text_slices(batch, 3):
+                ids, bounds = encoder.encode(part.column(3))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], blobs(ids.astype(kind), bounds)], names=["doc_id", "no_id", "tie", "ids"])
 
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc_id"),
@@ -52,15 +58,15 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         F.xxhash64("text").alias("tie"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    return keyed.mapInPandas(encode, "doc_id long, no_id boolean, tie long, ids binary")
+    return keyed.mapInArrow(encode, "doc_id long, no_id boolean, tie long, ids binary")
 
 
-def id_counts(tokens: DataFrame) -> dict[int, int]:
+def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1, dtype=np.int64)
         for rows in batches:
-            for ids in rows["ids"]:
-                found = np.bincount(np.frombuffer(ids, dtype="<u4"))
+            for k in range(0, len(rows), 500):
+                found = np.bincount(np.frombuffer(b"".join(rows["ids"].iloc[k : k + 500]), dtype=kind))
                 if len(found) > len(total):
                     found, total = total, found
                 total[: len(found)] += found
@@ -138,14 +144,15 @@ class Code:
 
 def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
     """Write all texts of ``docs`` (doc_id, text) to ``folder`` with the tokenizer file at ``path``."""
-    spark = docs.sparkSession
+    spark, kind = docs.sparkSession, id_type(path)
+    width = np.dtype(kind).itemsize
     tokens = cut(tokenized(docs, path), "tokens", "zstd")
-    ids, lengths = code_lengths(id_counts(tokens))
+    ids, lengths = code_lengths(id_counts(tokens, kind))
     code = Code(ids, lengths)
 
     def block(part: int, start: int, held: list[tuple]) -> pd.DataFrame:
-        sizes = np.array([len(h[2]) // 4 for h in held], dtype=np.int64)
-        bits, offsets = code.write(np.frombuffer(b"".join(h[2] for h in held), dtype="<u4"))
+        sizes = np.array([len(h[2]) // width for h in held], dtype=np.int64)
+        bits, offsets = code.write(np.frombuffer(b"".join(h[2] for h in held), dtype=kind))
         return pd.DataFrame(
             {
                 "part": [part], "start": [start], "n": [int(sizes.sum())],
@@ -159,7 +166,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
         held, size, start = [], 0, 0
         for rows in batches:
             for row in rows.itertuples(index=False):
-                part, n = row.part, len(row.ids) // 4
+                part, n = row.part, len(row.ids) // width
                 if held and size + n > BLOCK_IDS:
                     yield block(part, start, held)
                     held, start, size = [], start + size, 0
