@@ -17,6 +17,7 @@ columns are not written.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,18 +63,20 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
 
 
 def id_counts(tokens: DataFrame, kind: str) -> dict[int, int]:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
-        for rows in batches:
-            for k in range(0, len(rows), 500):
-                found = np.bincount(np.frombuffer(b"".join(rows["ids"].iloc[k : k + 500]), dtype=kind))
-                if len(found) > len(total):
-                    found, total = total, found
-                total[: len(found)] += found
+        for batch in batches:
+            bounds = np.frombuffer(batch.column(0).buffers()[1], dtype=np.int32)[batch.column(0).offset :][: batch.num_rows + 1]
+            if not batch.num_rows or bounds[0] == bounds[-1]:
+                continue
+            found = np.bincount(np.frombuffer(batch.column(0).buffers()[2], dtype=np.uint8)[bounds[0] : bounds[-1]].view(kind))
+            if len(found) > len(total):
+                found, total = total, found
+            total[: len(found)] += found
         seen = np.flatnonzero(total)
-        yield pd.DataFrame({"id": seen, "n": total[seen]})
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    rows = tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return {r.id: r.n for r in rows}
 
 
@@ -183,8 +186,11 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
     book.write.mode("overwrite").parquet(f"{folder}/codebook")
 
 
-def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of all documents of a folder; start counts the ids of all documents before."""
+def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32[, ids]) of all documents of a folder; start counts the ids of all documents before.
+
+    ``ids`` are little-endian unsigned 32-bit numbers, ``ids_crc32`` is the CRC-32 of these bytes.
+    """
     book = spark.read.parquet(f"{folder}/codebook").toPandas()
     code = Code(book["id"].to_numpy(dtype=np.int64), book["bits"].to_numpy(dtype=np.int64))
     blocks = spark.read.parquet(f"{folder}/blocks")
@@ -192,24 +198,24 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     for r in blocks.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         before[r.part], total = total, total + r.n
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for row in rows.itertuples(index=False):
-                ids = code.read(row.bits, np.frombuffer(row.checkpoints, dtype=np.int64), row.n).astype("<u4")
-                sizes = np.frombuffer(row.sizes, dtype=np.int64)
-                ends = np.cumsum(sizes)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": np.frombuffer(row.doc_ids, dtype=np.int64),
-                        "no_id": np.frombuffer(row.no_ids, dtype=np.uint8).astype(bool),
-                        "start": before[row.part] + row.start + ends - sizes,
-                        "n_tokens": sizes,
-                        "ids": [ids[z - n : z].tobytes() for n, z in zip(sizes.tolist(), ends.tolist())],
-                    }
-                )
-
-    rows = blocks.mapInPandas(decode, "doc_id long, no_id boolean, start long, n_tokens long, ids binary")
-    return rows.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "start", "n_tokens", "ids")
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = code.read(row["bits"], np.frombuffer(row["checkpoints"], dtype=np.int64), row["n"]).astype("<u4")
+                sizes = np.frombuffer(row["sizes"], dtype=np.int64)
+                bounds = np.concatenate(([0], np.cumsum(sizes)))
+                values = blobs(ids, bounds)
+                columns = [
+                    pa.array(np.frombuffer(row["doc_ids"], dtype=np.int64)), pa.array(np.frombuffer(row["no_ids"], dtype=np.uint8).astype(bool)),
+                    pa.array(before[row["part"]] + row["start"] + bounds[:-1]), pa.array(sizes),
+                    pa.array([zlib.crc32(v.as_buffer()) for v in values], pa.int64()), values,
+                ]
+                names = ["doc_id", "no_id", "start", "n_tokens", "ids_crc32", "ids"]
+                yield pa.RecordBatch.from_arrays(columns[: 5 + with_ids], names=names[: 5 + with_ids])
+
+    shape = "doc_id long, no_id boolean, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    rows = blocks.mapInArrow(decode, shape)
+    return rows.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def new_folder(spark: SparkSession) -> str:
