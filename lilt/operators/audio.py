@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lilt.operators.scan import adjacent, attach, block_of
+from lilt.operators.scan import Run, adjacent, running
 
 REC = ["recording_id"]
-# A row of joined chunks holds at most this many; longer sessions continue in further rows.
-PART_CHUNKS = 1024
 
 
 def peak_abs(blocks: DataFrame) -> DataFrame:
@@ -22,7 +20,8 @@ def peak_gain(blocks: DataFrame) -> DataFrame:
     """Scale quiet recordings (peak between 1e-4 and 0.5) to a peak of 0.85."""
     peak = F.col("peak")
     gain = F.when((peak > 1e-4) & (peak < 0.5), F.lit(0.85) / peak).otherwise(F.lit(1.0))
-    ranged = attach(blocks, peak_abs(blocks), REC, block_of("block_idx", 4096)).withColumn("gain", gain)
+    # One number per recording: Spark broadcasts it where it is small and splits a long recording where it is not.
+    ranged = blocks.join(peak_abs(blocks), REC, "left").withColumn("gain", gain)
     return ranged.withColumn("samples", F.transform("samples", lambda x: x.cast("double") * F.col("gain"))).drop("peak")
 
 
@@ -67,24 +66,17 @@ def slice_by_phrase(phrases: DataFrame, blocks: DataFrame, rate: int, block_samp
     )
 
 
-def concat_chunks(chunks: DataFrame, part_chunks: int = PART_CHUNKS) -> DataFrame:
-    """Audio chunks of a session joined in order; one row per ``part_chunks`` chunks.
+def concat_chunks(chunks: DataFrame) -> DataFrame:
+    """Audio chunks of a session as one byte stream: each chunk with its ``offset`` and the session's ``total_bytes``.
 
-    Joining goes through one-byte text, which is linear in the size of the row.
+    Reading the rows in order of ``offset`` gives the joined audio, whatever its length; no row grows with the session.
     """
-    piece = F.struct("seq", F.decode("content", "ISO-8859-1").alias("c"))
-    return (
-        chunks.filter(F.col("kind") == "audio")
-        .withColumn("part", F.expr(f"seq div {part_chunks}"))
-        .groupBy("recording_id", "part")
-        .agg(F.array_sort(F.collect_list(piece)).alias("p"))
-        .select(
-            "recording_id",
-            "part",
-            F.size("p").alias("n_chunks"),
-            F.encode(F.array_join(F.transform("p", lambda x: x["c"]), ""), "ISO-8859-1").alias("content"),
-        )
-    )
+    audio = chunks.filter(F.col("kind") == "audio").withColumn("n_bytes", F.octet_length("content").cast("bigint"))
+    sizes = audio.select("recording_id", "seq", "n_bytes")
+    placed = running(sizes, REC, "seq", {"offset": Run("sum", F.col("n_bytes"), inclusive=False)}).drop("n_bytes")
+    totals = sizes.groupBy("recording_id").agg(F.sum("n_bytes").alias("total_bytes"))
+    joined = audio.join(placed, ["recording_id", "seq"]).join(totals, REC)
+    return joined.select("recording_id", "seq", "offset", "n_bytes", "total_bytes", "content")
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:

@@ -133,3 +133,16 @@ def asr_quality(words: DataFrame, recordings: DataFrame, state: DataFrame) -> Da
         "processing_ms",
         (F.col("processing_ms") / F.col("duration_ms")).alias("rtf"),
     )
+
+
+def asr_quality_totals(rows: DataFrame) -> DataFrame:
+    """Totals of ``asr_quality``: one row; confidence is the mean over all words."""
+    weighted = F.sum(F.col("avg_confidence") * F.col("n_words")) / F.sum("n_words")
+    return rows.agg(
+        F.count("*").alias("n_recordings"),
+        F.sum("n_words").alias("n_words"),
+        weighted.alias("avg_confidence"),
+        F.sum("duration_ms").alias("duration_ms"),
+        F.sum("processing_ms").alias("processing_ms"),
+        (F.sum("processing_ms") / F.sum("duration_ms")).alias("rtf"),
+    )

@@ -5,10 +5,10 @@ large share of the table, so ordered work is done per *block* of consecutive row
 
 * ``running``   cumulative values: block totals (partially aggregated before the shuffle) are scanned, and the carry
                 is joined back to the rows of the block.
-* ``adjacent``  lead/lag by one row: the edge rows of a block are copied to the neighbouring block.
+* ``adjacent``  lead/lag by one row: the edge rows of a block are carried like running values, over holes as well.
 * ``attach``    lookup by a key that is hot on the row side: resolved once per (key, block), then joined to the rows.
 
-Order columns are dense per key (0, 1, 2, ...) unless a block expression says otherwise. Keys must not be NULL.
+Order columns may have holes; a block expression must be monotone in them. Keys must not be NULL.
 """
 
 from __future__ import annotations
@@ -68,11 +68,13 @@ def running(
     runs: Mapping[str, Run],
     blocks: Sequence[Column] | None = None,
     tag: str = "_blk",
+    keep: str | None = None,
 ) -> DataFrame:
     """Add one column per entry of ``runs``.
 
     ``blocks`` lists block numbers from fine to coarse, each monotone in ``order``; the coarser ones serve to scan
-    the block totals when a key has very many blocks. The default is a single level of ``BLOCK_ROWS`` rows.
+    the block totals when a key has very many blocks. The default is a single level of ``BLOCK_ROWS`` rows. ``keep`` names
+    a column for the block number, by which (and the keys) the result is partitioned.
     """
     keys = list(keys)
     blocks = list(blocks) if blocks else [block_of(order)]
@@ -94,8 +96,9 @@ def running(
             Window.unboundedPreceding, 0 if run.inclusive else -1
         )
         columns[name] = _merge(run, _fold(run.op, F.col(f"_v_{name}")).over(frame), F.col(f"_c_{name}"))
-    drop = [*levels, *values, *[f"_c_{n}" for n in runs]]
-    return out.withColumns(columns).drop(*drop)
+    drop = [*levels[bool(keep) :], *values, *[f"_c_{n}" for n in runs]]
+    done = out.withColumns(columns).drop(*drop)
+    return done.withColumnRenamed(levels[0], keep) if keep else done
 
 
 def _carry(totals: DataFrame, keys: list[str], levels: list[str], runs: Mapping[str, Run]) -> DataFrame:
@@ -128,26 +131,29 @@ def adjacent(
     rows: int = BLOCK_ROWS,
     keep: str | None = None,
 ) -> DataFrame:
-    """Add values of the next (``lead``) and previous (``lag``) row of the same key; ``order`` is dense.
+    """Add values of the next (``lead``) and previous (``lag``) row of the same key, however far away it is.
 
     ``keep`` names a column for the block number. The result is partitioned by the keys and that column, so a
     following ``running`` over ``blocks=[col(keep)]`` needs no further shuffle of the rows.
     """
-    home = block_of(order, rows)
-    place = F.col(order) % rows
-    first, final = F.array(home), F.array(home)
+    held = lambda columns: F.struct(*[c.alias(n) for n, c in columns.items()])
+    runs = {}
     if lead:
-        first = F.array(home, home - 1)
+        runs["_ahead"] = Run("last", held(lead), inclusive=False, backward=True)
     if lag:
-        final = F.array(home, home + 1)
-    targets = F.when(place == 0, first).when(place == rows - 1, final).otherwise(F.array(home))
-    held = {f"_v_{n}": c for n, c in {**(lead or {}), **(lag or {})}.items()}
-    spread = df.withColumns(held).withColumn("_blk", F.explode(targets))
-    w = Window.partitionBy(*keys, "_blk").orderBy(order)
-    out = {n: F.lead(f"_v_{n}").over(w) for n in (lead or {})}
-    out |= {n: F.lag(f"_v_{n}").over(w) for n in (lag or {})}
-    homed = spread.withColumns(out).filter(F.col("_blk") == home).drop(*held)
-    return homed.withColumnRenamed("_blk", keep) if keep else homed.drop("_blk")
+        runs["_behind"] = Run("last", held(lag), inclusive=False)
+    placed = running(df, keys, order, runs, [block_of(order, rows)], keep=keep)
+    out = {n: F.col("_ahead")[n] for n in (lead or {})} | {n: F.col("_behind")[n] for n in (lag or {})}
+    return placed.withColumns(out).drop(*runs)
+
+
+def text_pieces(rows: DataFrame, keys: Sequence[str], order: str, blocks: Sequence[Column] | None = None) -> DataFrame:
+    """``rows`` with ``text`` as pieces of one text per key, joined by one blank: adds ``offset`` and ``total_chars``."""
+    keys = list(keys)
+    sized = rows.withColumn("_n", F.char_length("text").cast("bigint") + 1)
+    placed = running(sized, keys, order, {"offset": Run("sum", F.col("_n"), inclusive=False)}, blocks).drop("_n")
+    totals = sized.groupBy(*keys).agg((F.sum("_n") - 1).alias("total_chars"))
+    return placed.join(totals, keys)
 
 
 def attach(

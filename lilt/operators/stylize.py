@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lilt.functions.contour import piece_count
 from lilt.functions.linefit import piecewise
 from lilt.functions.pitch import octave_log_ratio
-from lilt.session import cut
 
 REC = ["recording_id"]
 STYLED = (
@@ -128,17 +127,18 @@ def octave_histogram(points: DataFrame, bins: int = 40) -> DataFrame:
     ratios = points.select(octave_log_ratio(F.col("estimate"), F.col("reference")).alias("lr")).filter(
         F.col("lr").isNotNull()
     )
-    ratios = cut(ratios, "ratios")
-    extent = ratios.select(F.struct(F.min("lr").alias("low"), F.max("lr").alias("high"), F.count("*").alias("total")))
+    extent = ratios.agg(F.min("lr").alias("low"), F.max("lr").alias("high"), F.count("*").alias("total"))
     width = (F.col("high") - F.col("low")) / bins
-    placed = ratios.withColumn("_e", extent.scalar()).select("lr", "_e.*").withColumn(
+    placed = ratios.withColumn("_e", extent.select(F.struct("low", "high", "total")).scalar()).select("lr", "_e.*").withColumn(
         "bin",
         F.when(F.col("high") > F.col("low"), F.least(F.floor((F.col("lr") - F.col("low")) / width), F.lit(bins - 1)))
         .otherwise(0)
         .cast("int"),
     )
-    counted = placed.groupBy("bin").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"),
-                                        F.max("total").alias("total"))
+    counted = placed.groupBy("bin").agg(F.count("*").alias("n"))
+    # All bins are there, also those without a point; an input without points has none.
+    grid = extent.where("total > 0").withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    counted = grid.select("bin", "low", "high", "total").join(counted, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     center = F.col("low") + (F.col("bin") + 0.5) * width
     return counted.select(
         "bin",

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lilt.functions.timing import confidence_band, pause_class, seconds
-from lilt.operators.phrases import PART_WORDS
-from lilt.operators.scan import BLOCK_ROWS, Run, attach, block_of, running
+from lilt.operators.phrases import PIECE_WORDS, phrase_bounds
+from lilt.operators.scan import Run, attach, block_of, running
 from lilt.session import cut
 
 REC = ["recording_id"]
@@ -107,33 +107,74 @@ def number_words(words: DataFrame) -> DataFrame:
     ).drop("_base")
 
 
-def result_document(words: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Nested document per recording: phrases in order, each with its words.
+#: Decimal places at the sink, by column.
+PLACES = {
+    **dict.fromkeys(("mean_pitch", "max_pitch", "min_pitch", "start_pitch", "end_pitch", "pitch_range"), 1),
+    **dict.fromkeys(("pitch_mean", "pitch_start", "pitch_end", "inton_pitch_range"), 1),
+    "pitch_slope": 2,
+    "normalized_pitch": 3,
+    "stress_score": 3,
+}
+ARRAY_PLACES = {"char_pitches": 3, "pitch_contour": 1}
+PLAIN = ("stressed", "is_hesitation", "pitch_trend", "pitch_direction", "voiced_segment_index")
 
-    A document row holds the phrases that begin within one block of words; a longer recording continues in further
-    rows (``doc_part``), and a phrase above ``PART_WORDS`` words in further phrase parts. Order by ``doc_part``.
+
+def _document_word(words: DataFrame) -> Column:
+    known = words.columns
+    fields = [
+        "pos",
+        "word",
+        F.round(seconds(F.col("start_ms")), 3).alias("start"),
+        F.round(seconds(F.col("end_ms")), 3).alias("end"),
+        "confidence",
+        *[c for c in PLAIN if c in known],
+        *[F.round(c, n).alias(c) for c, n in PLACES.items() if c in known],
+        *[F.transform(c, lambda v, n=n: F.round(v, n)).alias(c) for c, n in ARRAY_PLACES.items() if c in known],
+    ]
+    if "pause_after_ms" in known:
+        fields.append(F.round(seconds(F.col("pause_after_ms")), 3).alias("pause_after"))
+    return F.struct(*fields)
+
+
+def result_phrases(words: DataFrame, patterns: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """Phrases of a result document, one row each: bounds and number of words of the phrase, its text, and its words with
+    all fields that the analyzers added, rounded for display.
+
+    A phrase above ``PIECE_WORDS`` words goes on in further rows (``first_pos`` tells them apart) with the same bounds.
+    ``patterns(recording_id, phrase_index, intonation_pattern)``, ``chunks(recording_id, phrase_index, chunk_index)``.
     """
-    optional = [c for c in ("stressed", "stress_score", "pause_after_ms", "is_hesitation") if c in words.columns]
-    item = F.struct(
-        "pos", "word", seconds(F.col("start_ms")).alias("start"), seconds(F.col("end_ms")).alias("end"), "confidence",
-        *optional,
+    key = ["recording_id", "phrase_index"]
+    pieces = (
+        words.withColumn("_piece", F.expr(f"pos div {PIECE_WORDS}"))
+        .groupBy(*key, "_piece")
+        .agg(F.array_sort(F.collect_list(_document_word(words))).alias("words"))
     )
-    phrases = (
-        words.withColumn("part", F.expr(f"pos div {PART_WORDS}"))
-        .groupBy("recording_id", "phrase_index", "part")
-        .agg(F.min("word_idx").alias("first_word"), F.array_sort(F.collect_list(item)).alias("words"))
-        .withColumn("text", F.array_join(F.transform("words", lambda w: w["word"]), " "))
-    )
-    entry = F.struct(
-        "phrase_index",
-        "part",
-        "text",
-        F.element_at("words", 1)["start"].alias("start_time"),
-        F.element_at("words", -1)["end"].alias("end_time"),
+    rows = pieces.join(phrase_bounds(words).hint("rebalance"), key)
+    pattern, chunk = F.lit("flat"), F.lit(None).cast("bigint")
+    if patterns is not None:
+        rows, pattern = rows.join(patterns.hint("rebalance"), key, "left"), F.coalesce("intonation_pattern", F.lit("flat"))
+    if chunks is not None:
+        rows, chunk = rows.join(chunks.hint("rebalance"), key, "left"), F.col("chunk_index")
+    return rows.select(
+        *key,
+        F.element_at("words", 1)["pos"].alias("first_pos"),
+        F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("text"),
+        F.round(seconds(F.col("start_ms")), 3).alias("start_time"),
+        F.round(seconds(F.col("end_ms")), 3).alias("end_time"),
+        "n_words",
+        pattern.alias("intonation_pattern"),
+        chunk.alias("chunk_index"),
         "words",
     )
-    return (
-        phrases.withColumn("doc_part", block_of("first_word", block_rows))
-        .groupBy("recording_id", "doc_part")
-        .agg(F.array_sort(F.collect_list(entry)).alias("phrases"))
+
+
+def result_header(rollup: DataFrame) -> DataFrame:
+    """The scalars of a result document, rounded for display; ``rollup`` as ``session_summary`` gives it."""
+    return rollup.select(
+        "recording_id",
+        F.round("total_duration", 3).alias("total_duration"),
+        "word_count",
+        F.round("wpm", 1).alias("wpm"),
+        F.round("stress_ratio", 3).alias("stress_ratio"),
+        F.round("pitch_variation", 1).alias("pitch_variation"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lilt.operators.scan import Run, running
+from lilt.operators.scan import Run, adjacent, running
 from lilt.session import cut
 
 # Fixed values, in frames.
@@ -16,25 +16,31 @@ REC = ["recording_id"]
 
 
 def run_bounds(frames: DataFrame) -> DataFrame:
-    """Add ``run_start`` and ``run_len`` of the voiced run around each voiced frame (NULL on unvoiced ones)."""
-    at = F.col("frame_idx")
-    hole = F.when(F.col("f0").isNull(), at)
+    """Add ``run_start`` and ``run_len`` of the voiced run around each voiced frame (NULL on unvoiced ones).
+
+    A frame without a row is a hole like an unvoiced one: a run starts after either and stops before either.
+    """
+    at, voiced = F.col("frame_idx"), F.col("f0").isNotNull()
+    near = adjacent(
+        frames.withColumn("_on", voiced),
+        REC,
+        "frame_idx",
+        lead={"_next": at, "_next_on": F.col("_on")},
+        lag={"_prev": at, "_prev_on": F.col("_on")},
+        keep="_block",
+    )
+    starts = voiced & ~F.coalesce(F.col("_prev_on") & (F.col("_prev") == at - 1), F.lit(False))
+    stops = voiced & ~F.coalesce(F.col("_next_on") & (F.col("_next") == at + 1), F.lit(False))
     scanned = running(
-        frames,
+        near,
         REC,
         "frame_idx",
-        {
-            "_before": Run("max", hole),
-            "_after": Run("min", hole, backward=True),
-            "_final": Run("max", at, backward=True),
-        },
+        {"_start": Run("max", F.when(starts, at)), "_stop": Run("min", F.when(stops, at), backward=True)},
+        [F.col("_block")],
     )
-    start = F.coalesce(F.col("_before"), F.lit(-1)) + 1
-    stop = F.coalesce(F.col("_after"), F.col("_final") + 1)
-    voiced = F.col("f0").isNotNull()
     return scanned.withColumns(
-        {"run_start": F.when(voiced, start), "run_len": F.when(voiced, stop - start)}
-    ).drop("_before", "_after", "_final")
+        {"run_start": F.when(voiced, F.col("_start")), "run_len": F.when(voiced, F.col("_stop") - F.col("_start") + 1)}
+    ).drop("_on", "_next", "_next_on", "_prev", "_prev_on", "_block", "_start", "_stop")
 
 
 def clean_short_runs(frames: DataFrame, min_run: int = MIN_RUN) -> DataFrame:

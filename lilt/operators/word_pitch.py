@@ -5,19 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lilt.functions.contour import resample_linear
 from lilt.functions.pitch import normalize_pitch, pitch_direction, pitch_trend
 from lilt.functions.tokens import char_count
 from lilt.operators.scan import Run, attach, block_of, running
 from lilt.operators.stylize import contour_range
 from lilt.operators.voicing import neighbours
-from lilt.session import cut
 
 REC = ["recording_id"]
 CELL_FRAMES = 32
 SEGMENT_CELL = 512
-# Words up to this many frames gather their frames in one row; longer ones look up single frames instead.
-GATHER_FRAMES = 1000
 
 
 def _frame_span(words: DataFrame, hop_ms: int) -> DataFrame:
@@ -49,12 +45,12 @@ def words_x_frames(words: DataFrame, frames: DataFrame, hop_ms: int = 10) -> Dat
     return w.join(p, match, "left").select("w.*", *[F.col(f"p.{c}") for c in extra]).drop("_cell")
 
 
-def _per_word(words: DataFrame, frames: DataFrame, value: str, hop_ms: int, gather: bool, keep: list[str]) -> DataFrame:
-    """Statistics of the voiced frames of each word, and the values themselves if ``gather``."""
+def _per_word(words: DataFrame, frames: DataFrame, value: str, hop_ms: int, keep: list[str]) -> DataFrame:
+    """Statistics of the voiced frames of each word; partial sums, so a word may have any number of frames."""
     v, at = F.col(value), F.col("frame_idx")
     joined = words_x_frames(words, frames.select("recording_id", "frame_idx", value), hop_ms)
     voiced_at = F.when(v.isNotNull(), at)
-    aggs = [
+    return joined.groupBy("recording_id", "word_idx").agg(
         *[F.first(c).alias(c) for c in [*keep, "first_frame", "last_frame"]],
         F.count(v).alias("n_voiced"),
         F.count(at).alias("n_frames"),
@@ -64,24 +60,8 @@ def _per_word(words: DataFrame, frames: DataFrame, value: str, hop_ms: int, gath
         F.min_by(v, voiced_at).alias("first_value"),
         F.max_by(v, voiced_at).alias("last_value"),
         F.min(at).alias("_f0"),
-    ]
-    if gather:
-        aggs.append(
-            F.transform(
-                F.array_sort(F.collect_list(F.when(at.isNotNull(), F.struct("frame_idx", v.alias("v"))))), lambda p: p["v"]
-            ).alias("values")
-        )
-    return joined.groupBy("recording_id", "word_idx").agg(*aggs)
-
-
-def _is_short() -> Column:
-    return F.expr("last_frame - first_frame") < GATHER_FRAMES
-
-
-def _split(words: DataFrame, hop_ms: int) -> tuple[DataFrame, DataFrame]:
-    spanned = _frame_span(words, hop_ms)
-    drop = ["first_frame", "last_frame"]
-    return spanned.filter(_is_short()).drop(*drop), spanned.filter(~_is_short()).drop(*drop)
+        F.min(voiced_at).alias("_vf"),
+    )
 
 
 def _lookup_points(stats: DataFrame, table: DataFrame, key: str, base: str, size: str, points: str) -> DataFrame:
@@ -112,17 +92,12 @@ def word_pitch_features(words: DataFrame, contour: DataFrame, segments: DataFram
     """Features of each word on the stylised contour; all NULL for an unvoiced word.
 
     ``contour(recording_id, frame_idx, value)``, ``segments(recording_id, segment_index, start_frame, end_frame)``.
-    The contour feeds several branches, so it is written once.
+    Only the contour's voiced frames are moved.
     """
-    contour = cut(contour.select("recording_id", "frame_idx", "value"), "contour")
+    contour = contour.select("recording_id", "frame_idx", "value").filter("value IS NOT NULL")
     bounds = contour_range(contour)
     keep = ["word", "start_ms", "end_ms"]
-    short, long = _split(words.select("recording_id", "word_idx", *keep), hop_ms)
-    near = _per_word(short, contour, "value", hop_ms, True, keep)
-    near = near.withColumns(
-        {"n_chars": char_count(F.col("word")), "_v": F.expr("filter(values, v -> v is not null)")}
-    ).withColumn("_points", resample_linear("_v", "n_chars")).drop("values", "_v")
-    stats = near if long.isEmpty() else near.unionByName(_long_word_pitch(long, contour, hop_ms, keep).select(near.columns))
+    stats = _char_values(words.select("recording_id", "word_idx", *keep), contour, hop_ms, keep)
     ranged = attach(stats, bounds, REC, block_of("word_idx"))
     low, high = F.col("low"), F.col("high")
     flat = (F.col("n_voiced") < 2) | (F.col("n_chars") <= 1)
@@ -154,20 +129,14 @@ def word_pitch_features(words: DataFrame, contour: DataFrame, segments: DataFram
     )
 
 
-def _long_word_pitch(long: DataFrame, contour: DataFrame, hop_ms: int, keep: list[str]) -> DataFrame:
-    """Statistics and character values of words too long to gather: values are looked up by their voiced rank."""
-    voiced = contour.filter(F.col("value").isNotNull())
-    ranked = running(
-        voiced, REC, "frame_idx", {"_rank": Run("sum", F.lit(1).cast("bigint"), inclusive=False)}
-    )
-    far = _per_word(long, contour, "value", hop_ms, False, keep).withColumn("n_chars", char_count(F.col("word")))
-    begins = words_x_frames(long, voiced.select("recording_id", "frame_idx"), hop_ms).groupBy(
-        "recording_id", "word_idx"
-    ).agg(F.min("frame_idx").alias("_vf"))
+def _char_values(words: DataFrame, voiced: DataFrame, hop_ms: int, keep: list[str]) -> DataFrame:
+    """Statistics of each word and one value per character, looked up by the rank of the voiced frames."""
+    ranked = running(voiced, REC, "frame_idx", {"_rank": Run("sum", F.lit(1).cast("bigint"), inclusive=False)})
+    stats = _per_word(words, voiced, "value", hop_ms, keep).withColumn("n_chars", char_count(F.col("word")))
     starts = ranked.select("recording_id", F.col("frame_idx").alias("_vf"), F.col("_rank").alias("_r0"))
-    far = far.join(begins, ["recording_id", "word_idx"], "left").join(starts, ["recording_id", "_vf"], "left")
-    found = _lookup_points(far, ranked.select("recording_id", "_rank", "value"), "_rank", "_r0", "n_voiced", "n_chars")
-    return far.join(_interpolate(found, "value", "_points"), ["recording_id", "word_idx"], "left")
+    placed = stats.join(starts, ["recording_id", "_vf"], "left")
+    found = _lookup_points(placed, ranked.select("recording_id", "_rank", "value"), "_rank", "_r0", "n_voiced", "n_chars")
+    return placed.join(_interpolate(found, "value", "_points"), ["recording_id", "word_idx"], "left")
 
 
 def word_in_segment(words: DataFrame, segments: DataFrame, hop_ms: int = 10) -> DataFrame:
@@ -196,27 +165,7 @@ def word_intonation(words: DataFrame, frames: DataFrame, hop_ms: int = 32) -> Da
     The contour fills unvoiced frames inside the word and takes one value per character.
     """
     keep = ["phrase_index", "pos", "word", "start_ms", "end_ms"]
-    base = words.select("recording_id", "word_idx", *keep)
-    short, long = _split(base, hop_ms)
-    near = _per_word(short, frames, "f0", hop_ms, True, keep).withColumn("n_chars", F.length("word"))
-    filled = F.expr(
-        # Nearest voiced entries on both sides inside the word, by position.
-        "transform(values, (v, i) -> named_struct('v', v, 'i', i))"
-    )
-    near = near.withColumn("_all", filled).withColumn("_on", F.expr("filter(_all, e -> e.v is not null)"))
-    before = "element_at(filter(_on, e -> e.i <= j), -1)"
-    after = "filter(_on, e -> e.i >= j)[0]"
-    held = (
-        f"CASE WHEN size(filter(_on, e -> e.i <= j)) = 0 THEN {after}.v"
-        f" WHEN size(filter(_on, e -> e.i >= j)) = 0 THEN {before}.v"
-        f" WHEN {after}.i = {before}.i THEN {after}.v"
-        f" ELSE {before}.v + ({after}.v - {before}.v) * ((j - {before}.i) / ({after}.i - {before}.i)) END"
-    )
-    near = near.withColumn(
-        "_filled", F.expr(f"CASE WHEN n_voiced >= 2 THEN transform(values, (v, j) -> coalesce(v, {held})) END")
-    ).withColumn("_points", resample_linear("_filled", "n_chars")).drop("values", "_all", "_on", "_filled")
-
-    stats = near if long.isEmpty() else near.unionByName(_long_word_tone(long, frames, hop_ms, keep).select(near.columns))
+    stats = _char_tones(words.select("recording_id", "word_idx", *keep), frames, hop_ms, keep)
     enough = F.col("n_voiced") >= 2
 
     def known_only(c):
@@ -235,9 +184,9 @@ def word_intonation(words: DataFrame, frames: DataFrame, hop_ms: int = 32) -> Da
     )
 
 
-def _long_word_tone(long: DataFrame, frames: DataFrame, hop_ms: int, keep: list[str]) -> DataFrame:
-    """As the gathered path of ``word_intonation``, by frame lookup with the nearest voiced frames on both sides."""
-    far = _per_word(long, frames, "f0", hop_ms, False, keep).withColumn("n_chars", F.length("word"))
+def _char_tones(words: DataFrame, frames: DataFrame, hop_ms: int, keep: list[str]) -> DataFrame:
+    """Statistics of each word and one value per character from the nearest voiced frames on both sides inside it."""
+    far = _per_word(words, frames, "f0", hop_ms, keep).withColumn("n_chars", F.length("word"))
     known = running(frames.select("recording_id", "frame_idx", "f0"), REC, "frame_idx", neighbours()).drop("f0")
     found = _lookup_points(far.filter("n_voiced >= 2"), known, "frame_idx", "_f0", "n_frames", "n_chars")
     found = found.withColumns(

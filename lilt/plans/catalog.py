@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lilt import fixtures as fx
 from lilt.functions import contour as contour_fn
@@ -56,11 +57,6 @@ def r6(column: str):
 # ---- sources and sinks -------------------------------------------------------------------------------------------
 
 
-@query("src1_scan_recordings")
-def _(spark, d):
-    return recordings.scan_recordings(spark, d, suffix="parquet").select("file_id", "n_bytes")
-
-
 @query(
     "src2_pcm_decode",
     sql(
@@ -121,14 +117,15 @@ def _(spark, d):
 @query(
     "src6_concat_session_audio",
     sql(
-        """SELECT recording_id, seq // 1024 AS part, count(*) AS n_chunks, md5(string_agg(content, '' ORDER BY seq)) AS digest
-        FROM chunk_texts GROUP BY 1, 2""",
+        """SELECT recording_id, seq, md5(content) AS digest, strlen(content)::BIGINT AS n_bytes,
+        coalesce(sum(strlen(content)) OVER (PARTITION BY recording_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+        sum(strlen(content)) OVER (PARTITION BY recording_id)::BIGINT AS total_bytes FROM chunk_texts""",
         "chunk_texts",
     ),
 )
 def _(spark, d):
     return audio.concat_chunks(fx.audio_chunks(spark, d)).select(
-        "recording_id", "part", C("n_chunks").cast("bigint").alias("n_chunks"), F.md5("content").alias("digest")
+        "recording_id", "seq", "n_bytes", "offset", "total_bytes", F.md5("content").alias("digest")
     )
 
 
@@ -157,28 +154,49 @@ def _(spark, d):
     return recordings.marker_count(_containers(spark, d), "file_id")
 
 
+def _document(spark, d):
+    return summary.result_phrases(_featured(spark, d))
+
+
 @query(
     "snk1_result_document",
     sql(
-        """SELECT recording_id, min(word_idx) // 65536 AS doc_part, phrase_index, pos // 4096 AS part,
-        string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n_words, min(start_ms) / 1000.0 AS start_time,
-        arg_max(end_ms, pos) / 1000.0 AS end_time, sum(CASE WHEN stressed THEN 1 ELSE 0 END)::BIGINT AS n_stressed
-        FROM stressed GROUP BY recording_id, phrase_index, pos // 4096""",
+        """SELECT recording_id, phrase_index, pos, word, round(start_ms / 1000.0, 3) AS start, round(end_ms / 1000.0, 3) AS "end", confidence, stressed,
+        round(stress_score, 3) AS stress_score, round(pause_after_ms / 1000.0, 3) AS pause_after, round(min(start_ms) OVER p / 1000.0, 3) AS start_time,
+        round(arg_max(end_ms, pos) OVER p / 1000.0, 3) AS end_time, count(*) OVER p AS n_words, 'flat' AS intonation_pattern
+        FROM stressed WINDOW p AS (PARTITION BY recording_id, phrase_index)""",
         "stressed",
     ),
 )
 def _(spark, d):
-    documents_rows = summary.result_document(_featured(spark, d))
-    return documents_rows.select("recording_id", "doc_part", F.inline("phrases")).select(
-        "recording_id", "doc_part", "phrase_index", "part", "text",
-        F.size("words").cast("bigint").alias("n_words"), "start_time", "end_time",
-        F.size(F.filter("words", lambda w: w["stressed"])).cast("bigint").alias("n_stressed"),
-    )
+    rows = _document(spark, d)
+    return rows.select("recording_id", "phrase_index", "start_time", "end_time", "n_words", "intonation_pattern", F.inline("words")).drop("is_hesitation")
 
 
-@query("snk1_document_json")
+@query(
+    "snk1_document_json",
+    sql(
+        """SELECT recording_id, count(*) AS word_count, sum(CASE WHEN stressed THEN 1 ELSE 0 END)::BIGINT AS n_stressed,
+        count(DISTINCT phrase_index) AS n_phrases, count(*) AS n_words FROM stressed GROUP BY 1""",
+        "stressed",
+    ),
+)
 def _(spark, d):
-    return documents.as_json(summary.result_document(_featured(spark, d)))
+    """The JSON lines read back by their types and summed up."""
+    featured = _featured(spark, d)
+    phrase_rows = summary.result_phrases(featured)
+    recordings_seen = featured.groupBy("recording_id").agg(F.max("end_ms").alias("duration_ms"))
+    header = summary.result_header(summary.session_summary(featured, recordings_seen))
+    lines = documents.as_json(header, phrase_rows)
+    typed = lambda frame: T.StructType([f for f in frame.schema if f.name != "recording_id"])
+    heads = lines.where("line_kind = 'header'").select("recording_id", F.from_json("line", typed(header)).alias("h"))
+    body = lines.where("line_kind = 'phrase'").select("recording_id", F.from_json("line", typed(phrase_rows)).alias("p"))
+    sums = body.groupBy("recording_id").agg(
+        F.sum(F.size(F.filter("p.words", lambda w: w["stressed"]))).cast("bigint").alias("n_stressed"),
+        F.countDistinct("p.phrase_index").alias("n_phrases"),
+        F.sum(F.size("p.words")).cast("bigint").alias("n_words"),
+    )
+    return heads.select("recording_id", "h.word_count").join(sums, "recording_id")
 
 
 @query(
@@ -247,9 +265,11 @@ def _(spark, d):
 
 @query(
     "prj4_segment_text",
-    r"""SELECT conv_id AS recording_id, turn // 1024 AS part,
-      string_agg(regexp_replace(text, '^\s+|\s+$', '', 'g'), ' ' ORDER BY turn) AS text
-    FROM conversations WHERE (conv_id * 31 + turn * 17) % 100 <= 85 GROUP BY 1, 2""",
+    r"""SELECT recording_id, seg_idx, text,
+      coalesce(sum(length(text) + 1) OVER (PARTITION BY recording_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+      (sum(length(text) + 1) OVER (PARTITION BY recording_id) - 1)::BIGINT AS total_chars
+    FROM (SELECT conv_id AS recording_id, turn AS seg_idx, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text
+      FROM conversations WHERE (conv_id * 31 + turn * 17) % 100 <= 85)""",
 )
 def _(spark, d):
     return asr.segment_text(fx.asr_segments(spark, d))
@@ -545,13 +565,17 @@ def _(spark, d):
 @query(
     "agg3_phrase_build",
     sql(
-        """SELECT recording_id, phrase_index, pos // 4096 AS part, string_agg(word, ' ' ORDER BY pos) AS text, min(start_ms) AS start_ms,
-        arg_max(end_ms, pos) AS end_ms, count(*) AS n_words FROM phrased GROUP BY 1, 2, 3""",
+        """SELECT recording_id, phrase_index, pos, word, min(start_ms) OVER p AS start_ms, arg_max(end_ms, pos) OVER p AS end_ms,
+        count(*) OVER p AS n_words FROM phrased WINDOW p AS (PARTITION BY recording_id, phrase_index)""",
         "phrased",
     ),
 )
 def _(spark, d):
-    return phrases.build_phrases(fx.phrased(spark, d)).drop("words").withColumn("n_words", C("n_words").cast("bigint"))
+    nested = phrases.build_phrases(fx.phrased(spark, d)).withColumnsRenamed({"start_ms": "a", "end_ms": "b"})
+    words = nested.select("recording_id", "phrase_index", "a", "b", "n_words", "first_pos", F.posexplode(F.split("text", " ")).alias("p", "word"))
+    return words.select(
+        "recording_id", "phrase_index", (C("first_pos") + C("p")).alias("pos"), "word", C("a").alias("start_ms"), C("b").alias("end_ms"), "n_words"
+    )
 
 
 @query(
@@ -703,14 +727,15 @@ def _(spark, d):
 @query(
     "agg12_octave_histogram",
     sql(
-        f"""SELECT bin, count(*) AS n, round(any_value(low) + bin * any_value(width), 5) AS left_edge,
-        round(count(*) / (any_value(total) * any_value(width)), 5) AS density,
-        CASE WHEN abs(any_value(low) + (bin + 0.5) * any_value(width) - 1) <= 0.1 THEN 'doubling'
-          WHEN abs(any_value(low) + (bin + 0.5) * any_value(width) + 1) <= 0.1 THEN 'halving' END AS octave
-        FROM (SELECT *, CAST(least(floor((lr - low) / width), 39) AS INTEGER) AS bin FROM (SELECT lr, min(lr) OVER () AS low,
-          (max(lr) OVER () - min(lr) OVER ()) / 40 AS width, count(*) OVER () AS total
-          FROM (SELECT log2(f0 / line) AS lr FROM (SELECT f0, intercept + slope * (frame_idx - start_frame + 1) AS line
-            FROM ({pieces_of_runs()}) JOIN ({LINES}) USING (recording_id, start_frame)) WHERE f0 > 0 AND line > 0))) GROUP BY bin""",
+        f"""SELECT * FROM (WITH points AS (SELECT log2(f0 / line) AS lr FROM (SELECT f0, intercept + slope * (frame_idx - start_frame + 1) AS line
+            FROM ({pieces_of_runs()}) JOIN ({LINES}) USING (recording_id, start_frame)) WHERE f0 > 0 AND line > 0),
+          span AS (SELECT min(lr) AS low, (max(lr) - min(lr)) / 40 AS width, count(*) AS total FROM points),
+          counted AS (SELECT CAST(least(floor((lr - low) / width), 39) AS INTEGER) AS bin, count(*) AS n FROM points, span GROUP BY 1)
+        SELECT g.bin::INTEGER AS bin, coalesce(n, 0) AS n, round(low + g.bin * width, 5) AS left_edge,
+        round(coalesce(n, 0) / (total * width), 5) AS density,
+        CASE WHEN abs(low + (g.bin + 0.5) * width - 1) <= 0.1 THEN 'doubling'
+          WHEN abs(low + (g.bin + 0.5) * width + 1) <= 0.1 THEN 'halving' END AS octave
+        FROM span CROSS JOIN range(40) AS g(bin) LEFT JOIN counted USING (bin))""",
         "runs",
     ),
 )
@@ -757,6 +782,23 @@ def _(spark, d):
     return rows.withColumns({"avg_confidence": F.round("avg_confidence", 6), "rtf": F.round("rtf", 6)})
 
 
+@query(
+    "agg14_asr_quality_totals",
+    sql(
+        """SELECT count(*) AS n_recordings, sum(n_words)::BIGINT AS n_words, round(sum(confidence) / sum(n_words), 6) AS avg_confidence,
+        sum(duration_ms)::BIGINT AS duration_ms, sum(processing_ms)::BIGINT AS processing_ms, round(sum(processing_ms) / sum(duration_ms), 6) AS rtf
+        FROM (SELECT r.recording_id, any_value(r.duration_ms) AS duration_ms, count(w.word_idx) AS n_words,
+          sum(CASE WHEN w.word_idx IS NOT NULL THEN coalesce(w.confidence, 1.0) END) AS confidence,
+          epoch_ms(any_value(j.completed_at)) - epoch_ms(any_value(j.started_at)) AS processing_ms
+          FROM recordings r LEFT JOIN words w USING (recording_id) LEFT JOIN job_state j ON j.job_id = r.recording_id GROUP BY 1)""",
+        "words", "recordings", "job_state",
+    ),
+)
+def _(spark, d):
+    rows = jobs.asr_quality(fx.words(spark, d), fx.recordings(spark, d), jobs.job_state(fx.job_events(spark, d)))
+    return jobs.asr_quality_totals(rows).withColumns({"avg_confidence": F.round("avg_confidence", 6), "rtf": F.round("rtf", 6)})
+
+
 @query(
     "agg15_mse_fit_k1",
     sql(f"SELECT recording_id, start_frame, n, round(slope, 5) AS slope, round(intercept, 5) AS intercept FROM ({LINES})", "runs"),
@@ -1213,27 +1255,32 @@ def _(spark, d):
 @query(
     "st7_preview_accumulate",
     sql(
-        f"""SELECT session_id, trigger_seq // 512 AS part, string_agg(x.word, ' ' ORDER BY trigger_seq, pos) AS text, count(*) AS n_words
-        FROM ({EMITTED}) GROUP BY 1, 2""",
+        f"""SELECT session_id, trigger_seq, text, n_words,
+        coalesce(sum(length(text) + 1) OVER (PARTITION BY session_id ORDER BY trigger_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+        (sum(length(text) + 1) OVER (PARTITION BY session_id) - 1)::BIGINT AS total_chars
+        FROM (SELECT session_id, trigger_seq, string_agg(x.word, ' ' ORDER BY pos) AS text, count(*) AS n_words
+          FROM ({EMITTED}) GROUP BY 1, 2)""",
         "cursor_walk",
     ),
 )
 def _(spark, d):
-    return live.preview_text(streams.live_words_table(spark, d)).withColumn("n_words", C("n_words").cast("bigint"))
+    return live.preview_text(streams.live_words_table(spark, d))
 
 
 @query(
     "st7_preview_replace",
     sql(
-        f"""SELECT session_id, trigger_seq // 512 AS part, string_agg(x.word, ' ' ORDER BY trigger_seq, pos) AS text, count(*) AS n_words
-        FROM (SELECT *, max(CASE WHEN trigger_seq % 10 = 0 THEN trigger_seq END) OVER (PARTITION BY session_id) AS f FROM ({EMITTED}))
-        WHERE f IS NULL OR trigger_seq >= f GROUP BY 1, 2""",
+        f"""SELECT session_id, trigger_seq, text, n_words,
+        coalesce(sum(length(text) + 1) OVER (PARTITION BY session_id ORDER BY trigger_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+        (sum(length(text) + 1) OVER (PARTITION BY session_id) - 1)::BIGINT AS total_chars
+        FROM (SELECT session_id, trigger_seq, string_agg(x.word, ' ' ORDER BY pos) AS text, count(*) AS n_words
+          FROM (SELECT *, max(CASE WHEN trigger_seq % 10 = 0 THEN trigger_seq END) OVER (PARTITION BY session_id) AS f FROM ({EMITTED}))
+          WHERE f IS NULL OR trigger_seq >= f GROUP BY 1, 2)""",
         "cursor_walk",
     ),
 )
 def _(spark, d):
-    rows = live.preview_text(streams.live_words_table(spark, d), replace=C("trigger_seq") % 10 == 0)
-    return rows.withColumn("n_words", C("n_words").cast("bigint"))
+    return live.preview_text(streams.live_words_table(spark, d), replace=C("trigger_seq") % 10 == 0)
 
 
 @query(
@@ -1301,11 +1348,11 @@ def _load_counter():
 def _(spark, d):
     from pyspark.sql import types as T
 
-    def predict(model, row):
-        n = model(row["content"])
-        if n % 3 == 0:
+    def predict(model, rows):
+        sizes = rows["content"].map(model)
+        if (sizes % 3 == 0).any():
             raise ValueError("unreadable")
-        return (n,)
+        return sizes.to_frame("n_bytes")
 
     items = fx.audio_chunks(spark, d).filter(C("kind") == "audio").select("recording_id", "seq", "content")
     out = T.StructType([T.StructField("n_bytes", T.LongType())])

@@ -22,30 +22,42 @@ def model_hook(
     items: DataFrame,
     name: str,
     load: Callable[[], Any],
-    predict: Callable[[Any, pd.Series], Any],
+    predict: Callable[[Any, pd.DataFrame], pd.DataFrame],
     keys: list[str],
     output: T.StructType,
 ) -> DataFrame:
-    """Run a model on every row: keys, then the fields of ``output``, then ``error``.
+    """Run a model on batches of rows: keys, then the fields of ``output``, then ``error``.
 
-    ``load`` runs once per Python worker. A row that fails keeps NULL fields and reports the error; the task goes on.
+    ``load`` runs once per Python worker. ``predict`` takes a batch and gives a frame with one row for each of its rows. Only
+    a batch that fails is tried again row by row: a row that fails alone keeps NULL fields and reports the error.
     """
     fields = [items.schema[k] for k in keys] + list(output.fields) + [T.StructField("error", T.StringType())]
     names = output.fieldNames()
 
+    def told(model: Any, rows: pd.DataFrame) -> pd.DataFrame:
+        found = predict(model, rows)
+        if len(found) != len(rows):
+            raise ValueError(f"{len(found)} predictions for {len(rows)} rows")
+        return found[names].set_axis(rows.index).assign(error=None)
+
+    def alone(model: Any, row: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return told(model, row)
+        except Exception as problem:  # noqa: BLE001 - reported as a column
+            return pd.DataFrame([[None] * len(names) + [f"{type(problem).__name__}: {problem}"]], columns=[*names, "error"], index=row.index)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = _loaded()
         if name not in models:
             models[name] = load()
         model = models[name]
         for rows in batches:
-            done = []
-            for _, row in rows.iterrows():
-                try:
-                    done.append((*predict(model, row), None))
-                except Exception as problem:  # noqa: BLE001 - reported as a column
-                    done.append((*([None] * len(names)), f"{type(problem).__name__}: {problem}"))
-            found = pd.DataFrame(done, columns=[*names, "error"], index=rows.index)
+            if not len(rows):
+                continue
+            try:
+                found = told(model, rows)
+            except Exception:  # noqa: BLE001 - each row then tells its own
+                found = pd.concat([alone(model, rows.iloc[k : k + 1]) for k in range(len(rows))])
             yield pd.concat([rows[keys], found], axis=1)
 
     return items.mapInPandas(run, T.StructType(fields))

@@ -20,17 +20,20 @@ KEY = ["recording_id", "word_idx"]
 class Analyzer:
     """``analyze(words, tables)`` returns a side table: the word key and the columns it adds.
 
-    ``defaults`` holds for words without a row there, and for all words when the analyzer cannot be set up.
+    ``needs`` names the tables it reads. ``defaults`` holds for words without a row in the side table, and for all words
+    when a needed table isn't given.
     """
 
     name: str
     analyze: Callable[[DataFrame, Mapping[str, Any]], DataFrame]
     scope: str = PHRASE
     defaults: Mapping[str, Any] = field(default_factory=dict)
+    needs: tuple[str, ...] = ()
 
 
 class Registry:
-    """Ordered analyzers. One that cannot be set up is skipped and its columns take their defaults."""
+    """Ordered analyzers. One whose tables aren't given is skipped and its columns take their defaults; errors of an
+    analyzer that runs are raised, never turned into missing values."""
 
     def __init__(self) -> None:
         self._known: list[Analyzer] = []
@@ -42,6 +45,14 @@ class Registry:
     def names(self, scope: str | None = None) -> list[str]:
         return [a.name for a in self._known if scope in (None, a.scope)]
 
+    @staticmethod
+    def missing(analyzer: Analyzer, tables: Mapping[str, Any]) -> list[str]:
+        return [n for n in analyzer.needs if tables.get(n) is None]
+
+    def skipped(self, tables: Mapping[str, Any]) -> list[str]:
+        """Names of the analyzers that ``apply`` would skip."""
+        return [a.name for a in self._known if self.missing(a, tables)]
+
     def apply(self, words: DataFrame, tables: Mapping[str, Any]) -> DataFrame:
         """Phrase analyzers first, then those that need the whole recording.
 
@@ -55,11 +66,11 @@ class Registry:
         return out
 
     def _join(self, out: DataFrame, words: DataFrame, analyzer: Analyzer, tables: Mapping[str, Any]) -> DataFrame:
-        try:
-            side = analyzer.analyze(words, tables)
-        except Exception as problem:  # noqa: BLE001 - one analyzer must not stop the others
-            log.warning("analyzer %s skipped: %r", analyzer.name, problem)
+        absent = self.missing(analyzer, tables)
+        if absent:
+            log.warning("analyzer %s skipped: no table %s", analyzer.name, ", ".join(absent))
             return out.withColumns({c: F.lit(v) for c, v in analyzer.defaults.items()})
+        side = analyzer.analyze(words, tables)
         joined = out.join(side, KEY, "left")
         filled = {c: F.coalesce(c, F.lit(v)) for c, v in analyzer.defaults.items() if v is not None}
         return joined.withColumns(filled) if filled else joined

@@ -38,11 +38,11 @@ def pitch_features(words: DataFrame, frames: DataFrame, criterion: str = "mae")
 
 def default_registry(pitch: bool = False, intonation: bool = False) -> Registry:
     """Stress always; intonation and pitch when their frame tables are given."""
-    registry = Registry().add(Analyzer("stress", _stress, defaults={"stressed": False, "stress_score": 0.0}))
+    registry = Registry().add(Analyzer("stress", _stress, defaults={"stressed": False, "stress_score": 0.0}, needs=("stress_labels",)))
     if intonation:
-        registry.add(Analyzer("intonation", _intonation, defaults={"pitch_mean": None, "pitch_direction": None}))
+        registry.add(Analyzer("intonation", _intonation, defaults={"pitch_mean": None, "pitch_direction": None}, needs=("intonation_frames",)))
     if pitch:
-        registry.add(Analyzer("pitch", _pitch, scope=RECORDING, defaults={"mean_pitch": None}))
+        registry.add(Analyzer("pitch", _pitch, scope=RECORDING, defaults={"mean_pitch": None}, needs=("pitch_frames",)))
     return registry
 
 

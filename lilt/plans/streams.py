@@ -42,7 +42,7 @@ def live_words_table(spark: SparkSession, d: str, files_per_batch: int | None =
     key = (spark.sparkContext.applicationId, d, "live")
     if key not in _DONE:
         source = _source(spark, fx.live_windows_path(spark, d), files_per_batch)
-        _DONE[key] = _to_parquet(spark, live.live_words(source), "live-words")
+        _DONE[key] = _to_parquet(spark, live.live_words(source, idle_ms=None), "live-words")
     return spark.read.parquet(_DONE[key])
 
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from lilt.functions.timing import to_ms
 from lilt.functions.tokens import strip_space
-from lilt.operators.scan import Run, running
+from lilt.operators.scan import Run, running, text_pieces
 
 # Fixed value: segments above this are treated as silence.
 NO_SPEECH = 0.85
-PART_SEGMENTS = 1024
 
 
 def drop_no_speech(segments: DataFrame, limit: float = NO_SPEECH) -> DataFrame:
@@ -36,13 +35,8 @@ def explode_words(segments: DataFrame) -> DataFrame:
     )
 
 
-def segment_text(segments: DataFrame, part_segments: int = PART_SEGMENTS) -> DataFrame:
-    """Full text per recording from the kept segments; one row per ``part_segments`` segments, in order of ``part``."""
-    piece = F.struct("seg_idx", strip_space(F.col("text")).alias("t"))
-    return (
-        drop_no_speech(segments)
-        .withColumn("part", F.expr(f"seg_idx div {part_segments}"))
-        .groupBy("recording_id", "part")
-        .agg(F.array_sort(F.collect_list(piece)).alias("p"))
-        .select("recording_id", "part", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("text"))
-    )
+def segment_text(segments: DataFrame) -> DataFrame:
+    """Full text per recording as pieces: the text of each kept segment, its character ``offset`` in the text that joins
+    them with one blank, and the ``total_chars`` of that text."""
+    kept = drop_no_speech(segments).select("recording_id", "seg_idx", strip_space(F.col("text")).alias("text"))
+    return text_pieces(kept, ["recording_id"], "seg_idx", [F.expr("seg_idx div 4096")])

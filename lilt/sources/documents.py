@@ -5,15 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+KEYS = ("recording_id", "phrase_index", "first_pos")
 
-def as_json(documents: DataFrame) -> DataFrame:
-    """Nested documents as one JSON text per row."""
-    return documents.select(
-        "recording_id", "doc_part", F.to_json(F.struct("phrases"), {"ignoreNullFields": "false"}).alias("result")
+
+def as_json(header: DataFrame, phrases: DataFrame) -> DataFrame:
+    """Result documents as JSON lines: per recording one line of scalars, then one per phrase (or piece of a long one).
+
+    ``line_kind`` is ``header`` or ``phrase``; a recording's lines in order of ``phrase_index`` and ``first_pos`` (-1 for the
+    header) are its document, of any length.
+    """
+    options = {"ignoreNullFields": "false"}
+    scalars = [c for c in header.columns if c != "recording_id"]
+    first = header.select(
+        "recording_id", F.lit(-1).cast("bigint").alias("phrase_index"), F.lit(-1).cast("bigint").alias("first_pos"),
+        F.lit("header").alias("line_kind"), F.to_json(F.struct(*scalars), options).alias("line"),
+    )
+    body = [c for c in phrases.columns if c != "recording_id"]
+    rest = phrases.select(
+        "recording_id", F.col("phrase_index").cast("bigint"), F.col("first_pos").cast("bigint"),
+        F.lit("phrase").alias("line_kind"), F.to_json(F.struct(*body), options).alias("line"),
     )
+    return first.unionByName(rest)
 
 
-def write_documents(documents: DataFrame, path: str, buckets: int = 256) -> None:
-    """Write documents as parquet in folders by hash bucket of the recording, so that one recording reads one folder."""
-    placed = documents.withColumn("bucket", F.pmod(F.xxhash64("recording_id"), F.lit(buckets)))
+def write_documents(phrases: DataFrame, path: str, buckets: int = 256) -> None:
+    """Write phrases as parquet in folders by hash bucket of the recording, so that one recording reads one folder."""
+    placed = phrases.withColumn("bucket", F.pmod(F.xxhash64("recording_id"), F.lit(buckets)))
     placed.write.mode("append").partitionBy("bucket").parquet(path)

@@ -24,17 +24,22 @@ def _close(
         n += int((rows["kind"] == "audio").sum())
         kinds = set(rows["kind"])
         reason = "stop" if "stop" in kinds else reason or ("disconnect" if "disconnect" in kinds else "")
+    timed_out = bool(idle_ms) and state.hasTimedOut
     if reason and n and not done:
         done = True
         yield pd.DataFrame({"recording_id": [key[0]], "n_chunks": [n], "reason": [reason]})
+    if timed_out:  # silent for the idle time after its end, or ended by it: nothing of the session stays
+        state.remove()
+        return
     state.update((n, reason, done))
-    if idle_ms and not done:
+    if idle_ms:
         state.setTimeoutDuration(idle_ms)
 
 
 def finished_sessions(chunks: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Emit a session once, when it has audio and was stopped, was disconnected or fell silent for ``idle_ms``.
 
+    A finished session stays in the state for one idle time, so late chunks make no second job, and is then forgotten.
     Only the kind of each chunk is shuffled, and rows of a session are counted batch by batch, never gathered. A
     replay of stored chunks passes ``idle_ms=None``: a processing-time timer keeps a bounded run from ending.
     """

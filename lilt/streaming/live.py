@@ -6,8 +6,8 @@ words that start at or after the cursor and end at least 0.4 s before the live e
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
+from functools import partial
 from typing import Any
 
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lilt.functions.tokens import clean_token_weak
-from lilt.operators.scan import attach, block_of
+from lilt.operators.scan import attach, block_of, text_pieces
 
 # Fixed values, in milliseconds: guard before the edge, least new audio, longest silent lag and where it resumes.
 GUARD_MS = 400
@@ -23,13 +23,20 @@ LEAST_NEW_MS = 1500
 LAG_MS = 5000
 RESUME_MS = 2000
 CHUNK_STEP = 2
-PART_TRIGGERS = 512
+# A window that is ahead of its turn waits until this many windows have come after the missing one.
+WAIT_WINDOWS = 4
+# A session without events for this long gives out what waits and is forgotten.
+IDLE_MS = 60_000
 
+WORD = ("word", "start_ms", "end_ms", "confidence")
 EMITTED = (
     "session_id long, trigger_seq long, window_start_ms long,"
     " words array<struct<word string, start_ms long, end_ms long, confidence double>>"
 )
-STATE = "next_seq long, cursor_ms long, waiting string"
+STATE = (
+    "next_seq long, cursor_ms long, waiting array<struct<trigger_seq long, window_start_ms long, window_len_ms long,"
+    " words array<struct<word string, start_ms long, end_ms long, confidence double>>>>"
+)
 
 
 def advance(cursor: int, start: int, length: int, words: list[dict[str, Any]]) -> tuple[int, list[dict[str, Any]]]:
@@ -55,32 +62,53 @@ def _plain(words: Any) -> list[dict[str, Any]]:
     ]
 
 
-def _emit(key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-    following, cursor, waiting = state.get if state.exists else (1, 0, "[]")
-    held = {int(s): (int(a), int(n), w) for s, a, n, w in json.loads(waiting)}
-    for rows in batches:
-        for r in rows.itertuples(index=False):
-            if r.trigger_seq >= following:
-                held[int(r.trigger_seq)] = (int(r.window_start_ms), int(r.window_len_ms), _plain(r.words))
+def turns(
+    following: int | None, cursor: int, held: dict[int, tuple], wait: int
+) -> tuple[int | None, int, list[tuple[int, int, list]]]:
+    """Windows in order, over gaps: a missing window is given up once a window ``wait`` places after it is there."""
     out = []
-    while following in held:
-        start, length, words = held.pop(following)
+    while held:
+        least = min(held)
+        if following is not None and least > following and max(held) - following < wait:
+            break
+        start, length, words = held.pop(least)
         cursor, fresh = advance(cursor, start, length, words)
         if fresh:
-            out.append((key[0], following, start, fresh))
-        following += 1
-    state.update((following, cursor, json.dumps([(s, *v) for s, v in sorted(held.items())])))
+            out.append((least, start, fresh))
+        following = least + 1
+    return following, cursor, out
+
+
+def _emit(idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+    following, cursor, waiting = state.get if state.exists else (1, 0, [])
+    held = {int(s): (int(a), int(n), [dict(zip(WORD, x)) for x in words]) for s, a, n, words in waiting}
+    if idle_ms and state.hasTimedOut:
+        _, _, out = turns(following, cursor, held, 0)
+        state.remove()
+    else:
+        for rows in batches:
+            for r in rows.itertuples(index=False):
+                if r.trigger_seq >= following:
+                    held[int(r.trigger_seq)] = (int(r.window_start_ms), int(r.window_len_ms), _plain(r.words))
+        following, cursor, out = turns(following, cursor, held, WAIT_WINDOWS)
+        state.update((following, cursor, [(s, a, n, [tuple(w.values()) for w in words]) for s, (a, n, words) in sorted(held.items())]))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
     if out:
-        yield pd.DataFrame(out, columns=["session_id", "trigger_seq", "window_start_ms", "words"])
+        yield pd.DataFrame([(key[0], *x) for x in out], columns=["session_id", "trigger_seq", "window_start_ms", "words"])
 
 
-def live_words(windows: DataFrame) -> DataFrame:
+def live_words(windows: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
     """Emitted words per trigger, append mode; one row per trigger that adds words.
 
-    Windows that arrive ahead of their turn wait in the state until the missing ones come, so results do not depend on
-    file or partition order. The state of a session is its cursor and those windows.
+    Windows that arrive ahead of their turn wait in the state, ``WAIT_WINDOWS`` at most, so results do not depend on file
+    or partition order. A window that was left out, or a stream joined later, holds nothing up beyond that: the cursor
+    goes on with the windows that are there, and what comes later for a given-up place is dropped. Idle sessions give out
+    what waits and leave the state. A replay of stored windows passes ``idle_ms=None``: a timer keeps a bounded run from
+    ending.
     """
-    return windows.groupBy("session_id").applyInPandasWithState(_emit, EMITTED, STATE, "append", "NoTimeout")
+    timer = "ProcessingTimeTimeout" if idle_ms else "NoTimeout"
+    return windows.groupBy("session_id").applyInPandasWithState(partial(_emit, idle_ms), EMITTED, STATE, "append", timer)
 
 
 def flat_words(emitted: DataFrame) -> DataFrame:
@@ -106,29 +134,19 @@ def write_messages(emitted: DataFrame, path: str, checkpoint: str):
     )
 
 
-def preview_text(emitted: DataFrame, replace: Column | None = None, part: int = PART_TRIGGERS) -> DataFrame:
-    """Running preview per session: texts in order of trigger, from the last replacing trigger on.
-
-    One row per ``part`` triggers; read the parts in order.
+def preview_text(emitted: DataFrame, replace: Column | None = None) -> DataFrame:
+    """Running preview per session as pieces, from the last replacing trigger on: the text of each trigger that adds
+    words, its character ``offset`` in the joined text, and ``total_chars`` of that text. No row grows with the session.
     """
     text = F.array_join(F.transform("words", lambda w: w["word"]), " ")
-    rows = emitted.withColumn("_t", text)
+    rows = emitted.select("session_id", "trigger_seq", text.alias("text"), F.size("words").cast("bigint").alias("n_words"),
+                          (replace if replace is not None else F.lit(False)).alias("_replaces"))
     if replace is not None:
-        last = rows.filter(replace).groupBy("session_id").agg(F.max("trigger_seq").alias("_from"))
-        rows = rows.join(last, ["session_id"], "left").filter(
+        last = rows.groupBy("session_id").agg(F.max(F.when(F.col("_replaces"), F.col("trigger_seq"))).alias("_from"))
+        rows = attach(rows, last, ["session_id"], block_of("trigger_seq", 4096)).filter(
             F.col("_from").isNull() | (F.col("trigger_seq") >= F.col("_from"))
-        )
-    return (
-        rows.withColumn("part", F.expr(f"trigger_seq div {part}"))
-        .groupBy("session_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("trigger_seq", "_t", F.size("words").alias("n")))).alias("p"))
-        .select(
-            "session_id",
-            "part",
-            F.array_join(F.transform("p", lambda x: x["_t"]), " ").alias("text"),
-            F.aggregate("p", F.lit(0), lambda s, x: s + x["n"]).alias("n_words"),
-        )
-    )
+        ).drop("_from")
+    return text_pieces(rows.drop("_replaces"), ["session_id"], "trigger_seq")
 
 
 def trigger_chunks(chunks: DataFrame, step: int = CHUNK_STEP) -> DataFrame:

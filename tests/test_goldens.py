@@ -108,21 +108,20 @@ def test_hundred_frames(spark, hundred, criterion):
     assert rows[0].start_pitch == pytest.approx(150.0) and rows[1].start_pitch == pytest.approx(190.0)
 
 
-def test_long_words_agree_with_gathered_ones(spark, hundred, monkeypatch):
+def test_contours_of_words(spark, hundred):
     words = sentence(spark, ("hello", 100, 350), ("across.", 300, 700), ("it", 0, 990), ("a", 100, 400), ("gap", 500, 590))
-    tones = phrases.phrase_words(words)
-    near = sessions.pitch_features(words, hundred, "none").orderBy("word_idx").collect()
-    near_tones = word_pitch.word_intonation(tones, hundred, 10).orderBy("word_idx").collect()
-    monkeypatch.setattr(word_pitch, "GATHER_FRAMES", 5)
-    far = sessions.pitch_features(words, hundred, "none").orderBy("word_idx").collect()
-    far_tones = word_pitch.word_intonation(tones, hundred, 10).orderBy("word_idx").collect()
-    for a, b in zip([*near, *near_tones], [*far, *far_tones], strict=True):
-        for name, value in a.asDict().items():
-            if isinstance(value, (float, list)):
-                assert b[name] == pytest.approx(value), name
-            else:
-                assert b[name] == value, name
-    assert [len(r.pitch_contour) for r in near_tones] == [5, 7, 2, 1, 0]
+    tones = word_pitch.word_intonation(phrases.phrase_words(words), hundred, 10).orderBy("word_idx").collect()
+    assert [len(r.pitch_contour) for r in tones] == [5, 7, 2, 1, 0]
+    track = [r.f0 for r in hundred.orderBy("frame_idx").collect()]
+    for r in tones:
+        inside = list(enumerate(track))[-(-r.start_ms // 10) : r.end_ms // 10 + 1]
+        known = [(k, v) for k, v in inside if v is not None]
+        if len(known) < 2:
+            continue
+        filled = np.interp([k for k, _ in inside], *zip(*known))
+        n = len(r.pitch_contour)
+        want = np.interp(np.arange(n) * (len(filled) - 1) / max(n - 1, 1), np.arange(len(filled)), filled)
+        assert r.pitch_contour == pytest.approx(want.tolist())
 
 
 def test_runs_at_the_edges_and_short_runs(spark):
@@ -163,8 +162,9 @@ def test_tone(spark):
 
 
 def test_phrases_of_any_length_stay_whole(spark, monkeypatch):
-    monkeypatch.setattr(phrases, "PART_WORDS", 4)
+    monkeypatch.setattr(phrases, "PIECE_WORDS", 4)
     words = sentence(spark, *[(f"w{i}", 10 * i, 10 * i + 5) for i in range(10)])
-    rows = phrases.build_phrases(phrases.phrase_words(words)).orderBy("part").collect()
-    assert [r.n_words for r in rows] == [4, 4, 2]
+    rows = phrases.build_phrases(phrases.phrase_words(words)).orderBy("first_pos").collect()
+    assert [len(r.words) for r in rows] == [4, 4, 2]
+    assert {(r.n_words, r.start_ms, r.end_ms) for r in rows} == {(10, 0, 95)}
     assert " ".join(r.text for r in rows) == " ".join(f"w{i}" for i in range(10))

@@ -56,6 +56,60 @@ def test_words_near_the_edge_wait():
     assert [w["word"] for w in live.advance(0, 0, 2000, held)[1]] == ["a"]
 
 
+def test_windows_over_gaps():
+    word = lambda t: [{"word": f"w{t}", "start_ms": 100, "end_ms": 1500, "confidence": None}]
+    window = {s: (2000 * s, 2000, word(s)) for s in range(1, 12)}
+    missing = {s: w for s, w in window.items() if s not in (2, 7)}
+    following, cursor, out = live.turns(1, 0, dict(missing), 4)
+    assert [s for s, _, _ in out] == [1, 3, 4, 5, 6, 8, 9, 10, 11] and following == 12
+    held = {1: window[1], 3: window[3], 4: window[4]}
+    following, cursor, out = live.turns(1, 0, held, 4)
+    assert [s for s, _, _ in out] == [1] and following == 2 and sorted(held) == [3, 4]
+    held[2] = window[2]
+    assert [s for s, _, _ in live.turns(following, cursor, held, 4)[2]] == [2, 3, 4]
+    joined_late = {40: (80_000, 2000, word(40))}
+    assert [s for s, _, _ in live.turns(1, 0, joined_late, 4)[2]] == [40]
+
+
+class State:
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timer = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.timer = ms
+
+
+def test_idle_sessions_leave_the_state():
+    import pandas as pd
+
+    from lilt.streaming.finalize import _close
+
+    state = State()
+    assert list(_close(500, (7,), iter([pd.DataFrame({"kind": ["audio", "audio"]})]), state)) == []
+    assert state.timer == 500
+    state.hasTimedOut = True
+    (job,) = _close(500, (7,), iter([]), state)
+    assert job.iloc[0].tolist() == [7, 2, "idle"] and not state.exists
+
+    rows = pd.DataFrame({"trigger_seq": [1, 3], "window_start_ms": [0, 4000], "window_len_ms": [2000, 2000],
+                         "words": [[{"word": w, "start_ms": 100, "end_ms": 1500, "confidence": 0.5}] for w in "ab"]})
+    state = State()
+    (first,) = live._emit(500, (7,), iter([rows]), state)
+    assert first["trigger_seq"].tolist() == [1] and len(state.value[2]) == 1
+    state.hasTimedOut = True
+    (rest,) = live._emit(500, (7,), iter([]), state)
+    assert rest["trigger_seq"].tolist() == [3] and not state.exists
+
+
 def test_progress_equals_batch(spark):
     stream = streams.progress_table(spark, SF, 1).drop("terminal")
     batch = jobs.job_state(fx.job_events(spark, SF)).select(stream.columns)
@@ -122,8 +176,8 @@ def test_model_hook_isolates_failures(spark):
     rows = spark.createDataFrame([(1, 4.0), (2, -1.0)], "id long, x double")
     out = T.StructType([T.StructField("root", T.DoubleType())])
 
-    def predict(model, row):
-        return (model(row["x"]),)
+    def predict(model, rows):
+        return rows["x"].map(model).to_frame("root")
 
     def load():
         import math
@@ -171,14 +225,20 @@ def test_utterance_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_documents_are_written_and_read_back(spark, tmp_path):
-    from lilt.operators.summary import result_document
+def test_documents_are_written_and_read_back(spark, tmp_path, monkeypatch):
+    from lilt.operators import summary
     from lilt.sources import documents
 
-    rows = result_document(fx.phrased(spark, SF), block_rows=64)
+    monkeypatch.setattr(summary, "PIECE_WORDS", 8)
+    words = fx.phrased(spark, SF)
+    rows = summary.result_phrases(words)
     documents.write_documents(rows, str(tmp_path / "docs"), buckets=8)
     back = spark.read.parquet(str(tmp_path / "docs"))
-    words = back.select(F.explode("phrases").alias("p")).select(F.explode("p.words"))
-    assert words.count() == fx.phrased(spark, SF).count()
-    body = json.loads(documents.as_json(rows).first().result)
-    assert set(body["phrases"][0]) == {"phrase_index", "part", "text", "start_time", "end_time", "words"}
+    assert back.select(F.explode("words")).count() == words.count()
+    ends = words.groupBy("recording_id").agg(F.max("end_ms").alias("duration_ms"))
+    header = summary.result_header(summary.session_summary(words.withColumn("stressed", F.lit(False)), ends))
+    lines = documents.as_json(header, rows).collect()
+    heads = [json.loads(r.line) for r in lines if r.line_kind == "header"]
+    assert set(heads[0]) == {"total_duration", "word_count", "wpm", "stress_ratio", "pitch_variation"}
+    assert sum(h["word_count"] for h in heads) == words.count()
+    assert sum(len(json.loads(r.line)["words"]) for r in lines if r.line_kind == "phrase") == words.count()
