@@ -96,7 +96,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
         line_keys(docs, min_chars).repartitionByRange(*key).sortWithinPartitions(*key).mapInPandas(_ordered, _STREAMED), "lines"
     )
     heads = streamed.where(F.col("kind") == HEAD).groupBy("h1", "h2").agg(F.min("doc_id").alias("first"))
-    edges = streamed.where(F.col("kind") == EDGE).join(heads, ["h1", "h2"]).where("doc_id > first")
+    # Heads are two rows per partition of the sort at most, so the edges, which may be one line all over, need no shuffle.
+    edges = streamed.where(F.col("kind") == EDGE).join(F.broadcast(heads), ["h1", "h2"]).where("doc_id > first")
     columns = ("doc_id", "text_hash", "pos")
     dropped = streamed.where(F.col("kind") == LATE).select(*columns).union(edges.select(*columns))
     return (
