@@ -4,7 +4,7 @@ Two sets of word shingles link when 100 x intersection >= 75 x union; then they
 fall into bands; a scheme covers a band and those larger partners that can still link. For a scheme whose pairs differ in at
 most H shingles, a hash splits the universe into H + 1 + E segments. Every document indexes, for each segment, a signature of
 its subset (one unit: no such match, at least one difference) and, in D further designated places, the subset's one-deletion
-neighbourhood (two units). Among H + 1 units one must match, so E + D units are spare.
+neighbourhood (two units). Among H + 1 units one must match, so E + D units are spare. Empty subsets are paid from them.
 
 Cost-based allocation spends the spare units: signatures held by many sets are hot. A document whose hot segments cost no
 more than its spare units leaves them all out; it still meets every partner in a cheap segment. Only documents with more hot
@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from lilt.llm.common import byte_slices, components, mix, ranges, shingle_sets
 from lilt.session import cut
@@ -36,8 +37,8 @@ from lilt.session import cut
 WORDS = 5
 #: Sets of one signature that are compared with each other right away.
 PLAIN = 16
-BUCKET_SIGNATURES = 3_000_000
-FLUSH_SIGNATURES = 1_500_000
+BUCKET_SIGNATURES = 2_000_000
+FLUSH_SIGNATURES = 1_000_000
 #: Sets of one flush.
 MOST_ENTRIES = 20_000
 SLICE = 1 << 18
@@ -51,12 +52,12 @@ class Schemes:
     def __init__(self) -> None:
         edges = [1]
         while edges[-1] < 1 << 40:
-            edges.append(max(edges[-1] + 1, edges[-1] * 7 // 4))
+            edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
         self.edges = np.array(edges, dtype=np.int64)
         largest = self.edges[1:] - 1
         must = (largest + largest * 4 // 3) // 7 + 1
         self.designated = 1 + must // 64
-        extra = 1 + must // 8
+        extra = 1 + must * 9 // 20 + 3 * np.sqrt(must).astype(np.int64)  # about as many stay empty in the smallest sets of a band
         self.segments = must + extra
         self.spare = extra + self.designated
 
@@ -80,11 +81,17 @@ def fingerprints(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def signatures(shingles: np.ndarray, bounds: np.ndarray, rows: np.ndarray, scheme: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, entry, designated) of the entries (rows, scheme)."""
+def signatures(
+    shingles: np.ndarray, bounds: np.ndarray, rows: np.ndarray, scheme: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, entry, designated) of the entries (rows, scheme), and the spare units left to each entry.
+
+    Empty subsets say nothing, so an entry pays for them with spare units and leaves them out; one that can't (-1 units
+    left) indexes them and will keep all its hot signatures.
+    """
     none = np.zeros(0, dtype=np.int64)
     if not len(rows):
-        return np.zeros(0, dtype=np.uint64), none, none.astype(bool)
+        return np.zeros(0, dtype=np.uint64), none, none.astype(bool), none
     sizes = np.diff(bounds)[rows]
     token = shingles[ranges(bounds[:-1][rows], sizes)]
     entry = np.repeat(np.arange(len(rows)), sizes)
@@ -102,10 +109,17 @@ def signatures(shingles: np.ndarray, bounds: np.ndarray, rows: np.ndarray, schem
     marked = number < SCHEMES.designated[scheme][owner]
     near = place < SCHEMES.designated[scheme][entry]
     one_less = mix((subset[slot[near]] - value[near]) ^ name[slot[near]])
+    held = np.bincount(slot, minlength=len(subset))
+    empty, single = held == 0, held[slot[near]] == 1
+    paid = np.bincount(owner[empty], 1.0 + marked[empty], len(rows)) + np.bincount(entry[near][single], minlength=len(rows))
+    left = SCHEMES.spare[scheme] - paid.astype(np.int64)
+    left = np.where(left < 0, -1, left)
+    said = np.concatenate((~empty, ~single)) | (left < 0)[np.concatenate((owner, entry[near]))]
     return (
-        np.concatenate((mix(subset ^ name), one_less)),
-        np.concatenate((owner, entry[near])),
-        np.concatenate((marked, np.ones(int(near.sum()), dtype=bool))),
+        np.concatenate((mix(subset ^ name), one_less))[said],
+        np.concatenate((owner, entry[near]))[said],
+        np.concatenate((marked, np.ones(int(near.sum()), dtype=bool)))[said],
+        left,
     )
 
 
@@ -129,7 +143,7 @@ def _index(buckets: int):
 
     def pack(held: list[tuple], sets: list[tuple], owners: list[int]) -> Iterator[pa.RecordBatch]:
         sig, entry, marked = (np.concatenate(x) for x in zip(*held))
-        print_, size, scheme = (np.concatenate(x) for x in zip(*sets))
+        print_, size, scheme, left = (np.concatenate(x) for x in zip(*sets))
         doc = np.array(owners, dtype=np.int64)
         bucket = (sig % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
@@ -143,7 +157,7 @@ def _index(buckets: int):
             arrays = (
                 (sig[a:z] & np.uint64(0xFFFFFFFF)).astype("<u4"),
                 ((sig[a:z] >> np.uint64(32)).astype(np.uint8) << np.uint8(1)) | marked[a:z].astype(np.uint8),
-                local.astype("<u2" if len(mine) < 1 << 16 else "<u4"), doc[mine], print_[mine], size[mine].astype(np.int64), scheme[mine].astype(np.uint8),
+                local.astype("<u2" if len(mine) < 1 << 16 else "<u4"), doc[mine], print_[mine], size[mine].astype(np.int64), scheme[mine].astype(np.uint8), left[mine].astype("<i4"),
             )
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=_PACKED_NAMES)
 
@@ -164,9 +178,9 @@ def _index(buckets: int):
                     else:  # equal sets go by their smallest document
                         owners[at] = min(owners[at], doc[row])
                 rows, scheme = rows[fresh], scheme[fresh]
-                sig, entry, marked = signatures(shingles, bounds, rows, scheme)
+                sig, entry, marked, left = signatures(shingles, bounds, rows, scheme)
                 held.append((sig, entry + entries, marked))
-                sets.append((f1[rows], np.diff(bounds)[rows], scheme))
+                sets.append((f1[rows], np.diff(bounds)[rows], scheme, left))
                 count, entries = count + len(sig), entries + len(rows)
                 if count > FLUSH_SIGNATURES or entries > MOST_ENTRIES:
                     yield from pack(held, sets, owners)
@@ -177,24 +191,30 @@ def _index(buckets: int):
     return index
 
 
-_PACKED_NAMES = ["bucket", "low", "high", "entry", "doc", "print", "size", "scheme"]
+_PACKED_NAMES = ["bucket", "low", "high", "entry", "doc", "print", "size", "scheme", "spare"]
 _PACKED = "bucket int, " + ", ".join(f"{c} binary" for c in _PACKED_NAMES[1:])
-PAIR, HOT = 0, 1
-_FOUND = "kind int, sig long, a long, b long, scheme int, cost int, size long"
+PAIR, SPENT, LIST = 0, 1, 2
+_FOUND = "kind int, a long, b long, scheme int, spare int, other int, n int, members binary, sizes binary"
+#: Members of one LIST row; longer lists go on in further rows.
+LIST_ROWS = 1 << 16
 
 
-def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket: pairs of sets that share a signature few sets hold, and the members of hot signatures."""
 
     def close(bucket: int, rows: list) -> Iterator[pd.DataFrame]:
-        sig = np.concatenate([np.frombuffer(r.low, "<u4").astype(np.uint64) | ((np.frombuffer(r.high, np.uint8) >> 1).astype(np.uint64) << np.uint64(32)) for r in rows])
-        marked = np.concatenate([np.frombuffer(r.high, np.uint8) & 1 for r in rows])
-        entry = [np.frombuffer(r.entry, "<u2" if len(r.doc) < 8 << 16 else "<u4").astype(np.int64) for r in rows]
-        docs = [np.frombuffer(r.doc, np.int64) for r in rows]
-        shift = np.cumsum([0, *map(len, docs)])
-        entry = np.concatenate([e + s for e, s in zip(entry, shift)])
-        doc, print_ = np.concatenate(docs), np.concatenate([np.frombuffer(r.print, np.int64) for r in rows])
-        size, scheme = np.concatenate([np.frombuffer(r.size, np.int64) for r in rows]), np.concatenate([np.frombuffer(r.scheme, np.uint8) for r in rows])
+        low, high, entry, doc, print_, size, scheme, spare = (list(column) for column in zip(*rows))
+        rows.clear()
+        docs = [x.size // 8 for x in doc]
+        shift = np.cumsum([0, *docs])
+        entry = np.concatenate([np.frombuffer(e, "<u2" if n < 1 << 16 else "<u4").astype(np.int32) + np.int32(s) for e, n, s in zip(entry, docs, shift)])
+        high = np.concatenate([np.frombuffer(x, np.uint8) for x in high])
+        marked = high & 1
+        sig = np.concatenate([np.frombuffer(x, "<u4") for x in low]).astype(np.uint64)
+        sig |= (high >> 1).astype(np.uint64) << np.uint64(32)
+        doc, print_, size = (np.concatenate([np.frombuffer(x, np.int64) for x in column]) for column in (doc, print_, size))
+        scheme, spare = np.concatenate([np.frombuffer(x, np.uint8) for x in scheme]), np.concatenate([np.frombuffer(x, "<i4") for x in spare])
+        del low, high
         # Equal sets of other partitions: the smallest document stands for all.
         by_set = np.lexsort((doc, size, print_))
         head = np.ones(len(by_set), dtype=bool)
@@ -208,80 +228,113 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shared = np.repeat(count > 1, count)
         sig, order = sig[shared], order[shared]
         who, flag = first[entry[order]], marked[order]
-        kind, measure = scheme[entry[order]].astype(np.int64), size[entry[order]]
+        kind, measure, units = scheme[entry[order]].astype(np.int64), size[entry[order]], spare[entry[order]]
         again = np.lexsort((1 - flag, who, sig))
-        sig, who, flag, kind, measure = sig[again], who[again], flag[again], kind[again], measure[again]
+        sig, who, flag, kind, measure, units = sig[again], who[again], flag[again], kind[again], measure[again], units[again]
         fresh = np.ones(len(sig), dtype=bool)
         fresh[1:] = (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])
-        sig, who, flag, kind, measure = sig[fresh], who[fresh], flag[fresh], kind[fresh], measure[fresh]
+        sig, who, flag, kind, measure, units = sig[fresh], who[fresh], flag[fresh], kind[fresh], measure[fresh], units[fresh]
         head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, dtype=np.int64)
         count = np.diff(np.append(head, len(sig)))
         plain = np.repeat(count <= PLAIN, count)
-        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        meet = [np.zeros(0, dtype=np.int64)]
+        step = [np.zeros(0, dtype=np.int64)]
         at, size_here = np.arange(len(sig)), np.repeat(head + count, count)
         for gap in range(1, PLAIN):
             one = at[plain & (at + gap < size_here)]
             fits = 4 * np.minimum(measure[one], measure[one + gap]) >= 3 * np.maximum(measure[one], measure[one + gap])
-            left.append(who[one[fits]])
-            right.append(who[one[fits] + gap])
-        pairs = pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+            meet.append(one[fits])
+            step.append(one[fits] + gap)
+        x, y = np.concatenate(meet), np.concatenate(step)
+        pairs = pd.DataFrame({"a": who[x], "b": who[y], "scheme": kind[x], "spare": units[x], "other": units[y]})
         if len(pairs):
-            yield pairs.assign(kind=PAIR, sig=0, scheme=0, cost=0, size=0)[_FOUND_NAMES]
+            counted = pairs.groupby(["a", "b", "scheme", "spare", "other"], as_index=False).size().rename(columns={"size": "n"})
+            yield counted.assign(kind=PAIR, members=None, sizes=None)[_FOUND_NAMES]
         hot = ~plain
         if hot.any():
+            # What the hot segments of a set cost here, and the members of each hot signature in order of doc_id.
+            spent = pd.DataFrame({"a": who[hot], "scheme": kind[hot], "spare": units[hot], "b": 1 + flag[hot].astype(np.int64)})
+            yield spent.groupby(["a", "scheme", "spare"], as_index=False)["b"].sum().assign(kind=SPENT, other=0, n=0, members=None, sizes=None)[_FOUND_NAMES]
+            many = np.flatnonzero(count > PLAIN)
+            begin = np.concatenate([np.arange(head[k], head[k] + count[k], LIST_ROWS) for k in many])
+            owner = np.repeat(head[many], -(-count[many] // LIST_ROWS))
+            sizes = np.repeat(count[many], -(-count[many] // LIST_ROWS))
+            stop = np.minimum(begin + LIST_ROWS, owner + sizes)
             yield pd.DataFrame(
                 {
-                    "kind": HOT, "sig": (sig[hot] * np.uint64(1 << 20) + np.uint64(bucket)).view(np.int64), "a": who[hot], "b": 0,
-                    "scheme": kind[hot], "cost": 1 + flag[hot].astype(np.int64), "size": measure[hot],
+                    "kind": LIST, "a": (sig[begin] * np.uint64(1 << 20) + np.uint64(bucket)).view(np.int64), "b": (sizes > LIST_ROWS).astype(np.int64), "scheme": kind[begin], "spare": 0, "other": 0, "n": 0,
+                    "members": [who[i:j].tobytes() for i, j in zip(begin, stop)],
+                    "sizes": [measure[i:j].tobytes() for i, j in zip(begin, stop)],
                 }
             )[_FOUND_NAMES]
 
+    def given(bucket: int, rows: list) -> Iterator[pa.RecordBatch]:
+        for frame in close(bucket, rows):
+            yield pa.RecordBatch.from_pandas(frame, schema=_FOUND_ARROW, preserve_index=False)
+
     bucket, rows = None, []
-    for part in batches:
-        for row in part.itertuples(index=False):
-            if rows and row.bucket != bucket:
-                yield from close(bucket, rows)
+    for batch in batches:
+        for number, *row in zip(*batch.columns):
+            if rows and number.as_py() != bucket:
+                yield from given(bucket, rows)
                 rows = []
-            bucket = row.bucket
-            rows.append(row)
+            bucket = number.as_py()
+            rows.append([x.as_buffer() for x in row])
     if rows:
-        yield from close(bucket, rows)
+        yield from given(bucket, rows)
 
 
 _FOUND_NAMES = [part.split()[0] for part in _FOUND.split(", ")]
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+_FOUND_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (part.split() for part in _FOUND.split(", "))])
 
 
 def candidates(docs: DataFrame, total: int) -> DataFrame:
-    """PAIR and HOT rows of all documents."""
+    """PAIR, SPENT and LIST rows of all documents."""
     buckets = max(12, -(-total * 7 // 10 // BUCKET_SIGNATURES))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     packed = rows.mapInArrow(_index(buckets), _PACKED)
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(_lists, _FOUND)
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _FOUND)
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def bit_filter(ids: DataFrame) -> np.ndarray:
+    """Bits of the ids in the only column of ``ids``; its size is fixed, so it may be broadcast. ``passes`` reads it."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = _slots(batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(slot >> 15), pa.array(slot & 32767)], names=["part", "bit"])
+
+    rows = ids.mapInArrow(places, "part long, bit long").groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bits = np.zeros((1 << (FILTER_BITS - 15), 4096), dtype=np.uint8)
+    for r in rows:
+        bits[r.part] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return bits
+
+
+def passes(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    slot = _slots(ids)
+    return (bits[slot >> 15, (slot & 32767) >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the documents in ``wanted`` (doc_id); a bit filter of 2**FILTER_BITS bits keeps the others' texts
     from being cut and moved, and the few that pass it by chance meet no pair later."""
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << FILTER_BITS))
-    part, place = F.bitmap_bucket_number(slot), F.bitmap_bit_position(slot)
-    parts = wanted.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(place).alias("bits")).collect()
-    size = (1 << FILTER_BITS) >> 15
-    bits = np.zeros((size + 2, 4096), dtype=np.uint8)
-    for r in parts:
-        bits[r.part] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, bit = (batch.column(k).to_numpy() for k in (2, 3))
-            hit = (shared.value[part, bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            chosen = batch.filter(pa.array(hit.astype(bool)))
+            chosen = batch.filter(pa.array(passes(shared.value, batch.column(0).to_numpy())))
             for first, end, data, offsets in byte_slices(chosen.column(1)):
                 shingles, bounds = shingle_sets(data, offsets, WORDS)
-                blobs = [shingles[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(first, end - first), pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+                packed = [shingles[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([chosen.column(0).slice(first, end - first), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", part.alias("part"), place.alias("bit"))
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(gather, "doc_id long, shingles binary")
 
 
@@ -305,25 +358,81 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").mapInPandas(check, "a long, b long")
 
 
+def _members(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
+    """(sig, leader, long, doc, size) of the list members that pass ``keeps``; the leader is the first of them in its row,
+    ``long`` says that the list has more rows."""
+    shared = lists.sparkSession.sparkContext.broadcast(keeps)
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                doc, size = np.frombuffer(row.members, np.int64), np.frombuffer(row.sizes, np.int64)
+                mine = passes(shared.value, doc)
+                if mine.sum() > 1 - row.b:
+                    yield pd.DataFrame({"sig": row.a, "leader": doc[mine][0], "long": bool(row.b), "doc": doc[mine], "size": size[mine]})
+
+    return lists.select("a", "b", "members", "sizes").mapInPandas(members, "sig long, leader long, long boolean, doc long, size long")
+
+
+def _stars(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
+    """(a, b): each kept member with the leader of its list's row."""
+    shared = lists.sparkSession.sparkContext.broadcast(keeps)
+
+    def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            for blob in rows["members"]:
+                doc = np.frombuffer(blob, np.int64)
+                doc = doc[passes(shared.value, doc)]
+                if len(doc) > 1:
+                    left.append(np.full(len(doc) - 1, doc[0]))
+                    right.append(doc[1:])
+            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+
+    return lists.select("members").mapInPandas(stars, "a long, b long").distinct()
+
+
+def _enough(pairs: DataFrame, spent: DataFrame) -> DataFrame:
+    """(a, b) of the pairs that share as many cheap signatures as two linked sets must.
+
+    Of H + 1 + E segments at most H differ. What a set has not spent on empty and hot segments, without the D designated
+    places, it must therefore share; sets that share just a passage share a few.
+    """
+    designated = F.get(F.array(*[F.lit(int(x)) for x in SCHEMES.designated]), F.col("scheme"))
+    shared = pairs.groupBy("a", "b", "scheme").agg(F.sum("n").alias("n"), F.min("spare").alias("left_a"), F.min("other").alias("left_b"))
+    paid = lambda end: spent.select(F.col("a").alias(end), "scheme", F.col("spent").alias(f"spent_{end}")).hint("rebalance")
+    known = shared.join(paid("a"), ["a", "scheme"], "left").join(paid("b"), ["b", "scheme"], "left")
+    least = F.greatest(*[F.col(f"left_{end}") - F.coalesce(f"spent_{end}", F.lit(0)) for end in ("a", "b")]) - designated + 1
+    return known.where(F.col("n") >= least).select("a", "b").distinct()
+
+
 def links(docs: DataFrame, total: int) -> DataFrame:
     """Links (a, b) between different sets, as many as components need."""
-    found = cut(candidates(docs, total), "jaccard-candidates")
-    plain = found.where(F.col("kind") == PAIR).select("a", "b").distinct()
-    hot = found.where(F.col("kind") == HOT).select("sig", F.col("a").alias("doc"), "scheme", "cost", "size")
-    spare = F.array(*[F.lit(int(x)) for x in SCHEMES.spare])
-    spent = hot.groupBy("doc", "scheme").agg(F.sum("cost").alias("spent")).where(F.col("spent") > F.get(spare, F.col("scheme")))
-    kept = cut(hot.join(spent.select("doc", "scheme").hint("rebalance"), ["doc", "scheme"], "left_semi"), "jaccard-hot")
-    leaders = kept.groupBy("sig").agg(F.min("doc").alias("a"))
-    stars = kept.join(leaders.hint("rebalance"), "sig").where("a < doc").select("a", F.col("doc").alias("b")).distinct()
+    found = cut(candidates(docs, total), "jaccard-candidates", "zstd")
+    lists = found.where(F.col("kind") == LIST)
+    spent = found.where(F.col("kind") == SPENT).groupBy("a", "scheme").agg(F.sum("b").alias("spent"), F.min("spare").alias("spare"))
+    spent = cut(spent, "jaccard-spent")
+    plain = _enough(found.where(F.col("kind") == PAIR), spent)
+    overspent = bit_filter(spent.where(F.col("spent") > F.col("spare")).select("a").distinct())
+    stars = cut(_stars(lists, overspent), "jaccard-stars")
     first = cut(plain.union(stars).distinct(), "jaccard-pairs")
-    wanted = first.select(F.explode(F.array("a", "b")).alias("doc_id")).union(kept.select(F.col("doc").alias("doc_id"))).distinct()
-    sets = cut(sets_of(docs, wanted), "jaccard-sets")
+    sets = cut(sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "jaccard-sets")
     linked = cut(verified(first, sets), "jaccard-links")
-    part = components(linked, "jaccard-first")
-    member = kept.join(part.hint("rebalance"), kept["doc"] == part["node"], "left").select("sig", "doc", "size", F.coalesce("component", "doc").alias("component"))
+    part = cut(components(linked, "jaccard-first"), "jaccard-parts")
+    # A list whose members all share its leader's component is done; the others, and those of several rows, compare their
+    # members of different components.
+    apart = (
+        stars.join(part.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
+        .join(part.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
+        .where(F.coalesce("x", "a") != F.coalesce("y", "b"))
+    )
+    leaders = docs.sparkSession.sparkContext.broadcast(bit_filter(apart.select("a").distinct()))
+    led = F.pandas_udf(lambda ids: pd.Series(passes(leaders.value, ids.to_numpy())), BooleanType())
+    rows = _members(lists, overspent).where(F.col("long") | led("leader"))
+    member = rows.join(part.hint("rebalance"), rows["doc"] == part["node"], "left").select("sig", "doc", "size", F.coalesce("component", "doc").alias("component"))
     member = cut(member, "jaccard-members")
     mixed = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_rows = cut(member.join(mixed.hint("rebalance"), "sig", "left_semi"), "jaccard-open")
+    open_rows = member.join(mixed.hint("rebalance"), "sig", "left_semi")
     one, two = open_rows.alias("p"), open_rows.alias("q")
     fits = 4 * F.least("p.size", "q.size") >= 3 * F.greatest("p.size", "q.size")
     across = one.join(two, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.doc") < F.col("q.doc")) & (F.col("p.component") != F.col("q.component")) & fits)
