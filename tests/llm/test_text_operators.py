@@ -91,7 +91,9 @@ def linked(sets):
                 yield a, b
 
 
-def test_jaccard_join(docs, none):
+@pytest.mark.parametrize("list_rows", [1 << 16, 7])
+def test_jaccard_join(docs, none, monkeypatch, list_rows):
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", list_rows)
     sets = {r[0]: shingles(r[1]) for r in rows() if r[0] is not None}
     expected = union_find(linked(sets), sets)
     got = jaccard_join.join_components(docs).collect()
@@ -113,7 +115,8 @@ def test_signatures_meet(sets, seed):
     arrays = [np.unique(np.array(s, dtype=np.uint64)) for s in sets]
     flat, bounds = np.concatenate(arrays), np.cumsum([0, *map(len, arrays)])
     entries, scheme = jaccard_join.SCHEMES.entries(np.diff(bounds))
-    sig, entry, marked = jaccard_join.signatures(flat, bounds, entries, scheme)
+    sig, entry, marked, spare_of = jaccard_join.signatures(flat, bounds, entries, scheme)
+    units = {(int(r), int(s)): int(u) for r, s, u in zip(entries, scheme, spare_of)}
     held = defaultdict(dict)
     for s, e, m in zip(sig.tolist(), entry.tolist(), marked.tolist()):
         held[int(entries[e]), int(scheme[e])][s] = 1 + m
@@ -125,7 +128,7 @@ def test_signatures_meet(sets, seed):
                 for which in {s for r, s in held if r == a} & {s for r, s in held if r == b}:
                     mine = list(held[a, which].items())
                     draw.shuffle(mine)
-                    spare, left = int(jaccard_join.SCHEMES.spare[which]), set()
+                    spare, left = units[a, which], set()
                     for s, cost in mine:
                         if cost <= spare:
                             spare -= cost
