@@ -368,7 +368,7 @@ def _live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     edge = F.col("trigger_seq") * TRIGGER_MS
-    return triggers.join(inside, ["recording_id", "trigger_seq"], "left").select(
+    windows = triggers.join(inside, ["recording_id", "trigger_seq"], "left").select(
         F.col("recording_id").alias("session_id"),
         "trigger_seq",
         F.greatest(F.lit(0), edge - WINDOW_MS).alias("window_start_ms"),
@@ -378,14 +378,18 @@ def _live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
                    " f.confidence as confidence))"),
             F.expr("cast(array() as array<struct<word:string,start_ms:bigint,end_ms:bigint,confidence:double>>)"),
         ).alias("words"),
+        (F.col("trigger_seq") - 1).alias("after"),  # each trigger of a session has a row
     )
+    # In the order of events, so that a replay file by file holds few windows back.
+    return windows.repartitionByRange("trigger_seq", "session_id").sortWithinPartitions("trigger_seq", "session_id")
 
 
 def live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, "live_windows", sf_dir, lambda: _live_windows(spark, sf_dir))
+    return staged(spark, "live_windows", sf_dir, lambda: _live_windows(spark, sf_dir)).drop("after")
 
 
 def live_windows_path(spark: SparkSession, sf_dir: str) -> str:
+    """The stored windows with ``after``, the trigger before each in its session (0 for the first)."""
     live_windows(spark, sf_dir)
     return staged_path(spark, "live_windows", sf_dir)
 

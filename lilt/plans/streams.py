@@ -38,11 +38,13 @@ def _to_parquet(spark: SparkSession, rows: DataFrame, name: str) -> str:
 
 
 def live_words_table(spark: SparkSession, d: str, files_per_batch: int | None = 4) -> DataFrame:
-    """Replay of the live windows through the deduplicating stream, once per application and source."""
+    """Replay of the live windows through the deduplicating stream, once per application and source.
+
+    The files are read in about the order of events, so that few windows wait; results don't depend on it."""
     key = (spark.sparkContext.applicationId, d, "live")
     if key not in _DONE:
         source = _source(spark, fx.live_windows_path(spark, d), files_per_batch)
-        _DONE[key] = _to_parquet(spark, live.live_words(source, idle_ms=None), "live-words")
+        _DONE[key] = _to_parquet(spark, live.live_words(source, idle_ms=None, wait=live.NO_END), "live-words")
     return spark.read.parquet(_DONE[key])
 
 

@@ -6,6 +6,7 @@ words that start at or after the cursor and end at least 0.4 s before the live e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from typing import Any
@@ -25,6 +26,8 @@ RESUME_MS = 2000
 CHUNK_STEP = 2
 # A window that is ahead of its turn waits until this many windows have come after the missing one.
 WAIT_WINDOWS = 4
+# For stored windows, of which none can still be missing.
+NO_END = math.inf
 # A session without events for this long gives out what waits and is forgotten.
 IDLE_MS = 60_000
 
@@ -35,7 +38,7 @@ EMITTED = (
 )
 STATE = (
     "next_seq long, cursor_ms long, waiting array<struct<trigger_seq long, window_start_ms long, window_len_ms long,"
-    " words array<struct<word string, start_ms long, end_ms long, confidence double>>>>"
+    " words array<struct<word string, start_ms long, end_ms long, confidence double>>, after long>>"
 )
 
 
@@ -63,15 +66,18 @@ def _plain(words: Any) -> list[dict[str, Any]]:
 
 
 def turns(
-    following: int | None, cursor: int, held: dict[int, tuple], wait: int
+    following: int | None, cursor: int, held: dict[int, tuple], wait: float
 ) -> tuple[int | None, int, list[tuple[int, int, list]]]:
-    """Windows in order, over gaps: a missing window is given up once a window ``wait`` places after it is there."""
+    """Windows in order, over gaps: a missing window is given up once a window ``wait`` places after it is there, or at
+    once where the next window names, as its fourth part, a predecessor that has had its turn."""
     out = []
     while held:
         least = min(held)
-        if following is not None and least > following and max(held) - following < wait:
+        start, length, words, *after = held[least]
+        known = after and after[0] is not None and after[0] < (following or 0)
+        if following is not None and least > following and not known and max(held) - following < wait:
             break
-        start, length, words = held.pop(least)
+        del held[least]
         cursor, fresh = advance(cursor, start, length, words)
         if fresh:
             out.append((least, start, fresh))
@@ -79,9 +85,11 @@ def turns(
     return following, cursor, out
 
 
-def _emit(idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+def _emit(
+    idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: Any, wait: float = WAIT_WINDOWS
+) -> Iterator[pd.DataFrame]:
     following, cursor, waiting = state.get if state.exists else (1, 0, [])
-    held = {int(s): (int(a), int(n), [dict(zip(WORD, x)) for x in words]) for s, a, n, words in waiting}
+    held = {int(s): (int(a), int(n), [dict(zip(WORD, x)) for x in words], after) for s, a, n, words, after in waiting}
     if idle_ms and state.hasTimedOut:
         _, _, out = turns(following, cursor, held, 0)
         state.remove()
@@ -89,26 +97,31 @@ def _emit(idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], stat
         for rows in batches:
             for r in rows.itertuples(index=False):
                 if r.trigger_seq >= following:
-                    held[int(r.trigger_seq)] = (int(r.window_start_ms), int(r.window_len_ms), _plain(r.words))
-        following, cursor, out = turns(following, cursor, held, WAIT_WINDOWS)
-        state.update((following, cursor, [(s, a, n, [tuple(w.values()) for w in words]) for s, (a, n, words) in sorted(held.items())]))
+                    seq, after = int(r.trigger_seq), int(r.after) if "after" in rows else None
+                    if after is not None and seq in held:  # a repeated window follows the one before its first row
+                        after = min(after, held[seq][3])
+                    held[seq] = (int(r.window_start_ms), int(r.window_len_ms), _plain(r.words), after)
+        following, cursor, out = turns(following, cursor, held, wait)
+        waits = sorted(held.items())
+        state.update((following, cursor, [(s, a, n, [tuple(w.values()) for w in words], after) for s, (a, n, words, after) in waits]))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
     if out:
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["session_id", "trigger_seq", "window_start_ms", "words"])
 
 
-def live_words(windows: DataFrame, idle_ms: int | None = IDLE_MS) -> DataFrame:
+def live_words(windows: DataFrame, idle_ms: int | None = IDLE_MS, wait: float = WAIT_WINDOWS) -> DataFrame:
     """Emitted words per trigger, append mode; one row per trigger that adds words.
 
     Windows that arrive ahead of their turn wait in the state, ``WAIT_WINDOWS`` at most, so results do not depend on file
     or partition order. A window that was left out, or a stream joined later, holds nothing up beyond that: the cursor
     goes on with the windows that are there, and what comes later for a given-up place is dropped. Idle sessions give out
     what waits and leave the state. A replay of stored windows passes ``idle_ms=None``: a timer keeps a bounded run from
-    ending.
+    ending. Its windows are all there, so it gives none up (``wait=NO_END``), in whatever order the files are read: a
+    column ``after`` names the stored window before each (0 for the first), which takes the cursor over real gaps.
     """
     timer = "ProcessingTimeTimeout" if idle_ms else "NoTimeout"
-    return windows.groupBy("session_id").applyInPandasWithState(partial(_emit, idle_ms), EMITTED, STATE, "append", timer)
+    return windows.groupBy("session_id").applyInPandasWithState(partial(_emit, idle_ms, wait=wait), EMITTED, STATE, "append", timer)
 
 
 def flat_words(emitted: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lilt import fixtures as fx
@@ -43,6 +44,38 @@ def test_live_words(spark):
     assert got == {k: fold(v) for k, v in want.items()}
 
 
+def test_replay_of_many_files(spark, monkeypatch):
+    """Windows in hash order over 12 files, with gaps of one and of six: nothing is given up."""
+    source = f"{SF}/."
+    gaps = (F.col("trigger_seq") % 17 != 5) & ~F.col("trigger_seq").between(8, 13)
+    before = F.coalesce(F.lag("trigger_seq").over(Window.partitionBy("session_id").orderBy("trigger_seq")), F.lit(0).cast("bigint"))
+    spread = fx.live_windows(spark, SF).where(gaps).withColumn("after", before).repartition(12, "session_id", "trigger_seq")
+    monkeypatch.setattr(fx, "_live_windows", lambda spark, d: spread)
+    want = {}
+    for r in spread.orderBy("session_id", "trigger_seq").collect():
+        want.setdefault(r.session_id, []).append((r.window_start_ms, r.window_len_ms, [w.asDict() for w in r.words]))
+    got = {}
+    for r in live.flat_words(streams.live_words_table(spark, source)).orderBy("session_id", "trigger_seq", "pos").collect():
+        got.setdefault(r.session_id, []).append((r.word, r.start_ms))
+    assert got == {k: v for k, v in ((k, fold(v)) for k, v in want.items()) if v}
+
+
+def test_stored_windows_in_any_order():
+    import pandas as pd
+
+    word = lambda t: [{"word": f"w{t}", "start_ms": 100, "end_ms": 1500, "confidence": None}]
+    kept = [s for s in range(1, 30) if s not in (3, 9, 10, 11, 12, 13, 14)]
+    rows = [(s, 2000 * s, 2000, word(s), p) for s, p in zip(kept, [0, *kept])]
+    rows.append((15, 30_000, 2000, word(15), 15))  # a repeated window
+    random.Random(1).shuffle(rows)
+    state, seen = State(), []
+    for k in range(0, len(rows), 3):
+        part = pd.DataFrame(rows[k : k + 3], columns=["trigger_seq", "window_start_ms", "window_len_ms", "words", "after"])
+        for out in live._emit(None, (7,), iter([part]), state, live.NO_END):
+            seen += out["trigger_seq"].tolist()
+    assert seen == kept and state.value[2] == []
+
+
 def test_silence_moves_the_cursor():
     cursor, words = live.advance(0, 0, 8000, [])
     assert (cursor, words) == (6000, [])
