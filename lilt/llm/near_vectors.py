@@ -5,8 +5,11 @@ a. A query visits, besides its own bucket, those buckets whose keys differ by on
 of estimated success: the squared distances to the crossed bucket borders, by the order of their expected values, so one list
 of perturbation sets serves all queries. Candidates of all tables are merged and ranked by their exact cosine.
 
-The key length grows with the table (0.64 bits a doubling) and the probes with it (7 x 1.5^m a table), which held the recall on
-the test tables at 0.9 and more from 500 to 51,282 rows; ``recall`` measures it against brute force.
+The key length starts from the table's size (0.64 bits a doubling) and the probes from the key length (7 x 1.5^m a table). Both are
+then set by measurement: the true neighbours of at most ``SAMPLE`` queries are found by brute force over all rows, and the place of
+each in its query's probes tells the recall of any number of probes. Probes are added until ``TARGET`` of the sample's
+neighbours are found; where ``MORE_PROBES`` times the first number isn't enough, keys get shorter, down to one bucket that holds all
+rows. ``recall`` measures the result against brute force.
 
 Index rows are range-partitioned by bucket and packed into blocks of equal size, so a bucket that holds a third of all
 rows spreads over many blocks. A block of queries sends each index block only its probes that fall into it. No candidate is capped.
@@ -33,6 +36,10 @@ from lilt.session import cut
 TABLES = 8
 #: Bucket width in standard deviations of a projection.
 WIDTH = 2.0
+#: Queries whose true neighbours are found, and the share of these that probes must reach: 0.9 and a margin for the sample.
+SAMPLE = 256
+TARGET = 0.93
+MORE_PROBES = 4
 
 
 def key_length(n: int) -> int:
@@ -47,6 +54,8 @@ def perturbations(m: int, count: int) -> np.ndarray:
     """The first ``count`` sets of ranks (1 to 2m, by distance to the border) in order of expected cost; the empty set is first.
 
     Ranks j and 2m + 1 - j are the two borders of one coordinate, so no set holds both."""
+    if not m:  # no coordinate, one bucket
+        return np.zeros((1, 0), dtype=np.uint64)
     half = [j * (j + 1) / (4 * (m + 1) * (m + 2)) for j in range(1, m + 1)]
     cost = [0.0, *half, *[1 - (2 * m + 1 - j) / (m + 1) + (2 * m + 1 - j) * (2 * m + 2 - j) / (4 * (m + 1) * (m + 2)) for j in range(m + 1, 2 * m + 1)]]
     out = [()]
@@ -129,6 +138,57 @@ def _search(dim: int, k: int, tables: int):
     return search
 
 
+def _sampled(found: DataFrame, is_query: Column, dim: int, k: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, neighbours): unit vectors of the true k nearest of at most ``sample`` queries, by hash of their ids, pair by pair."""
+    asked = found.where(is_query).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    if not len(asked):
+        return np.zeros((0, dim)), np.zeros((0, dim))
+    q_ids, q = asked["vec_id"].to_numpy(dtype=np.int64), _unit(vec.matrix(asked["v"].tolist(), dim))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        none = np.zeros(0, dtype=np.int64)
+        best = (none, none, np.zeros(0))
+        for part in vec.chunks(batches, 4096):
+            ids = part["vec_id"].to_numpy(dtype=np.int64)
+            score = np.where(q_ids[:, None] == ids[None, :], -np.inf, q @ _unit(vec.matrix(part["v"].tolist(), dim)).T)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            i, j = np.repeat(np.arange(len(q_ids)), top.shape[1]), top.ravel()
+            real = np.isfinite(score[i, j])
+            i, j = i[real], j[real]
+            best = vec.best(np.concatenate((best[0], q_ids[i])), np.concatenate((best[1], ids[j])), np.concatenate((best[2], score[i, j])), k)
+        yield pd.DataFrame({"query_id": best[0], "vec_id": best[1], "score": best[2]})
+
+    true = vec.ranked(found.mapInPandas(scan, "query_id long, vec_id long, score double"), k)
+    pairs = true.join(found, "vec_id").select("query_id", "v").toPandas()
+    if not len(pairs):
+        return np.zeros((0, dim)), np.zeros((0, dim))
+    at = {x: n for n, x in enumerate(q_ids.tolist())}
+    return q[[at[x] for x in pairs["query_id"]]], _unit(vec.matrix(pairs["v"].tolist(), dim))
+
+
+def places(hashes: Hashes, sets: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Per pair, the smallest place over all tables of the bucket of v among the probes of q; len(sets) if it isn't among them."""
+    out = np.full(len(q), len(sets), dtype=np.int64)
+    for table in range(hashes.tables):
+        bucket = hashes.bucket(hashes.keys(v, table)[0])
+        for a in range(0, len(q), 128):
+            hit = hashes.probes(q[a : a + 128], table, sets) == bucket[a : a + 128, None]
+            out[a : a + 128] = np.minimum(out[a : a + 128], np.where(hit.any(axis=1), hit.argmax(axis=1), len(sets)))
+    return out
+
+
+def tuned(dim: int, n: int, tables: int, seed: int, q: np.ndarray, v: np.ndarray, target: float = TARGET) -> tuple[Hashes, np.ndarray]:
+    """Projections and perturbation sets that find ``target`` of the pairs (q, v)."""
+    for m in range(key_length(n), -1, -1):
+        hashes, first = Hashes(dim, m, tables, seed), probe_count(m)
+        sets = perturbations(m, MORE_PROBES * first)
+        place = np.sort(places(hashes, sets, q, v))
+        need = int(place[math.ceil(target * len(place)) - 1]) + 1 if len(place) else 1
+        if need <= len(sets):
+            return hashes, sets[: max(first, need)]
+    raise AssertionError("one bucket holds all rows")
+
+
 def nearest(
     rows: DataFrame, is_query: Column, k: int = 5, tables: int = TABLES, seed: int = 11, block_rows: int = 4096, query_rows: int = 512
 ) -> DataFrame:
@@ -136,8 +196,7 @@ def nearest(
     usable = vec.usable(rows, lambda x: x).where(F.exists("v", lambda x: x != 0))
     found = cut(usable, "near-vectors")
     dim, n = max(1, vec.dimension(found)), found.count()
-    m = key_length(n)
-    hashes, sets = Hashes(dim, m, tables, seed), perturbations(m, probe_count(m))
+    hashes, sets = tuned(dim, n, tables, seed, *_sampled(found, is_query, dim, k, SAMPLE))
     n_blocks = max(1, -(-n * tables // block_rows))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
