@@ -445,6 +445,43 @@ def test_language_id(spark, none):
     assert {(r.lang_pred, r.score) for r in unlearned} == {("und", 0.0)}
 
 
+def test_many_languages(spark):
+    """130 language tags, each with words of its own."""
+    word = lambda k, j: "".join(chr(97 + (k * 131 + j * 17 + (k * j) % 23 + i * (k % 19 + 3)) % 26) for i in range(9)) + chr(97 + k % 26) + chr(97 + k // 26)
+    text = lambda k: " ".join(word(k, j) for j in range(12))
+    table = [(4 * k + c, f"{text(k)} {text(k)}", f"l{k:03d}") for k in range(130) for c in range(2)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, lang string").repartition(2)
+    got = language_id.predict(docs, language_id.learn(docs)).collect()
+    assert len(got) == 260 and all(r.lang_pred == r.lang and r.score > 0.5 for r in got)
+
+
+def test_slots_follow_the_grams(spark):
+    """More grams than the smallest table can tell apart: random texts of two languages, and a third that no language holds."""
+    draw = np.random.default_rng(2)
+    letters = {"aa": "abcdefghijklm", "bb": "nopqrstuvwxyz"}
+    text = lambda s, n: " ".join("".join(draw.choice(list(s), 8)) for _ in range(n))
+    table = [(k, t, lang) for lang, s in letters.items() for k in range(10) for t in [text(s, 300)] for _ in range(2)]
+    foreign = [(1000 + k, text("abcdefghijklmnopqrstuvwxyz", 40), None) for k in range(10)]
+    docs = spark.createDataFrame(table + foreign, "doc_id long, text string, lang string")
+    learned = language_id.learn(docs, least_bits=12)
+    assert learned.bits > 12 and learned.parts == 1
+    masks = learned.filters(0).masks[0]
+    assert max(((masks >> np.uint64(k)) & np.uint64(1)).mean() for k in range(2)) <= language_id.MOST_FILL + 0.02
+    assert language_id.table_size(2, 3_000_000) == (22, 4) and language_id.table_size(65, 100) == (20, 1)
+    wide = [x.max() for x in language_id.slots(language_id.mix(np.arange(99, dtype=np.uint64)) >> np.uint64(6), 24)]
+    assert 1 << 20 < min(wide) and max(wide) < 1 << 24
+    split = language_id.learn(docs, part_words=1 << 13, least_bits=12)
+    assert split.parts > 1
+    whole, parted = (sorted((r.doc_id, r.text, r.lang, r.lang_pred, r.score) for r in language_id.predict(docs.fillna("", ["lang"]), x).collect()) for x in (learned, split))
+    assert len(whole) == len(parted) == 50
+    for one, two in zip(whole, parted):
+        assert one[:3] == two[:3] and abs(one[4] - two[4]) < 0.1
+        if one[2]:
+            assert one[3] == two[3] == one[2] and min(one[4], two[4]) > 0.9
+        else:
+            assert max(one[4], two[4]) < 0.2
+
+
 def test_filters_find_all_grams_they_hold():
     data = np.frombuffer(b" some words for a filter ", dtype=np.uint8)
     hashes, _ = language_id.gram_hashes(data, np.array([0, len(data)]))
