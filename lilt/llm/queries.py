@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lilt.llm import jaccard_join, language_id, line_dedup, mixing, near_vectors, packing, personal_data, sharding, token_files, top_k
+from lilt.llm import jaccard_join, language_id, line_dedup, merkle, mixing, near_vectors, packing, personal_data, sharding, token_files, top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,3 +140,61 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = language_id.learn(docs.where(~language_id.held_out()))
     found = language_id.predict(docs.select("doc_id", "text"), filters)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query(
+    "op12_merkle_manifest",
+    """
+    WITH RECURSIVE rows AS (
+        SELECT row_number() OVER () AS k, doc_id, lang,
+            coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+            xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+                lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1)))) % 3 = 0 AS touched
+        FROM documents),
+    framed AS (
+        SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS low
+        FROM rows),
+    leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS m FROM framed),
+    trees(lang, level, idx, digest, m) AS (
+        SELECT lang, 0, rank, leaf, m FROM leaves
+        UNION ALL
+        SELECT t.lang, t.level, t.idx, t.digest, t.m FROM (
+            SELECT lang, level + 1 AS level, idx // 8 AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest, (any_value(m) + 7) // 8 AS m
+            FROM trees WHERE m > 1 GROUP BY lang, level, idx // 8) t),
+    subroots AS (
+        SELECT lang, digest, level AS depth, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank, count(*) OVER () AS m FROM trees WHERE m = 1),
+    tops(level, idx, digest, m) AS (
+        SELECT 0, rank, digest, m FROM subroots
+        UNION ALL
+        SELECT t.level, t.idx, t.digest, t.m FROM (
+            SELECT level + 1 AS level, idx // 8 AS idx, sha256(string_agg(digest, '' ORDER BY idx)) AS digest, (any_value(m) + 7) // 8 AS m
+            FROM tops WHERE m > 1 GROUP BY level, idx // 8) t),
+    places AS (
+        SELECT l.k, n.level AS step, string_agg(n.digest, '' ORDER BY n.idx) FILTER (n.idx < l.rank // (8 ** n.level)::BIGINT) AS before,
+            string_agg(n.digest, '' ORDER BY n.idx) FILTER (n.idx > l.rank // (8 ** n.level)::BIGINT) AS after
+        FROM leaves l JOIN trees n ON n.lang IS NOT DISTINCT FROM l.lang AND n.idx // 8 = l.rank // (8 ** (n.level + 1))::BIGINT AND n.m > 1
+        GROUP BY ALL
+        UNION ALL
+        SELECT l.k, s.depth + n.level, string_agg(n.digest, '' ORDER BY n.idx) FILTER (n.idx < s.rank // (8 ** n.level)::BIGINT),
+            string_agg(n.digest, '' ORDER BY n.idx) FILTER (n.idx > s.rank // (8 ** n.level)::BIGINT)
+        FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang
+        JOIN tops n ON n.idx // 8 = s.rank // (8 ** (n.level + 1))::BIGINT AND n.m > 1
+        GROUP BY ALL),
+    folds(k, step, digest) AS (
+        SELECT k, 0, CASE WHEN touched THEN low ELSE leaf END FROM leaves
+        UNION ALL
+        SELECT f.k, f.step + 1, sha256(coalesce(p.before, '') || f.digest || coalesce(p.after, '')) FROM folds f JOIN places p ON p.k = f.k AND p.step = f.step),
+    proofs AS (SELECT k, string_agg(coalesce(before, '') || coalesce(after, ''), '' ORDER BY step) AS siblings FROM places GROUP BY k),
+    ends AS (SELECT k, arg_max(digest, step) AS folded_root FROM folds GROUP BY k)
+    SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+        e.folded_root, e.folded_root = r.digest AS verified
+    FROM leaves l JOIN subroots s ON s.lang IS NOT DISTINCT FROM l.lang JOIN (SELECT digest FROM tops WHERE m = 1) r ON true
+    JOIN ends e ON e.k = l.k LEFT JOIN proofs p ON p.k = l.k
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(table(spark, sf_dir, "documents"))
