@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lilt.llm import jaccard_join, language_id, line_dedup, merkle, mixing, near_vectors, packing, personal_data, sharding, token_files, top_k
+from lilt.llm import jaccard_join, language_id, line_dedup, merkle, mixing, near_vectors, packing, personal_data, sharding, token_files, top_k, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,6 +142,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op11_feast_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(rows, whitening.fit(rows))
+
+
 @query(
     "op12_merkle_manifest",
     """
