@@ -20,7 +20,6 @@ from lilt.session import cut
 #: White space of words and lines: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
-_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -34,18 +33,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-_POWERS: dict[str, np.ndarray] = {}
+_PLACES: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, SLICE_BYTES)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, np.uint64(base & _MASK), dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
+def _places(n: int) -> np.ndarray:
+    """Odd factors, one per place in a word, at least n of them."""
+    if not _PLACES or len(_PLACES[0]) < n:
+        _PLACES[:] = [mix(np.arange(1, max(n, 1024) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)]
+    return _PLACES[0]
 
 
 def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -64,8 +59,12 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         first = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, A-Z lower-cased, in order, and the row of each."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, A-Z lower-cased if ``fold``, in order, and the row of each.
+
+    A word's hash adds up its bytes' values, each times a factor drawn for its place in the word. Powers of one base would
+    give equal sums to some regular words of the same length.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
@@ -77,11 +76,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     at = np.flatnonzero(begins)
     if not len(at):
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    up, down = _powers(n)
-    lowered = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
-    value = _BYTES[lowered] * up[:n]
+    place = np.arange(n, dtype=np.int64)
+    place[at[0] :] -= np.repeat(at, np.diff(np.append(at, n)))
+    place[~solid] = 0
+    if fold:
+        data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
+    value = _BYTES[data] * _places(int(place.max()) + 1)[place]
     value[~solid] = 0
-    return mix(np.add.reduceat(value, at) * down[at]), np.searchsorted(offsets, at, "right") - 1
+    return mix(np.add.reduceat(value, at)), np.searchsorted(offsets, at, "right") - 1
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray]:
