@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lilt.llm import jaccard_join, language_id, line_dedup, merkle, mixing, near_vectors, packing, personal_data, sharding, token_files, top_k, whitening
+from lilt.llm import jaccard_join, language_id, line_dedup, merkle, mixing, near_vectors, packing, personal_data, sharding, substring_dedup, token_files, top_k, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -204,3 +204,28 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_substring_dedup",
+    r"""
+    WITH docs AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    windows AS (
+        SELECT k, doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h
+        FROM docs, unnest(range(1, len(words) - 48)) AS u(i)),
+    firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+    late AS (SELECT k, i FROM windows JOIN firsts USING (h) WHERE doc_id > first),
+    places AS (SELECT k, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM docs),
+    marked AS (
+        SELECT p.k, p.i, p.word, coalesce(max(l.i) OVER (PARTITION BY p.k ORDER BY p.i) > p.i - 50, false) AS gone
+        FROM places p LEFT JOIN late l ON l.k = p.k AND l.i = p.i),
+    kept AS (
+        SELECT k, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS text
+        FROM marked GROUP BY k)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (k)
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
