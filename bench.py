@@ -44,7 +44,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
 
     began = time.time()
-    for derive in (fx.words, fx.phrased, fx.staged_segments, fx.pitch_frames, fx.job_events, fx.audio_chunks, fx.live_windows):
+    for derive in (fx.words, fx.phrased, fx.staged_segments, fx.pitch_frames, fx.job_events, fx.audio_chunks, fx.live_events):
         derive(spark, sf_dir)
     staging = time.time() - began
 

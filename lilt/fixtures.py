@@ -331,10 +331,11 @@ def pcm_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live triggers of each recording, up to the one behind its last word."""
     ends = words(spark, sf_dir).groupBy("recording_id").agg(F.max("end_ms").alias("last_ms"))
     span = 4096
-    triggers = (
+    return (
         ends.withColumn("n", F.expr(f"last_ms div {TRIGGER_MS} + 1"))
         .select("recording_id", "n", F.explode(F.expr(f"sequence(0, (n - 1) div {span})")).alias("part"))
         .repartition("recording_id", "part")
@@ -343,6 +344,10 @@ def _live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.explode(F.expr(f"sequence(part * {span} + 1, least(n, (part + 1) * {span}))")).alias("trigger_seq"),
         )
     )
+
+
+def _live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    triggers = _triggers(spark, sf_dir)
     reach = F.expr(
         f"sequence(greatest(1, (end_ms + {TRIGGER_MS - 1}) div {TRIGGER_MS}), "
         f"(start_ms + {WINDOW_MS}) div {TRIGGER_MS})"
@@ -368,7 +373,7 @@ def _live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     edge = F.col("trigger_seq") * TRIGGER_MS
-    windows = triggers.join(inside, ["recording_id", "trigger_seq"], "left").select(
+    return triggers.join(inside, ["recording_id", "trigger_seq"], "left").select(
         F.col("recording_id").alias("session_id"),
         "trigger_seq",
         F.greatest(F.lit(0), edge - WINDOW_MS).alias("window_start_ms"),
@@ -378,20 +383,43 @@ def _live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
                    " f.confidence as confidence))"),
             F.expr("cast(array() as array<struct<word:string,start_ms:bigint,end_ms:bigint,confidence:double>>)"),
         ).alias("words"),
+    )
+
+
+def live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, "live_windows", sf_dir, lambda: _live_windows(spark, sf_dir))
+
+
+def _live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word once, with the first and last window that hold it, and the windows with their number of words."""
+    first, last = (F.expr(e) for e in (f"greatest(1, (end_ms + {TRIGGER_MS - 1}) div {TRIGGER_MS})", f"(start_ms + {WINDOW_MS}) div {TRIGGER_MS}"))
+    none = lambda kind: F.lit(None).cast(kind)
+    triggers = _triggers(spark, sf_dir)
+    heard = words(spark, sf_dir).select(
+        F.col("recording_id").alias("session_id"), first.alias("first_seq"), last.alias("last_seq"), "word_idx", "word", "start_ms", "end_ms", "confidence"
+    ).where("first_seq <= last_seq")
+    # The live edge never passes the end of the audio, so a word's last window may not come.
+    counted = heard.select(F.col("session_id").alias("recording_id"), F.explode(F.sequence("first_seq", "last_seq")).alias("trigger_seq")).groupBy(
+        "recording_id", "trigger_seq").agg(F.count("*").cast("int").alias("n_words"))
+    edge = F.col("trigger_seq") * TRIGGER_MS
+    windows = triggers.join(counted, ["recording_id", "trigger_seq"], "left").select(
+        F.col("recording_id").alias("session_id"), F.col("trigger_seq").alias("first_seq"), F.col("trigger_seq").alias("last_seq"),
+        none("long").alias("word_idx"), none("string").alias("word"), F.greatest(F.lit(0), edge - WINDOW_MS).alias("start_ms"), edge.alias("end_ms"),
+        none("double").alias("confidence"), F.coalesce("n_words", F.lit(0)).alias("n_words"),
         (F.col("trigger_seq") - 1).alias("after"),  # each trigger of a session has a row
     )
+    events = heard.select("*", none("int").alias("n_words"), none("long").alias("after")).unionByName(windows)
     # In the order of events, so that a replay file by file holds few windows back.
-    return windows.repartitionByRange("trigger_seq", "session_id").sortWithinPartitions("trigger_seq", "session_id")
+    return events.repartitionByRange("first_seq", "session_id").sortWithinPartitions("first_seq", "session_id")
 
 
-def live_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(spark, "live_windows", sf_dir, lambda: _live_windows(spark, sf_dir)).drop("after")
+def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, "live_events", sf_dir, lambda: _live_events(spark, sf_dir))
 
 
-def live_windows_path(spark: SparkSession, sf_dir: str) -> str:
-    """The stored windows with ``after``, the trigger before each in its session (0 for the first)."""
-    live_windows(spark, sf_dir)
-    return staged_path(spark, "live_windows", sf_dir)
+def live_events_path(spark: SparkSession, sf_dir: str) -> str:
+    live_events(spark, sf_dir)
+    return staged_path(spark, "live_events", sf_dir)
 
 
 def casing_vocabulary(spark: SparkSession, sf_dir: str, least: int = 3) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,15 +21,35 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lilt-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: State with lists, maps and timers lives in RocksDB; a commit then writes changes, not whole states.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+BATCH_BYTES = 64 << 20
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB; the session's own settings come back afterwards."""
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _finish(writer: DataStreamWriter) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def _source(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    limit = ("maxFilesPerTrigger", files_per_batch) if files_per_batch else ("maxBytesPerTrigger", BATCH_BYTES)
+    return reader.option(*limit).parquet(path)
 
 
 def _to_parquet(spark: SparkSession, rows: DataFrame, name: str) -> str:
@@ -37,14 +59,15 @@ def _to_parquet(spark: SparkSession, rows: DataFrame, name: str) -> str:
     return path
 
 
-def live_words_table(spark: SparkSession, d: str, files_per_batch: int | None = 4) -> DataFrame:
-    """Replay of the live windows through the deduplicating stream, once per application and source.
+def live_words_table(spark: SparkSession, d: str, files_per_batch: int | None = None) -> DataFrame:
+    """Replay of the live words and windows through the deduplicating stream, once per application and source.
 
     The files are read in about the order of events, so that few windows wait; results don't depend on it."""
     key = (spark.sparkContext.applicationId, d, "live")
     if key not in _DONE:
-        source = _source(spark, fx.live_windows_path(spark, d), files_per_batch)
-        _DONE[key] = _to_parquet(spark, live.live_words(source, idle_ms=None, wait=live.NO_END), "live-words")
+        source = _source(spark, fx.live_events_path(spark, d), files_per_batch)
+        with state_store(spark):
+            _DONE[key] = _to_parquet(spark, live.live_words(source, idle_ms=None, wait=live.NO_END), "live-words")
     return spark.read.parquet(_DONE[key])
 
 

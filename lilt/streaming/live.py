@@ -2,18 +2,24 @@
 
 Windows of a session overlap by six seconds. A cursor per session marks what has been emitted; each window adds the
 words that start at or after the cursor and end at least 0.4 s before the live edge.
+
+The stream carries single rows: a word once, with the first and last window that hold it, and one row per window. A
+stateful processor keeps the position of a session, the windows that wait for their turn and the words that a later window
+still holds; timers end idle sessions.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lilt.functions.tokens import clean_token_weak
 from lilt.operators.scan import attach, block_of, text_pieces
@@ -24,104 +30,207 @@ LEAST_NEW_MS = 1500
 LAG_MS = 5000
 RESUME_MS = 2000
 CHUNK_STEP = 2
-# A window that is ahead of its turn waits until this many windows have come after the missing one.
+# A window that is ahead of its turn, or lacks words, waits until this many windows have come after the missing one.
 WAIT_WINDOWS = 4
 # For stored windows, of which none can still be missing.
 NO_END = math.inf
 # A session without events for this long gives out what waits and is forgotten.
 IDLE_MS = 60_000
 
-WORD = ("word", "start_ms", "end_ms", "confidence")
-EMITTED = (
-    "session_id long, trigger_seq long, window_start_ms long,"
-    " words array<struct<word string, start_ms long, end_ms long, confidence double>>"
+#: Rows of a live session. A window has ``n_words``, its number as ``first_seq`` and ``last_seq``, its span as times; all
+#: other rows are words, with times on the session's axis. ``after`` names the window before, where that is known.
+LIVE_EVENTS = (
+    "session_id long, first_seq long, last_seq long, word_idx long, word string, start_ms long, end_ms long,"
+    " confidence double, n_words int, after long"
 )
-STATE = (
-    "next_seq long, cursor_ms long, waiting array<struct<trigger_seq long, window_start_ms long, window_len_ms long,"
-    " words array<struct<word string, start_ms long, end_ms long, confidence double>>, after long>>"
+_WORD_STATE = "first_seq long, last_seq long, word_idx long, word string, start_ms long, end_ms long, confidence double"
+_WINDOW_STATE = "start_ms long, end_ms long, n_words long, after long"
+_LISTS = (
+    "session_id long, trigger_seq long, window_start_ms long,"
+    " word array<string>, start_ms array<long>, end_ms array<long>, confidence array<double>"
 )
+WORD = ("word", "start_ms", "end_ms", "confidence")
 
 
-def advance(cursor: int, start: int, length: int, words: list[dict[str, Any]]) -> tuple[int, list[dict[str, Any]]]:
-    """Words of one window to emit, in absolute time, and the new cursor."""
-    edge = start + length
+@dataclass
+class Words:
+    """Words of a session as columns, each once, in order of start."""
+
+    first: np.ndarray
+    last: np.ndarray
+    index: np.ndarray
+    word: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    confidence: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[tuple[np.ndarray, ...]]) -> Words:
+        """Columns put together; a row that came twice (same windows, same index) counts once."""
+        kinds = (np.int64, np.int64, np.int64, object, np.int64, np.int64, np.float64)
+        columns = [np.concatenate([np.asarray(p[k], dtype=kind) for p in parts] or [np.zeros(0, dtype=kind)]) for k, kind in enumerate(kinds)]
+        first, last, index = columns[:3]
+        order = np.lexsort((last, first, index, columns[4]))
+        fresh = np.ones(len(order), dtype=bool)
+        if len(order):
+            a, b = order[1:], order[:-1]
+            fresh[1:] = (first[a] != first[b]) | (last[a] != last[b]) | (index[a] != index[b])
+        return cls(*[c[order[fresh]] for c in columns])
+
+    def where(self, rows: np.ndarray) -> Words:
+        return Words(*[getattr(self, c)[rows] for c in self.__dataclass_fields__])
+
+    def rows(self) -> list[tuple]:
+        confidence = [None if math.isnan(c) else c for c in self.confidence.tolist()]
+        return list(zip(*[getattr(self, c).tolist() for c in list(self.__dataclass_fields__)[:-1]], confidence))
+
+
+def advance(cursor: int, seq: int, edge: int, words: Words) -> tuple[int, np.ndarray]:
+    """Places of the words that one window emits, and the new cursor."""
     if edge - cursor < LEAST_NEW_MS:
-        return cursor, []
-    fresh = [
-        {**w, "start_ms": w["start_ms"] + start, "end_ms": w["end_ms"] + start}
-        for w in words
-        if w["start_ms"] >= cursor - start and w["end_ms"] <= length - GUARD_MS
-    ]
-    if fresh:
-        return fresh[-1]["end_ms"], fresh
-    return (edge - RESUME_MS if edge - cursor > LAG_MS else cursor), []
-
-
-def _plain(words: Any) -> list[dict[str, Any]]:
-    return [
-        {"word": w["word"], "start_ms": int(w["start_ms"]), "end_ms": int(w["end_ms"]),
-         "confidence": None if w["confidence"] is None else float(w["confidence"])}
-        for w in words
-    ]
-
-
-def turns(
-    following: int | None, cursor: int, held: dict[int, tuple], wait: float
-) -> tuple[int | None, int, list[tuple[int, int, list]]]:
-    """Windows in order, over gaps: a missing window is given up once a window ``wait`` places after it is there, or at
-    once where the next window names, as its fourth part, a predecessor that has had its turn."""
+        return cursor, np.zeros(0, dtype=np.int64)
+    begin = int(np.searchsorted(words.start, cursor, "left"))
+    near = slice(begin, int(np.searchsorted(words.start, edge, "right")))
+    held = (words.first[near] <= seq) & (words.last[near] >= seq) & (words.end[near] <= edge - GUARD_MS)
+    fresh = begin + np.flatnonzero(held)
+    if len(fresh):
+        fresh = fresh[np.argsort(words.index[fresh], kind="stable")]
+        return int(words.end[fresh[-1]]), fresh
+    return (edge - RESUME_MS if edge - cursor > LAG_MS else cursor), fresh
+
+
+def walk(following: int, cursor: int, windows: dict[int, tuple], words: Words, wait: float) -> tuple[int, int, list[tuple[int, int, np.ndarray]]]:
+    """Windows (number to start, end, count of words, window before) in order, over gaps; taken ones leave the dictionary.
+
+    A window has its turn when the one before it had its own and all its words are here. It goes on without them once a
+    window ``wait`` places later is here. A window that names the one before it needs no other number to come first.
+    """
+    order = sorted(windows)
+    numbers = np.array(order, dtype=np.int64)
+    here = np.searchsorted(np.sort(words.first), numbers, "right") - np.searchsorted(np.sort(words.last), numbers, "left")
     out = []
-    while held:
-        least = min(held)
-        start, length, words, *after = held[least]
-        known = after and after[0] is not None and after[0] < (following or 0)
-        if following is not None and least > following and not known and max(held) - following < wait:
+    for seq, present in zip(order, here.tolist()):
+        start, edge, count, after = windows[seq]
+        turn = seq <= following or (after is not None and after < following)
+        if not (turn and present >= count) and order[-1] - following < wait:
             break
-        del held[least]
-        cursor, fresh = advance(cursor, start, length, words)
-        if fresh:
-            out.append((least, start, fresh))
-        following = least + 1
+        del windows[seq]
+        cursor, fresh = advance(cursor, seq, edge, words)
+        if len(fresh):
+            out.append((seq, start, fresh))
+        following = seq + 1
     return following, cursor, out
 
 
-def _emit(
-    idle_ms: int | None, key: tuple, batches: Iterator[pd.DataFrame], state: Any, wait: float = WAIT_WINDOWS
-) -> Iterator[pd.DataFrame]:
-    following, cursor, waiting = state.get if state.exists else (1, 0, [])
-    held = {int(s): (int(a), int(n), [dict(zip(WORD, x)) for x in words], after) for s, a, n, words, after in waiting}
-    if idle_ms and state.hasTimedOut:
-        _, _, out = turns(following, cursor, held, 0)
-        state.remove()
-    else:
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                if r.trigger_seq >= following:
-                    seq, after = int(r.trigger_seq), int(r.after) if "after" in rows else None
-                    if after is not None and seq in held:  # a repeated window follows the one before its first row
-                        after = min(after, held[seq][3])
-                    held[seq] = (int(r.window_start_ms), int(r.window_len_ms), _plain(r.words), after)
-        following, cursor, out = turns(following, cursor, held, wait)
-        waits = sorted(held.items())
-        state.update((following, cursor, [(s, a, n, [tuple(w.values()) for w in words], after) for s, (a, n, words, after) in waits]))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+class LiveWords(StatefulProcessor):
+    """Emitted words per window, for one session at a time."""
+
+    def __init__(self, idle_ms: int | None, wait: float):
+        self.idle_ms, self.wait = idle_ms, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.position = handle.getValueState("position", "next_seq long, cursor_ms long")
+        self.windows = handle.getMapState("windows", "trigger_seq long", _WINDOW_STATE)
+        self.words = handle.getListState("words", _WORD_STATE)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        known = self.position.exists()
+        following, cursor = self.position.get() if known else (1, 0)
+        stored = {int(k[0]): tuple(v) for k, v in self.windows.iterator()} if known else {}
+        parts = [tuple(zip(*self.words.get()))] if known and self.words.exists() else []
+        windows = dict(stored)
+        for part in rows:
+            opens = part["n_words"].notna().to_numpy()
+            spoken = part[~opens]
+            spoken = spoken[spoken["last_seq"].to_numpy() >= following]
+            parts.append(tuple(spoken[c].to_numpy() for c in ("first_seq", "last_seq", "word_idx", "word", "start_ms", "end_ms", "confidence")))
+            opened = part[opens]
+            after = [None if pd.isna(a) else int(a) for a in opened["after"].tolist()]
+            for seq, start, edge, count, before in zip(*(opened[c].astype("int64").tolist() for c in ("first_seq", "start_ms", "end_ms", "n_words")), after):
+                if seq >= following:
+                    if seq in windows and before is not None and windows[seq][3] is not None:
+                        before = min(before, windows[seq][3])  # a repeated window follows the one before its first row
+                    windows[seq] = (start, edge, count, before)
+        words = Words.of(parts)
+        following, cursor, out = walk(following, cursor, windows, words, self.wait)
+        for seq in stored:
+            if seq not in windows:
+                self.windows.removeKey((seq,))
+        for seq, window in windows.items():
+            if stored.get(seq) != window:
+                self.windows.updateValue((seq,), window)
+        left = words.where(np.flatnonzero(words.last >= following))
+        if len(left.first):
+            self.words.put(left.rows())
+        elif known:
+            self.words.clear()
+        self.position.update((following, cursor))
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield from _emitted(key, out, words)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        following, cursor = self.position.get()
+        windows = {int(k[0]): tuple(v) for k, v in self.windows.iterator()}
+        words = Words.of([tuple(zip(*self.words.get()))] if self.words.exists() else [])
+        _, _, out = walk(following, cursor, windows, words, 0)
+        for state in (self.position, self.windows, self.words):
+            state.clear()
+        yield from _emitted(key, out, words)
+
+    def close(self) -> None:
+        pass
+
+
+def _emitted(key: Any, out: list[tuple[int, int, np.ndarray]], words: Words) -> Iterator[pd.DataFrame]:
     if out:
-        yield pd.DataFrame([(key[0], *x) for x in out], columns=["session_id", "trigger_seq", "window_start_ms", "words"])
-
-
-def live_words(windows: DataFrame, idle_ms: int | None = IDLE_MS, wait: float = WAIT_WINDOWS) -> DataFrame:
-    """Emitted words per trigger, append mode; one row per trigger that adds words.
-
-    Windows that arrive ahead of their turn wait in the state, ``WAIT_WINDOWS`` at most, so results do not depend on file
-    or partition order. A window that was left out, or a stream joined later, holds nothing up beyond that: the cursor
-    goes on with the windows that are there, and what comes later for a given-up place is dropped. Idle sessions give out
-    what waits and leave the state. A replay of stored windows passes ``idle_ms=None``: a timer keeps a bounded run from
-    ending. Its windows are all there, so it gives none up (``wait=NO_END``), in whatever order the files are read: a
-    column ``after`` names the stored window before each (0 for the first), which takes the cursor over real gaps.
+        columns = {c: [getattr(words, f)[at] for _, _, at in out] for c, f in zip(WORD, ("word", "start", "end", "confidence"))}
+        yield pd.DataFrame({"session_id": [key[0]] * len(out), "trigger_seq": [o[0] for o in out], "window_start_ms": [o[1] for o in out], **columns})
+
+
+def window_events(windows: DataFrame) -> DataFrame:
+    """Rows of ``LIVE_EVENTS`` from windows with their words as an array, times from the window's start; on streams and tables."""
+    after = F.col("after") if "after" in windows.columns else F.lit(None)
+    none = F.lit(None)
+    start = F.col("window_start_ms")
+    words = F.transform(
+        "words",
+        lambda w, i: F.struct(
+            i.cast("long").alias("word_idx"), w["word"].alias("word"), (w["start_ms"] + start).alias("start_ms"),
+            (w["end_ms"] + start).alias("end_ms"), w["confidence"].cast("double").alias("confidence"), none.cast("int").alias("n_words"),
+        ),
+    )
+    window = F.struct(
+        none.cast("long").alias("word_idx"), none.cast("string").alias("word"), start.alias("start_ms"), (start + F.col("window_len_ms")).alias("end_ms"),
+        none.cast("double").alias("confidence"), F.size("words").alias("n_words"),
+    )
+    return windows.select(
+        "session_id", F.col("trigger_seq").alias("first_seq"), F.col("trigger_seq").alias("last_seq"),
+        F.explode(F.concat(words, F.array(window))).alias("e"), after.cast("long").alias("after"),
+    ).select("session_id", "first_seq", "last_seq", "e.*", "after")
+
+
+def live_words(events: DataFrame, idle_ms: int | None = IDLE_MS, wait: float = WAIT_WINDOWS) -> DataFrame:
+    """Emitted words per trigger, append mode; one row per trigger that adds words. ``events`` as in ``LIVE_EVENTS``.
+
+    Windows that arrive ahead of their turn or of their words wait in the state, ``WAIT_WINDOWS`` at most, so results do
+    not depend on file or partition order. A window that was left out, or a stream joined later, holds nothing up beyond
+    that: the cursor goes on with the windows that are there, and what comes later for a given-up place is dropped. Idle
+    sessions give out what waits and leave the state. A replay of stored windows passes ``idle_ms=None``: a timer keeps a
+    bounded run from ending. Its windows are all there, so it gives none up (``wait=NO_END``), in whatever order the files
+    are read: ``after`` names the stored window before each (0 for the first), which takes the cursor over real gaps.
+    State stores must be RocksDB (``spark.sql.streaming.stateStore.providerClass``).
     """
-    timer = "ProcessingTimeTimeout" if idle_ms else "NoTimeout"
-    return windows.groupBy("session_id").applyInPandasWithState(partial(_emit, idle_ms, wait=wait), EMITTED, STATE, "append", timer)
+    mode = "processingTime" if idle_ms else "none"
+    lists = events.groupBy("session_id").transformWithStateInPandas(LiveWords(idle_ms, wait), _LISTS, "append", mode)
+    word = F.transform(
+        F.arrays_zip(*WORD),
+        lambda w: F.struct(*[(F.when(~F.isnan(w[c]), w[c]) if c == "confidence" else w[c]).alias(c) for c in WORD]),
+    )
+    return lists.select("session_id", "trigger_seq", "window_start_ms", word.alias("words"))
 
 
 def flat_words(emitted: DataFrame) -> DataFrame:

@@ -44,64 +44,231 @@ def test_live_words(spark):
     assert got == {k: fold(v) for k, v in want.items()}
 
 
-def test_replay_of_many_files(spark, monkeypatch):
-    """Windows in hash order over 12 files, with gaps of one and of six: nothing is given up."""
-    source = f"{SF}/."
+def gapped(windows):
+    """The windows without some of their triggers, and the one before each."""
     gaps = (F.col("trigger_seq") % 17 != 5) & ~F.col("trigger_seq").between(8, 13)
     before = F.coalesce(F.lag("trigger_seq").over(Window.partitionBy("session_id").orderBy("trigger_seq")), F.lit(0).cast("bigint"))
-    spread = fx.live_windows(spark, SF).where(gaps).withColumn("after", before).repartition(12, "session_id", "trigger_seq")
-    monkeypatch.setattr(fx, "_live_windows", lambda spark, d: spread)
+    return windows.where(gaps).withColumn("after", before)
+
+
+def test_replay_of_many_files(spark, monkeypatch):
+    """Single rows in hash order over 12 files, so that words and windows arrive apart, with gaps of one and of six."""
+    source = f"{SF}/."
+    rows = gapped(fx.live_windows(spark, SF))
+    spread = live.window_events(rows).repartition(12, "session_id", "first_seq", "word_idx")
+    monkeypatch.setattr(fx, "_live_events", lambda spark, d: spread)
     want = {}
-    for r in spread.orderBy("session_id", "trigger_seq").collect():
+    for r in rows.orderBy("session_id", "trigger_seq").collect():
         want.setdefault(r.session_id, []).append((r.window_start_ms, r.window_len_ms, [w.asDict() for w in r.words]))
     got = {}
-    for r in live.flat_words(streams.live_words_table(spark, source)).orderBy("session_id", "trigger_seq", "pos").collect():
+    for r in live.flat_words(streams.live_words_table(spark, source, 4)).orderBy("session_id", "trigger_seq", "pos").collect():
         got.setdefault(r.session_id, []).append((r.word, r.start_ms))
     assert got == {k: v for k, v in ((k, fold(v)) for k, v in want.items()) if v}
 
 
-def test_stored_windows_in_any_order():
+class Kept:
+    """Value, list and map state in memory, with the calls that the processor makes."""
+
+    def __init__(self):
+        self.value, self.items, self.map = None, [], {}
+
+    def exists(self):
+        return self.value is not None or bool(self.items)
+
+    def get(self):
+        return self.value if self.value is not None else iter(self.items)
+
+    def update(self, value):
+        self.value = value
+
+    def put(self, items):
+        self.items = list(items)
+
+    def iterator(self):
+        return iter([((k,), v) for (k,), v in self.map.items()])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.map[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.map[key]
+
+    def clear(self):
+        self.value, self.items, self.map = None, [], {}
+
+
+class Handle:
+    def __init__(self, now=1000):
+        self.timers, self.now, self.kept = [], now, {}
+
+    def _state(self, name, *schemas):
+        return self.kept.setdefault(name, Kept())
+
+    getValueState = getMapState = getListState = _state  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        return iter(list(self.timers))
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+def events(rows):
+    """Rows of ``LIVE_EVENTS``: ('word', first, last, index, text, start, end) or ('window', seq, start, end, n_words, after)."""
     import pandas as pd
 
-    word = lambda t: [{"word": f"w{t}", "start_ms": 100, "end_ms": 1500, "confidence": None}]
+    out = []
+    for kind, *r in rows:
+        if kind == "word":
+            out.append((1, r[0], r[1], r[2], r[3], r[4], r[5], 0.5, None, None))
+        else:
+            out.append((1, r[0], r[0], None, None, r[1], r[2], None, r[3], r[4]))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in live.LIVE_EVENTS.split(", ")])
+
+
+def processor(idle=None, wait=live.WAIT_WINDOWS):
+    made, handle = live.LiveWords(idle, wait), Handle()
+    made.init(handle)
+    return made, handle
+
+
+def feed(made, handle, rows):
+    return [
+        (int(t), list(w))
+        for out in made.handleInputRows((1,), iter([events(rows)]), handle)
+        for t, w in zip(out["trigger_seq"], out["word"])
+    ]
+
+
+def window(seq, after=None, n=1):
+    return ("window", seq, 2000 * seq, 2000 * seq + 2000, n, after)
+
+
+def word(seq, text=None, at=100):
+    return ("word", seq, seq, seq, text or f"w{seq}", 2000 * seq + at, 2000 * seq + 1500)
+
+
+def test_stored_rows_in_any_order():
     kept = [s for s in range(1, 30) if s not in (3, 9, 10, 11, 12, 13, 14)]
-    rows = [(s, 2000 * s, 2000, word(s), p) for s, p in zip(kept, [0, *kept])]
-    rows.append((15, 30_000, 2000, word(15), 15))  # a repeated window
-    random.Random(1).shuffle(rows)
-    state, seen = State(), []
-    for k in range(0, len(rows), 3):
-        part = pd.DataFrame(rows[k : k + 3], columns=["trigger_seq", "window_start_ms", "window_len_ms", "words", "after"])
-        for out in live._emit(None, (7,), iter([part]), state, live.NO_END):
-            seen += out["trigger_seq"].tolist()
-    assert seen == kept and state.value[2] == []
+    rows = [window(s, p) for s, p in zip(kept, [0, *kept])] + [word(s) for s in kept]
+    rows += [window(15, 15), word(15)]  # repeated rows
+    for seed in range(20):
+        random.Random(seed).shuffle(rows)
+        made, handle = processor(wait=live.NO_END)
+        seen = [x for k in range(0, len(rows), 3) for x in feed(made, handle, rows[k : k + 3])]
+        assert seen == [(s, [f"w{s}"]) for s in kept]
+        assert not handle.kept["windows"].map and not handle.kept["words"].items
+
+
+def test_a_word_row_serves_all_its_windows():
+    rows = [("window", k, max(0, 2000 * k - 8000), 2000 * k, n, k - 1) for k, n in ((1, 0), (2, 1), (3, 2), (4, 2), (5, 2))]
+    rows += [("word", 2, 5, 0, "a", 2100, 3700), ("word", 3, 6, 1, "b", 3900, 5550)]
+    made, handle = processor()
+    # The second trigger's edge is at 4,000: the first word ends late enough to wait for the next window.
+    assert feed(made, handle, rows) == [(3, ["a", "b"])]
+    assert [w[3] for w in handle.kept["words"].items] == ["b"]  # a sixth window may come
+
+
+def test_words_come_after_their_window():
+    made, handle = processor()
+    assert feed(made, handle, [window(1), window(2)]) == []
+    assert feed(made, handle, [word(2)]) == [] and feed(made, handle, [word(1)]) == [(1, ["w1"]), (2, ["w2"])]
+    assert feed(made, handle, [window(3)]) == []  # its word never comes; four windows later the others go on
+    assert feed(made, handle, [x for s in (4, 5, 6) for x in (window(s), word(s))]) == []
+    assert feed(made, handle, [window(7), word(7)]) == [(s, [f"w{s}"]) for s in (4, 5, 6, 7)]
+    assert feed(made, handle, [word(3)]) == [] and not handle.kept["words"].items  # too late
+
+
+def columns(rows):
+    """Words as the processor holds them, from (index, start, end, text)."""
+    return live.Words.of([tuple(zip(*[(1, 9, k, text, start, end, 1.0) for k, start, end, text in rows]))] if rows else [])
 
 
 def test_silence_moves_the_cursor():
-    cursor, words = live.advance(0, 0, 8000, [])
-    assert (cursor, words) == (6000, [])
-    late = [{"word": "late", "start_ms": 5000, "end_ms": 5500}, {"word": "on", "start_ms": 6100, "end_ms": 7599}]
-    cursor, words = live.advance(cursor, 0, 8000, late)
-    assert [w["word"] for w in words] == ["on"] and cursor == 7599
+    cursor, fresh = live.advance(0, 4, 8000, columns([]))
+    assert (cursor, len(fresh)) == (6000, 0)
+    late = columns([(0, 5000, 5500, "late"), (1, 6100, 7599, "on")])
+    cursor, fresh = live.advance(cursor, 4, 8000, late)
+    assert late.word[fresh].tolist() == ["on"] and cursor == 7599
 
 
 def test_words_near_the_edge_wait():
-    held = [{"word": "a", "start_ms": 0, "end_ms": 1600}, {"word": "b", "start_ms": 1600, "end_ms": 1601}]
-    assert [w["word"] for w in live.advance(0, 0, 2000, held)[1]] == ["a"]
+    held = columns([(0, 0, 1600, "a"), (1, 1600, 1601, "b")])
+    assert held.word[live.advance(0, 1, 2000, held)[1]].tolist() == ["a"]
+
+
+def test_words_in_the_order_of_the_window():
+    """The last word by index sets the cursor, also where it starts before another one."""
+    held = columns([(0, 500, 900, "b"), (1, 400, 800, "a")])
+    cursor, fresh = live.advance(0, 1, 2000, held)
+    assert held.word[fresh].tolist() == ["b", "a"] and cursor == 800
 
 
 def test_windows_over_gaps():
-    word = lambda t: [{"word": f"w{t}", "start_ms": 100, "end_ms": 1500, "confidence": None}]
-    window = {s: (2000 * s, 2000, word(s)) for s in range(1, 12)}
-    missing = {s: w for s, w in window.items() if s not in (2, 7)}
-    following, cursor, out = live.turns(1, 0, dict(missing), 4)
-    assert [s for s, _, _ in out] == [1, 3, 4, 5, 6, 8, 9, 10, 11] and following == 12
-    held = {1: window[1], 3: window[3], 4: window[4]}
-    following, cursor, out = live.turns(1, 0, held, 4)
-    assert [s for s, _, _ in out] == [1] and following == 2 and sorted(held) == [3, 4]
-    held[2] = window[2]
-    assert [s for s, _, _ in live.turns(following, cursor, held, 4)[2]] == [2, 3, 4]
-    joined_late = {40: (80_000, 2000, word(40))}
-    assert [s for s, _, _ in live.turns(1, 0, joined_late, 4)[2]] == [40]
+    made, handle = processor()
+    rows = lambda *numbers: [x for s in numbers for x in (window(s), word(s))]
+    out = feed(made, handle, rows(1, 3, 4, 5, 6, 8, 9, 10, 11))
+    assert [s for s, _ in out] == [1, 3, 4, 5, 6, 8, 9, 10, 11]
+    made, handle = processor()
+    assert [s for s, _ in feed(made, handle, rows(1, 3, 4))] == [1] and sorted(handle.kept["windows"].map) == [(3,), (4,)]
+    assert [s for s, _ in feed(made, handle, rows(2))] == [2, 3, 4] and not handle.kept["windows"].map
+    made, handle = processor()
+    assert [s for s, _ in feed(made, handle, rows(40))] == [40]  # joined late
+
+
+def test_random_streams_equal_the_fold():
+    draw = random.Random(4)
+    for _ in range(60):
+        windows, rows, index = [], [], 0
+        for seq in range(1, 15):
+            start, length = max(0, 2000 * seq - 8000), min(8000, 2000 * seq)
+            spoken = sorted(draw.sample(range(0, 7900), draw.randrange(0, 6)))
+            words = [{"word": f"{seq}.{k}", "start_ms": s, "end_ms": s + draw.choice([0, 80, 300, 900])} for k, s in enumerate(spoken) if s < length]
+            windows.append((start, length, words))
+            rows.append(("window", seq, start, start + length, len(words), None))
+            for w in words:
+                rows.append(("word", seq, seq, index, w["word"], w["start_ms"] + start, w["end_ms"] + start))
+                index += 1
+        draw.shuffle(rows)
+        made, handle = processor(wait=live.NO_END)
+        got = [w for k in range(0, len(rows), 7) for _, words in feed(made, handle, rows[k : k + 7]) for w in words]
+        assert got == [w for w, _ in fold(windows)]
+
+
+def test_idle_live_sessions_leave_the_state():
+    made, handle = processor(idle=500)
+    assert feed(made, handle, [window(1), word(1), window(3), word(3)]) == [(1, ["w1"])] and handle.timers == [1500]
+    handle.now = 1200
+    assert feed(made, handle, []) == [] and handle.timers == [1700]
+    (rest,) = made.handleExpiredTimer((1,), handle, None)
+    assert rest["trigger_seq"].tolist() == [3]
+    assert not any(s.exists() or s.map for s in handle.kept.values())
+
+
+def test_idle_timer_in_a_running_stream(spark, tmp_path):
+    """A session whose last window waits for a missing one gives it out when it falls silent."""
+    rows = spark.createDataFrame(
+        [(7, s, 2000 * s, 2000, [(f"w{s}", 100, 1500, None)]) for s in (1, 3)],
+        "session_id long, trigger_seq long, window_start_ms long, window_len_ms long, words array<struct<word string, start_ms long, end_ms long, confidence double>>",
+    )
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    emitted = live.live_words(live.window_events(stream), idle_ms=300)
+    with streams.state_store(spark):
+        sink = emitted.writeStream.format("memory").queryName("idle_words").option("checkpointLocation", str(tmp_path / "state"))
+        run = sink.trigger(processingTime="100 milliseconds").start()
+        for _ in range(300):
+            if run.awaitTermination(0.2) or spark.table("idle_words").count() == 2:
+                break
+        run.stop()
+    got = live.flat_words(spark.table("idle_words")).orderBy("trigger_seq").collect()
+    assert [(r.trigger_seq, r.word, r.start_ms, r.confidence) for r in got] == [(1, "w1", 2100, None), (3, "w3", 6100, None)]
 
 
 class State:
@@ -133,15 +300,6 @@ def test_idle_sessions_leave_the_state():
     (job,) = _close(500, (7,), iter([]), state)
     assert job.iloc[0].tolist() == [7, 2, "idle"] and not state.exists
 
-    rows = pd.DataFrame({"trigger_seq": [1, 3], "window_start_ms": [0, 4000], "window_len_ms": [2000, 2000],
-                         "words": [[{"word": w, "start_ms": 100, "end_ms": 1500, "confidence": 0.5}] for w in "ab"]})
-    state = State()
-    (first,) = live._emit(500, (7,), iter([rows]), state)
-    assert first["trigger_seq"].tolist() == [1] and len(state.value[2]) == 1
-    state.hasTimedOut = True
-    (rest,) = live._emit(500, (7,), iter([]), state)
-    assert rest["trigger_seq"].tolist() == [3] and not state.exists
-
 
 def test_progress_equals_batch(spark):
     stream = streams.progress_table(spark, SF, 1).drop("terminal")
