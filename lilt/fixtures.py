@@ -306,9 +306,11 @@ def _audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     silent = stops.filter(F.col("recording_id") == 3).withColumns(
         {"recording_id": F.lit(99).cast("bigint"), "seq": F.lit(0).cast("bigint")}
     )
-    return repeated.unionByName(stops).unionByName(silent).withColumn(
-        "recv_ms", F.lit(1_700_000_000_000) + F.col("recording_id") * 10_000_000 + F.col("seq") * 1000
-    )
+    return repeated.unionByName(stops).unionByName(silent).withColumns({
+        "recv_ms": F.lit(1_700_000_000_000) + F.col("recording_id") * 10_000_000 + F.col("seq") * 1000,
+        # Less than half the audio that a run needs, so that many chunks pass between two runs.
+        "audio_ms": F.when(F.col("kind") == "audio", 60 + (F.col("seq") * 97 + F.col("recording_id") * 13) % 640),
+    })
 
 
 def audio_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from lilt.plans.oracle_tables import chunk_sql, clean, ends, hesitates, lower_he
 from lilt.schemas import JOB_STATUSES
 from lilt.session import cut
 from lilt.sources import asr, documents, recordings
-from lilt.streaming import live
+from lilt.streaming import gate, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1201,12 +1201,17 @@ def _(spark, d):
     return live.sliding_windows(fx.words(spark, d), last)
 
 
-@query(
-    "st3_trigger_gate",
-    sql("SELECT recording_id, seq, seq + 1 AS n_chunks FROM chunk_texts WHERE seq >= 2 AND seq % 2 = 0", "chunk_texts"),
-)
+GATED = """SELECT recording_id, seq, seq + 1 AS n_chunks, e AS audio_end_ms FROM gate_walk WHERE i > 0 AND given = e - 400"""
+
+
+@query("st3_trigger_gate", sql(GATED, "gate_walk"))
+def _(spark, d):
+    return gate.trigger_gate(fx.audio_chunks(spark, d))
+
+
+@query("st3_trigger_gate_stream", sql(GATED, "gate_walk"))
 def _(spark, d):
-    return live.trigger_chunks(fx.audio_chunks(spark, d))
+    return streams.gate_table(spark, d)
 
 
 @query(

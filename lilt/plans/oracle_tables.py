@@ -214,6 +214,18 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT page_id % 20 AS recording_id, page_id, html, row_number() OVER w - 1 AS seq, lag(html) OVER w AS b
           FROM pages WINDOW w AS (PARTITION BY page_id % 20 ORDER BY page_id))""",
     ),
+    "gate_checks": (
+        ("chunk_texts",),
+        """SELECT recording_id, seq, e, row_number() OVER (PARTITION BY recording_id ORDER BY seq) AS i FROM (
+          SELECT recording_id, seq, sum(60 + (seq * 97 + recording_id * 13) % 640) OVER (PARTITION BY recording_id ORDER BY seq)::BIGINT AS e
+          FROM chunk_texts) WHERE seq >= 2 AND seq % 2 = 0""",
+    ),
+    "gate_walk": (
+        ("gate_checks",),
+        """SELECT recording_id, 0::BIGINT AS i, 0::BIGINT AS seq, 0::BIGINT AS e, 0::BIGINT AS given FROM gate_checks GROUP BY recording_id
+          UNION ALL SELECT w.recording_id, w.i + 1, c.seq, c.e, CASE WHEN c.e - w.given >= 1500 THEN c.e - 400 ELSE w.given END
+          FROM gate_walk w JOIN gate_checks c ON c.recording_id = w.recording_id AND c.i = w.i + 1""",
+    ),
     "pcm": (
         (),
         """SELECT vec_id % 50 AS recording_id, vec_id // 50 AS block_idx, (vec_id // 50) * 64 AS start_sample,
@@ -246,7 +258,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
-_RECURSIVE = {"starts", "chunk_walk", "cursor_walk"}
+_RECURSIVE = {"starts", "chunk_walk", "cursor_walk", "gate_walk"}
 
 
 def sql(body: str, *needs: str) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from lilt import fixtures as fx
 from lilt.session import shared_dir
-from lilt.streaming import finalize, live, progress
+from lilt.streaming import finalize, gate, live, progress
 
 _DONE: dict[tuple[str, str, str], str] = {}
 
@@ -85,6 +85,13 @@ def finished_sessions_table(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(_to_parquet(spark, rows, "finished"))
 
 
+def gate_table(spark: SparkSession, d: str, files_per_batch: int | None = None) -> DataFrame:
+    """Preview runs of the stored chunks, found by the stream."""
+    source = _source(spark, fx.audio_chunks_path(spark, d), files_per_batch)
+    with state_store(spark):
+        return spark.read.parquet(_to_parquet(spark, gate.gate_stream(source, idle_ms=None, wait=live.NO_END), "gate"))
+
+
 def progress_table(spark: SparkSession, d: str, files_per_batch: int = 2) -> DataFrame:
     source = _source(spark, fx.job_events_path(spark, d), files_per_batch)
     path = _folder(spark, "progress")

@@ -271,14 +271,6 @@ def preview_text(emitted: DataFrame, replace: Column | None = None) -> DataFrame
     return text_pieces(rows.drop("_replaces"), ["session_id"], "trigger_seq")
 
 
-def trigger_chunks(chunks: DataFrame, step: int = CHUNK_STEP) -> DataFrame:
-    """Audio chunks whose arrival starts a preview run: every ``step`` chunks after the first one."""
-    count = F.col("seq") + 1
-    return chunks.filter((F.col("kind") == "audio") & (count > 1) & ((count - 1) % step == 0)).select(
-        "recording_id", "seq", count.alias("n_chunks")
-    )
-
-
 def sliding_windows(
     words: DataFrame, last: DataFrame, window_ms: int = 8000, slide_ms: int = 2000
 ) -> DataFrame:
