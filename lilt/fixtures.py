@@ -5,7 +5,7 @@ The shared ones are staged once per application and source folder (see ``lilt.se
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lilt.operators.phrases import phrase_words
@@ -232,11 +232,24 @@ def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             *[c.alias(n) for n, c in fields.items()],
         )
 
-    body = F.concat(
-        F.lit('{"total_duration": '), (key % 600).cast("string"),
-        F.lit('.5, "word_count": '), (key % 1000).cast("string"), F.lit("}"),
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    # Phrases of two words; in some documents the second word lacks its start.
+    second = F.when(key % 73 == 0, F.lit("")).otherwise(F.lit('"start": 1.25, '))
+    phrase = lambda k: text(
+        f'{{"phrase_index": {k}, "text": "w', key % 7, ' v", "words": [{"word": "w', key % 7, f'", "start": {k}.5, "end": {k}.75, "stressed": true}}, '
+        '{"word": "v", ', second, f'"end": "1.5", "confidence": 0.5, "extra": [1]}}], "start_time": {k}.5, "end_time": 9, "chunk_index": "{k}"}}',
     )
-    body = F.when(key % 97 == 0, F.lit('{"word_count": ')).otherwise(body)
+    phrases = F.when(key % 3 == 0, text(', "phrases": [', phrase(0), ", ", phrase(1), "]")).otherwise("")
+    body = text('{"total_duration": ', key % 600, '.5, "word_count": ', key % 1000, phrases, "}")
+    body = (
+        F.when(key % 97 == 0, F.lit('{"word_count": '))
+        .when(key % 89 == 0, F.lit('{"word_count": "many"}'))
+        .when(key % 83 == 0, F.lit('{"word_count": "12", "total_duration": "2.5", "phrases": []}'))
+        .when(key % 79 == 0, F.lit("{}"))
+        .when(key % 71 == 0, F.lit("[1]"))
+        .otherwise(body)
+    )
+    partial = F.when(key % 5 == 0, F.lit('{"word_count": null}')).otherwise(F.lit('{"word_count": 1}'))
     chunks = (key % 7 + 1).cast("int")
     failed = key % 50 == 0
     created = [write(0, 0, "create", status=F.lit("queued"), progress=F.lit(0.0), result=F.lit("{}"))]
@@ -244,7 +257,7 @@ def _job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         write(1, 2, "status", status=F.lit("processing")),
         write(2, 9, "status", status=F.lit("processing"), total_chunks=chunks),
         write(3, 10, "progress", progress=F.lit(0.5), completed_chunks=F.lit(1), current_stage=F.lit("analyzing"),
-              result=F.lit('{"word_count": 1}')),
+              result=partial),
     ]
     closed = [
         write(

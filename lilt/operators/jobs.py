@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lilt.functions.documents import default_of, typed
 from lilt.schemas import JOB_EVENTS, JOB_RESULT
 
-_DEFAULTS = {"total_duration": 0.0, "word_count": 0, "wpm": 0.0, "stress_ratio": 0.0, "pitch_variation": 0.0}
+# Results that count as none.
+EMPTY_JSON = ("{}", "[]", '""', "0", "0.0", "false", "null")
 
 
 def _latest(column: str, when: Column | None = None) -> Column:
@@ -50,17 +52,19 @@ def next_queued(state: DataFrame) -> DataFrame:
 
 
 def parse_results(state: DataFrame) -> DataFrame:
-    """Typed result column. Unreadable JSON gives the default document for complete jobs, NULL for running ones."""
-    parsed = F.when(F.try_parse_json("result").isNotNull(), F.from_json("result", JOB_RESULT))
-    default = F.struct(*[F.lit(v).cast(JOB_RESULT[n].dataType).alias(n) for n, v in _DEFAULTS.items()])
-    filled = F.struct(
-        *[F.coalesce(F.col("_doc")[n], F.lit(v).cast(JOB_RESULT[n].dataType)).alias(n) for n, v in _DEFAULTS.items()]
-    )
+    """Adds ``document``: the job's result with its phrases and words, typed by ``JOB_RESULT``.
+
+    Unreadable JSON counts as an empty result, and an empty one gives NULL. A document that breaks the model gives the
+    default document for complete jobs and NULL for running ones. Other jobs have no document.
+    """
+    given = F.col("_json").isNotNull() & ~F.to_json("_json").isin(*EMPTY_JSON)
+    sound, complete = F.col("_typed.ok"), F.col("status") == "complete"
     document = (
-        F.when(F.col("status") == "complete", F.when(F.col("_doc").isNull(), default).otherwise(filled))
-        .when((F.col("status") == "processing") & F.col("_doc").isNotNull(), filled)
+        F.when(given & sound & (complete | (F.col("status") == "processing")), F.col("_typed.v"))
+        .when(given & ~sound & complete, default_of(JOB_RESULT))
     )
-    return state.withColumn("_doc", parsed).withColumn("document", document).drop("_doc")
+    parsed = state.withColumn("_json", F.try_parse_json("result")).withColumn("_typed", typed("_json", JOB_RESULT))
+    return parsed.withColumn("document", document).drop("_json", "_typed")
 
 
 def _event(source: DataFrame, **columns: Column) -> DataFrame:

@@ -99,19 +99,52 @@ def _(spark, d):
     return jobs.find_job(state, 100).select("job_id", "status", "progress", "current_stage", "error")
 
 
+# What the fixture's keys say about a job's document: none, the default, the typed values with phrases.
+DOCUMENT_KIND = """SELECT job_id, status, job_id % 83 = 0 AND job_id % 97 <> 0 AND job_id % 89 <> 0 AS loose, CASE
+    WHEN status = 'processing' THEN CASE WHEN job_id % 5 = 0 THEN 'none' ELSE 'partial' END WHEN status <> 'complete' THEN 'none'
+    WHEN job_id % 97 = 0 THEN 'none' WHEN job_id % 89 = 0 THEN 'default' WHEN job_id % 83 = 0 THEN 'loose' WHEN job_id % 79 = 0 THEN 'none'
+    WHEN job_id % 71 = 0 THEN 'default' WHEN job_id % 3 = 0 THEN CASE WHEN job_id % 73 = 0 THEN 'default' ELSE 'phrases' END
+    ELSE 'plain' END AS kind FROM job_state"""
+
+
 @query(
     "src5_parse_result_json",
     sql(
-        """SELECT job_id, status, CASE WHEN ok THEN coalesce(CAST(json_extract(j, '$.word_count') AS BIGINT), 0) END AS word_count,
-        CASE WHEN ok THEN coalesce(CAST(json_extract(j, '$.total_duration') AS DOUBLE), 0.0) END AS total_duration
-        FROM (SELECT *, CASE WHEN json_valid(result) THEN CAST(result AS JSON) END AS j,
-          status = 'complete' OR (status = 'processing' AND json_valid(result)) AS ok FROM job_state)""",
+        f"""SELECT job_id, status, CASE kind WHEN 'none' THEN NULL WHEN 'default' THEN 0 WHEN 'partial' THEN 1 WHEN 'loose' THEN 12
+          ELSE job_id % 1000 END::BIGINT AS word_count,
+        CASE WHEN kind = 'none' THEN NULL WHEN kind IN ('default', 'partial') THEN 0.0 WHEN kind = 'loose' THEN 2.5 ELSE job_id % 600 + 0.5 END::DOUBLE
+          AS total_duration, CASE WHEN kind <> 'none' THEN 0.0::DOUBLE END AS wpm,
+        CASE WHEN kind = 'none' THEN NULL WHEN kind = 'phrases' THEN 2 ELSE 0 END::BIGINT AS n_phrases FROM ({DOCUMENT_KIND})""",
+        "job_state",
+    ),
+)
+def _(spark, d):
+    parsed = jobs.parse_results(jobs.job_state(fx.job_events(spark, d)))
+    return parsed.select(
+        "job_id", "status", "document.word_count", "document.total_duration", "document.wpm",
+        F.when(C("document").isNotNull(), F.size("document.phrases")).cast("bigint").alias("n_phrases"),
+    )
+
+
+@query(
+    "src5_result_words",
+    sql(
+        f"""SELECT job_id, p AS phrase_index, 'w' || (job_id % 7) || ' v' AS text, p + 0.5::DOUBLE AS start_time, 9.0::DOUBLE AS end_time, p AS chunk_index,
+        w AS pos, CASE w WHEN 0 THEN 'w' || (job_id % 7) ELSE 'v' END AS word, CASE w WHEN 0 THEN p + 0.5 ELSE 1.25 END::DOUBLE AS start,
+        CASE w WHEN 0 THEN p + 0.75 ELSE 1.5 END::DOUBLE AS "end", CASE w WHEN 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence, w = 0 AS stressed,
+        0.0::DOUBLE AS pause_after, NULL::DOUBLE AS mean_pitch
+        FROM ({DOCUMENT_KIND}), (VALUES (0), (1)) a(p), (VALUES (0), (1)) b(w) WHERE kind = 'phrases'""",
         "job_state",
     ),
 )
 def _(spark, d):
+    """Phrases and words of the parsed documents, with the fields that the stored words leave to their defaults."""
     parsed = jobs.parse_results(jobs.job_state(fx.job_events(spark, d)))
-    return parsed.select("job_id", "status", "document.word_count", "document.total_duration")
+    spoken = parsed.select("job_id", F.explode("document.phrases").alias("p")).select("job_id", "p.*")
+    fields = ("word", "start", "end", "confidence", "stressed", "pause_after", "mean_pitch")
+    return spoken.select(
+        "job_id", "phrase_index", "text", "start_time", "end_time", "chunk_index", F.posexplode("words").alias("pos", "w")
+    ).select("job_id", "phrase_index", "text", "start_time", "end_time", "chunk_index", "pos", *[C("w")[f].alias(f) for f in fields])
 
 
 @query(
@@ -199,6 +232,36 @@ def _(spark, d):
     return heads.select("recording_id", "h.word_count").join(sums, "recording_id")
 
 
+@query(
+    "snk1_document_round_trip",
+    sql(
+        """SELECT recording_id, phrase_index, phrase_index // 3 AS chunk_index, pos, word, round(start_ms / 1000.0, 3) AS start,
+        round(end_ms / 1000.0, 3) AS "end", confidence, stressed, coalesce(round(stress_score, 3), 0) AS stress_score,
+        coalesce(round(pause_after_ms / 1000.0, 3), 0) AS pause_after, round(min(start_ms) OVER p / 1000.0, 3) AS start_time,
+        round(arg_max(end_ms, pos) OVER p / 1000.0, 3) AS end_time, 'flat' AS intonation_pattern, count(*) OVER (PARTITION BY recording_id) AS word_count
+        FROM stressed WINDOW p AS (PARTITION BY recording_id, phrase_index)""",
+        "stressed",
+    ),
+)
+def _(spark, d):
+    """Documents written as JSON lines and read back by the models of the result, down to the words."""
+    featured = _featured(spark, d)
+    in_chunks = featured.select("recording_id", "phrase_index").distinct().withColumn("chunk_index", F.expr("phrase_index div 3"))
+    ends = featured.groupBy("recording_id").agg(F.max("end_ms").alias("duration_ms"))
+    header = summary.result_header(summary.session_summary(featured, ends))
+    lines = documents.as_json(header, summary.result_phrases(featured, chunks=in_chunks), nulls=False)
+    read = documents.parse_lines(lines)
+    heads = read.where("line_kind = 'header'").select("recording_id", "header.word_count")
+    spoken = read.where("line_kind = 'phrase'").select("recording_id", "first_pos", "phrase.*")
+    fields = ("word", "start", "end", "confidence", "stressed", "stress_score", "pause_after")
+    return spoken.select(
+        "recording_id", "phrase_index", "chunk_index", "start_time", "end_time", "intonation_pattern", "first_pos", F.posexplode("words").alias("at", "w")
+    ).select(
+        "recording_id", "phrase_index", "chunk_index", "start_time", "end_time", "intonation_pattern", (C("first_pos") + C("at")).alias("pos"),
+        *[C("w")[f].alias(f) for f in fields],
+    ).join(heads.hint("rebalance"), "recording_id")
+
+
 @query(
     "snk2_append_job_event",
     sql(

@@ -187,9 +187,15 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN e.seq = 2 THEN o_orderkey % 7 + 1 END AS total_chunks,
           CASE WHEN e.seq = 3 THEN 1 WHEN e.seq = 4 AND o_orderkey % 50 <> 0 THEN o_orderkey % 7 + 1 END AS completed_chunks,
           CASE WHEN e.seq = 3 THEN 'analyzing' WHEN e.seq = 4 AND o_orderkey % 50 <> 0 THEN 'done' END AS current_stage,
-          CASE WHEN e.seq = 0 THEN '{}' WHEN e.seq = 3 THEN '{"word_count": 1}' WHEN e.seq = 4 AND o_orderkey % 50 <> 0 THEN
-            CASE WHEN o_orderkey % 97 = 0 THEN '{"word_count": ' ELSE '{"total_duration": ' || (o_orderkey % 600)
-            || '.5, "word_count": ' || (o_orderkey % 1000) || '}' END END AS result,
+          CASE WHEN e.seq = 0 THEN '{}' WHEN e.seq = 3 THEN CASE WHEN o_orderkey % 5 = 0 THEN '{"word_count": null}' ELSE '{"word_count": 1}' END
+            WHEN e.seq = 4 AND o_orderkey % 50 <> 0 THEN CASE WHEN o_orderkey % 97 = 0 THEN '{"word_count": ' WHEN o_orderkey % 89 = 0 THEN
+            '{"word_count": "many"}' WHEN o_orderkey % 83 = 0 THEN '{"word_count": "12", "total_duration": "2.5", "phrases": []}'
+            WHEN o_orderkey % 79 = 0 THEN '{}' WHEN o_orderkey % 71 = 0 THEN '[1]' ELSE '{"total_duration": ' || (o_orderkey % 600)
+            || '.5, "word_count": ' || (o_orderkey % 1000) || CASE WHEN o_orderkey % 3 = 0 THEN ', "phrases": [' || array_to_string([
+              '{"phrase_index": ' || k || ', "text": "w' || (o_orderkey % 7) || ' v", "words": [{"word": "w' || (o_orderkey % 7) || '", "start": ' || k
+              || '.5, "end": ' || k || '.75, "stressed": true}, {"word": "v", ' || CASE WHEN o_orderkey % 73 = 0 THEN '' ELSE '"start": 1.25, ' END
+              || '"end": "1.5", "confidence": 0.5, "extra": [1]}], "start_time": ' || k || '.5, "end_time": 9, "chunk_index": "' || k || '"}'
+              FOR k IN [0, 1]], ', ') || ']' ELSE '' END || '}' END END AS result,
           CASE WHEN e.seq = 4 AND o_orderkey % 50 = 0 THEN 'ValueError: bad audio' END AS error
         FROM orders JOIN (VALUES (0, 0, 'create'), (1, 2, 'status'), (2, 9, 'status'), (3, 10, 'progress'), (4, 20, 'status'))
           e(seq, sec, w) ON e.seq = 0 OR (e.seq <= 3 AND o_orderstatus IN ('P', 'F')) OR (e.seq = 4 AND o_orderstatus = 'F')""",

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+from lilt.functions.documents import Field, Model
+
 ASR_WORD = T.StructType(
     [
         T.StructField("word", T.StringType()),
@@ -69,15 +71,54 @@ JOB_EVENTS = T.StructType(
     ]
 )
 
-# Summary part of a result document, as stored in the JSON column of a job.
-JOB_RESULT = T.StructType(
-    [
-        T.StructField("total_duration", T.DoubleType()),
-        T.StructField("word_count", T.LongType()),
-        T.StructField("wpm", T.DoubleType()),
-        T.StructField("stress_ratio", T.DoubleType()),
-        T.StructField("pitch_variation", T.DoubleType()),
-    ]
-)
+# Models of a result document, as stored in the JSON column of a job. Fields without a default must be there.
+def _may_miss(kind) -> Field:
+    return Field(kind, None, optional=True)
+
+
+RESULT_WORD: Model = {
+    "word": Field(str),
+    "start": Field(float),
+    "end": Field(float),
+    "confidence": Field(float, 1.0),
+    "stressed": Field(bool, False),
+    "stress_score": Field(float, 0.0),
+    "pause_after": Field(float, 0.0),
+    "is_hesitation": Field(bool, False),
+    "pitch_mean": _may_miss(float),
+    "pitch_direction": _may_miss(str),
+    "pitch_contour": Field([float], []),
+    "mean_pitch": _may_miss(float),
+    "max_pitch": _may_miss(float),
+    "min_pitch": _may_miss(float),
+    "start_pitch": _may_miss(float),
+    "end_pitch": _may_miss(float),
+    "pitch_slope": _may_miss(float),
+    "pitch_range": _may_miss(float),
+    "normalized_pitch": _may_miss(float),
+    "pitch_trend": _may_miss(str),
+    "char_pitches": _may_miss([float]),
+    "voiced_segment_index": _may_miss(int),
+}
+
+RESULT_PHRASE: Model = {
+    "phrase_index": Field(int),
+    "text": Field(str),
+    "words": Field([RESULT_WORD]),
+    "start_time": Field(float),
+    "end_time": Field(float),
+    "chunk_index": Field(int),
+    "intonation_pattern": _may_miss(str),
+}
+
+RESULT_HEADER: Model = {
+    "total_duration": Field(float, 0.0),
+    "word_count": Field(int, 0),
+    "wpm": Field(float, 0.0),
+    "stress_ratio": Field(float, 0.0),
+    "pitch_variation": Field(float, 0.0),
+}
+
+JOB_RESULT: Model = {"phrases": Field([RESULT_PHRASE], []), **RESULT_HEADER}
 
 JOB_STATUSES = ("queued", "processing", "complete", "failed")

@@ -10,7 +10,7 @@ from lilt.plans import streams
 from lilt.streaming import gate, live
 from test_streaming import Handle
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def fold(durations, step=2, least=1500, guard=400):
