@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lilt.operators.phrases import phrase_words
-from lilt.operators.scan import Run, adjacent, running
+from lilt.operators.scan import Run, adjacent, attach, running
 from lilt.session import staged, staged_path
 
 TRIGGER_MS = 2000
@@ -410,10 +410,14 @@ def _live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = (F.expr(e) for e in (f"greatest(1, (end_ms + {TRIGGER_MS - 1}) div {TRIGGER_MS})", f"(start_ms + {WINDOW_MS}) div {TRIGGER_MS}"))
     none = lambda kind: F.lit(None).cast(kind)
     triggers = _triggers(spark, sf_dir)
+    ends = words(spark, sf_dir).groupBy("recording_id").agg((F.expr(f"max(end_ms) div {TRIGGER_MS}") + 1).alias("n"))
     heard = words(spark, sf_dir).select(
         F.col("recording_id").alias("session_id"), first.alias("first_seq"), last.alias("last_seq"), "word_idx", "word", "start_ms", "end_ms", "confidence"
     ).where("first_seq <= last_seq")
-    # The live edge never passes the end of the audio, so a word's last window may not come.
+    # The live edge never passes the end of the audio, so neither does a word's last window.
+    spread = F.expr("word_idx div 65536")
+    ended = attach(heard, ends.withColumnRenamed("recording_id", "session_id"), ["session_id"], spread, "inner")
+    heard = ended.withColumn("last_seq", F.least("last_seq", "n")).drop("n")
     counted = heard.select(F.col("session_id").alias("recording_id"), F.explode(F.sequence("first_seq", "last_seq")).alias("trigger_seq")).groupBy(
         "recording_id", "trigger_seq").agg(F.count("*").cast("int").alias("n_words"))
     edge = F.col("trigger_seq") * TRIGGER_MS
@@ -424,8 +428,8 @@ def _live_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("trigger_seq") - 1).alias("after"),  # each trigger of a session has a row
     )
     events = heard.select("*", none("int").alias("n_words"), none("long").alias("after")).unionByName(windows)
-    # In the order of events, so that a replay file by file holds few windows back.
-    return events.repartitionByRange("first_seq", "session_id").sortWithinPartitions("first_seq", "session_id")
+    # A session after the other, so that a replay file by file holds few windows back, in whatever order it reads the files.
+    return events.repartitionByRange("session_id", "first_seq").sortWithinPartitions("session_id", "first_seq")
 
 
 def live_events(spark: SparkSession, sf_dir: str) -> DataFrame:

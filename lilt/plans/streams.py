@@ -62,7 +62,7 @@ def _to_parquet(spark: SparkSession, rows: DataFrame, name: str) -> str:
 def live_words_table(spark: SparkSession, d: str, files_per_batch: int | None = None) -> DataFrame:
     """Replay of the live words and windows through the deduplicating stream, once per application and source.
 
-    The files are read in about the order of events, so that few windows wait; results don't depend on it."""
+    The files hold whole sessions but at their borders, so that few windows wait; results don't depend on it."""
     key = (spark.sparkContext.applicationId, d, "live")
     if key not in _DONE:
         source = _source(spark, fx.live_events_path(spark, d), files_per_batch)

@@ -11,6 +11,7 @@ still holds; timers end idle sessions.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -37,6 +38,9 @@ NO_END = math.inf
 # A session without events for this long gives out what waits and is forgotten.
 IDLE_MS = 60_000
 
+#: Keys that the sessions share.
+BUCKETS = 1024
+
 #: Rows of a live session. A window has ``n_words``, its number as ``first_seq`` and ``last_seq``, its span as times; all
 #: other rows are words, with times on the session's axis. ``after`` names the window before, where that is known.
 LIVE_EVENTS = (
@@ -56,58 +60,56 @@ WORD = ("word", "start_ms", "end_ms", "confidence")
 class Words:
     """Words of a session as columns, each once, in order of start."""
 
-    first: np.ndarray
-    last: np.ndarray
-    index: np.ndarray
-    word: np.ndarray
-    start: np.ndarray
-    end: np.ndarray
-    confidence: np.ndarray
+    first: list[int]
+    last: list[int]
+    index: list[int]
+    word: list[str]
+    start: list[int]
+    end: list[int]
+    confidence: list[float]
 
     @classmethod
-    def of(cls, parts: list[tuple[np.ndarray, ...]]) -> Words:
-        """Columns put together; a row that came twice (same windows, same index) counts once."""
-        kinds = (np.int64, np.int64, np.int64, object, np.int64, np.int64, np.float64)
-        columns = [np.concatenate([np.asarray(p[k], dtype=kind) for p in parts] or [np.zeros(0, dtype=kind)]) for k, kind in enumerate(kinds)]
-        first, last, index = columns[:3]
-        order = np.lexsort((last, first, index, columns[4]))
-        fresh = np.ones(len(order), dtype=bool)
-        if len(order):
+    def of(cls, columns: list[np.ndarray]) -> Words:
+        """A row that came twice (same windows, same index) counts once."""
+        first, last, index, _, start = columns[:5]
+        order = np.lexsort((last, first, index, start))
+        if len(order) > 1:
+            fresh = np.ones(len(order), dtype=bool)
             a, b = order[1:], order[:-1]
             fresh[1:] = (first[a] != first[b]) | (last[a] != last[b]) | (index[a] != index[b])
-        return cls(*[c[order[fresh]] for c in columns])
-
-    def where(self, rows: np.ndarray) -> Words:
-        return Words(*[getattr(self, c)[rows] for c in self.__dataclass_fields__])
+            order = order[fresh]
+        return cls(*[c[order].tolist() for c in columns])
 
-    def rows(self) -> list[tuple]:
-        confidence = [None if math.isnan(c) else c for c in self.confidence.tolist()]
-        return list(zip(*[getattr(self, c).tolist() for c in list(self.__dataclass_fields__)[:-1]], confidence))
+    def held_after(self, following: int) -> list[tuple]:
+        """Rows of words that a window from ``following`` on holds."""
+        rows = zip(self.first, self.last, self.index, self.word, self.start, self.end, self.confidence)
+        return [(*r[:-1], None if r[-1] != r[-1] else r[-1]) for r in rows if r[1] >= following]
 
 
-def advance(cursor: int, seq: int, edge: int, words: Words) -> tuple[int, np.ndarray]:
+def advance(cursor: int, seq: int, edge: int, words: Words) -> tuple[int, list[int]]:
     """Places of the words that one window emits, and the new cursor."""
     if edge - cursor < LEAST_NEW_MS:
-        return cursor, np.zeros(0, dtype=np.int64)
-    begin = int(np.searchsorted(words.start, cursor, "left"))
-    near = slice(begin, int(np.searchsorted(words.start, edge, "right")))
-    held = (words.first[near] <= seq) & (words.last[near] >= seq) & (words.end[near] <= edge - GUARD_MS)
-    fresh = begin + np.flatnonzero(held)
-    if len(fresh):
-        fresh = fresh[np.argsort(words.index[fresh], kind="stable")]
-        return int(words.end[fresh[-1]]), fresh
+        return cursor, []
+    first, last, end, safe = words.first, words.last, words.end, edge - GUARD_MS
+    fresh = [
+        k
+        for k in range(bisect_left(words.start, cursor), bisect_right(words.start, edge))
+        if end[k] <= safe and first[k] <= seq <= last[k]
+    ]
+    if fresh:
+        fresh.sort(key=words.index.__getitem__)
+        return end[fresh[-1]], fresh
     return (edge - RESUME_MS if edge - cursor > LAG_MS else cursor), fresh
 
 
-def walk(following: int, cursor: int, windows: dict[int, tuple], words: Words, wait: float) -> tuple[int, int, list[tuple[int, int, np.ndarray]]]:
+def walk(following: int, cursor: int, windows: dict[int, tuple], words: Words, wait: float) -> tuple[int, int, list[tuple[int, int, list[int]]]]:
     """Windows (number to start, end, count of words, window before) in order, over gaps; taken ones leave the dictionary.
 
     A window has its turn when the one before it had its own and all its words are here. It goes on without them once a
     window ``wait`` places later is here. A window that names the one before it needs no other number to come first.
     """
     order = sorted(windows)
-    numbers = np.array(order, dtype=np.int64)
-    here = np.searchsorted(np.sort(words.first), numbers, "right") - np.searchsorted(np.sort(words.last), numbers, "left")
+    here = np.searchsorted(np.sort(words.first), order, "right") - np.searchsorted(np.sort(words.last), order, "left")
     out = []
     for seq, present in zip(order, here.tolist()):
         start, edge, count, after = windows[seq]
@@ -116,79 +118,141 @@ def walk(following: int, cursor: int, windows: dict[int, tuple], words: Words, w
             break
         del windows[seq]
         cursor, fresh = advance(cursor, seq, edge, words)
-        if len(fresh):
+        if fresh:
             out.append((seq, start, fresh))
         following = seq + 1
     return following, cursor, out
 
 
+_SPOKEN = ("first_seq", "last_seq", "word_idx", "word", "start_ms", "end_ms", "confidence")
+_KINDS = (np.int64, np.int64, np.int64, object, np.int64, np.int64, np.float64)
+
+
+def _slices(sessions: np.ndarray) -> tuple[np.ndarray, dict[int, slice]]:
+    """Order of rows by session, and the place of each session in it."""
+    order = np.argsort(sessions, kind="stable")
+    names, begin = np.unique(sessions[order], return_index=True)
+    return order, {n: slice(a, b) for n, a, b in zip(names.tolist(), begin.tolist(), [*begin.tolist()[1:], len(order)])}
+
+
 class LiveWords(StatefulProcessor):
-    """Emitted words per window, for one session at a time."""
+    """Emitted words per window, for the sessions of one bucket at a time.
+
+    Calls per key and calls to the state store cost far more than a window, and most sessions are short; so sessions share
+    a key. Each has its own position; windows and words that wait are kept with their session.
+    """
 
     def __init__(self, idle_ms: int | None, wait: float):
         self.idle_ms, self.wait = idle_ms, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.position = handle.getValueState("position", "next_seq long, cursor_ms long")
-        self.windows = handle.getMapState("windows", "trigger_seq long", _WINDOW_STATE)
-        self.words = handle.getListState("words", _WORD_STATE)
+        self.positions = handle.getMapState("positions", "session_id long", "next_seq long, cursor_ms long, seen_ms long")
+        self.windows = handle.getMapState("windows", "session_id long, trigger_seq long", _WINDOW_STATE)
+        self.words = handle.getListState("words", f"session_id long, {_WORD_STATE}")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
-        known = self.position.exists()
-        following, cursor = self.position.get() if known else (1, 0)
-        stored = {int(k[0]): tuple(v) for k, v in self.windows.iterator()} if known else {}
-        parts = [tuple(zip(*self.words.get()))] if known and self.words.exists() else []
-        windows = dict(stored)
-        for part in rows:
-            opens = part["n_words"].notna().to_numpy()
-            spoken = part[~opens]
-            spoken = spoken[spoken["last_seq"].to_numpy() >= following]
-            parts.append(tuple(spoken[c].to_numpy() for c in ("first_seq", "last_seq", "word_idx", "word", "start_ms", "end_ms", "confidence")))
-            opened = part[opens]
-            after = [None if pd.isna(a) else int(a) for a in opened["after"].tolist()]
-            for seq, start, edge, count, before in zip(*(opened[c].astype("int64").tolist() for c in ("first_seq", "start_ms", "end_ms", "n_words")), after):
+        parts = list(rows)
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0]
+        opens = rows["n_words"].notna().to_numpy()
+        sessions = rows["session_id"].to_numpy(dtype=np.int64)
+        spoken, opened = np.flatnonzero(~opens), np.flatnonzero(opens)
+        columns = [rows[c].to_numpy()[spoken].astype(kind, copy=False) for c, kind in zip(_SPOKEN, _KINDS)]
+        bounds = [rows[c].to_numpy()[opened].astype(np.int64).tolist() for c in ("first_seq", "start_ms", "end_ms", "n_words")]
+        after = [None if a != a else int(a) for a in rows["after"].to_numpy(dtype=np.float64)[opened].tolist()]
+        word_order, word_places = _slices(sessions[spoken])
+        columns = [c[word_order] for c in columns]
+        window_order, window_places = _slices(sessions[opened])
+        window_order = window_order.tolist()
+
+        held_words: dict[int, list[tuple]] = {}
+        for session, *word in self.words.get() if self.words.exists() else ():
+            held_words.setdefault(session, []).append(tuple(word))
+        held_windows: dict[int, dict[int, tuple]] = {}
+        for (session, seq), window in self.windows.iterator() if self.windows.exists() else ():
+            held_windows.setdefault(session, {})[seq] = tuple(window)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle_ms else 0
+        out = []
+        for session in sorted(set(word_places) | set(window_places)):
+            following, cursor, _ = self.positions.getValue((session,)) or (1, 0, 0)
+            stored = held_windows.get(session, {})
+            windows = dict(stored)
+            for k in window_order[window_places.get(session, slice(0, 0))]:
+                seq, start, edge, count = (column[k] for column in bounds)
+                before = after[k]
                 if seq >= following:
                     if seq in windows and before is not None and windows[seq][3] is not None:
                         before = min(before, windows[seq][3])  # a repeated window follows the one before its first row
                     windows[seq] = (start, edge, count, before)
-        words = Words.of(parts)
-        following, cursor, out = walk(following, cursor, windows, words, self.wait)
-        for seq in stored:
-            if seq not in windows:
-                self.windows.removeKey((seq,))
-        for seq, window in windows.items():
-            if stored.get(seq) != window:
-                self.windows.updateValue((seq,), window)
-        left = words.where(np.flatnonzero(words.last >= following))
-        if len(left.first):
-            self.words.put(left.rows())
-        elif known:
+            at = word_places.get(session, slice(0, 0))
+            mine = [c[at] for c in columns]
+            if session in held_words:
+                old = zip(*held_words.pop(session))
+                mine = [np.concatenate((np.array(list(o), dtype=kind), m)) for o, m, kind in zip(old, mine, _KINDS)]
+            words = Words.of(mine)
+            following, cursor, taken = walk(following, cursor, windows, words, self.wait)
+            for seq in stored:
+                if seq not in windows:
+                    self.windows.removeKey((session, seq))
+            for seq, window in windows.items():
+                if stored.get(seq) != window:
+                    self.windows.updateValue((session, seq), window)
+            left = words.held_after(following)
+            if left:
+                held_words[session] = left
+            self.positions.updateValue((session,), (following, cursor, now))
+            out.append((session, taken, words))
+        self._keep(held_words)
+        if self.idle_ms and not list(self.handle.listTimers()):
+            self.handle.registerTimer(now + self.idle_ms)
+        yield from _emitted(out)
+
+    def _keep(self, words: dict[int, list[tuple]]) -> None:
+        rows = [(session, *w) for session, held in words.items() for w in held]
+        if rows:
+            self.words.put(rows)
+        elif self.words.exists():
             self.words.clear()
-        self.position.update((following, cursor))
-        if self.idle_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield from _emitted(key, out, words)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        following, cursor = self.position.get()
-        windows = {int(k[0]): tuple(v) for k, v in self.windows.iterator()}
-        words = Words.of([tuple(zip(*self.words.get()))] if self.words.exists() else [])
-        _, _, out = walk(following, cursor, windows, words, 0)
-        for state in (self.position, self.windows, self.words):
-            state.clear()
-        yield from _emitted(key, out, words)
+        """Sessions of the bucket that were silent for the idle time give out what waits and leave the state."""
+        now = timerValues.getCurrentProcessingTimeInMs()
+        positions = {k[0]: tuple(v) for k, v in self.positions.iterator()}
+        silent = {session for session, (_, _, seen) in positions.items() if seen + self.idle_ms <= now}
+        held_words: dict[int, list[tuple]] = {}
+        for session, *word in self.words.get() if self.words.exists() else ():
+            held_words.setdefault(session, []).append(tuple(word))
+        held_windows: dict[int, dict[int, tuple]] = {}
+        for (session, seq), window in self.windows.iterator() if self.windows.exists() else ():
+            held_windows.setdefault(session, {})[seq] = tuple(window)
+        out = []
+        for session in sorted(silent):
+            following, cursor, _ = positions[session]
+            windows = held_windows.get(session, {})
+            for seq in windows:
+                self.windows.removeKey((session, seq))
+            columns = zip(*held_words.pop(session)) if session in held_words else [()] * len(_KINDS)
+            words = Words.of([np.array(list(c), dtype=kind) for c, kind in zip(columns, _KINDS)])
+            out.append((session, walk(following, cursor, dict(windows), words, 0)[2], words))
+            self.positions.removeKey((session,))
+        self._keep(held_words)
+        awake = [seen for session, (_, _, seen) in positions.items() if session not in silent]
+        if awake:
+            self.handle.registerTimer(min(awake) + self.idle_ms)
+        yield from _emitted(out)
 
     def close(self) -> None:
         pass
 
 
-def _emitted(key: Any, out: list[tuple[int, int, np.ndarray]], words: Words) -> Iterator[pd.DataFrame]:
-    if out:
-        columns = {c: [getattr(words, f)[at] for _, _, at in out] for c, f in zip(WORD, ("word", "start", "end", "confidence"))}
-        yield pd.DataFrame({"session_id": [key[0]] * len(out), "trigger_seq": [o[0] for o in out], "window_start_ms": [o[1] for o in out], **columns})
+def _emitted(out: list[tuple[int, list[tuple[int, int, list[int]]], Words]]) -> Iterator[pd.DataFrame]:
+    rows = [
+        (session, seq, start, *([column[k] for k in at] for column in (words.word, words.start, words.end, words.confidence)))
+        for session, taken, words in out
+        for seq, start, at in taken
+    ]
+    if rows:
+        yield pd.DataFrame(rows, columns=["session_id", "trigger_seq", "window_start_ms", *WORD])
 
 
 def window_events(windows: DataFrame) -> DataFrame:
@@ -213,7 +277,7 @@ def window_events(windows: DataFrame) -> DataFrame:
     ).select("session_id", "first_seq", "last_seq", "e.*", "after")
 
 
-def live_words(events: DataFrame, idle_ms: int | None = IDLE_MS, wait: float = WAIT_WINDOWS) -> DataFrame:
+def live_words(events: DataFrame, idle_ms: int | None = IDLE_MS, wait: float = WAIT_WINDOWS, buckets: int = BUCKETS) -> DataFrame:
     """Emitted words per trigger, append mode; one row per trigger that adds words. ``events`` as in ``LIVE_EVENTS``.
 
     Windows that arrive ahead of their turn or of their words wait in the state, ``WAIT_WINDOWS`` at most, so results do
@@ -222,10 +286,12 @@ def live_words(events: DataFrame, idle_ms: int | None = IDLE_MS, wait: float = W
     sessions give out what waits and leave the state. A replay of stored windows passes ``idle_ms=None``: a timer keeps a
     bounded run from ending. Its windows are all there, so it gives none up (``wait=NO_END``), in whatever order the files
     are read: ``after`` names the stored window before each (0 for the first), which takes the cursor over real gaps.
+    Sessions are dealt to ``buckets`` keys; have several for each core, and keep the number over a stream's restarts.
     State stores must be RocksDB (``spark.sql.streaming.stateStore.providerClass``).
     """
     mode = "processingTime" if idle_ms else "none"
-    lists = events.groupBy("session_id").transformWithStateInPandas(LiveWords(idle_ms, wait), _LISTS, "append", mode)
+    dealt = events.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int"))
+    lists = dealt.groupBy("bucket").transformWithStateInPandas(LiveWords(idle_ms, wait), _LISTS, "append", mode)
     word = F.transform(
         F.arrays_zip(*WORD),
         lambda w: F.struct(*[(F.when(~F.isnan(w[c]), w[c]) if c == "confidence" else w[c]).alias(c) for c in WORD]),
