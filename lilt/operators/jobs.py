@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lilt.functions.documents import default_of, typed
@@ -12,35 +12,57 @@ from lilt.schemas import JOB_EVENTS, JOB_RESULT
 EMPTY_JSON = ("{}", "[]", '""', "0", "0.0", "false", "null")
 
 
-def _latest(column: str, when: Column | None = None) -> Column:
-    """Value of the last write that set ``column``."""
-    set_here = F.col(column).isNotNull() if when is None else when
-    return F.max_by(column, F.when(set_here, F.struct("event_ts", "seq")))
+#: Columns of which the last write counts, and what stands before any write.
+LAST_WRITES = {
+    "status": None, "progress": 0.0, "total_chunks": 0, "completed_chunks": 0, "current_stage": "", "result": None, "error": "",
+}
 
 
-def job_state(events: DataFrame) -> DataFrame:
-    """Current row per job. All aggregates combine map-side, so a job with very many writes stays cheap.
+def folded_events(events: DataFrame) -> DataFrame:
+    """One partial fold per job: ``(event_ts, seq, value)`` of the last write of each column, and the times that count.
 
-    ``started_at`` is the latest write of status processing, ``first_started_at`` the earliest.
+    All aggregates combine map-side, so a job with very many writes stays cheap.
     """
     begun = F.when(F.col("status") == "processing", F.col("event_ts"))
     ended = F.when(F.col("status").isin("complete", "failed"), F.col("event_ts"))
     created = F.when(F.col("write") == "create", F.col("event_ts"))
+    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("event_ts", "seq", F.col(c).alias("value"))))
     return events.groupBy("job_id").agg(
-        _latest("status").alias("status"),
-        F.coalesce(_latest("progress"), F.lit(0.0)).alias("progress"),
+        *[last(c).alias(c) for c in LAST_WRITES],
         F.min(created).alias("created_at"),
         F.max(begun).alias("started_at"),
         F.min(begun).alias("first_started_at"),
         F.max(ended).alias("completed_at"),
-        F.coalesce(_latest("total_chunks"), F.lit(0)).alias("total_chunks"),
-        F.coalesce(_latest("completed_chunks"), F.lit(0)).alias("completed_chunks"),
-        F.coalesce(_latest("current_stage"), F.lit("")).alias("current_stage"),
-        _latest("result").alias("result"),
-        F.coalesce(_latest("error"), F.lit("")).alias("error"),
     )
 
 
+def folded_rows(rows: DataFrame) -> DataFrame:
+    """Partial folds of the same job put together; the order doesn't matter. Further columns keep their least value."""
+    times = {"created_at": F.min, "started_at": F.max, "first_started_at": F.min, "completed_at": F.max}
+    more = [c for c in rows.columns if c not in (*LAST_WRITES, *times, "job_id")]
+    return rows.groupBy("job_id").agg(
+        *[F.max(c).alias(c) for c in LAST_WRITES], *[f(c).alias(c) for c, f in times.items()], *[F.min(c).alias(c) for c in more]
+    )
+
+
+def state_of(folds: DataFrame) -> DataFrame:
+    """The state that folds stand for."""
+    value = {c: F.col(c)["value"] if v is None else F.coalesce(F.col(c)["value"], F.lit(v)) for c, v in LAST_WRITES.items()}
+    return folds.select(
+        "job_id", value["status"].alias("status"), value["progress"].alias("progress"),
+        "created_at", "started_at", "first_started_at", "completed_at",
+        *[value[c].alias(c) for c in ("total_chunks", "completed_chunks", "current_stage", "result", "error")],
+    )
+
+
+def job_state(events: DataFrame) -> DataFrame:
+    """Current row per job.
+
+    ``started_at`` is the latest write of status processing, ``first_started_at`` the earliest.
+    """
+    return state_of(folded_events(events))
+
+
 def find_job(state: DataFrame, job_id: int) -> DataFrame:
     """The job's row, or no row."""
     return state.filter(F.col("job_id") == job_id)
@@ -97,9 +119,21 @@ def progress_events(jobs: DataFrame, at: Column | None = None) -> DataFrame:
     )
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Append writes to the event table; nothing is updated in place."""
-    events.write.mode("append").parquet(path)
+def append_events(events: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append writes to the event table; nothing is updated in place.
+
+    With the number of the ``batch`` the append may be repeated: the batch has a folder of its own, which a second attempt
+    replaces. A table has either numbered batches only or none.
+    """
+    if batch is None:
+        events.write.mode("append").parquet(path)
+    else:
+        events.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """The event table at ``path``, with or without numbered batches."""
+    return spark.read.schema(JOB_EVENTS).parquet(path)
 
 
 def finished_sessions(chunks: DataFrame) -> DataFrame:

@@ -1,10 +1,41 @@
-"""Expectations as reports: violation counts per recording."""
+"""Expectations as reports: violation counts per recording, or for a whole table in the pass that writes it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+#: Expectations as conditions that break them, by name.
+WORD_RULES: Mapping[str, Column | str] = {
+    "untimed": "start_ms IS NULL OR end_ms IS NULL",
+    "bad_confidence": "confidence NOT BETWEEN 0 AND 1",
+    "backwards": "end_ms < start_ms",
+}
+JOB_RULES: Mapping[str, Column | str] = {
+    "bad_status": "status NOT IN ('queued', 'processing', 'complete', 'failed')",
+    "bad_progress": "progress NOT BETWEEN 0 AND 1",
+    "ended_before_start": "completed_at < started_at",
+}
+
+
+class Watched:
+    """A table whose rows are counted against rules while another job reads them: no pass of its own.
+
+    Take ``rows`` in place of the table; once an action over all of them is done, ``counts()`` has the number of rows and of
+    violations of each rule. An unfinished action has no counts, and ``counts`` waits for one.
+    """
+
+    def __init__(self, rows: DataFrame, rules: Mapping[str, Column | str], name: str = "quality"):
+        self._seen = Observation(name)
+        broken = {n: F.expr(r) if isinstance(r, str) else r for n, r in rules.items()}
+        self.rows = rows.observe(self._seen, F.count(F.lit(1)).alias("n_rows"), *[F.count_if(c).alias(n) for n, c in broken.items()])
+
+    def counts(self) -> dict[str, Any]:
+        return self._seen.get
+
 
 def word_checks(words: DataFrame, recordings: DataFrame) -> DataFrame:
     """Words without times, confidences outside [0, 1], and recordings without words."""

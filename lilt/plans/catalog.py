@@ -278,6 +278,20 @@ def _(spark, d):
     return writes.select("job_id", "seq", "event_ts", "write", "status", "total_chunks")
 
 
+@query(
+    "snk2_append_and_fold",
+    sql(
+        """SELECT * REPLACE (CASE WHEN status = 'queued' THEN 'processing' ELSE status END AS status,
+          CASE WHEN status = 'queued' THEN (job_id % 7 + 1)::INTEGER ELSE total_chunks END AS total_chunks,
+          CASE WHEN status = 'queued' THEN created_at + INTERVAL 1 DAY ELSE started_at END AS started_at,
+          CASE WHEN status = 'queued' THEN created_at + INTERVAL 1 DAY ELSE first_started_at END AS first_started_at) FROM job_state""",
+        "job_state",
+    ),
+)
+def _(spark, d):
+    return streams.appended_jobs(spark, d)
+
+
 @query(
     "snk3_incremental_words_sink",
     sql("SELECT session_id, n AS trigger_seq, list_aggregate([x.word FOR x IN fresh], 'string_agg', ' ') AS text,"
@@ -1410,15 +1424,15 @@ def _load_counter():
 
 @query(
     "udf3_udf5_batch_model_hook",
-    sql("SELECT recording_id, seq, CASE WHEN strlen(content) % 3 <> 0 THEN strlen(content) END AS n_bytes,"
-        " CASE WHEN strlen(content) % 3 = 0 THEN 'ValueError: unreadable' END AS error FROM chunk_texts", "chunk_texts"),
+    sql("SELECT recording_id, seq, CASE WHEN strlen(content) % 29 <> 0 THEN strlen(content) END AS n_bytes,"
+        " CASE WHEN strlen(content) % 29 = 0 THEN 'ValueError: unreadable' END AS error FROM chunk_texts", "chunk_texts"),
 )
 def _(spark, d):
     from pyspark.sql import types as T
 
     def predict(model, rows):
         sizes = rows["content"].map(model)
-        if (sizes % 3 == 0).any():
+        if (sizes % 29 == 0).any():
             raise ValueError("unreadable")
         return sizes.to_frame("n_bytes")
 
@@ -1488,6 +1502,128 @@ def _(spark, d):
     return quality.state_checks(jobs.job_state(fx.job_events(spark, d)), JOB_STATUSES)
 
 
+# Planted violations of every rule, by arithmetic on the keys.
+DAMAGED_WORDS = """SELECT * REPLACE (CASE WHEN word_idx % 31 = 7 THEN NULL ELSE start_ms END AS start_ms,
+  CASE WHEN word_idx % 37 = 5 THEN start_ms - 1 WHEN word_idx % 41 = 3 THEN NULL ELSE end_ms END AS end_ms,
+  CASE WHEN word_idx % 29 = 2 THEN 1.25 WHEN word_idx % 43 = 1 THEN -0.01 WHEN word_idx % 47 = 0 THEN NULL ELSE confidence END AS confidence)
+  FROM words WHERE recording_id % 9 <> 4"""
+DAMAGED_STATE = """SELECT * REPLACE (CASE WHEN job_id % 13 = 0 THEN 'lost' WHEN job_id % 17 = 0 THEN NULL ELSE status END AS status,
+  CASE WHEN job_id % 11 = 0 THEN 1.5 WHEN job_id % 19 = 0 THEN -0.5 ELSE progress END AS progress,
+  CASE WHEN job_id % 23 = 0 THEN started_at - INTERVAL 1 SECOND ELSE completed_at END AS completed_at) FROM job_state"""
+
+
+def _damaged_words(spark, d):
+    i, ms = C("word_idx"), C("start_ms")
+    return fx.words(spark, d).where("recording_id % 9 <> 4").withColumns({
+        "start_ms": F.when(i % 31 != 7, ms),
+        "end_ms": F.when(i % 37 == 5, ms - 1).when(i % 41 != 3, C("end_ms")),
+        "confidence": F.when(i % 29 == 2, 1.25).when(i % 43 == 1, -0.01).when(i % 47 != 0, C("confidence")),
+    })
+
+
+def _damaged_state(spark, d):
+    job = C("job_id")
+    return jobs.job_state(fx.job_events(spark, d)).withColumns({
+        "status": F.when(job % 13 == 0, "lost").when(job % 17 != 0, C("status")),
+        "progress": F.when(job % 11 == 0, 1.5).when(job % 19 == 0, -0.5).otherwise(C("progress")),
+        "completed_at": F.when(job % 23 == 0, C("started_at") - F.expr("INTERVAL '1' SECOND")).otherwise(C("completed_at")),
+    })
+
+
+@query(
+    "qa1_planted_violations",
+    sql(
+        f"""SELECT r.recording_id, count(w.recording_id) AS n_words, count(*) FILTER (w.recording_id IS NOT NULL AND (start_ms IS NULL OR end_ms IS NULL)) AS untimed,
+        count(*) FILTER (confidence < 0 OR confidence > 1) AS bad_confidence, count(w.recording_id) > 0 AS has_words
+        FROM (SELECT DISTINCT recording_id FROM words) r LEFT JOIN ({DAMAGED_WORDS}) w ON w.recording_id = r.recording_id GROUP BY 1""",
+        "words",
+    ),
+)
+def _(spark, d):
+    return quality.word_checks(_damaged_words(spark, d), fx.recordings(spark, d))
+
+
+@query(
+    "qa3_planted_violations",
+    sql(
+        f"""SELECT recording_id, count(*) AS n_words, count(*) FILTER (voiced) AS n_voiced, count(*) FILTER (voiced AND word_idx % 7 = 3) AS bad_chars,
+        count(*) FILTER (NOT voiced AND word_idx % 2 = 1) AS unvoiced_with_values FROM (SELECT recording_id, word_idx, mean IS NOT NULL AS voiced FROM ({STATS}))
+        GROUP BY 1""",
+        "frames", "runs", "frame_words",
+    ),
+)
+def _(spark, d):
+    """One value too many for some voiced words, values for some unvoiced ones."""
+    i, kept = C("word_idx"), C("char_pitches")
+    pitched = _pitch(spark, d).withColumn(
+        "char_pitches",
+        F.when(C("mean_pitch").isNull() & (i % 2 == 1), F.array(F.lit(1.0)))
+        .when(C("mean_pitch").isNotNull() & (i % 7 == 3), F.array_append(kept, F.lit(1.0))).otherwise(kept),
+    )
+    return quality.word_pitch_checks(pitched, tokens.char_count(C("word")))
+
+
+@query(
+    "qa3_planted_stylization",
+    sql(
+        f"""SELECT recording_id, count(*) AS n_segments, count(*) FILTER (start_frame % 3 = 0) AS bad_length,
+        count(*) FILTER (start_frame % 5 = 0) AS negative_cost FROM ({SEGMENT_ROWS}) GROUP BY 1""",
+        "runs",
+    ),
+)
+def _(spark, d):
+    at = C("start_frame")
+    damaged = _styled(spark, d, "mse").withColumns({
+        "stylized": F.when(at % 3 == 0, F.array_append("stylized", F.lit(0.0))).otherwise(C("stylized")),
+        "cost": F.when(at % 5 == 0, -1.0 - F.abs("cost")).otherwise(C("cost")),
+    })
+    return quality.stylization_checks(damaged)
+
+
+def _observed(spark, rows, rules, name):
+    """Counts taken while the rows are written."""
+    watched = quality.Watched(rows, rules, name)
+    cut(watched.rows, name)
+    counts = watched.counts()
+    return spark.range(1).select(*[F.lit(n).cast("long").alias(c) for c, n in counts.items()])
+
+
+@query(
+    "qa1_observed_words",
+    sql(
+        f"""SELECT count(*) AS n_rows, count(*) FILTER (start_ms IS NULL OR end_ms IS NULL) AS untimed,
+        count(*) FILTER (confidence < 0 OR confidence > 1) AS bad_confidence, count(*) FILTER (end_ms < start_ms) AS backwards FROM ({DAMAGED_WORDS})""",
+        "words",
+    ),
+)
+def _(spark, d):
+    return _observed(spark, _damaged_words(spark, d), quality.WORD_RULES, "words")
+
+
+@query(
+    "qa5_observed_jobs",
+    sql(
+        f"""SELECT count(*) AS n_rows, count(*) FILTER (status NOT IN ('queued', 'processing', 'complete', 'failed')) AS bad_status,
+        count(*) FILTER (progress < 0 OR progress > 1) AS bad_progress, count(*) FILTER (completed_at < started_at) AS ended_before_start FROM ({DAMAGED_STATE})""",
+        "job_state",
+    ),
+)
+def _(spark, d):
+    return _observed(spark, _damaged_state(spark, d), quality.JOB_RULES, "jobs")
+
+
+@query(
+    "qa5_planted_violations",
+    sql(
+        f"""SELECT count(*) AS n_jobs, count(*) FILTER (status NOT IN ('queued', 'processing', 'complete', 'failed')) AS bad_status,
+        count(*) FILTER (progress < 0 OR progress > 1) AS bad_progress FROM ({DAMAGED_STATE})""",
+        "job_state",
+    ),
+)
+def _(spark, d):
+    return quality.state_checks(_damaged_state(spark, d), JOB_STATUSES)
+
+
 # ---- end to end --------------------------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from lilt import fixtures as fx
+from lilt.operators import jobs
 from lilt.session import shared_dir
 from lilt.streaming import finalize, gate, live, progress
 
@@ -92,11 +93,24 @@ def gate_table(spark: SparkSession, d: str, files_per_batch: int | None = None)
         return spark.read.parquet(_to_parquet(spark, gate.gate_stream(source, idle_ms=None, wait=live.NO_END), "gate"))
 
 
-def progress_table(spark: SparkSession, d: str, files_per_batch: int = 2) -> DataFrame:
+def progress_table(spark: SparkSession, d: str, files_per_batch: int | None = None) -> DataFrame:
     source = _source(spark, fx.job_events_path(spark, d), files_per_batch)
     path = _folder(spark, "progress")
-    _finish(progress.write_progress(progress.progress_stream(source), path, _folder(spark, "progress-state")))
-    return progress.latest(spark.read.parquet(path))
+    _finish(progress.write_progress(source, path, _folder(spark, "progress-state")))
+    return progress.latest(spark, path)
+
+
+def appended_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """The event table written in numbered batches, one of them twice, and folded: queued jobs get a worker's first write."""
+    path = _folder(spark, "events")
+    jobs.append_events(fx.job_events(spark, d), path, batch=0)
+    queued = jobs.job_state(jobs.read_events(spark, path)).where("status = 'queued'").withColumn("seq", F.lit(1))
+    begun = jobs.status_events(
+        queued, "processing", at=F.col("created_at") + F.expr("INTERVAL '1' DAY"), total_chunks=F.col("job_id") % 7 + 1
+    )
+    for _ in range(2):  # as a worker would that does not know whether its first attempt came through
+        jobs.append_events(begun, path, batch=1)
+    return jobs.job_state(jobs.read_events(spark, path))
 
 
 def window_labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

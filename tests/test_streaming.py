@@ -317,6 +317,68 @@ def test_progress_equals_batch(spark):
     assert sorted(map(str, stream.collect())) == sorted(map(str, batch.collect()))
 
 
+def job_rows(rows):
+    """(job, seq, second, status, progress) as writes."""
+    import datetime
+
+    at = datetime.datetime(2024, 1, 1)
+    return [(j, s, at + datetime.timedelta(seconds=t), "create" if s == 0 else "status", status, p, None, None, None, None, None) for j, s, t, status, p in rows]
+
+
+def test_progress_stays_small(spark, tmp_path):
+    """Eighteen batches over ten jobs at a time: live rows, folders and files stay level, and the state is that of all events."""
+    import os
+
+    from lilt.schemas import JOB_EVENTS
+    from lilt.streaming import progress
+
+    path, everything, sizes = str(tmp_path / "jobs"), [], []
+    for batch in range(18):
+        rows = []
+        for job in range(10 * batch, 10 * batch + 10):
+            rows.append((job, 0, 0, "queued", 0.0))
+            if batch:
+                old = job - 10
+                rows += [(old, 1, 5, "processing", 0.5), (old, 2, 9, "failed" if old % 3 else "complete", 1.0)]
+            if batch > 12 and job % 10 == 3:  # a write long after the job was closed
+                rows.append((job - 120, 3, 99, None, 0.75))
+        rows = job_rows(rows)
+        everything += rows
+        part = spark.createDataFrame(rows, JOB_EVENTS)
+        progress.store_batch(part, batch, path)
+        if batch % 7 == 0:
+            progress.store_batch(part, batch, path)  # a repeated batch
+        live = progress._numbers(spark, f"{path}/live")
+        sizes.append((spark.read.parquet(progress._folder(f"{path}/live", *live[-1])).count(), len(os.listdir(f"{path}/live")), len(os.listdir(f"{path}/closed"))))
+    assert max(n for n, _, _ in sizes) <= 70 and {n for n, _, _ in sizes[10:]} <= set(range(45, 71))
+    assert max(n for _, n, _ in sizes) <= 3 and max(n for _, _, n in sizes) <= 2 * progress.MERGE_BATCHES
+    got = progress.latest(spark, path).drop("terminal")
+    want = jobs.job_state(spark.createDataFrame(everything, JOB_EVENTS)).select(got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_repeated_append_changes_nothing(spark, tmp_path):
+    from lilt.schemas import JOB_EVENTS
+
+    path = str(tmp_path / "events")
+    first, second = (spark.createDataFrame(job_rows(r), JOB_EVENTS) for r in ([(1, 0, 0, "queued", 0.0)], [(1, 1, 5, "processing", None), (2, 0, 6, "queued", 0.0)]))
+    for batch, rows in enumerate((first, second)):
+        jobs.append_events(rows, path, batch)
+    before = sorted(map(str, jobs.read_events(spark, path).collect()))
+    jobs.append_events(second, path, 1)
+    jobs.append_events(first, path, 0)
+    assert sorted(map(str, jobs.read_events(spark, path).collect())) == before and len(before) == 3
+
+
+def test_observed_counts_need_no_second_pass(spark):
+    from lilt.operators.quality import WORD_RULES, Watched
+
+    rows = spark.createDataFrame([(0, 5, 0.5), (None, 5, 2.0), (7, 5, None), (3, None, -1.0)], "start_ms long, end_ms long, confidence double")
+    watched = Watched(rows, WORD_RULES, "four")
+    assert watched.rows.count() == 4
+    assert watched.counts() == {"n_rows": 4, "untimed": 2, "bad_confidence": 2, "backwards": 1}
+
+
 def test_messages(spark):
     rows = spark.createDataFrame(
         [(1, 3, 0, [("hi", 0, 5, 1.0), ("you", 6, 9, None)])],
@@ -389,6 +451,33 @@ def test_model_hook_isolates_failures(spark):
     assert got == {1: (2.0, True), 2: (None, False)}
 
 
+def test_model_hook_halves_failing_batches():
+    """Three bad rows among 4,096 cost some dozens of calls, not thousands; the models of a worker are told apart by name."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from lilt.plans import hooks
+
+    calls = []
+
+    def predict(model, rows):
+        calls.append(len(rows))
+        if rows["x"].isin([5, 1000, 4095]).any():
+            raise ValueError("bad")
+        return rows[["x"]].rename(columns={"x": "y"})
+
+    class Items:
+        schema = {"x": T.StructField("x", T.LongType())}
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return list(run(iter([pd.DataFrame({"x": range(4096)}), pd.DataFrame({"x": []})])))
+
+    (found,) = hooks.model_hook(Items(), "halves", lambda: None, predict, ["x"], T.StructType([T.StructField("y", T.LongType())]))
+    assert found["x"].tolist() == list(range(4096)) and found["x"][found["error"].notna()].tolist() == [5, 1000, 4095]
+    assert found["y"].dropna().tolist() == [k for k in range(4096) if k not in (5, 1000, 4095)]
+    assert len(calls) <= 2 * 3 * 12 + 1
+
+
 def test_utterance_stream_equals_batch(spark, tmp_path):
     from lilt.operators.chunks import utterances
 
