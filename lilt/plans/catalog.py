@@ -1211,6 +1211,32 @@ def _(spark, d):
     return _styled_rows(spark, d, "mse")
 
 
+TWO_PIECES = """SELECT recording_id, start_frame, round(min(c), 3) AS cost FROM (
+  SELECT p.recording_id, p.start_frame, p.s, any_value(p.cost) + sum(pow(f.f0 - p.v, 2)) - CASE WHEN sum(pow(f.i - p.s, 2)) > 0 THEN
+      pow(sum((f.i - p.s) * (f.f0 - p.v)), 2) / sum(pow(f.i - p.s, 2)) ELSE 0 END AS c
+  FROM (SELECT recording_id, start_frame, s, a + b * s AS v, (SELECT sum(pow(x.f0 - l.a - l.b * x.i, 2)) FROM g x
+        WHERE x.recording_id = l.recording_id AND x.start_frame = l.start_frame AND x.i <= l.s) AS cost
+      FROM (SELECT e.recording_id, e.start_frame, e.i AS s, regr_intercept(f.f0, f.i) AS a, regr_slope(f.f0, f.i) AS b
+        FROM g e JOIN g f ON f.recording_id = e.recording_id AND f.start_frame = e.start_frame AND f.i <= e.i
+        WHERE e.i >= 2 AND e.i < e.n GROUP BY ALL) l) p
+  JOIN g f ON f.recording_id = p.recording_id AND f.start_frame = p.start_frame AND f.i >= p.s GROUP BY 1, 2, 3) GROUP BY 1, 2"""
+
+
+@query(
+    "arr6_two_pieces_mse",
+    sql(TWO_PIECES, "runs").replace(
+        "\nSELECT recording_id, start_frame, round(min(c), 3)",
+        f""",\ng AS MATERIALIZED (SELECT *, frame_idx - start_frame + 1 AS i, count(*) OVER (PARTITION BY recording_id, start_frame) AS n
+          FROM ({pieces_of_runs()}) QUALIFY n BETWEEN 4 AND 24)\nSELECT recording_id, start_frame, round(min(c), 3)""",
+        1,
+    ),
+)
+def _(spark, d):
+    """Two pieces with a shared frame; the SQL tries every break."""
+    short = voicing.voiced_segments(fx.pitch_frames(spark, d)).where(F.size("x").between(4, 24)).withColumn("k", F.lit(2))
+    return stylize.stylize_segments(short, "mse").select("recording_id", "start_frame", F.round("cost", 3).alias("cost"))
+
+
 @query(
     "arr6_single_line_cost",
     sql(
