@@ -42,7 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _OWN_DIR.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="lilt-"))
+    own = spark.sparkContext.applicationId
+    if own not in _OWN_DIR:
+        _OWN_DIR[own] = tempfile.mkdtemp(prefix="lilt-")
+    return _OWN_DIR[own]
 
 
 def staged(spark: SparkSession, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -65,7 +68,16 @@ def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lilt-{spark.sparkContext.applicationId}/cut-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._written = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more; results still to come from them must not be lazy."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
