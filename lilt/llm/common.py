@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lilt.session import cut
+from lilt.session import cut, discard
 
 #: White space of words and lines: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -300,7 +300,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = marked(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         small = marked(large)
         joined = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = cut(joined.union(small.select("u", F.col("m").alias("v"))).distinct(), name)
+        earlier, stars = stars, cut(joined.union(small.select("u", F.col("m").alias("v"))).distinct(), name)
+        discard(earlier)
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

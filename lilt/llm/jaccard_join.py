@@ -8,8 +8,12 @@ neighbourhood (two units). Among H + 1 units one must match, so E + D units are
 
 Cost-based allocation spends the spare units: signatures held by many sets are hot. A document whose hot segments cost no
 more than its spare units leaves them all out; it still meets every partner in a cheap segment. Only documents with more hot
-segments than that (near copies in large groups, mostly boilerplate) keep them. In hot lists all are first held against one
-leader; after the links so found are merged, only sets of different components that share a hot signature are compared.
+segments than that (near copies in large groups, mostly boilerplate) keep some. Lists fall into classes by the power of two of
+their length, and such a document leaves out its hottest classes as far as its spare units pay for them. All documents leave
+out from the hottest class down, so what either of two leaves out of their shared units costs at most one's spare units; one
+shared unit is left in both. In hot lists all are first held against one leader; after the links so found are merged, only sets
+of different components that both kept a hot signature are compared. Their pairs are made on packed arrays, lists with
+the same smallest member in the same task, where a pair of many lists becomes one row.
 No list, bucket or partner is capped, and every candidate is verified on the whole sets.
 
 Signatures travel as packed arrays (7 bytes each), grouped by buckets whose number grows with the corpus; equal sets are one
@@ -31,13 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from lilt.llm.common import byte_slices, components, mix, ranges, shingle_sets
-from lilt.session import cut
+from lilt.llm.common import byte_slices, components, mix, ranges, row_columns, shingle_sets, whole_row
+from lilt.session import cut, discard
 
 WORDS = 5
 #: Sets of one signature that are compared with each other right away.
 PLAIN = 16
-BUCKET_SIGNATURES = 2_000_000
+BUCKET_SIGNATURES = 1_000_000
+#: Members of hot lists, and rows of pairs, that a task holds at once.
+PAIR_MEMBERS = 500_000
+PAIR_ROWS = 2_000_000
 FLUSH_SIGNATURES = 1_000_000
 #: Sets of one flush.
 MOST_ENTRIES = 20_000
@@ -253,8 +260,9 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = ~plain
         if hot.any():
             # What the hot segments of a set cost here, and the members of each hot signature in order of doc_id.
-            spent = pd.DataFrame({"a": who[hot], "scheme": kind[hot], "spare": units[hot], "b": 1 + flag[hot].astype(np.int64)})
-            yield spent.groupby(["a", "scheme", "spare"], as_index=False)["b"].sum().assign(kind=SPENT, other=0, n=0, members=None, sizes=None)[_FOUND_NAMES]
+            length = np.repeat(np.frexp(count)[1], count)
+            spent = pd.DataFrame({"a": who[hot], "scheme": kind[hot], "spare": units[hot], "n": length[hot], "b": 1 + flag[hot].astype(np.int64)})
+            yield spent.groupby(["a", "scheme", "spare", "n"], as_index=False)["b"].sum().assign(kind=SPENT, other=0, members=None, sizes=None)[_FOUND_NAMES]
             many = np.flatnonzero(count > PLAIN)
             begin = np.concatenate([np.arange(head[k], head[k] + count[k], LIST_ROWS) for k in many])
             owner = np.repeat(head[many], -(-count[many] // LIST_ROWS))
@@ -262,7 +270,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop = np.minimum(begin + LIST_ROWS, owner + sizes)
             yield pd.DataFrame(
                 {
-                    "kind": LIST, "a": (sig[begin] * np.uint64(1 << 20) + np.uint64(bucket)).view(np.int64), "b": (sizes > LIST_ROWS).astype(np.int64), "scheme": kind[begin], "spare": 0, "other": 0, "n": 0,
+                    "kind": LIST, "a": (sig[begin] * np.uint64(1 << 20) + np.uint64(bucket)).view(np.int64), "b": (sizes > LIST_ROWS).astype(np.int64), "scheme": kind[begin], "spare": 0, "other": 0, "n": np.frexp(sizes)[1],
                     "members": [who[i:j].tobytes() for i, j in zip(begin, stop)],
                     "sizes": [measure[i:j].tobytes() for i, j in zip(begin, stop)],
                 }
@@ -359,8 +367,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _members(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
-    """(sig, leader, long, doc, size) of the list members that pass ``keeps``; the leader is the first of them in its row,
-    ``long`` says that the list has more rows."""
+    """(sig, leader, long, scheme, n, doc, size) of the list members that pass ``keeps``; the leader is the first of them in
+    its row, ``long`` says that the list has more rows, ``n`` is its class of length."""
     shared = lists.sparkSession.sparkContext.broadcast(keeps)
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,9 +377,96 @@ def _members(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
                 doc, size = np.frombuffer(row.members, np.int64), np.frombuffer(row.sizes, np.int64)
                 mine = passes(shared.value, doc)
                 if mine.sum() > 1 - row.b:
-                    yield pd.DataFrame({"sig": row.a, "leader": doc[mine][0], "long": bool(row.b), "doc": doc[mine], "size": size[mine]})
+                    yield pd.DataFrame(
+                        {"sig": row.a, "leader": doc[mine][0], "long": bool(row.b), "scheme": row.scheme, "n": row.n, "doc": doc[mine], "size": size[mine]}
+                    )
 
-    return lists.select("a", "b", "members", "sizes").mapInPandas(members, "sig long, leader long, long boolean, doc long, size long")
+    columns = "sig long, leader long, long boolean, scheme int, n int, doc long, size long"
+    return lists.select("a", "b", "scheme", "n", "members", "sizes").mapInPandas(members, columns)
+
+
+def _kept_classes(spent: DataFrame) -> DataFrame:
+    """(doc, scheme, keep) of sets whose hot segments cost more than they can spare: the hottest class of lists they keep.
+
+    Whole classes are left out from the hottest down, as long as the spare units pay for them.
+    """
+    classes = spent.groupBy("a", "scheme", "n").agg(F.sum("b").alias("cost"), F.min("spare").alias("spare"))
+    listed = classes.groupBy("a", "scheme").agg(
+        F.sort_array(F.collect_list(F.struct("n", "cost")), asc=False).alias("classes"), F.min("spare").alias("spare"), F.sum("cost").alias("spent")
+    )
+    keep = (
+        "aggregate(classes, named_struct('left', CAST(spare AS bigint), 'keep', -1), (s, x) -> CASE WHEN s.keep >= 0 THEN s"
+        " WHEN x.cost <= s.left THEN named_struct('left', s.left - x.cost, 'keep', -1) ELSE named_struct('left', s.left, 'keep', x.n) END, s -> s.keep)"
+    )
+    return listed.where("spent > spare").select(F.col("a").alias("doc"), "scheme", F.expr(keep).alias("keep"))
+
+
+def _made_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Different (a, b) of lists sorted by signature: members of different components whose sizes allow a link."""
+    held: list[np.ndarray] = []
+    rows = 0
+
+    def once(parts: list[np.ndarray]) -> np.ndarray:
+        pairs = np.concatenate(parts)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        fresh = np.ones(len(pairs), dtype=bool)
+        fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        return pairs[fresh]
+
+    def paired(members: list[np.ndarray]) -> Iterator[np.ndarray]:
+        doc, size, component = (np.concatenate(x) for x in zip(*members))
+        order = np.argsort(size, kind="stable")
+        doc, size, component = doc[order], size[order], component[order]
+        reach = np.searchsorted(size, size * 4 // 3, "right")
+        step = max(1, (1 << 22) // len(doc))
+        for k in range(0, len(doc), step):
+            end = int(reach[min(k + step, len(doc)) - 1])
+            i, j = np.nonzero(component[k : k + step, None] != component[None, k:end])
+            i, j = i + k, j + k
+            fits = (j > i) & (j < reach[i])
+            i, j = i[fits], j[fits]
+            yield np.stack((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])), axis=1)
+
+    def lists() -> Iterator[list[np.ndarray]]:
+        at, members = None, []
+        for part in batches:
+            sig = part["sig"].to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else []
+            columns = [part[c].to_numpy() for c in ("doc", "size", "component")]
+            for begin, end in zip(edge, [*edge[1:], len(sig)]):
+                if members and sig[begin] != at:
+                    yield members
+                    members = []
+                at = sig[begin]
+                members.append([c[begin:end] for c in columns])
+        if members:
+            yield members
+
+    for members in lists():
+        for pairs in paired(members):
+            held.append(pairs)
+            rows += len(pairs)
+            if rows > PAIR_ROWS:
+                held = [once(held)]
+                rows = len(held[0])
+                if rows > PAIR_ROWS // 2:
+                    yield pd.DataFrame(held[0], columns=["a", "b"])
+                    held, rows = [], 0
+    if rows:
+        yield pd.DataFrame(once(held), columns=["a", "b"])
+
+
+def _across(member: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of ``member(sig, doc, size, component)`` that share a list and not the component.
+
+    Lists with the same smallest member share a task, as they are much alike; many such lists are dealt over several tasks.
+    """
+    mixed = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc").alias("first"), F.count("*").alias("n"))
+    mixed = mixed.where("low <> high")
+    led = mixed.groupBy("first").agg(F.ceil(F.sum("n") / PAIR_MEMBERS).alias("tasks"))
+    placed = mixed.join(led.hint("rebalance"), "first").select("sig", "first", F.pmod(F.xxhash64("sig"), "tasks").alias("task"))
+    rows = member.join(placed.hint("rebalance"), "sig").repartition("first", "task").sortWithinPartitions("first", "task", "sig")
+    return rows.select("sig", "doc", "size", "component").mapInPandas(_made_pairs, "a long, b long").distinct()
 
 
 def _stars(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
@@ -409,15 +504,16 @@ def _enough(pairs: DataFrame, spent: DataFrame) -> DataFrame:
 def links(docs: DataFrame, total: int) -> DataFrame:
     """Links (a, b) between different sets, as many as components need."""
     found = cut(candidates(docs, total), "jaccard-candidates", "zstd")
-    lists = found.where(F.col("kind") == LIST)
-    spent = found.where(F.col("kind") == SPENT).groupBy("a", "scheme").agg(F.sum("b").alias("spent"), F.min("spare").alias("spare"))
-    spent = cut(spent, "jaccard-spent")
+    lists, costs = found.where(F.col("kind") == LIST), found.where(F.col("kind") == SPENT)
+    spent = cut(costs.groupBy("a", "scheme").agg(F.sum("b").alias("spent"), F.min("spare").alias("spare")), "jaccard-spent")
+    keep = cut(_kept_classes(costs), "jaccard-classes")
     plain = _enough(found.where(F.col("kind") == PAIR), spent)
-    overspent = bit_filter(spent.where(F.col("spent") > F.col("spare")).select("a").distinct())
+    overspent = bit_filter(keep.select("doc").distinct())
     stars = cut(_stars(lists, overspent), "jaccard-stars")
     first = cut(plain.union(stars).distinct(), "jaccard-pairs")
     sets = cut(sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "jaccard-sets")
     linked = cut(verified(first, sets), "jaccard-links")
+    discard(sets, spent)
     part = cut(components(linked, "jaccard-first"), "jaccard-parts")
     # A list whose members all share its leader's component is done; the others, and those of several rows, compare their
     # members of different components.
@@ -429,22 +525,25 @@ def links(docs: DataFrame, total: int) -> DataFrame:
     leaders = docs.sparkSession.sparkContext.broadcast(bit_filter(apart.select("a").distinct()))
     led = F.pandas_udf(lambda ids: pd.Series(passes(leaders.value, ids.to_numpy())), BooleanType())
     rows = _members(lists, overspent).where(F.col("long") | led("leader"))
+    rows = rows.join(keep.hint("rebalance"), ["doc", "scheme"]).where("n <= keep")
     member = rows.join(part.hint("rebalance"), rows["doc"] == part["node"], "left").select("sig", "doc", "size", F.coalesce("component", "doc").alias("component"))
     member = cut(member, "jaccard-members")
-    mixed = member.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-    open_rows = member.join(mixed.hint("rebalance"), "sig", "left_semi")
-    one, two = open_rows.alias("p"), open_rows.alias("q")
-    fits = 4 * F.least("p.size", "q.size") >= 3 * F.greatest("p.size", "q.size")
-    across = one.join(two, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.doc") < F.col("q.doc")) & (F.col("p.component") != F.col("q.component")) & fits)
-    second = across.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return cut(linked.union(verified(second, sets)), "jaccard-all-links")
+    discard(found, keep, stars, part)
+    second = cut(_across(member).join(first, ["a", "b"], "left_anti"), "jaccard-across")
+    discard(member, first)
+    others = cut(sets_of(docs, second.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "jaccard-sets")
+    every = cut(linked.union(verified(second, others)), "jaccard-all-links")
+    discard(linked, second, others)
+    return every
 
 
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all rows of ``docs`` (doc_id, text)."""
     rows = cut(document_sets(docs), "jaccard-documents")
     total = rows.agg(F.sum("n")).first()[0] or 0
-    part = components(links(docs, total), "jaccard-components")
+    linked = links(docs, total)
+    part = components(linked, "jaccard-components")
+    discard(linked)
     copies = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"))
     named = copies.join(part.hint("rebalance"), copies["first"] == part["node"], "left").select("f1", "f2", "n", F.coalesce("component", "first").alias("component"))
     return rows.alias("r").join(named.hint("rebalance").alias("c"), ["f1", "f2", "n"], "left").select(
@@ -453,6 +552,14 @@ def join_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; rows without doc_id stay."""
-    kept = join_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").union(docs.where("doc_id IS NULL"))
+    """``docs`` with one row of each component: the one with the smallest doc_id, of several such the first by its text's hash.
+
+    Rows without doc_id come behind all others: each different text of theirs counts as a document.
+    """
+    nameless = F.lit(1 << 62) + F.xxhash64("text").bitwiseAND((1 << 61) - 1)
+    keyed = docs.select(whole_row(docs).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), nameless).alias("_key"), F.xxhash64("text").alias("_hash"), F.col("text").alias("_text"))
+    parts = join_components(keyed.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text")))
+    firsts = parts.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    # Rows that share a key are reduced to one before they are moved, so a third of all rows may be the same.
+    single = keyed.groupBy("_key").agg(F.min_by("_row", "_hash").alias("_row"))
+    return single.join(firsts.hint("rebalance"), "_key", "left_semi").select(*row_columns(docs, "_row"))

@@ -38,6 +38,8 @@ HASHES = 3
 MOST_FILL = 0.5
 #: 64-bit words of one filter table (32 MB).
 PART_WORDS = 1 << 22
+#: Grams that a task gathers before it sums them up.
+COUNTED_GRAMS = 1_000_000
 UNKNOWN = "und"
 _SPREAD = mix(np.arange(11, 11 + GRAM, dtype=np.uint64)) | np.uint64(1)
 _SALTS = mix(np.arange(101, 102 + HASHES, dtype=np.uint64))
@@ -95,7 +97,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # The upper 58 bits of a hash and the language's number among its 64 share one word.
             mine = code[first + row]
             parts.append((hashes & ~np.uint64(63) | mine & np.uint64(63), mine >> np.uint64(6)))
-            if sum(len(x) for x, _ in parts) > 4_000_000:
+            if sum(len(x) for x, _ in parts) > COUNTED_GRAMS:
                 yield from _by_64(parts, order)
                 parts = []
         if parts:
