@@ -6,6 +6,7 @@ import os
 import re
 import sys
 import types
+import zlib
 from collections.abc import Iterator
 from itertools import chain
 
@@ -140,17 +141,20 @@ class TokenIds:
 
     No pre-token of a byte-level vocabulary reaches across the border before a space, unless that space stands inside a run
     of blanks; so a text's ids are those of its space-separated parts, and these end between letters and marks.
-    Each distinct piece is encoded once and kept, up to ``keep`` pieces. Texts with longer runs of blanks are encoded whole.
-    Strings of special tokens are ordinary text.
+    The ids of each distinct part are kept, until the parts kept have about ``keep_bytes``. Texts with longer runs of
+    blanks are encoded whole. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    #: Bytes of a kept part besides its text: the string's head, its place in the dictionary and its ids.
+    PART_BYTES = 140
+
+    def __init__(self, path: str, keep_bytes: int = 64 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
-        self.keep = keep
+        self.keep_bytes = keep_bytes
         self.reset()
 
     def reset(self) -> None:
@@ -158,43 +162,53 @@ class TokenIds:
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.begin = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
-        self.used = self.learned = 0
+        self.used = self.learned = self.bytes = 0
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, length of each)."""
+        flat, sizes = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
         for k in range(0, len(pieces), 4000):
             ids = [e.ids for e in self.encoder.encode_batch_fast(pieces[k : k + 4000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
-            self.flat = _with_room(self.flat, self.used + len(flat))
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.begin, self.length = (_with_room(x, self.learned + len(ids)) for x in (self.begin, self.length))
-            self.begin[self.learned : self.learned + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.length[self.learned : self.learned + len(ids)] = sizes
-            self.used += len(flat)
-            self.learned += len(ids)
+            sizes.append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
+            flat.append(np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes[-1].sum())))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Keep the ids of new parts; pieces that several of them share are encoded once."""
+        number: dict[str, int] = {}
+        order: list[int] = []
+        counts = np.ones(len(parts), dtype=np.int64)
+        for k, part in enumerate(parts):
+            some = [part] if part[1:].isalpha() else _BORDERS.split(part)
+            counts[k] = len(some)
+            order += [number.setdefault(piece, len(number)) for piece in some]
+        ids, sizes = self._encoded(list(number))
+        at = np.array(order, dtype=np.int64)
+        lengths = sizes[at]
+        flat = ids[ranges((np.cumsum(sizes) - sizes)[at], lengths)]
+        whole = np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(counts)))])
+        self.flat = _with_room(self.flat, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.begin, self.length = (_with_room(x, self.learned + len(parts)) for x in (self.begin, self.length))
+        self.begin[self.learned : self.learned + len(parts)] = self.used + np.cumsum(whole) - whole
+        self.length[self.learned : self.learned + len(parts)] = whole
+        self.known.update(zip(parts, range(self.learned, self.learned + len(parts))))
+        self.used += len(flat)
+        self.learned += len(parts)
+        self.bytes += sum(map(len, parts)) + self.PART_BYTES * len(parts)
 
     def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all parts, length of each)."""
-        pieces: list[str] = []
-        counts = np.ones(len(parts), dtype=np.int64)
-        for k, part in enumerate(parts):
-            if part[1:].isalpha():
-                pieces.append(part)
-            else:
-                some = _BORDERS.split(part)
-                counts[k] = len(some)
-                pieces += some
-        fresh = [x for x in dict.fromkeys(pieces) if x not in self.known]
-        self.known.update(zip(fresh, range(self.learned, self.learned + len(fresh))))
-        self._learn(fresh)
-        number = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        fresh = [x for x in dict.fromkeys(parts) if x not in self.known]
+        if fresh:
+            self._learn(fresh)
+        number = np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
         sizes = self.length[number]
-        running = np.concatenate(([0], np.cumsum(sizes)))
-        return self.flat[ranges(self.begin[number], sizes)], np.diff(running[np.concatenate(([0], np.cumsum(counts)))])
+        return self.flat[ranges(self.begin[number], sizes)], sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds of each text), each text closed by id 0; NULL counts as empty."""
-        if len(self.known) > self.keep:
+        if self.bytes > self.keep_bytes:
             self.reset()
         if not len(texts):
             return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
@@ -235,6 +249,20 @@ def worker_encoder(path: str) -> TokenIds:
     return made[path]
 
 
+def free_encoders() -> None:
+    """Drop what earlier tasks of this worker kept for encoding; stages that need the memory call it."""
+    home = sys.modules.get("lilt_worker_state")
+    if home is not None:
+        home.__dict__.get("encoders", {}).clear()
+
+
+def crc32s(values: np.ndarray, bounds: np.ndarray) -> list[int]:
+    """CRC-32 of the bytes of each run of ``values``."""
+    view = memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else memoryview(b"")
+    at = (bounds * values.dtype.itemsize).tolist()
+    return [zlib.crc32(view[a:b]) for a, b in zip(at, at[1:])]
+
+
 def text_slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of whole rows whose texts have about ``limit`` bytes."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from lilt.llm.common import byte_slices, components, mix, ranges, row_columns, shingle_sets, whole_row
+from lilt.llm.common import byte_slices, components, free_encoders, mix, ranges, row_columns, shingle_sets, whole_row
 from lilt.session import cut, discard
 
 WORDS = 5
@@ -169,6 +169,7 @@ def _index(buckets: int):
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=_PACKED_NAMES)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_encoders()
         held, sets, owners, known, count, entries = [], [], [], {}, 0, 0
         for batch in batches:
             for first, end, data, offsets in byte_slices(batch.column(1), SLICE):

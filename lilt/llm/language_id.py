@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lilt.llm.common import byte_slices, mix, row_columns, whole_row
+from lilt.llm.common import byte_slices, free_encoders, mix, row_columns, whole_row
 from lilt.session import cut
 
 GRAM = 5
@@ -86,6 +86,7 @@ def _padded(texts: pa.Array) -> pa.Array:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(language, gram, n) of each batch."""
+    free_encoders()
     for batch in batches:
         names = batch.column(1).to_pylist()
         order = sorted(set(names))

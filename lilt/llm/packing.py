@@ -14,7 +14,6 @@ packed like others; an empty table gives no sequence; further columns are ignore
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lilt.llm.common import blobs, ranked_in_groups, text_slices, worker_encoder
+from lilt.llm.common import blobs, crc32s, ranked_in_groups, text_slices, worker_encoder
 from lilt.session import cut
 
 WIDTH = 2048
@@ -44,12 +43,14 @@ def pieces(docs: DataFrame, path: str, width: int = WIDTH, keep_ids: bool = True
                 first = (sizes - (counts - 1) * width)[row]
                 start = np.where(piece == 0, 0, first + (piece - 1) * width)
                 length = np.where(piece == 0, first, width)
-                cuts = blobs(ids.astype("<u4"), np.append(bounds[row] + start, bounds[-1]))
-                crc = pa.array([zlib.crc32(b.as_buffer()) for b in cuts], pa.int64())
+                edges, values = np.append(bounds[row] + start, bounds[-1]), ids.astype("<u4")
+                crc = pa.array(crc32s(values, edges), pa.int64())
                 numbers = [pa.array(piece, pa.int32()), pa.array(start), pa.array(length), crc]
                 names = ["doc_id", "no_id", "piece", "start", "length", "ids_crc32", "ids"]
-                columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), *numbers, cuts]
-                yield pa.RecordBatch.from_arrays(columns[: 6 + keep_ids], names=names[: 6 + keep_ids])
+                columns = [part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), *numbers]
+                if keep_ids:
+                    columns.append(blobs(values, edges))
+                yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     keyed = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), F.coalesce("text", F.lit("")).alias("text")

@@ -17,7 +17,6 @@ columns are not written.
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lilt.llm.common import blobs, text_slices, worker_encoder
+from lilt.llm.common import blobs, crc32s, text_slices, worker_encoder
 from lilt.session import cut, shared_dir
 
 BLOCK_IDS = 1 << 18
@@ -153,35 +152,41 @@ def write_tokens(docs: DataFrame, path: str, folder: str) -> None:
     ids, lengths = code_lengths(id_counts(tokens, kind))
     code = Code(ids, lengths)
 
-    def block(part: int, start: int, held: list[tuple]) -> pd.DataFrame:
-        sizes = np.array([len(h[2]) // width for h in held], dtype=np.int64)
-        bits, offsets = code.write(np.frombuffer(b"".join(h[2] for h in held), dtype=kind))
-        return pd.DataFrame(
-            {
-                "part": [part], "start": [start], "n": [int(sizes.sum())],
-                "doc_ids": [np.array([h[0] for h in held], dtype=np.int64).tobytes()],
-                "no_ids": [np.array([h[1] for h in held], dtype=np.uint8).tobytes()],
-                "sizes": [sizes.tobytes()], "checkpoints": [offsets.astype(np.int64).tobytes()], "bits": [bits],
-            }
-        )
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, start = [], 0, 0
-        for rows in batches:
-            for row in rows.itertuples(index=False):
-                part, n = row.part, len(row.ids) // width
-                if held and size + n > BLOCK_IDS:
+    def block(part: int, start: int, held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        doc_ids, no_ids, sizes, values = (np.concatenate(x) for x in zip(*held))
+        bits, offsets = code.write(values)
+        row = [part, start, int(sizes.sum()), doc_ids.tobytes(), no_ids.astype(np.uint8).tobytes(), sizes.tobytes(), offsets.astype(np.int64).tobytes(), bits]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=names)
+
+    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    names = ["part", "start", "n", "doc_ids", "no_ids", "sizes", "checkpoints", "bits"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, start, part = [], 0, 0, 0
+        for batch in batches:
+            blob = batch.column("ids").cast(pa.large_binary())
+            offsets = np.frombuffer(blob.buffers()[1], dtype=np.int64)[blob.offset : blob.offset + len(blob) + 1] // width
+            values = np.frombuffer(blob.buffers()[2] or b"", dtype=kind)
+            doc_ids, no_ids = batch.column("doc_id").to_numpy(), batch.column("no_id").to_numpy(zero_copy_only=False)
+            part, row = batch.column("part")[0].as_py() if len(blob) else part, 0
+            while row < len(blob):
+                # As many whole rows as still fit; a longer one is a block of its own.
+                end = int(np.searchsorted(offsets, offsets[row] + BLOCK_IDS - size, "right")) - 1
+                if end <= row and held:
                     yield block(part, start, held)
                     held, start, size = [], start + size, 0
-                held.append((row.doc_id, row.no_id, row.ids))
-                size += n
+                    continue
+                end = max(row + 1, min(end, len(blob)))
+                held.append((doc_ids[row:end], no_ids[row:end], np.diff(offsets[row : end + 1]), values[offsets[row] : offsets[end]]))
+                size += int(offsets[end] - offsets[row])
+                row = end
         if held:
             yield block(part, start, held)
 
     order = ("doc_id", "no_id", "tie")
     sorted_rows = tokens.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     shape = "part int, start long, n long, doc_ids binary, no_ids binary, sizes binary, checkpoints binary, bits binary"
-    sorted_rows.mapInPandas(encode, shape).write.mode("overwrite").parquet(f"{folder}/blocks")
+    sorted_rows.mapInArrow(encode, shape).write.mode("overwrite").parquet(f"{folder}/blocks")
     book = spark.createDataFrame(pd.DataFrame({"id": ids, "bits": lengths}), "id long, bits long")
     book.write.mode("overwrite").parquet(f"{folder}/codebook")
 
@@ -200,18 +205,20 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = code.read(row["bits"], np.frombuffer(row["checkpoints"], dtype=np.int64), row["n"]).astype("<u4")
-                sizes = np.frombuffer(row["sizes"], dtype=np.int64)
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k] for c in batch.schema.names}
+                long = lambda c: np.frombuffer(row[c].as_buffer(), dtype=np.int64)  # noqa: E731, B023
+                ids = code.read(row["bits"].as_py(), long("checkpoints"), row["n"].as_py()).astype("<u4")
+                sizes = long("sizes")
                 bounds = np.concatenate(([0], np.cumsum(sizes)))
-                values = blobs(ids, bounds)
                 columns = [
-                    pa.array(np.frombuffer(row["doc_ids"], dtype=np.int64)), pa.array(np.frombuffer(row["no_ids"], dtype=np.uint8).astype(bool)),
-                    pa.array(before[row["part"]] + row["start"] + bounds[:-1]), pa.array(sizes),
-                    pa.array([zlib.crc32(v.as_buffer()) for v in values], pa.int64()), values,
+                    pa.array(long("doc_ids")), pa.array(np.frombuffer(row["no_ids"].as_buffer(), dtype=np.uint8).astype(bool)),
+                    pa.array(before[row["part"].as_py()] + row["start"].as_py() + bounds[:-1]), pa.array(sizes), pa.array(crc32s(ids, bounds), pa.int64()),
                 ]
+                if with_ids:
+                    columns.append(blobs(ids, bounds))
                 names = ["doc_id", "no_id", "start", "n_tokens", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays(columns[: 5 + with_ids], names=names[: 5 + with_ids])
+                yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
     shape = "doc_id long, no_id boolean, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     rows = blocks.mapInArrow(decode, shape)

@@ -241,7 +241,7 @@ def test_token_ids_of_any_text(texts):
     assert [ids[a:z].tolist() for a, z in zip(bounds[:-1], bounds[1:])] == [plain.encode(x, add_special_tokens=False).ids + [0] for x in texts]
 
 
-test_token_ids_of_any_text.encoder = TokenIds(TOKENIZER, keep=50)
+test_token_ids_of_any_text.encoder = TokenIds(TOKENIZER, keep_bytes=8000)
 
 
 def tokens():
