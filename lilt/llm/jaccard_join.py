@@ -43,8 +43,8 @@ WORDS = 5
 PLAIN = 16
 BUCKET_SIGNATURES = 1_000_000
 #: Members of hot lists, and rows of pairs, that a task holds at once.
-PAIR_MEMBERS = 500_000
-PAIR_ROWS = 2_000_000
+PAIR_MEMBERS = 200_000
+PAIR_ROWS = 400_000
 FLUSH_SIGNATURES = 1_000_000
 #: Sets of one flush.
 MOST_ENTRIES = 20_000
@@ -350,21 +350,21 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` that link, decided on the whole sets."""
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             linked = []
-            for one, two in zip(rows["x"], rows["y"]):
-                x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+            for one, two in zip(batch.column("x"), batch.column("y")):  # no copies of the sets
+                x, y = np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(two.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
                 linked.append(100 * common >= 75 * (len(x) + len(y) - common))
-            yield rows.loc[linked, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(right, "b").join(left, "a").mapInPandas(check, "a long, b long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def _members(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
@@ -419,7 +419,7 @@ def _made_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order = np.argsort(size, kind="stable")
         doc, size, component = doc[order], size[order], component[order]
         reach = np.searchsorted(size, size * 4 // 3, "right")
-        step = max(1, (1 << 22) // len(doc))
+        step = max(1, (1 << 19) // len(doc))
         for k in range(0, len(doc), step):
             end = int(reach[min(k + step, len(doc)) - 1])
             i, j = np.nonzero(component[k : k + step, None] != component[None, k:end])

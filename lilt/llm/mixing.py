@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lilt.llm.common import WORD, row_columns, whole_row
 
 BUCKET_ROWS = 512
-#: Words that the dynamic programme closes; above it lengths are taken greedily.
+#: Words that the dynamic programme closes; above it lengths are taken greedily. So many lengths are tried first.
 PROGRAMME_WORDS = 1 << 15
 PROGRAMME_LENGTHS = 512
 
@@ -71,15 +71,18 @@ def fit_lengths(lengths: list[int], counts: list[int], budget: int) -> list[int]
         more = min(counts[i] - taken[i], max(0, rest - PROGRAMME_WORDS) // lengths[i])
         taken[i] += more
         rest -= more * lengths[i]
-    able = [i for i in range(len(lengths)) if 0 < lengths[i] <= rest and counts[i] > taken[i]]
+    able = sorted((i for i in range(len(lengths)) if 0 < lengths[i] <= rest and counts[i] > taken[i]), key=lambda i: lengths[i])
+    # A spread of lengths comes first, as it mostly closes the budget; until that is closed, all others follow.
     step = max(1, -(-len(able) // PROGRAMME_LENGTHS))
     limit, reach, layers = (1 << (rest + 1)) - 1, 1, []
-    for i in sorted(able, key=lambda i: lengths[i])[::step]:
+    for i in [*able[::step], *(i for k, i in enumerate(able) if k % step)]:
         left, part = min(counts[i] - taken[i], rest // lengths[i]), 1
         while left > 0 and not reach >> rest & 1:
             part = min(part, left)
-            layers.append((i, part, reach))
-            reach = (reach | reach << lengths[i] * part) & limit
+            wider = (reach | reach << lengths[i] * part) & limit
+            if wider != reach:
+                layers.append((i, part, reach))
+                reach = wider
             left, part = left - part, part * 2
     at = reach.bit_length() - 1
     for i, part, before in reversed(layers):
@@ -166,8 +169,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     chosen = mix(docs, **options).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     keyed = docs.where(F.length("text") > 0).select(whole_row(docs).alias("_row"), "doc_id", F.xxhash64("text").alias("_hash")).alias("d")
     joined = keyed.join(chosen.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("_hash") == F.col("c.text_hash")))
-    rows = joined.select("_row", F.col("d.doc_id").alias("_id"), "_hash", "_copies", "_rows")
-    turn = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
-    mine = F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_turn") <= F.col("_copies") % F.col("_rows")).cast("long")
-    repeated = rows.withColumn("_turn", turn).withColumn("_mine", mine).where("_mine > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _mine)")))
-    return repeated.select(*row_columns(docs, "_row"))
+    # Equal rows become one with a count before they are moved; those that differ in other columns take turns.
+    rows = joined.select("_row", F.col("d.doc_id").alias("_id"), "_hash", F.xxhash64("_row").alias("_kind"), "_copies", "_rows")
+    kinds = rows.groupBy("_id", "_hash", "_kind").agg(F.first("_row").alias("_row"), F.count("*").alias("_n"), F.max("_copies").alias("_copies"), F.max("_rows").alias("_rows"))
+    turn = Window.partitionBy("_id", "_hash").orderBy("_kind").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(turn), F.lit(0))
+    rest = F.greatest(F.lit(0), F.least(F.col("_n"), F.col("_copies") % F.col("_rows") - before))
+    repeated = kinds.withColumn("_mine", F.col("_n") * F.floor(F.col("_copies") / F.col("_rows")) + rest).where("_mine > 0")
+    return repeated.withColumn("_copy", F.explode(F.expr("sequence(1, _mine)"))).select(*row_columns(docs, "_row"))

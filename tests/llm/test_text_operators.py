@@ -411,6 +411,27 @@ def water_fill(sizes, weights, total, cap):
     return target
 
 
+def test_the_programme_sees_all_lengths():
+    """1,199 lengths, all even but one: only that one closes an odd budget."""
+    lengths = [2 * k for k in range(1, 1200)] + [2 * 777 + 1]
+    order = sorted(range(1200), key=lambda i: lengths[i])
+    lengths, counts = [lengths[i] for i in order], [1] * 1200
+    for budget in (30_001, 5_001, 20_000):
+        taken = mixing.fit_lengths(lengths, counts, budget)
+        assert sum(x * k for x, k in zip(lengths, taken)) == budget and all(0 <= k <= 1 for k in taken)
+
+
+def test_repeated_rows_in_the_mix(spark):
+    """Equal rows are counted, rows that differ elsewhere take turns; as many come out as the mix takes."""
+    rows = [(1, "a b c", "s", k % 2) for k in range(40)] + [(2, "d e", "t", 0)] * 7 + [(k, words(9, k), "u", 5) for k in range(3, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(3)
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.copies
+    out = mixing.mixed_documents(docs).collect()
+    assert Counter(r.doc_id for r in out) == +want and {r.extra for r in out if r.doc_id == 1} == {0, 1}
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows())

@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -144,8 +146,119 @@ def test_pipeline_edges(spark):
     assert {r.doc_id for r in kept.collect()} == set(range(30)) | {43, None}
 
 
+def test_pipeline_keeps_a_corpus_without_languages(spark):
+    rows = [(k, f"document number {k} says nothing new", None, "s", 5) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.identify_language(spark, docs, SF).count() == 20
+
+
+def planted():
+    """Clean documents of two languages, foreign ones, repeated lines, copies, near copies and repeated rows."""
+    draw = random.Random(8)
+    vocabulary = {"en": [f"{a}{b}ing" for a in "bcdfgh" for b in ("al", "er", "on", "ut")], "de": [f"ge{a}{b}ung" for a in "klmnst" for b in ("au", "ei", "ie", "oh")]}
+    prose = lambda lang, n: " ".join(draw.choice(vocabulary[lang]) for _ in range(n))
+    rows = []
+    for k in range(60):
+        lang = "en" if k % 2 else "de"
+        text = "\n".join([prose(lang, 40), "A line of every page in this place.", prose(lang, 30)])
+        rows.append((k, text, lang, "abc"[k % 3]))
+    rows += [(100 + k, rows[k][1], rows[k][2], "a") for k in range(10)]  # copies
+    for k in range(10, 20):  # near copies
+        words = rows[k][1].split(" ")
+        words[35] = "changed"
+        rows.append((200 + k, " ".join(words), rows[k][2], "b"))
+    rows += [rows[3]] * 4 + [(k, "", None, None) for k in (300, 301)] + [(302, None, "en", "a")]
+    rows += [(400 + k, "".join(draw.choice("ѐѓєѕіїјљњ ") for _ in range(80)), None, "c") for k in range(5)]  # a script nobody taught
+    return [(d, t, lang, s, len(t or "")) for d, t, lang, s in rows]
+
+
+def test_pipeline_against_plain_decisions(spark):
+    rows = planted()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    plain = lambda frame: Counter((r.doc_id, r.text) for r in frame.collect())
+    stages = dict(corpus_pipeline.STAGES)
+
+    # Language: texts without a letter and the foreign ones go, nothing else.
+    docs = stages["language_id"](spark, docs, SF)
+    rows = [r for r in rows if r[1] and not 400 <= r[0] < 410]
+    assert plain(docs) == Counter((r[0], r[1]) for r in rows)
+
+    # Lines: a line of ten characters stays in the smallest document that holds it.
+    first = {}
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").lower()
+    for d, t, *_ in rows:
+        for line in t.split("\n"):
+            first[key(line)] = min(first.get(key(line), d), d)
+    rows = [(d, "\n".join(x for x in t.split("\n") if len(key(x)) < 10 or first[key(x)] == d), *more) for d, t, *more in rows]
+    docs = stages["line_dedup"](spark, docs, SF)
+    assert plain(docs) == Counter((r[0], r[1]) for r in rows)
+
+    # Near duplicates: the smallest document of each component, once.
+    sets = {}
+    for d, t, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        sets[d] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            common = len(sets[a] & sets[b])
+            if a < b and common and 100 * common >= 75 * len(sets[a] | sets[b]):
+                a_root, b_root = sorted((root(a), root(b)))
+                parent[b_root] = a_root
+    kept = {d for d in sets if root(d) == d}
+    docs = stages["ngram_jaccard_join"](spark, docs, SF)
+    assert plain(docs) == Counter({(d, t): 1 for d, t, *_ in rows if d in kept})
+    rows = list({d: r for r in rows for d in [r[0]] if d in kept}.values())
+
+    # Mixing: each document at most twice, each source within a document of its target.
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    total = {}
+    for r in rows:
+        total[r[3]] = total.get(r[3], 0) + size(r[1])
+    weights = dict(zip(sorted(total), (3, 1, 2)))
+    target, open_, budget = {}, set(total), 1.5 * sum(total.values())
+    while open_:  # water filling
+        level = (budget - sum(target.values())) / sum(weights[s] for s in open_)
+        full = {s for s in open_ if level * weights[s] > 2 * total[s]}
+        for s in full or open_:
+            target[s] = 2 * total[s] if full else level * weights[s]
+        open_ -= full or open_
+    docs = stages["source_mix"](spark, docs, SF)
+    taken = plain(docs)
+    assert set(taken) <= {(r[0], r[1]) for r in rows} and max(taken.values()) <= 2
+    for s in total:
+        got = sum(n * size(t) for (d, t), n in taken.items() if {r[0]: r[3] for r in rows}[d] == s)
+        assert target[s] - 80 <= got <= target[s] + 1  # documents have 70 to 80 words
+
+    # Packing: every id of every document that was taken, no overlap and no hole.
+    from tokenizers import Tokenizer
+
+    encoder = Tokenizer.from_file(queries.tokenizer())
+    packed = stages["best_two_fit"](spark, docs, SF).collect()
+    lengths = Counter()
+    for (d, t), n in taken.items():
+        lengths[d] += n * (len(encoder.encode(t, add_special_tokens=False).ids) + 1)
+    got, places = Counter(), {}
+    for r in packed:
+        got[r.doc_id] += r.length
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert got == lengths
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 def test_contract_names():
     names = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
