@@ -4,6 +4,8 @@ Language id learns from the labelled documents outside the held-out fifth and re
 whose grams no learned language holds. Line dedup replaces texts by their kept lines. The n-gram Jaccard join leaves
 one document of each component. Mixing takes documents up to twice, to their sources' targets. Packing gives the sequences.
 
+Without any learned language nothing can be told foreign, so language id then keeps all documents.
+
 Edges are those of the operators; a table without documents gives an empty result.
 """
 
@@ -27,6 +29,8 @@ ORACLE_SQL: str | None = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = language_id.learn(docs.where(~language_id.held_out()))
+    if not filters.languages:
+        return docs
     found = language_id.predict(docs, filters)
     foreign = (F.col("score") < LEAST_SCORE) & (F.length("text") >= JUDGED_CHARS)
     return found.where((F.col("lang_pred") != language_id.UNKNOWN) & ~foreign).select(*docs.columns)
