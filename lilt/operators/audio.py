@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lilt.operators.scan import Run, adjacent, running
+from lilt.operators.scan import adjacent, attach, block_of, totalled
 
 REC = ["recording_id"]
+#: Sample blocks of a recording that look up its gain together.
+GAIN_BLOCKS = 256
 
 
 def peak_abs(blocks: DataFrame) -> DataFrame:
@@ -20,8 +22,8 @@ def peak_gain(blocks: DataFrame) -> DataFrame:
     """Scale quiet recordings (peak between 1e-4 and 0.5) to a peak of 0.85."""
     peak = F.col("peak")
     gain = F.when((peak > 1e-4) & (peak < 0.5), F.lit(0.85) / peak).otherwise(F.lit(1.0))
-    # One number per recording: Spark broadcasts it where it is small and splits a long recording where it is not.
-    ranged = blocks.join(peak_abs(blocks), REC, "left").withColumn("gain", gain)
+    # One number per recording, looked up once for each stretch of its blocks.
+    ranged = attach(blocks, peak_abs(blocks), REC, block_of("block_idx", GAIN_BLOCKS)).withColumn("gain", gain)
     return ranged.withColumn("samples", F.transform("samples", lambda x: x.cast("double") * F.col("gain"))).drop("peak")
 
 
@@ -73,10 +75,9 @@ def concat_chunks(chunks: DataFrame) -> DataFrame:
     """
     audio = chunks.filter(F.col("kind") == "audio").withColumn("n_bytes", F.octet_length("content").cast("bigint"))
     sizes = audio.select("recording_id", "seq", "n_bytes")
-    placed = running(sizes, REC, "seq", {"offset": Run("sum", F.col("n_bytes"), inclusive=False)}).drop("n_bytes")
-    totals = sizes.groupBy("recording_id").agg(F.sum("n_bytes").alias("total_bytes"))
-    joined = audio.join(placed, ["recording_id", "seq"]).join(totals, REC)
-    return joined.select("recording_id", "seq", "offset", "n_bytes", "total_bytes", "content")
+    # The contents meet their places by chunk, and are moved that once.
+    placed = totalled(sizes, REC, "seq", "n_bytes", "offset", "total_bytes").drop("n_bytes")
+    return audio.join(placed, ["recording_id", "seq"]).select("recording_id", "seq", "offset", "n_bytes", "total_bytes", "content")
 
 
 def repeated_chunks(chunks: DataFrame) -> DataFrame:

@@ -151,9 +151,17 @@ def text_pieces(rows: DataFrame, keys: Sequence[str], order: str, blocks: Sequen
     """``rows`` with ``text`` as pieces of one text per key, joined by one blank: adds ``offset`` and ``total_chars``."""
     keys = list(keys)
     sized = rows.withColumn("_n", F.char_length("text").cast("bigint") + 1)
-    placed = running(sized, keys, order, {"offset": Run("sum", F.col("_n"), inclusive=False)}, blocks).drop("_n")
-    totals = sized.groupBy(*keys).agg((F.sum("_n") - 1).alias("total_chars"))
-    return placed.join(totals, keys)
+    return totalled(sized, keys, order, "_n", "offset", "total_chars", blocks).withColumn("total_chars", F.col("total_chars") - 1).drop("_n")
+
+
+def totalled(
+    rows: DataFrame, keys: Sequence[str], order: str, size: str, offset: str, total: str, blocks: Sequence[Column] | None = None
+) -> DataFrame:
+    """Adds the sum of ``size`` before a row and over all rows of its key. Both come from the scan's carries: what is before a
+    row and what is from it on make up the whole, so no row is moved by its key alone."""
+    value = F.col(size)
+    runs = {offset: Run("sum", value, inclusive=False), "_rest": Run("sum", value, backward=True)}
+    return running(rows, keys, order, runs, blocks).withColumn(total, F.col(offset) + F.col("_rest")).drop("_rest")
 
 
 def attach(

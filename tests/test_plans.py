@@ -3,10 +3,11 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from lilt import fixtures as fx
-from lilt.operators import jobs, phrases, word_pitch
+from lilt.operators import audio, jobs, phrases, scan, word_pitch
 
 SF = "/root/testdata/sf0.001"
 # Queries whose construction runs a stream or a long job; their plans read written tables.
@@ -59,5 +60,24 @@ def test_interval_join_is_an_equi_join(spark):
     assert re.search(r"SortMergeJoin \[recording_id#\d+L, _cell#\d+L\]", text)
 
 
+def test_wide_rows_are_not_joined_by_recording(spark):
+    """Samples, contents and texts meet carries by block or chunk; a recording may hold a third of all rows."""
+    words = fx.words(spark, SF).select("recording_id", "word_idx", F.col("word").alias("text"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = plan(scan.text_pieces(words, ["recording_id"], "word_idx"))
+        chunks = plan(audio.concat_chunks(fx.audio_chunks(spark, SF)))
+        gains = plan(audio.peak_gain(fx.pcm_blocks(spark, SF)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    alone = re.compile(r"SortMergeJoin \[recording_id#\d+L?\], ")
+    assert not alone.search(texts) and not alone.search(chunks)
+    # The gain is looked up for (recording, stretch) pairs, which carry no samples.
+    (join,) = [k for k, line in enumerate(gains.split("\n")) if alone.search(line)]
+    assert "samples" not in gains.split("\n")[join + 1] and re.search(r"SortMergeJoin \[recording_id#\d+L, _spread#\d+L?\]", gains)
+    # Contents pass one exchange, that of their chunk.
+    assert len(re.findall(r"hashpartitioning\(recording_id#\d+L, seq#\d+L", chunks)) <= 2
+
+
 def test_oracles_have_queries():
     assert set(contract.oracle_sql()) <= set(contract.queries())
