@@ -13,7 +13,8 @@ their length, and such a document leaves out its hottest classes as far as its s
 out from the hottest class down, so what either of two leaves out of their shared units costs at most one's spare units; one
 shared unit is left in both. In hot lists all are first held against one leader; after the links so found are merged, only sets
 of different components that both kept a hot signature are compared. Their pairs are made on packed arrays, lists with
-the same smallest member in the same task, where a pair of many lists becomes one row.
+the same smallest member in the same task, where a pair of many lists becomes one row. Before that, counts of shingles in
+cells bound what two sets can share, and pairs that can't reach a link are left out.
 No list, bucket or partner is capped, and every candidate is verified on the whole sets.
 
 Signatures travel as packed arrays (7 bytes each), grouped by buckets whose number grows with the corpus; equal sets are one
@@ -367,6 +368,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _opened(rows: pd.DataFrame, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Members of LIST rows that pass ``bits``: their row, whether they are the first of it, document and size."""
+    docs = [np.frombuffer(x, np.int64) for x in rows["members"]]
+    sizes = [np.frombuffer(x, np.int64) for x in rows["sizes"]] if "sizes" in rows else docs
+    doc, size = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (docs, sizes))
+    row = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
+    kept = passes(bits, doc)
+    doc, size, row = doc[kept], size[kept], row[kept]
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = row[1:] != row[:-1]
+    return row, first, doc, size
+
+
 def _members(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
     """(sig, leader, long, scheme, n, doc, size) of the list members that pass ``keeps``; the leader is the first of them in
     its row, ``long`` says that the list has more rows, ``n`` is its class of length."""
@@ -374,13 +388,16 @@ def _members(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for row in rows.itertuples(index=False):
-                doc, size = np.frombuffer(row.members, np.int64), np.frombuffer(row.sizes, np.int64)
-                mine = passes(shared.value, doc)
-                if mine.sum() > 1 - row.b:
-                    yield pd.DataFrame(
-                        {"sig": row.a, "leader": doc[mine][0], "long": bool(row.b), "scheme": row.scheme, "n": row.n, "doc": doc[mine], "size": size[mine]}
-                    )
+            row, first, doc, size = _opened(rows, shared.value)
+            leader = doc[first][np.cumsum(first) - 1] if len(doc) else doc
+            long = rows["b"].to_numpy(dtype=bool)
+            several = np.bincount(row, minlength=len(rows)) > 1 - long
+            mine = several[row]
+            row = row[mine]
+            yield pd.DataFrame(
+                {"sig": rows["a"].to_numpy()[row], "leader": leader[mine], "long": long[row], "scheme": rows["scheme"].to_numpy()[row],
+                 "n": rows["n"].to_numpy()[row], "doc": doc[mine], "size": size[mine]}
+            )
 
     columns = "sig long, leader long, long boolean, scheme int, n int, doc long, size long"
     return lists.select("a", "b", "scheme", "n", "members", "sizes").mapInPandas(members, columns)
@@ -402,20 +419,46 @@ def _kept_classes(spent: DataFrame) -> DataFrame:
     return listed.where("spent > spare").select(F.col("a").alias("doc"), "scheme", F.expr(keep).alias("keep"))
 
 
-def _made_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Different (a, b) of lists sorted by signature: members of different components whose sizes allow a link."""
-    held: list[np.ndarray] = []
-    rows = 0
+#: Cells of a sketch. Two sets share at most the sum, over the cells, of the smaller of their two counts.
+CELLS = 256
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """(doc, sketch): how many shingles of a set fall into each cell; NULL if a cell has more than a byte holds."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for one in batch.column(1):
+                cells = np.bincount((mix(np.frombuffer(one.as_buffer(), np.uint64)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                out.append(cells.astype(np.uint8).tobytes() if cells.max() < 256 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc", "sketch"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(count, "doc long, sketch binary")
 
-    def once(parts: list[np.ndarray]) -> np.ndarray:
-        pairs = np.concatenate(parts)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        fresh = np.ones(len(pairs), dtype=bool)
-        fresh[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-        return pairs[fresh]
 
-    def paired(members: list[np.ndarray]) -> Iterator[np.ndarray]:
-        doc, size, component = (np.concatenate(x) for x in zip(*members))
+class _Group:
+    """The lists of one task's group: sketches of its documents, and the pairs found so far."""
+
+    def __init__(self) -> None:
+        self.docs: list[np.ndarray] = []
+        self.cells: list[np.ndarray] = []
+        self.known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.held: list[np.ndarray] = []
+        self.rows = 0
+
+    def learn(self, part: pd.DataFrame) -> None:
+        cells = np.zeros((len(part), CELLS + 2), dtype=np.uint8)  # the last but one says that there is no sketch
+        for k, x in enumerate(part["sketch"]):
+            if x is None:
+                cells[k, CELLS] = 1
+            else:
+                cells[k, :CELLS] = np.frombuffer(x, np.uint8)
+        self.docs.append(part["doc"].to_numpy())
+        self.cells.append(cells)
+
+    def add(self, doc: np.ndarray, size: np.ndarray, component: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Pairs of a list's members that are of different components and whose sizes allow a link."""
         order = np.argsort(size, kind="stable")
         doc, size, component = doc[order], size[order], component[order]
         reach = np.searchsorted(size, size * 4 // 3, "right")
@@ -426,39 +469,77 @@ def _made_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             i, j = i + k, j + k
             fits = (j > i) & (j < reach[i])
             i, j = i[fits], j[fits]
-            yield np.stack((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])), axis=1)
-
-    def lists() -> Iterator[list[np.ndarray]]:
-        at, members = None, []
-        for part in batches:
-            sig = part["sig"].to_numpy()
-            edge = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else []
-            columns = [part[c].to_numpy() for c in ("doc", "size", "component")]
-            for begin, end in zip(edge, [*edge[1:], len(sig)]):
-                if members and sig[begin] != at:
-                    yield members
-                    members = []
-                at = sig[begin]
-                members.append([c[begin:end] for c in columns])
+            swap = doc[i] > doc[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            self.held.append(np.stack((doc[i], doc[j], size[i] + size[j]), axis=1))
+            self.rows += len(i)
+            if self.rows > PAIR_ROWS:
+                yield from self.close()
+
+    def close(self) -> Iterator[pd.DataFrame]:
+        """Each pair once, but for those whose sketches rule a link out."""
+        if not self.rows:
+            return
+        pairs = np.concatenate(self.held)
+        self.held, self.rows = [], 0
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        fresh = np.ones(len(pairs), dtype=bool)
+        fresh[1:] = (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)
+        pairs = pairs[fresh]
+        if self.known is None:
+            docs = np.concatenate([np.zeros(0, dtype=np.int64), *self.docs])
+            order = np.argsort(docs)
+            self.known = docs[order], order, np.concatenate([np.zeros((0, CELLS + 2), dtype=np.uint8), *self.cells])
+            self.docs, self.cells = [], []
+        docs, order, cells = self.known
+        x, y = (order[np.searchsorted(docs, pairs[:, c])] for c in (0, 1))
+        open_ = np.zeros(len(pairs), dtype=bool)
+        for k in range(0, len(pairs), 1 << 14):
+            at = slice(k, k + (1 << 14))
+            one, two = cells[x[at]], cells[y[at]]
+            most = np.minimum(one[:, :CELLS], two[:, :CELLS]).sum(axis=1, dtype=np.int64)
+            open_[at] = (7 * most >= 3 * pairs[at, 2]) | (one[:, CELLS] > 0) | (two[:, CELLS] > 0)
+        if open_.any():
+            yield pd.DataFrame(pairs[open_, :2], columns=["a", "b"])
+
+
+def _made_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of groups of lists. A group's rows begin with the sketches of its documents, then come its lists by signature."""
+    group, at, members, sig_at = None, None, [], None
+
+    def listed() -> Iterator[pd.DataFrame]:
         if members:
-            yield members
-
-    for members in lists():
-        for pairs in paired(members):
-            held.append(pairs)
-            rows += len(pairs)
-            if rows > PAIR_ROWS:
-                held = [once(held)]
-                rows = len(held[0])
-                if rows > PAIR_ROWS // 2:
-                    yield pd.DataFrame(held[0], columns=["a", "b"])
-                    held, rows = [], 0
-    if rows:
-        yield pd.DataFrame(once(held), columns=["a", "b"])
+            columns = [np.concatenate(x) for x in zip(*members)]
+            members.clear()
+            yield from group.add(*columns)
+
+    for part in batches:
+        first, task, sig, listing = (part[c].to_numpy() for c in ("first", "task", "sig", "listing"))
+        fresh = np.ones(len(part), dtype=bool)
+        for c in (first, task, sig, listing):
+            fresh[1:] &= c[1:] == c[:-1]
+        edge = np.flatnonzero(np.concatenate(([True], ~fresh[1:]))) if len(part) else []
+        for begin, end in zip(edge, [*edge[1:], len(part)]):
+            if (first[begin], task[begin]) != at:
+                if group is not None:
+                    yield from listed()
+                    yield from group.close()
+                group, at, sig_at = _Group(), (first[begin], task[begin]), None
+            rows = part.iloc[begin:end]
+            if not listing[begin]:
+                group.learn(rows)
+                continue
+            if sig[begin] != sig_at:
+                yield from listed()
+                sig_at = sig[begin]
+            members.append([rows[c].to_numpy() for c in ("doc", "size", "component")])
+    if group is not None:
+        yield from listed()
+        yield from group.close()
 
 
-def _across(member: DataFrame) -> DataFrame:
-    """Different pairs (a, b) of ``member(sig, doc, size, component)`` that share a list and not the component.
+def _across(member: DataFrame, sketch: DataFrame) -> DataFrame:
+    """Different pairs (a, b) of ``member(sig, doc, size, component)`` that share a list and not the component, and that may link.
 
     Lists with the same smallest member share a task, as they are much alike; many such lists are dealt over several tasks.
     """
@@ -466,8 +547,14 @@ def _across(member: DataFrame) -> DataFrame:
     mixed = mixed.where("low <> high")
     led = mixed.groupBy("first").agg(F.ceil(F.sum("n") / PAIR_MEMBERS).alias("tasks"))
     placed = mixed.join(led.hint("rebalance"), "first").select("sig", "first", F.pmod(F.xxhash64("sig"), "tasks").alias("task"))
-    rows = member.join(placed.hint("rebalance"), "sig").repartition("first", "task").sortWithinPartitions("first", "task", "sig")
-    return rows.select("sig", "doc", "size", "component").mapInPandas(_made_pairs, "a long, b long").distinct()
+    rows = member.join(placed.hint("rebalance"), "sig").select("first", "task", F.lit(1).alias("listing"), "sig", "doc", "size", "component", F.lit(None).cast("binary").alias("sketch"))
+    none = F.lit(0).cast("long")
+    known = rows.select("first", "task", "doc").distinct().join(sketch.hint("rebalance"), "doc", "left").select(
+        "first", "task", F.lit(0).alias("listing"), none.alias("sig"), "doc", none.alias("size"), none.alias("component"), "sketch"
+    )
+    order = ("first", "task", "listing", "sig")
+    dealt = rows.union(known).repartition("first", "task").sortWithinPartitions(*order)
+    return dealt.mapInPandas(_made_pairs, "a long, b long").distinct()
 
 
 def _stars(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
@@ -476,14 +563,9 @@ def _stars(lists: DataFrame, keeps: np.ndarray) -> DataFrame:
 
     def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-            for blob in rows["members"]:
-                doc = np.frombuffer(blob, np.int64)
-                doc = doc[passes(shared.value, doc)]
-                if len(doc) > 1:
-                    left.append(np.full(len(doc) - 1, doc[0]))
-                    right.append(doc[1:])
-            yield pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
+            _, first, doc, _ = _opened(rows, shared.value)
+            leader = doc[first][np.cumsum(first) - 1] if len(doc) else doc
+            yield pd.DataFrame({"a": leader[~first], "b": doc[~first]}).drop_duplicates()
 
     return lists.select("members").mapInPandas(stars, "a long, b long").distinct()
 
@@ -514,7 +596,7 @@ def links(docs: DataFrame, total: int) -> DataFrame:
     first = cut(plain.union(stars).distinct(), "jaccard-pairs")
     sets = cut(sets_of(docs, first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "jaccard-sets")
     linked = cut(verified(first, sets), "jaccard-links")
-    discard(sets, spent)
+    discard(spent)
     part = cut(components(linked, "jaccard-first"), "jaccard-parts")
     # A list whose members all share its leader's component is done; the others, and those of several rows, compare their
     # members of different components.
@@ -530,8 +612,8 @@ def links(docs: DataFrame, total: int) -> DataFrame:
     member = rows.join(part.hint("rebalance"), rows["doc"] == part["node"], "left").select("sig", "doc", "size", F.coalesce("component", "doc").alias("component"))
     member = cut(member, "jaccard-members")
     discard(found, keep, stars, part)
-    second = cut(_across(member).join(first, ["a", "b"], "left_anti"), "jaccard-across")
-    discard(member, first)
+    second = cut(_across(member, sketches(sets)).join(first, ["a", "b"], "left_anti"), "jaccard-across")
+    discard(member, first, sets)
     others = cut(sets_of(docs, second.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), "jaccard-sets")
     every = cut(linked.union(verified(second, others)), "jaccard-all-links")
     discard(linked, second, others)

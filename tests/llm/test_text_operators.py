@@ -121,13 +121,35 @@ def test_unlinked_documents_that_share_boilerplate(spark, monkeypatch):
     """Half of each text is the same in all; a few pairs among them link. The pairs that are made stay few and none is lost."""
     made = []
     whole = jaccard_join._across
-    monkeypatch.setattr(jaccard_join, "_across", lambda member: made.append(member.count()) or whole(member))
+    monkeypatch.setattr(jaccard_join, "_across", lambda member, sketch: made.append(whole(member, sketch).count()) or whole(member, sketch))
     for share, seed in ((60, 5), (120, 6), (200, 7)):
         common = words(share, seed)
         rows = [(k, common + " " + words(100, 100 + k)) for k in range(80)] + [(k + 500, common + " " + near(words(100, 100 + k), 30)) for k in range(0, 80, 9)]
         sets = {k: shingles(t) for k, t in rows}
         got = jaccard_join.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
         assert {r.doc_id: r.component_id for r in got} == union_find(linked(sets), sets)
+        assert made[-1] <= 2 * len(rows)
+
+
+def test_pairs_of_lists_and_sketches():
+    """Pairs of lists once, over several batches and groups, without those that the sketches rule out."""
+    import pandas as pd
+
+    draw = np.random.default_rng(5)
+    base = draw.integers(0, 1 << 60, size=70).astype(np.uint64)
+    sets = {k: np.unique(np.concatenate((base[:40], draw.integers(0, 1 << 60, size=30).astype(np.uint64))) if k % 3 else base[: 60 + k % 5]) for k in range(40)}
+    cells = lambda x: np.bincount((jaccard_join.mix(x) % np.uint64(jaccard_join.CELLS)).astype(np.int64), minlength=jaccard_join.CELLS).astype(np.uint8).tobytes()
+    rows, lists = [], [(1, 0, 11, range(0, 25)), (1, 0, 12, range(5, 30)), (1, 1, 13, range(20, 40)), (2, 0, 14, range(0, 40, 7))]
+    for first, task in {(f, t) for f, t, *_ in lists}:
+        held = {d for f, t, _, ds in lists if (f, t) == (first, task) for d in ds}
+        rows += [(first, task, 0, 0, d, 0, 0, cells(sets[d]) if d != 8 else None) for d in held]
+    rows += [(f, t, 1, s, d, len(sets[d]), d % 4, None) for f, t, s, ds in lists for d in ds]
+    frame = pd.DataFrame(sorted(rows, key=lambda r: r[:4]), columns=["first", "task", "listing", "sig", "doc", "size", "component", "sketch"])
+    parts = [frame.iloc[k : k + 9].reset_index(drop=True) for k in range(0, len(frame), 9)]
+    got = Counter((int(a), int(b)) for out in jaccard_join._made_pairs(iter(parts)) for a, b in out.itertuples(index=False))
+    every = {(a, b) for _, _, _, ds in lists for a in ds for b in ds if a < b and a % 4 != b % 4 and 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b]))}
+    links = {(a, b) for a, b in every if 7 * len(np.intersect1d(sets[a], sets[b])) >= 3 * (len(sets[a]) + len(sets[b]))}
+    assert links and links <= set(got) <= every and len(got) < len(every) / 2
 
 
 def test_long_regular_words(spark):
