@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 import zlib
@@ -130,100 +129,111 @@ def _with_room(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-#: All characters that any of the libraries takes for white space, for a pattern of RE2.
-_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Between a Latin letter and an ASCII mark, and around a line feed that stands alone, a pre-token always ends.
-_BORDERS = re.compile("(?<=[A-Za-zÀ-ÖØ-öø-ÿ])(?=[!-/:-@\\[-`{-~])|(?<=\\S)(?=\\n\\S)|(?<=\\S\\n)(?=\\S)")
+#: Parts that may be encoded side by side: a space or line feed, then no character that any of the libraries takes for white space.
+_REGULAR = r"^[ \n][^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+
+
+def _part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the parts of texts begin: at each text, and at each space or line feed behind a character that is no white space."""
+    at = np.flatnonzero((data == 32) | (data == 10))
+    at = at[at >= 3] if len(at) else at  # the first bytes stay together
+    one, two, three = data[at - 1], data[at - 2], data[at - 3]
+    blank = (one <= 32) | (one == 127) | ((two == 0xC2) & ((one == 0x85) | (one == 0xA0)))
+    blank |= ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & (two == 0x81)) | ((three == 0xE3) & (two == 0x80))
+    blank |= (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[at[~blank]] = True
+    begins[offsets[:-1]] = True
+    begins[len(data)] = False
+    return np.flatnonzero(begins)
 
 
 class TokenIds:
     """Ids of texts by the tokenizers library.
 
-    No pre-token of a byte-level vocabulary reaches across the border before a space, unless that space stands inside a run
-    of blanks; so a text's ids are those of its space-separated parts, and these end between letters and marks.
-    Each distinct piece is encoded once and kept, up to ``keep`` pieces. Texts with longer runs of blanks are encoded whole.
-    Strings of special tokens are ordinary text.
+    No pre-token of a byte-level vocabulary reaches from a character that is no white space over a blank behind it, so a text's
+    ids are those of its parts, cut before such blanks. Each distinct part is encoded once and kept, until names and ids
+    take ``keep`` bytes. Parts that begin with their only blank are encoded side by side: a token that begins with a
+    blank begins the next part. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
+        vocabulary = self.encoder.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[k for token, k in vocabulary.items() if token[:1] in ("\u0120", "\u010a")]] = True
         self.keep = keep
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.names = pa.array([], pa.large_string())
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.begin = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
-        self.used = self.learned = 0
-
-    def _learn(self, pieces: list[str]) -> None:
-        for k in range(0, len(pieces), 4000):
-            ids = [e.ids for e in self.encoder.encode_batch_fast(pieces[k : k + 4000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
-            self.flat = _with_room(self.flat, self.used + len(flat))
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.begin, self.length = (_with_room(x, self.learned + len(ids)) for x in (self.begin, self.length))
-            self.begin[self.learned : self.learned + len(ids)] = self.used + np.cumsum(sizes) - sizes
-            self.length[self.learned : self.learned + len(ids)] = sizes
-            self.used += len(flat)
-            self.learned += len(ids)
-
-    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all parts, length of each)."""
-        pieces: list[str] = []
-        counts = np.ones(len(parts), dtype=np.int64)
-        for k, part in enumerate(parts):
-            if part[1:].isalpha():
-                pieces.append(part)
-            else:
-                some = _BORDERS.split(part)
-                counts[k] = len(some)
-                pieces += some
-        fresh = [x for x in dict.fromkeys(pieces) if x not in self.known]
-        self.known.update(zip(fresh, range(self.learned, self.learned + len(fresh))))
-        self._learn(fresh)
-        number = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        sizes = self.length[number]
-        running = np.concatenate(([0], np.cumsum(sizes)))
-        return self.flat[ranges(self.begin[number], sizes)], np.diff(running[np.concatenate(([0], np.cumsum(counts)))])
+        self.used = 0
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, length of each)."""
+        ids = [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum())), sizes
+
+    def _side_by_side(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, _ = self._encode(["".join(parts)])
+        starts = np.flatnonzero(self.opens[flat])
+        if len(starts) != len(parts) or starts[0]:  # a vocabulary with other marks of blanks
+            return self._encode(parts)
+        return flat, np.diff(np.append(starts, len(flat)))
+
+    def _learn(self, names: pa.Array) -> np.ndarray:
+        """Encode and keep ``names``; returns their numbers."""
+        regular = pc.match_substring_regex(names, _REGULAR)
+        mine = regular.to_numpy(zero_copy_only=False)
+        number = len(self.names) + np.where(mine, np.count_nonzero(~mine) + np.cumsum(mine), np.cumsum(~mine)) - 1
+        apart, beside = names.filter(pc.invert(regular)), names.filter(regular)
+        for some, encode in ((apart, self._encode), (beside, self._side_by_side)):
+            for k in range(0, len(some), 4000):
+                flat, sizes = encode(some.slice(k, 4000).to_pylist())
+                at = len(self.names) + k
+                self.flat = _with_room(self.flat, self.used + len(flat))
+                self.flat[self.used : self.used + len(flat)] = flat
+                self.begin, self.length = (_with_room(x, at + len(sizes)) for x in (self.begin, self.length))
+                self.begin[at : at + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+                self.length[at : at + len(sizes)] = sizes
+                self.used += len(flat)
+            self.names = pa.concat_arrays([self.names, some])
+        return number
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds of each text), each text closed by id 0; NULL counts as empty."""
-        if len(self.known) > self.keep:
+        if self.names.nbytes + 4 * self.used > self.keep:
             self.reset()
         if not len(texts):
             return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
         texts = texts.cast(pa.large_string()).fill_null("")
-        odd = pc.match_substring_regex(texts, f"{_BLANK} (?:{_BLANK}|$)")
-        words = pc.split_pattern(pc.if_else(odd, pa.scalar("", pa.large_string()), texts), " ")
-        begin = words.offsets.to_numpy().astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        begin -= begin[0]
-        # The first word of a text has no space in front; all others have one.
-        inner = np.ones(len(index), dtype=bool)
-        inner[begin[:-1]] = False
-        seen = np.flatnonzero(np.bincount(index[inner], minlength=len(names)))
-        place = np.zeros(len(names), dtype=np.int64)
-        place[seen] = np.arange(len(seen))
-        first = [names[k] for k in index[begin[:-1]].tolist()]
-        for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
-            first[k] = texts[k].as_py()
-        ids, sizes = self._parts([" " + names[k] for k in seen.tolist()] + first)
-        number = place[index]
-        number[begin[:-1]] = len(seen) + np.arange(len(first))
-        starts, lengths = (np.cumsum(sizes) - sizes)[number], sizes[number]
-        ends = np.concatenate(([0], np.cumsum(lengths)))[begin[1:]] + np.arange(1, len(texts) + 1)
+        offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = _part_starts(data, offsets)
+        bounds = np.append(starts, len(data))
+        parts = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        coded = parts.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=self.names)
+        fresh = place.is_null().to_numpy(zero_copy_only=False)
+        known = place.fill_null(0).to_numpy().astype(np.int64)
+        if fresh.any():
+            known[fresh] = self._learn(coded.dictionary.filter(pa.array(fresh)))
+        number = known[coded.indices.to_numpy()]
+        lengths = self.length[number]
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.searchsorted(starts, offsets[1:])] + np.arange(1, len(texts) + 1)
         out = np.zeros(int(ends[-1]), dtype=np.int32)
         body = np.ones(len(out), dtype=bool)
         body[ends - 1] = False
-        out[body] = ids[ranges(starts, lengths)]
+        out[body] = self.flat[ranges(self.begin[number], lengths)]
         return out, np.concatenate(([0], ends))
 
 
