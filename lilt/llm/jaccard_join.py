@@ -17,7 +17,7 @@ the same smallest member in the same task, where a pair of many lists becomes on
 cells bound what two sets can share, and pairs that can't reach a link are left out.
 No list, bucket or partner is capped, and every candidate is verified on the whole sets.
 
-Signatures travel as packed arrays (7 bytes each), grouped by buckets whose number grows with the corpus; equal sets are one
+Signatures travel as packed arrays (7 bytes each), grouped by buckets of neighbouring segments, whose number grows with the corpus; equal sets are one
 entry. Sets are sent only for documents that are candidates, found by a bit filter of fixed size.
 
 Edges: NULL texts and texts without words have the empty set and link with nothing; 1 to 4 words form one shingle; repeated rows
@@ -89,17 +89,17 @@ def fingerprints(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
-def signatures(
+def placed_signatures(
     shingles: np.ndarray, bounds: np.ndarray, rows: np.ndarray, scheme: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, entry, designated) of the entries (rows, scheme), and the spare units left to each entry.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, entry, designated, segment) of the entries (rows, scheme), and the spare units left to each entry.
 
     Empty subsets say nothing, so an entry pays for them with spare units and leaves them out; one that can't (-1 units
     left) indexes them and will keep all its hot signatures.
     """
     none = np.zeros(0, dtype=np.int64)
     if not len(rows):
-        return np.zeros(0, dtype=np.uint64), none, none.astype(bool), none
+        return np.zeros(0, dtype=np.uint64), none, none.astype(bool), none, none
     sizes = np.diff(bounds)[rows]
     token = shingles[ranges(bounds[:-1][rows], sizes)]
     entry = np.repeat(np.arange(len(rows)), sizes)
@@ -127,10 +127,19 @@ def signatures(
         np.concatenate((mix(subset ^ name), one_less))[said],
         np.concatenate((owner, entry[near]))[said],
         np.concatenate((marked, np.ones(int(near.sum()), dtype=bool)))[said],
+        np.concatenate((number, place[near]))[said],
         left,
     )
 
 
+def signatures(
+    shingles: np.ndarray, bounds: np.ndarray, rows: np.ndarray, scheme: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``placed_signatures``, without the segments."""
+    sig, entry, marked, _, left = placed_signatures(shingles, bounds, rows, scheme)
+    return sig, entry, marked, left
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n, f1, f2) of all rows: set size and fingerprint."""
 
@@ -146,28 +155,49 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(measure, "doc_id long, n long, f1 long, f2 long")
 
 
-def _index(buckets: int):
+def bucket_bounds(sets: DataFrame) -> np.ndarray:
+    """Bounds of the buckets of each scheme, by the number of segments that the rows of ``sets`` (n) have in it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, scheme = SCHEMES.entries(batch.column(0).to_numpy())
+            found = np.bincount(scheme)
+            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found)), pa.array(found[found > 0])], names=["scheme", "n"])
+
+    held = np.zeros(len(SCHEMES.segments), dtype=np.int64)
+    for r in sets.select("n").mapInArrow(count, "scheme long, n long").groupBy("scheme").agg(F.sum("n").alias("n")).collect():
+        held[r.scheme] = -(-r.n * int(SCHEMES.segments[r.scheme]) // BUCKET_SIGNATURES)
+    return np.concatenate(([0], np.cumsum(held)))
+
+
+def buckets_of(sig: np.ndarray, scheme: np.ndarray, segment: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bucket of each signature. A scheme's buckets hold runs of its segments, so that a set meets few of them and what
+    describes it travels few times; with more buckets than segments, a segment's signatures are dealt by hash."""
+    segments, held = SCHEMES.segments[scheme], np.diff(bounds)[scheme]
+    first = segment * held // segments
+    several = np.maximum((segment + 1) * held // segments - first, 1)
+    return bounds[scheme] + first + (sig % several.astype(np.uint64)).astype(np.int64)
+
+
+def _index(buckets: np.ndarray):
     """Signatures of a partition, equal sets once, packed per bucket."""
 
     def pack(held: list[tuple], sets: list[tuple], owners: list[int]) -> Iterator[pa.RecordBatch]:
-        sig, entry, marked = (np.concatenate(x) for x in zip(*held))
+        sig, entry, marked, segment = (np.concatenate(x) for x in zip(*held))
         print_, size, scheme, left = (np.concatenate(x) for x in zip(*sets))
         doc = np.array(owners, dtype=np.int64)
-        bucket = (sig % np.uint64(buckets)).astype(np.int64)
+        bucket = buckets_of(sig, scheme[entry], segment, buckets)
         order = np.argsort(bucket, kind="stable")
         sig, entry, marked, bucket = sig[order] >> np.uint64(25), entry[order], marked[order], bucket[order]
-        edge = np.searchsorted(bucket, np.arange(buckets + 1))
-        for b in range(buckets):
-            a, z = edge[b], edge[b + 1]
-            if a == z:
-                continue
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        for a, z in zip(edge[:-1], edge[1:]):
             mine, local = np.unique(entry[a:z], return_inverse=True)
             arrays = (
                 (sig[a:z] & np.uint64(0xFFFFFFFF)).astype("<u4"),
                 ((sig[a:z] >> np.uint64(32)).astype(np.uint8) << np.uint8(1)) | marked[a:z].astype(np.uint8),
                 local.astype("<u2" if len(mine) < 1 << 16 else "<u4"), doc[mine], print_[mine], size[mine].astype(np.int64), scheme[mine].astype(np.uint8), left[mine].astype("<i4"),
             )
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=_PACKED_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], names=_PACKED_NAMES)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         free_encoders()
@@ -187,8 +217,8 @@ def _index(buckets: int):
                     else:  # equal sets go by their smallest document
                         owners[at] = min(owners[at], doc[row])
                 rows, scheme = rows[fresh], scheme[fresh]
-                sig, entry, marked, left = signatures(shingles, bounds, rows, scheme)
-                held.append((sig, entry + entries, marked))
+                sig, entry, marked, segment, left = placed_signatures(shingles, bounds, rows, scheme)
+                held.append((sig, entry + entries, marked, segment))
                 sets.append((f1[rows], np.diff(bounds)[rows], scheme, left))
                 count, entries = count + len(sig), entries + len(rows)
                 if count > FLUSH_SIGNATURES or entries > MOST_ENTRIES:
@@ -299,12 +329,12 @@ _ARROW = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 _FOUND_ARROW = pa.schema([(name, _ARROW[kind]) for name, kind in (part.split() for part in _FOUND.split(", "))])
 
 
-def candidates(docs: DataFrame, total: int) -> DataFrame:
-    """PAIR, SPENT and LIST rows of all documents."""
-    buckets = max(12, -(-total * 7 // 10 // BUCKET_SIGNATURES))
+def candidates(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """PAIR, SPENT and LIST rows of all documents; ``bounds`` are those of ``bucket_bounds``."""
+    tasks = max(12, int(bounds[-1]))
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    packed = rows.mapInArrow(_index(buckets), _PACKED)
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _FOUND)
+    packed = rows.mapInArrow(_index(bounds), _PACKED)
+    return packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, _FOUND)
 
 
 def _slots(ids: np.ndarray) -> np.ndarray:
@@ -584,9 +614,9 @@ def _enough(pairs: DataFrame, spent: DataFrame) -> DataFrame:
     return known.where(F.col("n") >= least).select("a", "b").distinct()
 
 
-def links(docs: DataFrame, total: int) -> DataFrame:
+def links(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
     """Links (a, b) between different sets, as many as components need."""
-    found = cut(candidates(docs, total), "jaccard-candidates", "zstd")
+    found = cut(candidates(docs, bounds), "jaccard-candidates", "zstd")
     lists, costs = found.where(F.col("kind") == LIST), found.where(F.col("kind") == SPENT)
     spent = cut(costs.groupBy("a", "scheme").agg(F.sum("b").alias("spent"), F.min("spare").alias("spare")), "jaccard-spent")
     keep = cut(_kept_classes(costs), "jaccard-classes")
@@ -623,8 +653,7 @@ def links(docs: DataFrame, total: int) -> DataFrame:
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all rows of ``docs`` (doc_id, text)."""
     rows = cut(document_sets(docs), "jaccard-documents")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    linked = links(docs, total)
+    linked = links(docs, bucket_bounds(rows))
     part = components(linked, "jaccard-components")
     discard(linked)
     copies = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"))
