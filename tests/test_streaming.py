@@ -478,6 +478,17 @@ def test_model_hook_halves_failing_batches():
     assert len(calls) <= 2 * 3 * 12 + 1
 
 
+def test_a_third_of_the_sizes_fails_in_the_hook_query(spark):
+    """The query's model refuses each size that 3 divides, as before its SQL was thinned out to 29."""
+    import __spark_entry__ as contract
+
+    rows = contract.queries()["udf3_udf5_batch_model_hook"](spark, SF).collect()
+    sizes = {(r.recording_id, r.seq): r.n for r in fx.audio_chunks(spark, SF).where("kind = 'audio'").selectExpr("recording_id", "seq", "octet_length(content) AS n").collect()}
+    assert any(n % 3 == 0 and n % 29 for n in sizes.values())
+    want = {k: (n, None) if n % 3 else (None, "ValueError: unreadable") for k, n in sizes.items()}
+    assert {(r.recording_id, r.seq): (None if r.n_bytes != r.n_bytes else r.n_bytes, r.error) for r in rows} == want
+
+
 def test_utterance_stream_equals_batch(spark, tmp_path):
     from lilt.operators.chunks import utterances
 
