@@ -118,9 +118,67 @@ def _field(parent: str, name: str, field: Field, depth: int) -> str:
     return _bound(f"try_variant_get({parent}, '$.{name}', 'variant')", value, read)
 
 
-def typed(column: str, model: Model) -> Column:
-    """Struct of a variant column as a document of the model (``v``) and whether it is one (``ok``)."""
-    return F.expr(typed_sql(_name(column), model))
+# Most documents hold plain JSON values of the model's own types. Such a one is cast as a whole; the rules above, field by
+# field, cost some hundred times as much and are left to the others.
+
+_NUMBER = r"(?:BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
+_PLAIN = {int: "BIGINT", float: _NUMBER, str: "STRING", bool: "BOOLEAN"}
+
+
+def _plain_schema(kind: Any) -> str:
+    """Pattern of the schemas of variants that hold plain values of the kind, besides unknown fields with scalars."""
+    if isinstance(kind, dict):
+        known = [f"{n}: {_plain_schema(f.kind)}" for n, f in kind.items()]
+        unknown = rf"(?!(?:{'|'.join(kind)}):)[a-z_]+: (?:BOOLEAN|STRING|{_NUMBER})"
+        return f"OBJECT<(?:(?:{'|'.join([*known, unknown])})(?:, |(?=>)))*>"
+    return f"ARRAY<{_plain_schema(kind[0])}>" if isinstance(kind, list) else _PLAIN[kind]
+
+
+def _whole(value: str, kind: Any, depth: int = 0) -> str:
+    """Whether a plain value that was cast has all that the model requires, and whole numbers in reach."""
+    own = f"w{depth}"
+    if isinstance(kind, dict):
+        parts = [f"{value}.{_name(n)} IS NOT NULL" for n, f in kind.items() if f.default is REQUIRED]
+        for n, f in kind.items():
+            if f.kind is int or isinstance(f.kind, (dict, list)):
+                inner = _whole(f"{value}.{_name(n)}", f.kind, depth)
+                parts += [f"coalesce({inner}, true)"] if inner != "true" else []
+        return "(" + " AND ".join(parts or ["true"]) + ")"
+    if isinstance(kind, list):
+        inner = _whole(own, kind[0], depth + 1)
+        return f"forall({value}, {own} -> {own} IS NOT NULL" + (f" AND {inner})" if inner != "true" else ")")
+    return f"abs(CAST({value} AS double)) < 9.2e18" if kind is int else "true"
+
+
+def _filled(value: str, kind: Any, depth: int = 0) -> str:
+    """The value with the defaults of absent fields."""
+    own = f"d{depth}"
+    if isinstance(kind, dict):
+        fields = []
+        for n, f in kind.items():
+            inner = _filled(f"{value}.{_name(n)}", f.kind, depth)
+            fields.append(f"'{n}', " + (inner if f.default is REQUIRED or f.default is None else f"coalesce({inner}, {_default(f)})"))
+        return f"named_struct({', '.join(fields)})"
+    if isinstance(kind, list) and isinstance(kind[0], (dict, list)):
+        return f"transform({value}, {own} -> {_filled(own, kind[0], depth + 1)})"
+    return value
+
+
+def typed(column: str, model: Model, text: str | None = None) -> Column:
+    """Struct of a variant column as a document of the model (``v``) and whether it is one (``ok``).
+
+    With the column ``text`` that the variant was read from, plain documents are cast as a whole. One with a NULL anywhere is
+    not plain, as the cast can't tell a NULL from an absent field.
+    """
+    value = _name(column)
+    slow = typed_sql(value, model)
+    if text is None:
+        return F.expr(slow)
+    cast_whole = f"try_variant_get({value}, '$', '{sql_type(model).simpleString()}')"
+    plain = f"coalesce(NOT contains({_name(text)}, 'null') AND regexp_like(schema_of_variant({value}), r'^{_plain_schema(model)}$'), false)"
+    kept = f"CASE WHEN {plain} THEN {cast_whole} END"
+    use = f"CASE WHEN c IS NOT NULL AND {_whole('c', model)} THEN {_pair(_filled('c', model), 'true')} ELSE {slow} END"
+    return F.expr(_bound(kept, "c", use))
 
 
 def default_of(model: Model) -> Column:

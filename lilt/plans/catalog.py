@@ -254,9 +254,10 @@ def _(spark, d):
     heads = read.where("line_kind = 'header'").select("recording_id", "header.word_count")
     spoken = read.where("line_kind = 'phrase'").select("recording_id", "first_pos", "phrase.*")
     fields = ("word", "start", "end", "confidence", "stressed", "stress_score", "pause_after")
+    # The inner form filters by the size of the words first, for which a line would be read five times.
     return spoken.select(
-        "recording_id", "phrase_index", "chunk_index", "start_time", "end_time", "intonation_pattern", "first_pos", F.posexplode("words").alias("at", "w")
-    ).select(
+        "recording_id", "phrase_index", "chunk_index", "start_time", "end_time", "intonation_pattern", "first_pos", F.posexplode_outer("words").alias("at", "w")
+    ).where("at IS NOT NULL").select(
         "recording_id", "phrase_index", "chunk_index", "start_time", "end_time", "intonation_pattern", (C("first_pos") + C("at")).alias("pos"),
         *[C("w")[f].alias(f) for f in fields],
     ).join(heads.hint("rebalance"), "recording_id")

@@ -35,7 +35,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Lines of ``as_json`` read back: ``header`` or ``phrase`` as their models say, and ``ok`` (whether the line keeps to its model)."""
     head = F.col("line_kind") == "header"
     read = lines.withColumn("_json", F.try_parse_json("line")).withColumns(
-        {"_h": F.when(head, typed("_json", RESULT_HEADER)), "_p": F.when(~head, typed("_json", RESULT_PHRASE))}
+        {"_h": F.when(head, typed("_json", RESULT_HEADER, "line")), "_p": F.when(~head, typed("_json", RESULT_PHRASE, "line"))}
     )
     return read.select(
         *KEYS, "line_kind", F.when(F.col("_h.ok"), F.col("_h.v")).alias("header"), F.when(F.col("_p.ok"), F.col("_p.v")).alias("phrase"),

@@ -81,3 +81,9 @@ def test_wide_rows_are_not_joined_by_recording(spark):
 
 def test_oracles_have_queries():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_lines_are_read_once_for_each_kind(spark):
+    """Documents read back: no filter pushed below the reading parses and types the lines again."""
+    text = plan(contract.queries()["snk1_document_round_trip"](spark, SF))
+    assert text.count("parseJson(") == 2

@@ -543,3 +543,28 @@ def test_documents_are_written_and_read_back(spark, tmp_path, monkeypatch):
     assert set(heads[0]) == {"total_duration", "word_count", "wpm", "stress_ratio", "pitch_variation"}
     assert sum(h["word_count"] for h in heads) == words.count()
     assert sum(len(json.loads(r.line)["words"]) for r in lines if r.line_kind == "phrase") == words.count()
+
+
+def test_plain_documents_are_cast_like_all_others(spark):
+    """The cast of plain documents gives what the rules give field by field, also next to values that aren't plain."""
+    from lilt.functions.documents import typed
+    from lilt.schemas import RESULT_HEADER, RESULT_PHRASE
+
+    word = '{"pos": 0, "word": "w", "start": 1.5, "end": 2, "stressed": true}'
+    edges = [
+        word, f"{word}, {word}", "", f"{word}, 5", f"{word}, null", '{"word": "w", "start": 1}', '{"word": "null", "start": 1, "end": 2}',
+        '{"word": "w", "start": 1, "end": "2"}', '{"word": 3, "start": 1, "end": 2}', '{"word": "w", "start": 1e400, "end": true}',
+        f'{word}, {{"word": "v", "start": 1, "end": 2, "confidence": null}}', '{"word": "v", "start": 1, "end": 2, "pitch_contour": [1, 2.5]}',
+        '{"word": "v", "start": 1, "end": 2, "voiced_segment_index": 9223372036854775807}',
+        f'{word}, {{"word": "v", "start": 1, "end": 2, "voiced_segment_index": 4.5}}', '{"word: STRING, w": 1, "start": 1, "end": 2}',
+    ]
+    phrase = '{"phrase_index": %s, "text": %s, "words": [%s], "start_time": 1, "end_time": 2.5, "chunk_index": 3%s}'
+    lines = [phrase % (0, '"t"', w, "") for w in edges]
+    lines += [phrase % (i, t, word, more) for i, t, more in (("7.0", '"t"', ""), ('"7"', '"t"', ""), (2**63 - 1, '"t"', ""), (1, "5", ""),
+              (1, '"t"', ', "extra": {"a": [1]}'), (1, '"t"', ', "n": 1'), (1, '"t"', ', "phrase_index": 2'), (1, '"t"', ', "intonation_pattern": null'))]
+    lines += ["{}", "[1]", "null", "{", '{"word_count": 5}', '{"word_count": 5.5}', '{"wpm": 1.25, "x": "y"}', '{"wpm": null}', None]
+    read = spark.createDataFrame([(x,) for x in lines], "line string").withColumn("j", F.try_parse_json("line"))
+    for model, sound in ((RESULT_PHRASE, 10), (RESULT_HEADER, 20)):
+        rows = read.select("line", typed("j", model).alias("slow"), typed("j", model, "line").alias("fast")).collect()
+        assert [r.line for r in rows if r.slow != r.fast] == []
+        assert sum(bool(r.fast.ok) for r in rows) >= sound
