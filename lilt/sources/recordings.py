@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from lilt.session import cut
 # Container markers of a cluster and of a header.
 CLUSTER_MARKER = "1F43B675"
 HEADER_MARKER = "1A45DFA3"
+#: Bytes of content that are decoded together, or one longer chunk.
+DECODE_BYTES = 1 << 20
 
 
 def scan_recordings(spark: SparkSession, path: str, suffix: str = "webm") -> DataFrame:
@@ -28,17 +31,26 @@ def scan_recordings(spark: SparkSession, path: str, suffix: str = "webm") -> Dat
 
 
 def decode_pcm(chunks: DataFrame) -> DataFrame:
-    """16-bit little-endian samples to floats in [-1, 1): column ``content`` becomes ``samples``."""
+    """16-bit little-endian samples to floats in [-1, 1): column ``content`` becomes ``samples``.
+
+    Decoded chunks leave a task a megabyte of content at a time, however many rows a batch holds.
+    """
     schema = "recording_id long, seq long, samples array<float>"
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            values = [
-                np.frombuffer(c[: len(c) // 2 * 2], dtype="<i2").astype(np.float32) / np.float32(32768) for c in rows["content"]
-            ]
-            yield rows[["recording_id", "seq"]].assign(samples=values)
-
-    return chunks.select("recording_id", "seq", "content").mapInPandas(decode, schema)
+            sizes = pc.fill_null(pc.binary_length(rows.column("content")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            part = (np.cumsum(sizes) - sizes) // DECODE_BYTES
+            starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+            for a, b in zip(starts, [*starts[1:], len(part)]):
+                piece = rows.slice(a, b - a)
+                samples = [np.frombuffer(c[: len(c) // 2 * 2], dtype="<i2") for c in piece.column("content").to_pylist()]
+                offsets = np.cumsum([0, *map(len, samples)]).astype(np.int32)
+                values = np.concatenate(samples).astype(np.float32) / np.float32(32768)
+                columns = [piece.column("recording_id"), piece.column("seq"), pa.ListArray.from_arrays(offsets, values)]
+                yield pa.RecordBatch.from_arrays(columns, ["recording_id", "seq", "samples"])
+
+    return chunks.select("recording_id", "seq", "content").mapInArrow(decode, schema)
 
 
 def marker_spans(files: DataFrame, key: str, marker: str = CLUSTER_MARKER) -> DataFrame:

@@ -568,3 +568,24 @@ def test_plain_documents_are_cast_like_all_others(spark):
         rows = read.select("line", typed("j", model).alias("slow"), typed("j", model, "line").alias("fast")).collect()
         assert [r.line for r in rows if r.slow != r.fast] == []
         assert sum(bool(r.fast.ok) for r in rows) >= sound
+
+
+def test_decoded_chunks_leave_in_bounded_pieces():
+    import pyarrow as pa
+
+    chunk = np.arange(1 << 18, dtype="<i2").tobytes()
+    content = [chunk, b"", b"x", *[chunk] * 9, chunk * 8, b"\x00\x80"]
+
+    class Chunks:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            columns = {"recording_id": [1] * len(content), "seq": list(range(len(content))), "content": content}
+            return list(run(iter([pa.RecordBatch.from_pydict(columns), pa.RecordBatch.from_pydict({"recording_id": [], "seq": [], "content": pa.array([], pa.binary())})])))
+
+    pieces = recordings.decode_pcm(Chunks())
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert [r["seq"] for r in rows] == list(range(len(content)))
+    assert [len(r["samples"]) for r in rows] == [len(c) // 2 for c in content] and rows[-1]["samples"] == [-1.0]
+    assert len(pieces) >= 6 and all(len(p) == 1 or sum(len(content[k]) for k in p.column("seq").to_pylist()[:-1]) < 2 * recordings.DECODE_BYTES for p in pieces)
