@@ -32,12 +32,14 @@ def align_stress(words: DataFrame, labels: DataFrame, scope: str = "phrase_index
         .agg(F.min_by("_hit.stressed", "pos").alias("_a"), F.min_by("_hit.stress_score", "pos").alias("_b"))
         .select(*text, F.struct(F.col("_a").alias("stressed"), F.col("_b").alias("stress_score")).alias("_found"))
     )
-    tokened = words.withColumn("_token", clean_token_weak(F.col("word")))
-    placed = attach(tokened, first, text, block_of("pos")).join(given, here, "left")
-    prefix = F.col("_token").startswith(F.col("_label")) | F.col("_label").startswith(F.col("_token"))
-    return placed.withColumn("_best", F.when(prefix, F.col("_hit")).otherwise(F.col("_found"))).withColumns(
+    placed = words.withColumn("_token", clean_token_weak(F.col("word"))).join(given, here, "left")
+    # Most words take the label at their place, and are moved that once; only the others look their text up.
+    near = F.coalesce(F.col("_token").startswith(F.col("_label")) | F.col("_label").startswith(F.col("_token")), F.lit(False))
+    taken = placed.where(near).withColumnRenamed("_hit", "_best")
+    looked = attach(placed.where(~near).drop("_hit"), first, text, block_of("pos")).withColumnRenamed("_found", "_best")
+    return taken.unionByName(looked).withColumns(
         {
             "stressed": F.coalesce("_best.stressed", F.lit(False)),
             "stress_score": F.coalesce("_best.stress_score", F.lit(0.0)),
         }
-    ).drop("_token", "_label", "_hit", "_found", "_best")
+    ).drop("_token", "_label", "_best")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from lilt import fixtures as fx
-from lilt.operators import audio, jobs, phrases, scan, word_pitch
+from lilt.operators import audio, jobs, phrases, scan, stress, word_pitch
 
 SF = "/root/testdata/sf0.001"
 # Queries whose construction runs a stream or a long job; their plans read written tables.
@@ -87,3 +87,27 @@ def test_lines_are_read_once_for_each_kind(spark):
     """Documents read back: no filter pushed below the reading parses and types the lines again."""
     text = plan(contract.queries()["snk1_document_round_trip"](spark, SF))
     assert text.count("parseJson(") == 2
+
+
+def test_words_with_a_fitting_label_are_not_moved_for_lookups(spark):
+    """Only words whose label at their place does not fit go to the exchange that looks texts up."""
+    words = spark.createDataFrame(
+        [(1, 0, p, w) for p, w in enumerate(["So", "we", "went", "we", None, "on", "off"])] + [(1, 1, 0, "on")],
+        "recording_id long, phrase_index long, pos long, word string",
+    )
+    labels = spark.createDataFrame(
+        [(1, 0, 0, "so,", True), (1, 0, 1, "x", False), (1, 0, 2, "we", True), (1, 0, 4, "on", True), (1, 0, 5, "zz", False), (1, 0, 6, "", True)],
+        "recording_id long, phrase_index long, pos long, word string, stressed boolean",
+    ).withColumn("stress_score", F.when(F.col("stressed"), 1.0).otherwise(0.0))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = stress.align_stress(words, labels)
+        text = plan(found)
+        rows = {(r.phrase_index, r.pos): (r.stressed, r.stress_score) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    yes, no = (True, 1.0), (False, 0.0)
+    assert rows == {(0, 0): yes, (0, 1): yes, (0, 2): yes, (0, 3): yes, (0, 4): no, (0, 5): yes, (0, 6): yes, (1, 0): no}
+    lines = text.split("\n")
+    lookups = [k for k, line in enumerate(lines) if re.search(r"Exchange hashpartitioning\([^)]*_spread", line) and "_hit" not in line]
+    assert lookups and any("NOT coalesce" in line and "StartsWith" in line for line in lines)
