@@ -119,7 +119,7 @@ def _field(parent: str, name: str, field: Field, depth: int) -> str:
 
 
 # Most documents hold plain JSON values of the model's own types. Such a one is cast as a whole; the rules above, field by
-# field, cost some hundred times as much and are left to the others.
+# field, cost many times as much and are left to the others.
 
 _NUMBER = r"(?:BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
 _PLAIN = {int: "BIGINT", float: _NUMBER, str: "STRING", bool: "BOOLEAN"}
