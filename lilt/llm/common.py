@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import types
@@ -20,6 +21,9 @@ from lilt.session import cut, discard
 #: White space of words and lines: space and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
+#: Rows go to Python in batches of at most 10,000 and about this many bytes where a written table takes the result; rows of texts
+#: or sets have kilobytes each, and the JVM and the worker both hold a batch.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -251,6 +255,15 @@ def free_encoders() -> None:
     home = sys.modules.get("lilt_worker_state")
     if home is not None:
         home.__dict__.get("encoders", {}).clear()
+    free_memory()
+
+
+def free_memory() -> None:
+    """Give back what the allocators of this worker keep from earlier tasks, as far as they can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU C library has it
+    if trim is not None:
+        trim(0)
 
 
 def crc32s(values: np.ndarray, bounds: np.ndarray) -> list[int]:

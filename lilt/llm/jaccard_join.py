@@ -36,17 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from lilt.llm.common import byte_slices, components, free_encoders, mix, ranges, row_columns, shingle_sets, whole_row
-from lilt.session import cut, discard
+from lilt.llm.common import SMALL_BATCHES, byte_slices, components, free_encoders, free_memory, mix, ranges, row_columns, shingle_sets, whole_row
+from lilt.session import cut, discard, settings
 
 WORDS = 5
 #: Sets of one signature that are compared with each other right away.
 PLAIN = 16
-BUCKET_SIGNATURES = 1_000_000
+BUCKET_SIGNATURES = 500_000
 #: Members of hot lists, and rows of pairs, that a task holds at once.
 PAIR_MEMBERS = 200_000
 PAIR_ROWS = 400_000
-FLUSH_SIGNATURES = 1_000_000
+FLUSH_SIGNATURES = 500_000
 #: Sets of one flush.
 MOST_ENTRIES = 20_000
 SLICE = 1 << 18
@@ -145,7 +145,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in byte_slices(batch.column(1)):
+            for first, end, data, offsets in byte_slices(batch.column(1), SLICE):
                 shingles, bounds = shingle_sets(data, offsets, WORDS)
                 f1, f2 = fingerprints(shingles, bounds)
                 columns = [batch.column(0).slice(first, end - first), pa.array(np.diff(bounds)), pa.array(f1), pa.array(f2)]
@@ -184,6 +184,7 @@ def _index(buckets: np.ndarray):
 
     def pack(held: list[tuple], sets: list[tuple], owners: list[int]) -> Iterator[pa.RecordBatch]:
         sig, entry, marked, segment = (np.concatenate(x) for x in zip(*held))
+        held.clear()
         print_, size, scheme, left = (np.concatenate(x) for x in zip(*sets))
         doc = np.array(owners, dtype=np.int64)
         bucket = buckets_of(sig, scheme[entry], segment, buckets)
@@ -312,6 +313,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in close(bucket, rows):
             yield pa.RecordBatch.from_pandas(frame, schema=_FOUND_ARROW, preserve_index=False)
 
+    free_memory()
     bucket, rows = None, []
     for batch in batches:
         for number, *row in zip(*batch.columns):
@@ -367,9 +369,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(wanted))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for batch in batches:
             chosen = batch.filter(pa.array(passes(shared.value, batch.column(0).to_numpy())))
-            for first, end, data, offsets in byte_slices(chosen.column(1)):
+            for first, end, data, offsets in byte_slices(chosen.column(1), SLICE):
                 shingles, bounds = shingle_sets(data, offsets, WORDS)
                 packed = [shingles[a:z].tobytes() for a, z in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([chosen.column(0).slice(first, end - first), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
@@ -382,6 +385,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` that link, decided on the whole sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         for batch in batches:
             linked = []
             for one, two in zip(batch.column("x"), batch.column("y")):  # no copies of the sets
@@ -652,9 +656,10 @@ def links(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
 
 def join_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all rows of ``docs`` (doc_id, text)."""
-    rows = cut(document_sets(docs), "jaccard-documents")
-    linked = links(docs, bucket_bounds(rows))
-    part = components(linked, "jaccard-components")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        rows = cut(document_sets(docs), "jaccard-documents")
+        linked = links(docs, bucket_bounds(rows))
+        part = components(linked, "jaccard-components")
     discard(linked)
     copies = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("first"))
     named = copies.join(part.hint("rebalance"), copies["first"] == part["node"], "left").select("f1", "f2", "n", F.coalesce("component", "first").alias("component"))

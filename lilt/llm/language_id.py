@@ -28,8 +28,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lilt.llm.common import byte_slices, free_encoders, mix, row_columns, whole_row
-from lilt.session import cut
+from lilt.llm.common import SMALL_BATCHES, byte_slices, free_encoders, mix, row_columns, whole_row
+from lilt.session import cut, settings
 
 GRAM = 5
 SLOT_BITS = 20
@@ -38,6 +38,8 @@ HASHES = 3
 MOST_FILL = 0.5
 #: 64-bit words of one filter table (32 MB).
 PART_WORDS = 1 << 22
+#: Bytes of texts that are cut into grams at once; they take about 130 times as much memory.
+SLICE = 1 << 18
 #: Grams that a task gathers before it sums them up.
 COUNTED_GRAMS = 1_000_000
 UNKNOWN = "und"
@@ -84,6 +86,18 @@ def _padded(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(border, texts.cast(pa.large_string()), border, pa.scalar("", pa.large_string()))
 
 
+def _padded_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``byte_slices`` of the padded texts; only the texts of one slice are copied at a time."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 2)
+    first = 0
+    while first < len(texts):
+        base = ends[first - 1] if first else 0
+        end = max(first + 1, int(np.searchsorted(ends, base + SLICE, "right")))
+        for _, _, data, offsets in byte_slices(_padded(texts.slice(first, end - first))):
+            yield first, min(end, len(texts)), data, offsets
+        first = end
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(language, gram, n) of each batch."""
     free_encoders()
@@ -93,7 +107,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = {name: k for k, name in enumerate(order)}
         code = np.array([known[x] for x in names], dtype=np.uint64)
         parts: list[tuple[np.ndarray, np.ndarray]] = []
-        for first, _, data, offsets in byte_slices(_padded(batch.column(0))):
+        for first, _, data, offsets in _padded_slices(batch.column(0)):
             hashes, row = gram_hashes(data, offsets)
             # The upper 58 bits of a hash and the language's number among its 64 share one word.
             mine = code[first + row]
@@ -191,7 +205,8 @@ def learn(docs: DataFrame, contrast: float = 4.0, part_words: int = PART_WORDS,
     """Filters from (text, lang) of all rows given; rows without a language or a text teach nothing."""
     rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
     counts = rows.mapInArrow(_counted, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    counts = cut(counts, "language-counts")
+    with settings(docs.sparkSession, SMALL_BATCHES):
+        counts = cut(counts, "language-counts")
     found = counts.groupBy("language").agg(F.sum("n").alias("total")).orderBy("language").collect()
     if not found:
         return Learned([])
@@ -208,10 +223,10 @@ def learn(docs: DataFrame, contrast: float = 4.0, part_words: int = PART_WORDS,
 def _adding(shared: Broadcast, part: int, parts: int):
     """Function of texts: their grams in this part, and of these the corrected hits per language."""
 
-    def added(texts: pd.Series) -> pd.DataFrame:
+    def added(texts: pa.Array) -> pa.Array:
         known = shared.value
         n, true = np.zeros(len(texts), dtype=np.int64), np.zeros((len(texts), len(known.languages)))
-        for first, end, data, offsets in byte_slices(_padded(pa.array(texts, type=pa.large_string(), from_pandas=True))):
+        for first, end, data, offsets in _padded_slices(texts):
             hashes, row = gram_hashes(data, offsets)
             hashes = hashes >> np.uint64(6)
             mine = part_of(hashes, parts) == part
@@ -220,7 +235,8 @@ def _adding(shared: Broadcast, part: int, parts: int):
             n[first:end] = count
             for k, hits in enumerate(known.hits(hashes, row, end - first)):
                 true[first:end, k] = (hits - count * known.chance[k]) / max(1e-9, 1.0 - known.chance[k])
-        return pd.DataFrame({"n": n, "true": list(true)})
+        bounds = np.arange(len(texts) + 1, dtype=np.int32) * np.int32(true.shape[1])
+        return pa.StructArray.from_arrays([pa.array(n), pa.ListArray.from_arrays(pa.array(bounds), pa.array(true.reshape(-1)))], names=["n", "true"])
 
     return added
 
@@ -233,7 +249,7 @@ def _corrected(docs: DataFrame, learned: Learned) -> DataFrame:
     parts, spark = learned.parts, docs.sparkSession
     for part in range(parts):
         shared = spark.sparkContext.broadcast(learned.filters(part))
-        rows = rows.withColumn("_more", F.pandas_udf(_adding(shared, part, parts), "n bigint, true array<double>")(F.col("_text")))
+        rows = rows.withColumn("_more", F.arrow_udf(_adding(shared, part, parts), "n bigint, true array<double>")(F.col("_text")))
         summed = F.struct((F.coalesce("_sum.n", F.lit(0)) + F.col("_more.n")).alias("n"), F.zip_with(F.coalesce("_sum.true", F.transform("_more.true", lambda x: F.lit(0.0))), "_more.true", lambda x, y: x + y).alias("true"))
         rows = cut(rows.withColumn("_sum", summed).drop("_more"), "language-hits")
     # The first language within 1e-9 of the best before it stays, as in one part.
@@ -264,12 +280,12 @@ def _judged(docs: DataFrame, learned: Learned) -> DataFrame:
     """(_row, _letters, _found) by a table of one part."""
     shared = docs.sparkSession.sparkContext.broadcast(learned.filters(0))
 
-    @F.pandas_udf("lang_pred string, score double")
-    def scored(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("lang_pred string, score double")
+    def scored(texts: pa.Array) -> pa.Array:
         known = shared.value
         names = np.full(len(texts), UNKNOWN, dtype=object)
         scores = np.zeros(len(texts))
-        for first, end, data, offsets in byte_slices(_padded(pa.array(texts, type=pa.large_string(), from_pandas=True))):
+        for first, end, data, offsets in _padded_slices(texts):
             hashes, row = gram_hashes(data, offsets)
             n = np.bincount(row, minlength=end - first)
             best, most = np.full(end - first, -1.0), np.zeros(end - first, dtype=np.int64)
@@ -280,7 +296,7 @@ def _judged(docs: DataFrame, learned: Learned) -> DataFrame:
             if known.languages:
                 names[first:end] = np.array(known.languages, dtype=object)[most]
                 scores[first:end] = np.clip(best / np.maximum(n, 1), 0.0, 1.0)
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=["lang_pred", "score"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return docs.select(whole_row(docs).alias("_row"), letters.alias("_letters"), scored(F.when(letters, F.col("text"))).alias("_found"))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from lilt import fixtures as fx
 from lilt.operators import jobs
-from lilt.session import shared_dir
+from lilt.session import settings, shared_dir
 from lilt.streaming import finalize, gate, live, progress
 
 _DONE: dict[tuple[str, str, str], str] = {}
@@ -33,14 +33,8 @@ BATCH_BYTES = 64 << 20
 @contextmanager
 def state_store(spark: SparkSession) -> Iterator[None]:
     """Queries started inside keep their state in RocksDB; the session's own settings come back afterwards."""
-    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
-    for name, value in STATE_STORE.items():
-        spark.conf.set(name, value)
-    try:
+    with settings(spark, STATE_STORE):
         yield
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def _finish(writer: DataStreamWriter) -> None:

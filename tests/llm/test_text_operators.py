@@ -566,3 +566,34 @@ def test_filters_find_all_grams_they_hold():
         masks[at] |= np.uint64(2)
     found = masks[language_id.slots(hashes >> np.uint64(6))[0]]
     assert (found == 2).all() and 0 < language_id.Filters(["a", "b"], masks).chance[1] < 1e-9
+
+
+def test_jaccard_join_hands_small_batches_to_python(spark, monkeypatch):
+    size, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, whole = spark.conf.get(size), jaccard_join.verified
+
+    def watched(pairs, sets):
+        seen.append(int(spark.conf.get(size)))
+        return whole(pairs, sets)
+
+    monkeypatch.setattr(jaccard_join, "verified", watched)
+    base = words(400, 31)
+    docs = spark.createDataFrame([(1, base), (2, near(base, 90)), (3, words(400, 32))], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.join_components(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and len(seen) == 2 and max(seen) <= 8 << 20
+    assert spark.conf.get(size) == before
+
+
+def test_language_id_pads_a_slice_at_a_time(monkeypatch):
+    draw = random.Random(5)
+    texts = pa.array(["", None, "ab", "x" * 5000] + [words(draw.randrange(1, 60), k) for k in range(200)])
+    whole = language_id._padded(texts)
+    data, offsets = next((d, o) for _, _, d, o in language_id.byte_slices(whole, 1 << 40))
+    hashes, row = language_id.gram_hashes(data, offsets)
+    padded, sizes = language_id._padded, []
+    monkeypatch.setattr(language_id, "SLICE", 1000)
+    monkeypatch.setattr(language_id, "_padded", lambda some: sizes.append((len(some), some.nbytes)) or padded(some))
+    parts = [(first, end, *language_id.gram_hashes(data, offsets)) for first, end, data, offsets in language_id._padded_slices(texts)]
+    assert [a for a, _, _, _ in parts] == [0] + [z for _, z, _, _ in parts][:-1] and parts[-1][1] == len(texts)
+    assert (np.concatenate([x for _, _, x, _ in parts]) == hashes).all() and (np.concatenate([a + r for a, _, _, r in parts]) == row).all()
+    assert all(n == 1 or size < 3000 for n, size in sizes)
