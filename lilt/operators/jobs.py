@@ -36,12 +36,13 @@ def folded_events(events: DataFrame) -> DataFrame:
     )
 
 
-def folded_rows(rows: DataFrame) -> DataFrame:
-    """Partial folds of the same job put together; the order doesn't matter. Further columns keep their least value."""
+def folded_rows(rows: DataFrame, greatest: tuple[str, ...] = ()) -> DataFrame:
+    """Partial folds of the same job put together; the order doesn't matter. Further columns keep their least value, those
+    named in ``greatest`` their greatest."""
     times = {"created_at": F.min, "started_at": F.max, "first_started_at": F.min, "completed_at": F.max}
     more = [c for c in rows.columns if c not in (*LAST_WRITES, *times, "job_id")]
     return rows.groupBy("job_id").agg(
-        *[F.max(c).alias(c) for c in LAST_WRITES], *[f(c).alias(c) for c, f in times.items()], *[F.min(c).alias(c) for c in more]
+        *[F.max(c).alias(c) for c in LAST_WRITES], *[f(c).alias(c) for c, f in times.items()], *[(F.max if c in greatest else F.min)(c).alias(c) for c in more]
     )
 
 

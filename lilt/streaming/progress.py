@@ -2,7 +2,9 @@
 
 A job's row is a partial fold: for each column its last write and when it was. Folds merge in any order, so a batch folds its
 own events, merges them with the live rows and writes what results under its number. A job leaves the live rows once its
-status has been final for ``KEEP_BATCHES`` batches; a write that comes later still is folded with the closed row on reading.
+status has been final for ``KEEP_BATCHES`` batches, or once that many batches brought no write of it, so that a batch costs what
+the last few batches brought and not all jobs that are still open; a write that comes later still is folded with the closed row on
+reading.
 
 The number makes a repeated batch write the same folders again. Live rows of earlier batches are retired, all but the last,
 which a repeated batch reads. Closed rows of ``MERGE_BATCHES`` batches become one folder, those again one, and so on, so that
@@ -64,13 +66,13 @@ def store_batch(events: DataFrame, batch: int, path: str) -> None:
     spark = events.sparkSession
     live, closed = f"{path}/live", f"{path}/closed"
     before = [n for n in _numbers(spark, live) if n[1] < batch]
-    rows = folded_events(events).withColumn("final_batch", F.lit(None).cast("long"))
+    rows = folded_events(events).withColumns({"final_batch": F.lit(None).cast("long"), "last_batch": F.lit(batch).cast("long")})
     if before:
         rows = rows.unionByName(spark.read.parquet(_folder(live, *before[-1])))
     # Writes that came after their job had been closed have no status here; they follow it.
     final = F.coalesce(F.col("status.value").isin(*TERMINAL), F.lit(True))
-    merged = folded_rows(rows).withColumn("final_batch", F.when(final, F.coalesce("final_batch", F.lit(batch).cast("long"))))
-    done = F.coalesce(F.col("final_batch") <= batch - KEEP_BATCHES, F.lit(False))
+    merged = folded_rows(rows, greatest=("last_batch",)).withColumn("final_batch", F.when(final, F.coalesce("final_batch", F.lit(batch).cast("long"))))
+    done = F.coalesce(F.least("final_batch", "last_batch") <= batch - KEEP_BATCHES, F.lit(False))
     merged.where(~done).write.mode("overwrite").parquet(_folder(live, batch, batch))
     merged.where(done).write.mode("overwrite").parquet(_folder(closed, batch, batch))
     _merge_closed(spark, closed, batch)
@@ -91,5 +93,5 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
     """Current state per job; ``terminal`` tells clients to stop polling."""
     live, closed = f"{path}/live", f"{path}/closed"
     folders = [_folder(live, *n) for n in _numbers(spark, live)[-1:]] + [_folder(closed, *n) for n in _numbers(spark, closed)]
-    rows = folded_rows(spark.read.parquet(*folders)).drop("final_batch")
+    rows = folded_rows(spark.read.parquet(*folders)).drop("final_batch", "last_batch")
     return state_of(rows).withColumn("terminal", F.col("status").isin(*TERMINAL))

@@ -589,3 +589,24 @@ def test_decoded_chunks_leave_in_bounded_pieces():
     assert [r["seq"] for r in rows] == list(range(len(content)))
     assert [len(r["samples"]) for r in rows] == [len(c) // 2 for c in content] and rows[-1]["samples"] == [-1.0]
     assert len(pieces) >= 6 and all(len(p) == 1 or sum(len(content[k]) for k in p.column("seq").to_pylist()[:-1]) < 2 * recordings.DECODE_BYTES for p in pieces)
+
+
+def test_open_jobs_without_writes_leave_the_live_rows(spark, tmp_path):
+    """Jobs that stay queued aren't folded again by every later batch; a write that comes later still counts."""
+    from lilt.schemas import JOB_EVENTS
+    from lilt.streaming import progress
+
+    path, everything, sizes = str(tmp_path / "jobs"), [], []
+    for batch in range(12):
+        rows = [(job, 0, 0, "queued", 0.0) for job in range(10 * batch, 10 * batch + 10)]
+        if batch >= 8:
+            rows += [(10 * batch - 80, 1, 5, "processing", 0.5), (10 * batch - 79, 1, 5, "failed", 1.0)]
+        rows = job_rows(rows)
+        everything += rows
+        progress.store_batch(spark.createDataFrame(rows, JOB_EVENTS), batch, path)
+        live = progress._numbers(spark, f"{path}/live")
+        sizes.append(spark.read.parquet(progress._folder(f"{path}/live", *live[-1])).count())
+    assert max(sizes) <= 50
+    got = progress.latest(spark, path).drop("terminal")
+    want = jobs.job_state(spark.createDataFrame(everything, JOB_EVENTS)).select(got.columns)
+    assert got.count() == 120 and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
