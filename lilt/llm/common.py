@@ -161,7 +161,7 @@ class TokenIds:
     blank begins the next part. Strings of special tokens are ordinary text.
     """
 
-    def __init__(self, path: str, keep: int = 32 << 20):
+    def __init__(self, path: str, keep: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 

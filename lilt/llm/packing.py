@@ -22,19 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lilt.llm.common import blobs, crc32s, ranked_in_groups, text_slices, worker_encoder
-from lilt.session import cut
+from lilt.llm.common import SMALL_BATCHES, blobs, crc32s, free_memory, ranked_in_groups, text_slices, worker_encoder
+from lilt.session import cut, settings
 
 WIDTH = 2048
+#: Bytes of texts that are encoded at once.
+SLICE = 1 << 20
 
 
 def pieces(docs: DataFrame, path: str, width: int = WIDTH, keep_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all texts; ids are little-endian unsigned 32-bit numbers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_memory()
         encoder = worker_encoder(path)
         for batch in batches:
-            for part in text_slices(batch, 2):
+            for part in text_slices(batch, 2, SLICE):
                 ids, bounds = encoder.encode(part.column(2))
                 sizes = np.diff(bounds)
                 counts = -(-sizes // width)
@@ -119,7 +122,8 @@ def placements(found: list[tuple[int, list[int]]]) -> pd.DataFrame:
 
 def pack(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """``rows`` (length and any columns) with sequence_id and offset."""
-    rows = cut(rows, "pieces")
+    with settings(rows.sparkSession, SMALL_BATCHES):
+        rows = cut(rows, "pieces")
     counts = np.zeros(width + 1, dtype=np.int64)
     for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r.length] = r.n

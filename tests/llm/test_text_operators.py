@@ -597,3 +597,12 @@ def test_language_id_pads_a_slice_at_a_time(monkeypatch):
     assert [a for a, _, _, _ in parts] == [0] + [z for _, z, _, _ in parts][:-1] and parts[-1][1] == len(texts)
     assert (np.concatenate([x for _, _, x, _ in parts]) == hashes).all() and (np.concatenate([a + r for a, _, _, r in parts]) == row).all()
     assert all(n == 1 or size < 3000 for n, size in sizes)
+
+
+def test_packing_hands_small_batches_to_python(spark, monkeypatch):
+    size, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], packing.cut
+    monkeypatch.setattr(packing, "cut", lambda rows, name: seen.append(int(spark.conf.get(size))) or write(rows, name))
+    before = spark.conf.get(size)
+    docs = spark.createDataFrame([(k, words(50, k)) for k in range(40)], "doc_id long, text string")
+    assert packing.pack(packing.pieces(docs, TOKENIZER, keep_ids=False)).count() == 40
+    assert seen and max(seen) <= 8 << 20 and spark.conf.get(size) == before
