@@ -137,8 +137,14 @@ def _with_room(x: np.ndarray, size: int) -> np.ndarray:
 _REGULAR = r"^[ \n][^\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
 
 
+#: Bytes of ASCII letters, and of marks that no pre-token joins to the letter before them.
+_LETTER = np.isin(np.arange(256) | 32, np.arange(97, 123))
+_MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?", dtype=np.uint8))
+
+
 def _part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the parts of texts begin: at each text, and at each space or line feed behind a character that is no white space."""
+    """Where the parts of texts begin: at each text, at each space or line feed behind a character that is no white space, and
+    at a mark between an ASCII letter and such a blank."""
     at = np.flatnonzero((data == 32) | (data == 10))
     at = at[at >= 3] if len(at) else at  # the first bytes stay together
     one, two, three = data[at - 1], data[at - 2], data[at - 3]
@@ -147,6 +153,7 @@ def _part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     blank |= (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
     begins = np.zeros(len(data) + 1, dtype=bool)
     begins[at[~blank]] = True
+    begins[at[_MARK[one] & _LETTER[two]] - 1] = True
     begins[offsets[:-1]] = True
     begins[len(data)] = False
     return np.flatnonzero(begins)
@@ -155,10 +162,10 @@ def _part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class TokenIds:
     """Ids of texts by the tokenizers library.
 
-    No pre-token of a byte-level vocabulary reaches from a character that is no white space over a blank behind it, so a text's
-    ids are those of its parts, cut before such blanks. Each distinct part is encoded once and kept, until names and ids
-    take ``keep`` bytes. Parts that begin with their only blank are encoded side by side: a token that begins with a
-    blank begins the next part. Strings of special tokens are ordinary text.
+    No pre-token of a byte-level vocabulary reaches from a character that is no white space over a blank behind it, nor from a
+    letter over a mark like a comma, so a text's ids are those of its parts, cut there. Each distinct part is encoded once and
+    kept, until names and ids take ``keep`` bytes; then those that came again stay. Parts that begin with their only blank are
+    encoded side by side: a token that begins with a blank begins the next part. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, keep: int = 16 << 20):
@@ -178,19 +185,41 @@ class TokenIds:
         self.flat = np.zeros(1 << 16, dtype=np.int32)
         self.begin = np.zeros(1 << 14, dtype=np.int64)
         self.length = np.zeros(1 << 14, dtype=np.int64)
+        self.again = np.zeros(1 << 14, dtype=bool)
         self.used = 0
 
+    def _thin(self) -> None:
+        """Keep the parts that came again since they were learned or last kept, or none if these take half of the room."""
+        kept = np.flatnonzero(self.again[: len(self.names)])
+        names, begin, length = self.names.take(pa.array(kept)), self.begin[kept], self.length[kept]
+        used = int(length.sum())
+        if 2 * (names.nbytes + 4 * used) > self.keep:
+            self.reset()
+            return
+        flat = self.flat[ranges(begin, length)]
+        self.reset()
+        self.names, self.used = names, used
+        self.flat = _with_room(self.flat, used)
+        self.flat[:used] = flat
+        self.begin, self.length, self.again = (_with_room(x, len(kept)) for x in (self.begin, self.length, self.again))
+        self.begin[: len(kept)] = np.cumsum(length) - length
+        self.length[: len(kept)] = length
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, length of each)."""
         ids = [e.ids for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         return np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum())), sizes
 
-    def _side_by_side(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, _ = self._encode(["".join(parts)])
+    def _apart(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return self._encode(parts.to_pylist())
+
+    def _side_by_side(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        bounds = np.frombuffer(parts.buffers()[1], dtype=np.int64)[parts.offset : parts.offset + len(parts) + 1]
+        flat, _ = self._encode([parts.buffers()[2][bounds[0] : bounds[-1]].to_pybytes().decode()])
         starts = np.flatnonzero(self.opens[flat])
         if len(starts) != len(parts) or starts[0]:  # a vocabulary with other marks of blanks
-            return self._encode(parts)
+            return self._apart(parts)
         return flat, np.diff(np.append(starts, len(flat)))
 
     def _learn(self, names: pa.Array) -> np.ndarray:
@@ -199,13 +228,14 @@ class TokenIds:
         mine = regular.to_numpy(zero_copy_only=False)
         number = len(self.names) + np.where(mine, np.count_nonzero(~mine) + np.cumsum(mine), np.cumsum(~mine)) - 1
         apart, beside = names.filter(pc.invert(regular)), names.filter(regular)
-        for some, encode in ((apart, self._encode), (beside, self._side_by_side)):
+        for some, encode in ((apart, self._apart), (beside, self._side_by_side)):
             for k in range(0, len(some), 4000):
-                flat, sizes = encode(some.slice(k, 4000).to_pylist())
+                flat, sizes = encode(some.slice(k, 4000))
                 at = len(self.names) + k
                 self.flat = _with_room(self.flat, self.used + len(flat))
                 self.flat[self.used : self.used + len(flat)] = flat
-                self.begin, self.length = (_with_room(x, at + len(sizes)) for x in (self.begin, self.length))
+                self.begin, self.length, self.again = (_with_room(x, at + len(sizes)) for x in (self.begin, self.length, self.again))
+                self.again[at : at + len(sizes)] = False
                 self.begin[at : at + len(sizes)] = self.used + np.cumsum(sizes) - sizes
                 self.length[at : at + len(sizes)] = sizes
                 self.used += len(flat)
@@ -215,7 +245,7 @@ class TokenIds:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds of each text), each text closed by id 0; NULL counts as empty."""
         if self.names.nbytes + 4 * self.used > self.keep:
-            self.reset()
+            self._thin()
         if not len(texts):
             return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -229,6 +259,7 @@ class TokenIds:
         place = pc.index_in(coded.dictionary, value_set=self.names)
         fresh = place.is_null().to_numpy(zero_copy_only=False)
         known = place.fill_null(0).to_numpy().astype(np.int64)
+        self.again[known[~fresh]] = True
         if fresh.any():
             known[fresh] = self._learn(coded.dictionary.filter(pa.array(fresh)))
         number = known[coded.indices.to_numpy()]

@@ -266,6 +266,21 @@ def test_token_ids_of_any_text(texts):
 test_token_ids_of_any_text.encoder = TokenIds(TOKENIZER, keep=50)
 
 
+def test_token_ids_keep_words_without_marks():
+    """Marks behind a word are parts of their own, and words that come again outlive a full store."""
+    encoder = TokenIds(TOKENIZER, keep=12_000)
+    plain = Tokenizer.from_file(TOKENIZER)
+    for k in range(40):
+        text = " again, again. again! again? again; again: again" + "".join(f" w{k}x{j}a," for j in range(60)) + " it's, A1, é, b,c ,"
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 0]
+        names = encoder.names.to_pylist()
+        assert len(names) == len(set(names)) and names.count(" again") == 1 and " again," not in names
+        learned = len(names) if not k else learned + len(set(names) - before)
+        before = set(names)
+    assert learned < 40 * 61 + 30 and len(names) < 40 * 61  # the store was thinned, and only new words were learned
+
+
 def tokens():
     plain = Tokenizer.from_file(TOKENIZER)
     return [(r[0], plain.encode(r[1] or "", add_special_tokens=False).ids + [0]) for r in rows()]
