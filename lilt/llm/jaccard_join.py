@@ -14,7 +14,7 @@ out from the hottest class down, so what either of two leaves out of their share
 shared unit is left in both. In hot lists all are first held against one leader; after the links so found are merged, only sets
 of different components that both kept a hot signature are compared. Their pairs are made on packed arrays, lists with
 the same smallest member in the same task, where a pair of many lists becomes one row. Before that, counts of shingles in
-cells bound what two sets can share, and pairs that can't reach a link are left out.
+cells and 16 bits of each shingle bound what two sets can share, and pairs that can't reach a link are left out.
 No list, bucket or partner is capped, and every candidate is verified on the whole sets.
 
 Signatures travel as packed arrays (7 bytes each), grouped by buckets of neighbouring segments, whose number grows with the corpus; equal sets are one
@@ -458,14 +458,16 @@ CELLS = 256
 
 
 def sketches(sets: DataFrame) -> DataFrame:
-    """(doc, sketch): how many shingles of a set fall into each cell; NULL if a cell has more than a byte holds."""
+    """(doc, sketch): how many shingles of a set fall into each cell, then 16 bits of each shingle; NULL if a cell has more than a
+    byte holds. What two sets share is also at most the number of one's prints that the other has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for one in batch.column(1):
-                cells = np.bincount((mix(np.frombuffer(one.as_buffer(), np.uint64)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-                out.append(cells.astype(np.uint8).tobytes() if cells.max() < 256 else None)
+                mixed = mix(np.frombuffer(one.as_buffer(), np.uint64))
+                cells = np.bincount((mixed % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+                out.append(cells.astype(np.uint8).tobytes() + (mixed >> np.uint64(48)).astype("<u2").tobytes() if cells.max() < 256 else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc", "sketch"])
 
     return sets.select("doc_id", "shingles").mapInArrow(count, "doc long, sketch binary")
@@ -477,7 +479,8 @@ class _Group:
     def __init__(self) -> None:
         self.docs: list[np.ndarray] = []
         self.cells: list[np.ndarray] = []
-        self.known: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.prints: list[bytes] = []
+        self.known: tuple[np.ndarray, ...] | None = None
         self.held: list[np.ndarray] = []
         self.rows = 0
 
@@ -487,9 +490,10 @@ class _Group:
             if x is None:
                 cells[k, CELLS] = 1
             else:
-                cells[k, :CELLS] = np.frombuffer(x, np.uint8)
+                cells[k, :CELLS] = np.frombuffer(x, np.uint8, CELLS)
         self.docs.append(part["doc"].to_numpy())
         self.cells.append(cells)
+        self.prints.extend(b"" if x is None else x[CELLS:] for x in part["sketch"])
 
     def add(self, doc: np.ndarray, size: np.ndarray, component: np.ndarray) -> Iterator[pd.DataFrame]:
         """Pairs of a list's members that are of different components and whose sizes allow a link."""
@@ -523,9 +527,11 @@ class _Group:
         if self.known is None:
             docs = np.concatenate([np.zeros(0, dtype=np.int64), *self.docs])
             order = np.argsort(docs)
-            self.known = docs[order], order, np.concatenate([np.zeros((0, CELLS + 2), dtype=np.uint8), *self.cells])
-            self.docs, self.cells = [], []
-        docs, order, cells = self.known
+            prints = np.frombuffer(b"".join(self.prints), "<u2")
+            bounds = np.cumsum([0, *[len(x) // 2 for x in self.prints]])
+            self.known = docs[order], order, np.concatenate([np.zeros((0, CELLS + 2), dtype=np.uint8), *self.cells]), prints, bounds
+            self.docs, self.cells, self.prints = [], [], []
+        docs, order, cells, prints, bounds = self.known
         x, y = (order[np.searchsorted(docs, pairs[:, c])] for c in (0, 1))
         open_ = np.zeros(len(pairs), dtype=bool)
         for k in range(0, len(pairs), 1 << 14):
@@ -533,8 +539,27 @@ class _Group:
             one, two = cells[x[at]], cells[y[at]]
             most = np.minimum(one[:, :CELLS], two[:, :CELLS]).sum(axis=1, dtype=np.int64)
             open_[at] = (7 * most >= 3 * pairs[at, 2]) | (one[:, CELLS] > 0) | (two[:, CELLS] > 0)
-        if open_.any():
-            yield pd.DataFrame(pairs[open_, :2], columns=["a", "b"])
+        pairs, x, y = pairs[open_], x[open_], y[open_]
+        pairs = pairs[_may_link(prints, bounds, x, y, pairs[:, 2])]
+        if len(pairs):
+            yield pd.DataFrame(pairs[:, :2], columns=["a", "b"])
+
+
+def _may_link(prints: np.ndarray, bounds: np.ndarray, x: np.ndarray, y: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether the sets ``x`` and ``y``, with ``total`` shingles in all, share enough prints; pairs with the same x are neighbours."""
+    shared = np.zeros(len(x), dtype=np.int64)
+    length = np.diff(bounds)
+    has = np.zeros(1 << 16, dtype=bool)
+    edge = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1], [True]))) if len(x) else []
+    for begin, end in zip(edge[:-1], edge[1:]):
+        mine = prints[bounds[x[begin]] : bounds[x[begin] + 1]]
+        has[mine] = True
+        for k in range(begin, end, 1024):
+            at = y[k : min(k + 1024, end)]
+            found = np.concatenate(([0], np.cumsum(has[prints[ranges(bounds[at], length[at])]])))
+            shared[k : k + len(at)] = np.diff(found[np.concatenate(([0], np.cumsum(length[at])))])
+        has[mine] = False
+    return (7 * shared >= 3 * total) | (length[x] == 0) | (length[y] == 0)
 
 
 def _made_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lilt.llm import jaccard_join, language_id, line_dedup, mixing, packing, personal_data, sharding, token_files
-from lilt.llm.common import TokenIds, components
+from lilt.llm.common import TokenIds, components, mix
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -131,6 +131,20 @@ def test_unlinked_documents_that_share_boilerplate(spark, monkeypatch):
         assert made[-1] <= 2 * len(rows)
 
 
+def test_pairs_that_cells_alone_let_pass(spark):
+    """Sets with the same counts in all cells share little; prints tell them apart and keep those that link."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 200_000, dtype=np.uint64)
+    cell = (mix(pool) % np.uint64(jaccard_join.CELLS)).astype(np.int64)
+    by_cell = [pool[cell == c] for c in range(jaccard_join.CELLS)]
+    sets = [np.sort(np.array([x[k] for x in by_cell])) for k in range(20)]  # nothing in common, one shingle a cell
+    sets.append(np.sort(np.concatenate((sets[0][:240], sets[1][240:]))))
+    shingles = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(sets)], "doc_id long, shingles binary")
+    member = spark.createDataFrame([(7, k, 256, k) for k in range(21)], "sig long, doc long, size long, component long")
+    got = {(r.a, r.b) for r in jaccard_join._across(member, jaccard_join.sketches(shingles)).collect()}
+    assert got == {(0, 20)}
+
+
 def test_pairs_of_lists_and_sketches():
     """Pairs of lists once, over several batches and groups, without those that the sketches rule out."""
     import pandas as pd
