@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lilt.functions.tokens import clean_token_weak
 from lilt.operators.scan import attach, block_of
+from lilt.session import cut, discard
 
 
 def normalize_labels(labels: DataFrame) -> DataFrame:
@@ -17,11 +18,12 @@ def normalize_labels(labels: DataFrame) -> DataFrame:
     ).drop("label")
 
 
-def align_stress(words: DataFrame, labels: DataFrame, scope: str = "phrase_index") -> DataFrame:
+def align_stress(words: DataFrame, labels: DataFrame, scope: str = "phrase_index", written: bool = False) -> DataFrame:
     """Give each word the label at its position if one text is a prefix of the other, else the first label of the
     phrase with equal text, else none (not stressed, score 0). A label may serve several words.
 
-    ``labels(recording_id, <scope>, pos, word, stressed, stress_score)``.
+    ``labels(recording_id, <scope>, pos, word, stressed, stress_score)``. With ``written`` the words are written as a table, for
+    plans that read them more than once; so are those with the label at their place on the way, which are joined once then.
     """
     here, text = ["recording_id", scope, "pos"], ["recording_id", scope, "_token"]
     given = labels.select(*here, clean_token_weak(F.col("word")).alias("_label"),
@@ -33,13 +35,20 @@ def align_stress(words: DataFrame, labels: DataFrame, scope: str = "phrase_index
         .select(*text, F.struct(F.col("_a").alias("stressed"), F.col("_b").alias("stress_score")).alias("_found"))
     )
     placed = words.withColumn("_token", clean_token_weak(F.col("word"))).join(given, here, "left")
+    if written:
+        placed = cut(placed, "placed", "zstd", tidy=True)
     # Most words take the label at their place, and are moved that once; only the others look their text up.
     near = F.coalesce(F.col("_token").startswith(F.col("_label")) | F.col("_label").startswith(F.col("_token")), F.lit(False))
     taken = placed.where(near).withColumnRenamed("_hit", "_best")
     looked = attach(placed.where(~near).drop("_hit"), first, text, block_of("pos")).withColumnRenamed("_found", "_best")
-    return taken.unionByName(looked).withColumns(
+    aligned = taken.unionByName(looked).withColumns(
         {
             "stressed": F.coalesce("_best.stressed", F.lit(False)),
             "stress_score": F.coalesce("_best.stress_score", F.lit(0.0)),
         }
     ).drop("_token", "_label", "_best")
+    if not written:
+        return aligned
+    aligned = cut(aligned, "aligned", "zstd", tidy=True)
+    discard(placed)
+    return aligned

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lilt.functions.timing import confidence_band, pause_class, seconds
-from lilt.operators.phrases import PIECE_WORDS, phrase_bounds
+from lilt.operators.phrases import PIECE_WORDS
 from lilt.operators.scan import Run, attach, block_of, running
 from lilt.session import cut
 
@@ -136,6 +136,25 @@ def _document_word(words: DataFrame) -> Column:
     return F.struct(*fields)
 
 
+def _piece_bounds(placed: DataFrame, key: list[str]) -> DataFrame:
+    """A row per piece of a phrase with start, end and word count of the whole phrase, as ``phrase_bounds`` gives them."""
+    sized = placed.groupBy(*key, "_piece").agg(
+        F.min("pos").alias("_low"),
+        F.max("pos").alias("_high"),
+        F.min_by("start_ms", "pos").alias("_start"),
+        F.max_by("end_ms", "pos").alias("_end"),
+        F.count("*").alias("_n"),
+    )
+    phrase = Window.partitionBy(*key)
+    return sized.select(
+        *key,
+        "_piece",
+        F.min_by("_start", "_low").over(phrase).alias("start_ms"),
+        F.max_by("_end", "_high").over(phrase).alias("end_ms"),
+        F.sum("_n").over(phrase).alias("n_words"),
+    )
+
+
 def result_phrases(words: DataFrame, patterns: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
     """Phrases of a result document, one row each: bounds and number of words of the phrase, its text, and its words with
     all fields that the analyzers added, rounded for display.
@@ -144,17 +163,16 @@ def result_phrases(words: DataFrame, patterns: DataFrame | None = None, chunks:
     ``patterns(recording_id, phrase_index, intonation_pattern)``, ``chunks(recording_id, phrase_index, chunk_index)``.
     """
     key = ["recording_id", "phrase_index"]
-    pieces = (
-        words.withColumn("_piece", F.expr(f"pos div {PIECE_WORDS}"))
-        .groupBy(*key, "_piece")
-        .agg(F.array_sort(F.collect_list(_document_word(words))).alias("words"))
-    )
-    rows = pieces.join(phrase_bounds(words).hint("rebalance"), key)
+    placed = words.withColumn("_piece", F.expr(f"coalesce(pos div {PIECE_WORDS}, -1)"))
+    pieces = placed.groupBy(*key, "_piece").agg(F.array_sort(F.collect_list(_document_word(words))).alias("words"))
+    # What is known of a phrase is joined to the places of its pieces, so that the words themselves are moved once.
+    places = _piece_bounds(placed, key)
     pattern, chunk = F.lit("flat"), F.lit(None).cast("bigint")
     if patterns is not None:
-        rows, pattern = rows.join(patterns.hint("rebalance"), key, "left"), F.coalesce("intonation_pattern", F.lit("flat"))
+        places, pattern = places.join(patterns.hint("rebalance"), key, "left"), F.coalesce("intonation_pattern", F.lit("flat"))
     if chunks is not None:
-        rows, chunk = rows.join(chunks.hint("rebalance"), key, "left"), F.col("chunk_index")
+        places, chunk = places.join(chunks.hint("rebalance"), key, "left"), F.col("chunk_index")
+    rows = pieces.join(places, [*key, "_piece"])
     return rows.select(
         *key,
         F.element_at("words", 1)["pos"].alias("first_pos"),

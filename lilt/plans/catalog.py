@@ -216,7 +216,7 @@ def _(spark, d):
 )
 def _(spark, d):
     """The JSON lines read back by their types and summed up."""
-    featured = _featured(spark, d)
+    featured = _featured(spark, d, written=True)
     phrase_rows = summary.result_phrases(featured)
     recordings_seen = featured.groupBy("recording_id").agg(F.max("end_ms").alias("duration_ms"))
     header = summary.result_header(summary.session_summary(featured, recordings_seen))
@@ -504,9 +504,10 @@ def _(spark, d):
 # ---- joins -------------------------------------------------------------------------------------------------------
 
 
-def _featured(spark, d):
+def _featured(spark, d, written=False):
     labels = stress.normalize_labels(fx.stress_labels(spark, d))
-    return stress.align_stress(fx.phrased(spark, d), labels)
+    words = fx.phrased(spark, d)
+    return stress.align_stress(words.drop("word_idx", "is_last") if written else words, labels, written=written)
 
 
 @query("jn1_stress_align", sql("SELECT recording_id, word_idx, stressed, stress_score FROM stressed", "stressed"))

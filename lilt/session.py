@@ -15,6 +15,9 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A table's shuffle files go as soon as it is written; otherwise they lie on disk until the driver collects garbage.
+TIDY = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 _STAGED: dict[tuple[str, str, str], str] = {}
 _OWN_DIR: dict[str, str] = {}
 
@@ -68,7 +71,9 @@ def staged(spark: SparkSession, name: str, source: str, build: Callable[[], Data
     if key not in _STAGED:
         slot = len(_STAGED)
         path = f"{shared_dir(spark)}/lilt-{key[0]}/{slot:03d}-{name}"
-        build().write.mode("overwrite").parquet(path)
+        built = build()
+        with settings(spark, TIDY):
+            built.write.mode("overwrite").parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])
 
@@ -77,11 +82,15 @@ def staged_path(spark: SparkSession, name: str, source: str) -> str:
     return _STAGED[(spark.sparkContext.applicationId, source, name)]
 
 
-def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write an intermediate result that several branches of a plan read, and continue from the written table."""
+def cut(df: DataFrame, name: str, compression: str = "snappy", tidy: bool = False) -> DataFrame:
+    """Write an intermediate result that several branches of a plan read, and continue from the written table.
+
+    With ``tidy`` the shuffle files behind it are deleted at once.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lilt-{spark.sparkContext.applicationId}/cut-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path, compression=compression)
+    with settings(spark, TIDY if tidy else {}):
+        df.write.parquet(path, compression=compression)
     written = spark.read.schema(df.schema).parquet(path)
     written._written = path
     return written
