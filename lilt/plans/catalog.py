@@ -245,12 +245,12 @@ def _(spark, d):
 )
 def _(spark, d):
     """Documents written as JSON lines and read back by the models of the result, down to the words."""
-    featured = _featured(spark, d)
+    featured = _featured(spark, d, written=True)
     in_chunks = featured.select("recording_id", "phrase_index").distinct().withColumn("chunk_index", F.expr("phrase_index div 3"))
     ends = featured.groupBy("recording_id").agg(F.max("end_ms").alias("duration_ms"))
     header = summary.result_header(summary.session_summary(featured, ends))
     lines = documents.as_json(header, summary.result_phrases(featured, chunks=in_chunks), nulls=False)
-    read = documents.parse_lines(lines)
+    read = documents.parse_lines(cut(lines, "lines", "zstd", tidy=True))
     heads = read.where("line_kind = 'header'").select("recording_id", "header.word_count")
     spoken = read.where("line_kind = 'phrase'").select("recording_id", "first_pos", "phrase.*")
     fields = ("word", "start", "end", "confidence", "stressed", "stress_score", "pause_after")

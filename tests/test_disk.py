@@ -56,6 +56,12 @@ def test_document_json_reads_aligned_words_that_are_written_once(spark):
     assert "_label#" not in text and "_token#" not in text
 
 
+def test_round_trip_reads_its_lines_from_a_table(spark):
+    text = physical(contract.queries()["snk1_document_round_trip"](spark, SF))
+    assert "_label#" not in text and "_token#" not in text
+    assert "-lines-" in text and "collect_list" not in text
+
+
 def test_phrases_move_their_words_once(spark):
     words = spark.createDataFrame([(1, 0, 0, "so", 0, 5, 1.0)], "recording_id long, phrase_index long, pos long, word string, start_ms long, end_ms long, confidence double")
     chunks = spark.createDataFrame([(1, 0, 0)], "recording_id long, phrase_index long, chunk_index long")
